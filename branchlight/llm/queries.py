@@ -7,6 +7,8 @@ from importlib import import_module
 #: Module, query and whether the module has its SQL as ORACLE.
 _OPERATORS = (
     ("quality", "op1_quality_rules"),
+    ("simhash", "op4_simhash_near_dedup"),
+    ("langid", "op8_language_id"),
     ("decontaminate", "op10_decontaminate"),
 )
 
