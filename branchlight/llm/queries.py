@@ -8,7 +8,9 @@ from importlib import import_module
 _OPERATORS = (
     ("quality", "op1_quality_rules"),
     ("simhash", "op4_simhash_near_dedup"),
+    ("secrets", "op5_secret_scan"),
     ("langid", "op8_language_id"),
+    ("chat", "op9_chat_format"),
     ("decontaminate", "op10_decontaminate"),
 )
 
