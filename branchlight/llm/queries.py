@@ -9,6 +9,7 @@ _OPERATORS = (
     ("quality", "op1_quality_rules"),
     ("simhash", "op4_simhash_near_dedup"),
     ("secrets", "op5_secret_scan"),
+    ("lm", "op6_lm_scoring"),
     ("langid", "op8_language_id"),
     ("chat", "op9_chat_format"),
     ("decontaminate", "op10_decontaminate"),
