@@ -8,6 +8,7 @@ from importlib import import_module
 _OPERATORS = (
     ("quality", "op1_quality_rules"),
     ("simhash", "op4_simhash_near_dedup"),
+    ("suffixdedup", "op2_suffix_dedup"),
     ("secrets", "op5_secret_scan"),
     ("lm", "op6_lm_scoring"),
     ("langid", "op8_language_id"),
