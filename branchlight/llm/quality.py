@@ -5,6 +5,7 @@ A line that holds a word fails if one of these rules says so:
 
 * navigation: three or more menu marks (| > » · •) or marks making up a tenth of its words' characters;
 * symbols: more than a tenth of its characters are of `#*$%&|<>`;
+* shouting: at least three words, and seven tenths of its letters that have cases are capitals;
 * boilerplate: it holds a stock phrase of web pages (cookie notices, script warnings, ...);
 * punctuation: no sentence ends in it, neither at its end nor before a blank.
 
@@ -60,6 +61,10 @@ def failing_rule(line: str) -> str | None:
         return "navigation"
     if 10 * sum(body.count(chr(c)) for c in SYMBOLS) > len(body):
         return "symbols"
+    if body.count(" ") >= 2:
+        upper = sum(map(str.isupper, body))
+        if upper and 10 * upper >= 7 * (upper + sum(map(str.islower, body))):
+            return "shouting"
     low = body.lower()
     if any(p in low for p in BOILERPLATE):
         return "boilerplate"

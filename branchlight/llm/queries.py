@@ -9,8 +9,10 @@ _OPERATORS = (
     ("quality", "op1_quality_rules"),
     ("simhash", "op4_simhash_near_dedup"),
     ("suffixdedup", "op2_suffix_dedup"),
+    ("licenses", "op3_license_scan"),
     ("secrets", "op5_secret_scan"),
     ("lm", "op6_lm_scoring"),
+    ("mixing", "op7_mixing"),
     ("langid", "op8_language_id"),
     ("chat", "op9_chat_format"),
     ("decontaminate", "op10_decontaminate"),
