@@ -171,7 +171,7 @@ def fit_rates(weights: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: f
 
         got = {r["k"]: r["v"] for r in weights.mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
         residual = np.array([got.get(k, 0.0) for k in range(len(aim))]) - aim
-        settled = residuals and np.abs(residual - residuals[-1]).max() < SETTLED
+        settled = bool(residuals) and np.abs(residual - residuals[-1]).max() < SETTLED
         residuals.append(residual)
         if settled:
             break
