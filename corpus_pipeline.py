@@ -1,2 +1,83 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""Corpus pipeline: five stages over documents, each fed what the one before kept.
+
+Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from branchlight.llm import decontaminate, langid, mixing, secrets, simhash
+from branchlight.llm._shared import session_ready, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the learned languages, with lang as predicted; the rest go."""
+    session_ready(spark)
+    found = langid.identify_language(docs, langid.reference_texts(docs), into="__language")
+    lang = F.col("__language.lang")
+    return found.withColumn("lang", lang).filter(F.col("lang") != langid.UNDETERMINED).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    session_ready(spark)
+    found = simhash.near_duplicates(docs, into="__near")
+    # Rows that repeat a document meet under one id and component, never a whole group of copies.
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("__near.component"))).withColumn("__component", F.concat_ws(":", F.col("__near.fingerprint"), F.col("doc_id").cast("string")))
+    return first.dropDuplicates(["__component"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    found = decontaminate.find_contamination(spark, docs, table(spark, sf_dir, "benchmark"), into="__leak")
+    return found.filter(F.size("__leak.starts") == 0).select(*docs.columns)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in them replaced by [REDACTED]; n_chars follows the text."""
+    session_ready(spark)
+    keys = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__same")]
+    found = secrets.find_secrets(docs, keys).filter(F.size("parts") > 0).dropDuplicates(["__id", "__same"])
+    joined = docs.withColumn("__hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same")), "left")
+    clean = F.when(F.col("parts").isNotNull(), secrets.redact(F.col("text"), F.col("parts"))).otherwise(F.col("text"))
+    return joined.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the rate that brings the domains to their target weights, and the number of times to
+    take each: the rate, rounded up with the probability of its fraction by a hash of the id. Documents to be taken no time go."""
+    session_ready(spark)
+    found = mixing.mix(docs, table(spark, sf_dir, "labels"), into="__mix")
+    rate = F.col("__mix.rate")
+    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+    posteriors = [F.col("__mix.p")[i].alias(f"p_{k}") for i, k in enumerate(mixing.DOMAINS)]
+    return found.select(*docs.columns, F.col("__mix.n_tokens").alias("n_tokens"), *posteriors, rate.alias("rate"), copies.alias("n_copies")).filter("n_copies > 0")
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_redaction),
+    ("mixing sources to target weights", source_mixing),
+]
+
+#: SQL expresses neither the cross-parsing, the fingerprints nor the fit.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written as Parquet and read again for the next."""
+    session_ready(spark)
+    base = spark.sparkContext.getCheckpointDir()
+    run_id = spark.range(1).select(F.expr("uuid()")).first()[0]
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{base}/pipeline-{run_id}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
