@@ -182,7 +182,8 @@ def identify_language(docs: DataFrame, references: dict[str, bytes], text: str =
         names, scores = _parser(held).predict(column.to_pylist())
         return struct_of({"lang": (pa.string(), names), "score": (pa.float64(), scores)})
 
-    return docs.withColumn(into, judged(F.col(text)))
+    # Marked so that a filter on the result does not make Spark judge each text twice.
+    return docs.withColumn(into, judged.asNondeterministic()(F.col(text)))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

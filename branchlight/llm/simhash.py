@@ -61,7 +61,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerpri
     def bits(column: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t) for t in as_bytes(column)], np.uint64).astype(np.int64))
 
-    return docs.withColumn(into, bits(F.col(text)))
+    return docs.withColumn(into, bits.asNondeterministic()(F.col(text)))
 
 
 def _lane(at: int):
