@@ -13,8 +13,10 @@ corpus in one index would be one task's work, so suffixes are first brought toge
    each pass sorts it stably by the preceding symbol, which brings it from depth h to h + STEP without
    looking at a suffix. A symbol is a gram of STEP bytes. The pass in which two neighbours first part gives
    their common prefix; neighbours that never part form an interval of a repeated string.
-4. An anchor with more than `most_segments` different segments is dealt by the hash of each window
-   instead, counted before and after the shuffle, so that no task gets them all.
+4. An anchor with more than `most_segments` different segments is dealt anew by more content: windows that start
+   within `width` places of each other (counted from the anchor) share all but the rim of their bytes, and this core
+   is the key of their piece of the segment. Pieces are counted and compared like segments; a key still crowded is
+   dealt by narrower pieces, down to single windows, which need no comparison. So no task gets them all.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes lose nothing; repeated rows are
 copies like any others; a null doc_id is kept; windows never cross documents.
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 
 from ._shared import as_bytes, session_ready, table
 
-LENGTH, GRAM, STEP = 400, 32, 16
+LENGTH, GRAM, STEP = 400, 32, 40
 PASSES = LENGTH // STEP
+#: Places of a piece of a crowded segment, level by level.
+WIDTHS = (48, 8, 1)
 #: Bytes of one scan for anchors, of one shard, and of one batch of anchors.
 SCAN, SHARD, BATCH = 1 << 19, 1 << 14, 60_000
 MOST_SEGMENTS = 1500
@@ -117,24 +121,19 @@ def ranks(*columns: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1]
 
 
-def gram_ranks(data: np.ndarray) -> np.ndarray:
-    """Ranks of the STEP bytes that start at each place, going round."""
-    r, width = data.astype(np.int64), 1
-    while width < STEP:
-        r = ranks(r, np.roll(r, -width))
-        width *= 2
-    return r
+def longer(shards: list[np.ndarray], width: int, wanted: int) -> list[np.ndarray]:
+    """Ranks over all shards of the `wanted` bytes that start at each place, going round, from those of `width`."""
+    cuts = np.cumsum([len(s) for s in shards])[:-1]
+    while width < wanted:
+        by = min(width, wanted - width)
+        shards = np.split(ranks(np.concatenate(shards), np.concatenate([np.roll(s, -by) for s in shards])), cuts)
+        width += by
+    return shards
 
 
 def sorted_rotations(grams: np.ndarray) -> np.ndarray:
     """Places in the order of their LENGTH bytes, for one shard."""
-    r, width = grams, STEP
-    while 2 * width <= LENGTH:
-        r = ranks(r, np.roll(r, -width))
-        width *= 2
-    if width < LENGTH:
-        r = ranks(r, np.roll(r, width - LENGTH))
-    return np.argsort(r, kind="stable")
+    return np.argsort(longer([grams], STEP, LENGTH)[0], kind="stable")
 
 
 def merged(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,11 +141,7 @@ def merged(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     steps of STEP bytes up to LENGTH."""
     sizes = [len(s) for s in shards]
     # Grams are ranked over the batch so that shards share an alphabet.
-    alphabet, r = [s.astype(np.int64) for s in shards], 1
-    while r < STEP:
-        whole = ranks(np.concatenate(alphabet), np.concatenate([np.roll(a, -r) for a in alphabet]))
-        alphabet = np.split(whole, np.cumsum(sizes)[:-1])
-        r *= 2
+    alphabet = longer([x.astype(np.int64) for x in shards], 1, STEP)
     kind = np.uint16 if max(int(a.max()) for a in alphabet) < 1 << 16 else np.int32
     orders = [sorted_rotations(a) for a in alphabet]
     transform = np.concatenate([np.roll(a, STEP)[o] for a, o in zip(alphabet, orders, strict=True)]).astype(kind)
@@ -251,12 +246,27 @@ def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield compared(held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for anchor, name, n, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            k = len(data) - LENGTH + 1
-            hashes = [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([anchor] * k, pa.int64()), pa.array([name] * k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64()), pa.array(hashes, pa.binary())], names=["anchor", "name", "at", "n", "window"])
+def _piece_rows(width: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of crowded segments: windows by their distance from the anchor, `width` distances a piece."""
+        for b in batches:
+            out = []
+            for anchor, name, n, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                last = len(data) - LENGTH
+                h = gram_hashes(data)
+                place = int(np.argmin((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)))
+                for part in range((place - last) // width, place // width + 1):
+                    # Windows whose distance to the anchor is in [part * width, (part + 1) * width).
+                    first, final = max(0, place - (part + 1) * width + 1), min(last, place - part * width)
+                    core = data[max(0, place - part * width) : place - (part + 1) * width + 1 + LENGTH]
+                    piece = data[first : final + LENGTH]
+                    key = xxhash.xxh3_64_intdigest(core, seed=(part + 1000) & 0xFFFF) - (1 << 63)
+                    out.append((anchor, name, first, key, xxhash.xxh3_128_digest(piece), n, piece))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["of", "whose", "base", "anchor", "name", "n", "bytes"])
+
+    return cut
 
 
 _RUN_DDL = "anchor long, name binary, runs array<struct<a:int,b:int>>"
@@ -269,29 +279,34 @@ def repeated_runs(docs: DataFrame, most_segments: int = MOST_SEGMENTS) -> DataFr
     """
     found = docs.select(*_KEY, "text").mapInArrow(_segment_rows, "anchor long, name binary, doc long, same long, first int, last int")
     unique = found.groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc", "same", "first", "last")).alias("at"))
-    per_anchor = unique.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
+    # The same columns of unique in both places, so that one exchange serves them.
+    per_anchor = unique.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.min("at").alias("at")).filter("all > 1 and at is not null")
     unique = unique.join(per_anchor.select(F.col("anchor").alias("k"), "kinds"), F.col("anchor") == F.col("k")).drop("k").checkpoint()
 
     compare = unique.filter("kinds > 1").select("kinds", F.struct("anchor", "name", "n", F.col("at.first").alias("first"), F.col("at.last").alias("last")).alias("w"), F.col("at.doc").alias("d"), F.col("at.same").alias("s"))
     wanted = compare.groupBy("d", "s").agg(F.collect_list("w").alias("wanted"))
     cut = docs.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))).select("text", "wanted")
     cut = cut.mapInArrow(_cut_rows, "anchor long, name binary, n long, bytes binary").checkpoint()
-    crowded = per_anchor_of(unique, most_segments)
-    few = cut.join(crowded, "anchor", "left_anti")
-    some = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare_rows, _RUN_DDL)
-    windows = cut.join(crowded, "anchor", "left_semi").mapInArrow(_window_rows, "anchor long, name binary, at int, n long, window binary")
-    often = windows.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window")
-    many = windows.join(often, "window", "left_semi").groupBy("anchor", "name").agg(F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("runs"))
     # A segment that occurs twice is repeated as a whole, whatever else is.
-    answers = some.unionByName(many).withColumn("whole", F.lit(False)).unionByName(unique.filter("n > 1").select("anchor", "name", F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(True).alias("whole")))
-    answers = answers.groupBy("anchor", "name").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.bool_or("whole").alias("whole"))
-    placed = found.join(answers, ["anchor", "name"]).withColumn("mine", F.when(F.col("whole"), F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).otherwise(F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))))
+    whole = unique.filter("n > 1").select("anchor", "name", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.last") - F.col("at.first")).alias("b"))).alias("runs"))
+    answers = compared(cut, most_segments, WIDTHS).unionByName(whole).groupBy("anchor", "name").agg(F.flatten(F.collect_list("runs")).alias("runs")).checkpoint()
+    placed = found.join(answers, ["anchor", "name"]).withColumn("mine", F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))))
     return placed.groupBy(*_KEY).agg(F.flatten(F.collect_set("mine")).alias("runs"))
 
 
-def per_anchor_of(unique: DataFrame, most_segments: int) -> DataFrame:
-    """Anchors with more different segments than one task should compare."""
-    return unique.filter(F.col("kinds") > most_segments).select("anchor").distinct()
+def compared(cut: DataFrame, most_segments: int, widths: tuple[int, ...]) -> DataFrame:
+    """(anchor, name, runs) of the segments cut (anchor, name, n, bytes): windows of one that are in another too."""
+    crowded = cut.groupBy("anchor").count().filter(F.col("count") > most_segments).select("anchor").checkpoint()
+    if not widths or crowded.isEmpty():
+        return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare_rows, _RUN_DDL)
+    few = compared(cut.join(crowded, "anchor", "left_anti"), most_segments, ())
+    rows = cut.join(crowded, "anchor", "left_semi").mapInArrow(_piece_rows(widths[0]), "of long, whose binary, base int, anchor long, name binary, n long, bytes binary").checkpoint()
+    unique = rows.groupBy("anchor", "name").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")).checkpoint()
+    whole = unique.filter("n > 1").select("anchor", "name", F.array(F.struct(F.lit(0).alias("a"), (F.length("bytes") - LENGTH).alias("b"))).alias("runs"))
+    found = whole if widths[0] == 1 else compared(unique, most_segments, widths[1:]).unionByName(whole)
+    back = rows.select("of", "whose", "base", "anchor", "name").join(found, ["anchor", "name"])
+    shifted = F.transform("runs", lambda r: F.struct((r["a"] + F.col("base")).alias("a"), (r["b"] + F.col("base")).alias("b")))
+    return few.unionByName(back.select(F.col("of").alias("anchor"), F.col("whose").alias("name"), shifted.alias("runs")))
 
 
 def spans_of(found: list[dict] | None) -> list[tuple[int, int]]:
