@@ -105,11 +105,10 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> list[tuple[int
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
     """One home tile against the tiles that visit it."""
-    home = np.concatenate([np.asarray(x, np.int64) for x in group["bits"][group["home"]]]).view(np.uint64)
-    guests = group["bits"][~group["home"]].tolist()
+    homes, guests = group["bits"][group["home"]].tolist(), group["bits"][~group["home"]].tolist()
     edges = []
-    if guests:
-        edges = forest(home, np.concatenate([np.asarray(x, np.int64) for x in guests]).view(np.uint64))
+    if homes and guests:  # a part of a crowded count vector may have got no fingerprint
+        edges = forest(*[np.concatenate([np.asarray(x, np.int64) for x in side]).view(np.uint64) for side in (homes, guests)])
     return pd.DataFrame(np.array(edges, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
 
 
@@ -149,9 +148,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = connected_components(links(prints.select("u")).checkpoint())
     named = prints.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    lookup = named.join(least, "root").select(F.col("u").alias("__u"), "component")
+    lookup = named.join(least, "root").select(F.col("u").alias("__u"), F.col("component").alias("__component"))
     joined = dense.join(lookup, F.col("__bits") == F.col("__u"), "left")
-    return joined.withColumn(into, F.struct(F.lpad(F.lower(F.hex("__bits")), 16, "0").alias("fingerprint"), F.col("component"))).drop("__bits", "__u", "component")
+    return joined.withColumn(into, F.struct(F.lpad(F.lower(F.hex("__bits")), 16, "0").alias("fingerprint"), F.col("__component").alias("component"))).drop("__bits", "__u", "__component")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
