@@ -40,9 +40,9 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """All documents, secrets in them replaced by [REDACTED]; n_chars follows the text."""
     session_ready(spark)
     keys = [F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__same")]
-    found = secrets.find_secrets(docs, keys).filter(F.size("parts") > 0).dropDuplicates(["__id", "__same"])
+    found = secrets.find_secrets(docs, keys).filter(F.size("parts") > 0).dropDuplicates(["__id", "__same"]).withColumnRenamed("parts", "__spans")
     joined = docs.withColumn("__hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same")), "left")
-    clean = F.when(F.col("parts").isNotNull(), secrets.redact(F.col("text"), F.col("parts"))).otherwise(F.col("text"))
+    clean = F.when(F.col("__spans").isNotNull(), secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
     return joined.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
