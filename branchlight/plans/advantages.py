@@ -24,11 +24,11 @@ _KINDS = {
 
 
 def _register(kind: str, expression: str) -> None:
-    sql = f"WITH {ROLLOUTS} SELECT tree_uid, line, part, supplier, round({expression}, 6) + 0.0 AS advantage FROM rollouts WINDOW w AS (PARTITION BY uid)"
+    sql = f"WITH {ROLLOUTS} SELECT tree_uid, line, part, supplier, round({expression}, 10) + 0.0 AS advantage FROM rollouts WINDOW w AS (PARTITION BY uid)"
 
     @query(f"advantage_{kind}", sql)
     def _(spark, sf_dir):
-        return groups.advantages(rollouts(spark, sf_dir), kind).select(*_ID, r6(F.col("advantage"), "advantage"))
+        return groups.advantages(rollouts(spark, sf_dir), kind).select(*_ID, (F.round("advantage", 10) + F.lit(0.0)).alias("advantage"))
 
 
 for _kind, _sql in _KINDS.items():

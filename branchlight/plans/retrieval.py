@@ -22,9 +22,9 @@ def _lexical(spark, sf_dir):
     return R.bm25(asked, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("bm25_top_k", f"WITH {_BM25} SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 4) AS score FROM lex")
+@query("bm25_top_k", f"WITH {_BM25} SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM lex")
 def bm25_top_k(spark, sf_dir):
-    return _lexical(spark, sf_dir).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return _lexical(spark, sf_dir).select("query_id", "rank", "doc_id", "score")
 
 
 _DENSE = """q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),

@@ -51,11 +51,11 @@ def kl_shaped_rewards(spark, sf_dir):
     return rows.select("row_id", r6(F.aggregate(shaped, F.lit(0.0), lambda s, x: s + x), "shaped"))
 
 
-@query("gae", f"WITH {TOKENS}, d AS (SELECT row_id, i, r + 0.9 * coalesce(lead(v) OVER (PARTITION BY row_id ORDER BY i), 0) - v AS delta, v FROM tokens), a AS (SELECT t.row_id, t.i, t.v, sum(power(CAST(0.855 AS DOUBLE), u.i - t.i) * u.delta) AS adv FROM d t JOIN d u ON u.row_id = t.row_id AND u.i >= t.i GROUP BY ALL) SELECT row_id, CAST(i AS INT) AS i, round(adv, 8) + 0.0 AS advantage, round(adv + v, 8) + 0.0 AS ret FROM a")
+@query("gae", f"WITH {TOKENS}, d AS (SELECT row_id, i, r + 0.9 * coalesce(lead(v) OVER (PARTITION BY row_id ORDER BY i), 0) - v AS delta, v FROM tokens), a AS (SELECT t.row_id, t.i, t.v, sum(power(CAST(0.855 AS DOUBLE), u.i - t.i) * u.delta) AS adv FROM d t JOIN d u ON u.row_id = t.row_id AND u.i >= t.i GROUP BY ALL) SELECT row_id, CAST(i AS INT) AS i, round(adv, 7) + 0.0 AS advantage, round(adv + v, 7) + 0.0 AS ret FROM a")
 def gae(spark, sf_dir):
     rows = responses(spark, sf_dir).withColumn("r", T.score_at_last(F.lit(1.0), F.col("n")))
     got = rows.withColumn("a", T.gae(F.col("r"), F.col("v"), 0.9, 0.95)).select("row_id", F.posexplode(F.arrays_zip("a", "v")).alias("i", "x"))
-    at = lambda c, n: (F.round(c, 8) + F.lit(0.0)).alias(n)
+    at = lambda c, n: (F.round(c, 7) + F.lit(0.0)).alias(n)
     return got.select("row_id", (F.col("i") + 1).alias("i"), at(F.col("x.a"), "advantage"), at(F.col("x.a") + F.col("x.v"), "ret"))
 
 

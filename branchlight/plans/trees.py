@@ -26,12 +26,12 @@ def tree_closure(spark, sf_dir):
     return got.groupBy("tree_uid", "ancestor").agg((F.count("*") - 1).alias("n_descendants"), F.max("steps").alias("height")).drop("tree_uid")
 
 
-@query("tree_node_values", f"WITH {_CLOSURE} SELECT node_uid, leaf_count, round(leaf_sum, 6) + 0.0 AS leaf_sum, round(node_value, 6) + 0.0 AS node_value, round(correct_value, 6) + 0.0 AS correct_value FROM vals")
+@query("tree_node_values", f"WITH {_CLOSURE} SELECT node_uid, leaf_count, round(leaf_sum, 6) + 0.0 AS leaf_sum, round(node_value, 10) + 0.0 AS node_value, round(correct_value, 10) + 0.0 AS correct_value FROM vals")
 def tree_node_values(spark, sf_dir):
     nodes = tree_nodes(spark, sf_dir)
     right = trees.node_values(nodes, DEPTH, 0.5).select("tree_uid", "node_uid", F.col("node_value").alias("correct_value"))
     got = trees.node_values(nodes, DEPTH).join(right, ["tree_uid", "node_uid"])
-    return got.select("node_uid", "leaf_count", r6(F.col("leaf_sum"), "leaf_sum"), r6(F.col("node_value"), "node_value"), r6(F.col("correct_value"), "correct_value"))
+    return got.select("node_uid", "leaf_count", r6(F.col("leaf_sum"), "leaf_sum"), *[(F.round(c, 10) + F.lit(0.0)).alias(c) for c in ("node_value", "correct_value")])
 
 
 _CREDIT = f"""{_CLOSURE}, edge AS (SELECT n.tree_uid, n.parent_node_uid, n.node_uid, v.leaf_count, v.node_value FROM nodes n JOIN vals v ON v.tree_uid = n.tree_uid AND v.node_uid = n.node_uid WHERE n.parent_node_uid IS NOT NULL),
