@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python; bounds a worker's memory however long the texts are.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def session_ready(spark: SparkSession) -> SparkSession:

@@ -87,8 +87,8 @@ class CrossParser:
     def __init__(self, references: dict[str, bytes]):
         self.names = sorted(references)
         used = sorted(set(b"".join(references.values())))
-        self.classes = np.full(256, len(used), np.int32)
-        self.classes[used] = np.arange(len(used), dtype=np.int32)
+        self.classes = np.full(256, len(used), np.uint8)
+        self.classes[used] = np.arange(len(used), dtype=np.uint8)
         width = self.width = len(used) + 1
         tables, self.roots = [], []
         base = 0
@@ -106,8 +106,11 @@ class CrossParser:
             self.roots.append(base)
             base += len(arcs)
         # Rows are addressed by state * width.
-        flat = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
-        self.flat = np.where(flat >= 0, flat * width, ~(~flat * width)).astype(np.int32)
+        self.flat = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        ends = self.flat < 0
+        self.flat[ends] = ~self.flat[ends]
+        self.flat *= width
+        self.flat[ends] = ~self.flat[ends]
         self.starts = np.array(self.roots, np.int32) * width
 
     def phrases(self, texts: list[bytes], block: int = BLOCK) -> np.ndarray:

@@ -134,15 +134,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Classifier(lists, Softmax(np.array([r["x"] for r in got]), np.array([r["domain"] for r in got]), len(DOMAINS)))
 
 
-def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text", into: str = "domains") -> DataFrame:
-    """docs with a struct `into` of n_tokens and p, the posteriors in the order of DOMAINS."""
+def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text", into: str = "domains", residuals: list[np.ndarray] | None = None) -> DataFrame:
+    """docs with a struct `into` of n_tokens, p (the posteriors in the order of DOMAINS) and the rate that the
+    residuals so far lead to."""
 
-    @F.arrow_udf("struct<n_tokens:bigint,p:array<double>>")
+    @F.arrow_udf("struct<n_tokens:bigint,p:array<double>,rate:double>")
     def judged(column: pa.Array) -> pa.Array:
         texts = as_bytes(column)
-        return struct_of({"n_tokens": (pa.int64(), [len((t or b"").split()) for t in texts]), "p": (pa.list_(pa.float64()), classifier.posteriors(texts).tolist())})
+        p = classifier.posteriors(texts)
+        return struct_of({"n_tokens": (pa.int64(), [len((t or b"").split()) for t in texts]), "p": (pa.list_(pa.float64()), p.tolist()), "rate": (pa.float64(), replay(p, residuals or [])[0].tolist())})
 
-    return docs.withColumn(into, judged(F.col(text)))
+    return docs.withColumn(into, judged.asNondeterministic()(F.col(text)))
 
 
 def replay(p: np.ndarray, residuals: list[np.ndarray], ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +183,12 @@ def fit_rates(weights: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: f
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", targets: tuple[float, ...] = TARGETS, into: str = "mix", keep_text: bool = True) -> DataFrame:
     """docs with a struct `into` of n_tokens, p and rate."""
     session_ready(docs.sparkSession)
-    judged = with_posteriors(docs, fit(docs, labels, doc_id, text), text, "__d")
-    if not keep_text:
-        judged = judged.drop(text).checkpoint()
-        weights = judged.select("__d.n_tokens", "__d.p")
-    else:
-        weights = judged.select("__d.n_tokens", "__d.p").checkpoint()
-    residuals = fit_rates(weights, targets)
+    classifier = fit(docs, labels, doc_id, text)
+    if keep_text:
+        weights = with_posteriors(docs.select(text), classifier, text, "__d").select("__d.n_tokens", "__d.p").checkpoint()
+        return with_posteriors(docs, classifier, text, into, fit_rates(weights, targets))
+    judged = with_posteriors(docs, classifier, text, "__d").drop(text).checkpoint()
+    residuals = fit_rates(judged.select("__d.n_tokens", "__d.p"), targets)
 
     @F.arrow_udf("double")
     def rate(p: pa.Array) -> pa.Array:
