@@ -10,13 +10,13 @@ from .relations import r6, table
 
 _SORT = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 #: Tokens one by one; the reward, the order's fraction of a currency unit, comes with the last.
-TOKENS = f"""tok AS (SELECT l_orderkey AS row_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, -l_tax * 10 AS lp, -l_discount * 10 AS ref, l_quantity / 50 AS v, CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE 1.0 END AS m, l_suppkey AS id
+TOKENS = f"""tok AS (SELECT l_orderkey AS row_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, -l_tax * 10 AS lp, -l_discount * 10 AS ref, sqrt(l_quantity / 50) AS v, CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE 1.0 END AS m, l_suppkey AS id
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_SORT})), tokens AS (SELECT *, CASE WHEN i = n THEN 1.0 ELSE 0.0 END AS r FROM tok)"""
 
 
 def responses(spark, sf_dir):
     keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    cols = {"lp": -F.col("l_tax") * 10, "ref": -F.col("l_discount") * 10, "v": F.col("l_quantity") / 50, "m": F.when(F.col("l_returnflag") == "N", 0.0).otherwise(1.0), "id": F.col("l_suppkey")}
+    cols = {"lp": -F.col("l_tax") * 10, "ref": -F.col("l_discount") * 10, "v": F.sqrt(F.col("l_quantity") / 50), "m": F.when(F.col("l_returnflag") == "N", 0.0).otherwise(1.0), "id": F.col("l_suppkey")}
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), *keys, *[c.alias(k) for k, c in cols.items()])
     got = lines.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*keys, *cols))).alias("t"))
     return got.select("row_id", F.size("t").alias("n"), *[F.col(f"t.{k}").alias(k) for k in cols])
@@ -51,11 +51,11 @@ def kl_shaped_rewards(spark, sf_dir):
     return rows.select("row_id", r6(F.aggregate(shaped, F.lit(0.0), lambda s, x: s + x), "shaped"))
 
 
-@query("gae", f"WITH {TOKENS}, d AS (SELECT row_id, i, r + 0.9 * coalesce(lead(v) OVER (PARTITION BY row_id ORDER BY i), 0) - v AS delta, v FROM tokens), a AS (SELECT t.row_id, t.i, t.v, sum(power(CAST(0.855 AS DOUBLE), u.i - t.i) * u.delta) AS adv FROM d t JOIN d u ON u.row_id = t.row_id AND u.i >= t.i GROUP BY ALL) SELECT row_id, CAST(i AS INT) AS i, round(adv, 7) + 0.0 AS advantage, round(adv + v, 7) + 0.0 AS ret FROM a")
+@query("gae", f"WITH {TOKENS}, d AS (SELECT row_id, i, r + 0.9 * coalesce(lead(v) OVER (PARTITION BY row_id ORDER BY i), 0) - v AS delta, v FROM tokens), a AS (SELECT t.row_id, t.i, t.v, sum(power(CAST(0.855 AS DOUBLE), u.i - t.i) * u.delta) AS adv FROM d t JOIN d u ON u.row_id = t.row_id AND u.i >= t.i GROUP BY ALL) SELECT row_id, CAST(i AS INT) AS i, round(adv, 6) + 0.0 AS advantage, round(adv + v, 6) + 0.0 AS ret FROM a")
 def gae(spark, sf_dir):
     rows = responses(spark, sf_dir).withColumn("r", T.score_at_last(F.lit(1.0), F.col("n")))
     got = rows.withColumn("a", T.gae(F.col("r"), F.col("v"), 0.9, 0.95)).select("row_id", F.posexplode(F.arrays_zip("a", "v")).alias("i", "x"))
-    at = lambda c, n: (F.round(c, 7) + F.lit(0.0)).alias(n)
+    at = lambda c, n: (F.round(c, 6) + F.lit(0.0)).alias(n)
     return got.select("row_id", (F.col("i") + 1).alias("i"), at(F.col("x.a"), "advantage"), at(F.col("x.a") + F.col("x.v"), "ret"))
 
 
