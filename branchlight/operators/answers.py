@@ -10,6 +10,7 @@ from operator import add, mul, sub, truediv
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 _OPS = {ast.Add: add, ast.Sub: sub, ast.Mult: mul, ast.Div: truediv}
 
@@ -87,12 +88,12 @@ def compress_to_budget(text: str, budget: int, count: Callable[[str], int], mark
     return short
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_boxed_column(text: pd.Series) -> pd.Series:
     return text.map(last_boxed)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def arithmetic_column(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else arithmetic(t)).astype(float)
 

@@ -24,7 +24,7 @@ def read_jsonl(spark: SparkSession, *paths: str, schema: str | T.StructType, pro
     if not provenance:
         return spark.read.option("mode", "FAILFAST").schema(schema).json(list(paths))
     # Line numbers need a whole file at hand; JSONL dumps are written in files of bounded size.
-    files = spark.read.option("wholetext", True).text(list(paths)).select(F.col("_metadata.file_path").alias("_source_path"), "value")
+    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("_source_path"), "value")
     lines = files.select("_source_path", F.posexplode(F.split("value", "\n")).alias("at", "line")).filter(F.trim("line") != "")
     parsed = lines.select("_source_path", (F.col("at") + 1).alias("_source_line"), F.from_json("line", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("r.*", "_source_path", "_source_line")
