@@ -152,3 +152,26 @@ def clean_lines(docs: DataFrame, text: str = "text", into: str = "quality", max_
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return clean_lines(docs, with_text=False).select("doc_id", *[F.col(f"quality.{k}").alias(k) for k in list(_FIELDS)[:9]])
+
+
+def _any_of(marks) -> str:
+    return "".join(f"\\{m}" if m in "|.!?*$" else m for m in marks)
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+many AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM many) GROUP BY doc_id),
+line AS (SELECT doc_id, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+counted AS (SELECT *, len(regexp_extract_all(body, '[{_any_of(MENU_MARKS)}]')) AS marks, len(regexp_extract_all(body, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(body, ' ')) AS blanks,
+    len(regexp_extract_all(body, '\p{{Lu}}')) AS upper, len(regexp_extract_all(body, '\p{{Ll}}')) AS lower FROM line WHERE chars > 0),
+judged AS (SELECT doc_id, line, chars, (marks > 0 AND (marks >= 3 OR 10 * marks >= length(body))) OR 10 * symbols > length(body) OR (blanks >= 2 AND upper > 0 AND 10 * upper >= 7 * (upper + lower))
+    OR {" OR ".join(f"contains(lower(body), '{p}')" for p in BOILERPLATE)}
+    OR NOT (regexp_matches(rtrim(body, '{CLOSERS.replace("'", "''")}'), '[{_any_of(SENTENCE_ENDS)}]$') OR regexp_matches(body, '[{_any_of(SENTENCE_ENDS)}] ')) AS fails FROM counted),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_removed, CAST(coalesce(sum(chars) FILTER (NOT fails), 0) AS BIGINT) AS n_chars_left FROM judged GROUP BY doc_id),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed,
+    coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_chars_left, 0) AS n_chars_left FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT *, NOT base_failed AND n_chars_left >= CAST({1 - MAX_LOSS} AS DOUBLE) * word_chars AS kept FROM base
+"""
