@@ -142,7 +142,7 @@ def valid_sequence(text: Column) -> Column:
 
 
 def information_blocks(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<information>(.*?)</information>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<information>(.*?)</information>"), F.lit(1)), lambda b: F.trim(b))
 
 
 def retrieval_correct(text: Column, golds: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import trajectory as R
 from .registry import query
 from .relations import r6, table
 
@@ -216,3 +217,35 @@ def trajectory_messages(spark, sf_dir):
     rows = sequences(spark, sf_dir).withColumn("m", messages).withColumn("back", F.array_join("m.content", ""))
     got = rows.groupBy((F.col("l_linenumber") % 6).alias("form"))
     return got.agg(F.count("*").alias("n"), F.count_if(F.exists("m", lambda x: x["role"] == "user")).alias("n_user_turns"), F.sum(F.when(F.col("back") == F.col("response"), F.length("back"))).cast("long").alias("n_chars"))
+
+
+_STRICT = r"regexp_full_match(response, '\s*<think>.*</think>\s*<{t}>.*</{t}>\s*', 's')"
+
+
+@query(
+    "parse_turn",
+    f"""WITH {SEQUENCES}, p AS (SELECT *, {_STRICT.format(t='answer')} AS strict_answer, len({_ANSWERS}) > 0 AS has_answer, regexp_extract(response, '<search>([^<]*)</search>', 1) AS s FROM rolled)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN has_answer THEN 'answer' WHEN s <> '' THEN 'search' ELSE 'failure' END AS action, strict_answer AS strict,
+  CASE WHEN strict_answer OR s = '' THEN NULL ELSE trim(s) END AS query, trim({_ANSWERS}[-1]) AS answer,
+  CASE WHEN strict_answer THEN '' WHEN has_answer AND s <> '' THEN 'answer_turn_not_exact_think_then_answer,answer_turn_contains_search_tag' WHEN has_answer THEN 'answer_turn_not_exact_think_then_answer' ELSE 'search_turn_not_exact_think_then_search' END AS reasons FROM p""",
+)
+def parse_turn(spark, sf_dir):
+    """Each rollout taken as one turn: what it does, and what is wrong with its form."""
+    rows = sequences(spark, sf_dir).withColumn("p", R.parse_turn(F.col("response")))
+    return rows.select(*_ID, "p.action", "p.strict", "p.query", "p.answer", F.array_join("p.reasons", ",").alias("reasons"))
+
+
+@query("web_results", "WITH d AS (SELECT l_orderkey, p_brand, min(l_linenumber * 1000000 + l_partkey) AS first FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY first, p_brand) AS i FROM d) SELECT l_orderkey, string_agg('Page ' || i || ': ' || substr(p_brand, 1, 7), chr(10) ORDER BY i) AS pages FROM r WHERE i <= 3 GROUP BY l_orderkey")
+def web_results(spark, sf_dir):
+    """Distinct brands of each order, as found, as three result pages."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("at"), "l_partkey")
+    got = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("at", "p_brand"))).alias("d"))
+    return got.select("l_orderkey", R.web_results(F.col("d.p_brand"), 3, 7).alias("pages"))
+
+
+@query("loss_mask_coverage", "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS tokens, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS trained FROM conversations GROUP BY conv_id")
+def loss_mask_coverage(spark, sf_dir):
+    """Characters stand for tokens: how many of each conversation are trained on."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("m"))
+    got = turns.select("conv_id", R.loss_mask(F.col("m.role"), F.col("m.n")).alias("mask"))
+    return got.select("conv_id", F.size("mask").cast("long").alias("tokens"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).cast("long").alias("trained"))

@@ -187,3 +187,30 @@ def test_nothing_outside_imports_the_training_data_operators():
     names = [m.name for m in pkgutil.walk_packages(branchlight.__path__, "branchlight.") if not m.name.startswith("branchlight.llm")]
     code = f"import sys\nfor n in {names!r}: __import__(n)\nassert not [m for m in sys.modules if m.startswith('branchlight.llm')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=importlib.import_module("os").path.dirname(branchlight.__path__[0]))
+
+
+def test_trajectories(spark):
+    from branchlight.functions import trajectory as R
+
+    search, final = "<think>a</think><search>q</search>", "<think>a</think> <answer>b</answer>"
+    turns = lambda *t: [(i, raw, info, False) for i, (raw, info) in enumerate(t)]
+    cases = [
+        (turns((search, "i"), (final, None)), []),
+        (turns(*[(search, "i")] * 3, (final, None)), []),
+        (turns((final, None)), ["requires_at_least_one_search_round"]),
+        (turns(*[(search, "i")] * 4, (final, None)), ["too_many_search_rounds"]),
+        (turns((search, None), (final, None)), ["missing_information_after_search"]),
+        (turns((search, "<think>"), (final, None)), ["control_tag_inside_information"]),
+        ([], ["no_generation_turn"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], f"i int, t array<{R.TURN}>")
+    got = {r["i"]: r["x"] for r in df.select("i", R.validate_trajectory(F.col("t"), F.lit(True)).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c for _, c in cases]
+    extra = spark.createDataFrame([(turns((search + "<search>r</search>", "i"), (final, None)),)], f"t array<{R.TURN}>")
+    assert "unexpected_tag_count_<search>" in extra.select(R.validate_trajectory(F.col("t"), F.lit(True))).first()[0]
+    parse = lambda s: one(spark, R.parse_turn(F.col("s")), s=s)
+    assert parse("<think>unfinished")["action"] == "failure" and parse("<think>a</think><answer> </answer>")["action"] == "failure"
+    assert parse(search)["query"] == "q" and parse(final)["strict"] and not parse("x" + final)["strict"]
+    assert one(spark, F.array(*R.normalize_thinking(F.col("s"))[:1]), s=" <THINKING>a</thinking > ") == ["<think>a</think>"]
+    assert one(spark, R.clip_observation(F.col("t"), 4, F.array(F.lit(9))), t=[1, 2, 3, 4, 5]) == [1, 2, 3, 9]
+    assert one(spark, R.keep_head_and_tail(F.col("t"), 1, 3), t=[1, 2, 3, 4, 5]) == [1, 4, 5]
