@@ -91,7 +91,7 @@ def compression_stats(spark, sf_dir):
 
 @query("role_counts", "SELECT role, count(*) AS n, min(length(text)) AS least, round(avg(length(text)), 4) AS mean, max(length(text)) AS most FROM conversations GROUP BY role")
 def role_counts(spark, sf_dir):
-    n = F.length("text")
+    n = F.length("text").cast("long")
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.min(n).alias("least"), F.round(F.avg(n), 4).alias("mean"), F.max(n).alias("most"))
 
 

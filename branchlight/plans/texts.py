@@ -107,7 +107,7 @@ def valid_sequence(spark, sf_dir):
     "answer_scores",
     f"""WITH {SEQUENCES}, {_SCORED}, j AS (SELECT *, {NORM.format(x='gold')} AS g, {NORM.format(x="coalesce(prediction, '')")} AS p FROM scored)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, prediction, CASE WHEN n_answers >= 2 THEN prediction END AS solution,
-  CASE WHEN prediction IS NULL THEN 0.0 WHEN g = p THEN 1.0 ELSE 0.1 END AS em_score, CASE WHEN prediction IS NULL THEN 0.0 WHEN contains(p, g) THEN 1.0 ELSE 0.1 END AS subem_score,
+  CAST(CASE WHEN prediction IS NULL THEN 0 WHEN g = p THEN 1 ELSE 0.1 END AS DOUBLE) AS em_score, CAST(CASE WHEN prediction IS NULL THEN 0 WHEN contains(p, g) THEN 1 ELSE 0.1 END AS DOUBLE) AS subem_score,
   CASE WHEN prediction IS NULL THEN 0 ELSE CAST(length(p) > 0 AND g = p AS INT) END AS pure_em FROM j""",
 )
 def answer_scores(spark, sf_dir):
