@@ -1,21 +1,25 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Tokens are words at ASCII blanks, A-Z lower-cased, and an end mark after each text. The vocabulary is
-closed: the words of the training documents and one unknown word. N-grams, smoothed by absolute
-discounting, become states with arcs that carry log10 probabilities; a failure arc carries the
-back-off weight of a history and leads to the next shorter one:
-
-* bigram states, one for each of the `top_words` most frequent words (the end mark, in which a text
-  starts, is one), with an arc to each other of them and one arc for "some other word";
-* the unigram state below, with an arc for each word of the training documents, however many; its
-  failure arc leads to the uniform distribution over the vocabulary.
-
+closed: the words of the training documents and one unknown word. N-grams become states with arcs that
+carry log10 probabilities; a failure arc carries the back-off weight of a history and leads to the next
+shorter one:
+
+* bigram states, one for each word of the training documents, with an arc for each word that follows it
+  there, however many (the end mark is the state in which a text starts);
+* the unigram state below, with an arc for each word of the training documents; its failure arc leads to
+  the uniform distribution over the vocabulary.
+
+Counts among the `top_words` most frequent words are dense, and smoothed by absolute discounting; "some
+other word" is one cell there, and its probability is shared out by the counts of the pairs in it, of
+which the unigram state keeps `LOWER`. States of rarer words have the absolute discount `LESS`.
 One traversal from left to right carries the state and adds up log10 probabilities; those of all words in
-a state add up to one. `top_words` is a documented size of the model that bounds what is broadcast;
-all counts cover all training documents.
+a state add up to one. `top_words` bounds what is broadcast, not which n-grams have arcs.
 
-Word counts may be of any number, so they are never broadcast: documents are dealt into as many slices
-as the input has partitions, each slice asks for the counts of the words in it, and gets these alone.
+Words and pairs may be of any number, so their counts are never broadcast: documents are dealt into as
+many slices as the input has partitions; each slice brings, for every rarer word in it, its own counts of
+the word and of the pairs around it, and gets the sums over all slices back where another has the word.
+A pair belongs to its rarer word (to the first of two), so no word's pairs crowd a task.
 
 Defined results: a null text counts as empty (its end is still a token); a null doc_id is training
 text; repeated rows each count and each get a row; with no training text every word has probability one.
@@ -23,12 +27,14 @@ text; repeated rows each count and each get a row; with no training text every w
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +44,10 @@ TOP_WORDS = 2048
 MODULUS, HELD_OUT = 7, 2
 #: The end mark is written as the word of no bytes.
 END = b""
+#: The unigram state's share in "some other word", and the discount in states of rarer words.
+LOWER, LESS = 0.75, 0.8
+#: Rows of one batch that is handed on.
+ROWS = 1 << 15
 #: Distinct words that a task holds before it hands them on.
 WORDS_HELD = 1 << 20
 
@@ -75,6 +85,8 @@ class Automaton:
         below = np.append(below, max(1 - below.sum(), 1e-300))  # the last: some other word
         pairs = np.zeros((k, k + 1))
         pairs[trained.pairs[:, 0], trained.pairs[:, 1]] = trained.pairs[:, 2]
+        #: Share of all other words in the unigram state, and how often each frequent word precedes one.
+        self.rest, self.outer = below[k], pairs[:, k].copy()
         less = discount(int((pairs == 1).sum()), int((pairs == 2).sum()))
         total = np.maximum(pairs.sum(axis=1), 1)[:, None]
         backoff = np.where(pairs.any(axis=1), less * (pairs > 0).sum(axis=1), 1)[:, None] / total
@@ -88,9 +100,21 @@ class Automaton:
             return np.ones(len(counts))
         return (np.maximum(counts - self.less, 0) + self.less * self.kinds / (self.kinds + 1)) / self.tokens
 
+    def arcs(self, found: np.ndarray, before: np.ndarray, kinds: np.ndarray, places: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """What counts of pairs with a rarer word add to the logs of their second words; before, kinds and
+        places are of the first word: its count, how many words follow it, its place among the frequent words."""
+        out, chance = np.zeros(len(found)), 10.0**logs
+        dense = np.flatnonzero(places >= 0)
+        dense = dense[self.outer[places[dense]] > 0]
+        out[dense] = np.log10((1 - LOWER) * found[dense] / self.outer[places[dense]] * self.rest / chance[dense] + LOWER)
+        rare = np.flatnonzero((places < 0) & (before > 0))
+        out[rare] = np.log10((np.maximum(found[rare] - LESS, 0) / chance[rare] + LESS * kinds[rare]) / before[rare])
+        return out
+
     def score(self, places: np.ndarray, logs: np.ndarray) -> float:
         """Log10 probability of a text, given each token's place among the frequent words (-1: none) and
-        unigram log. A state is the word before, so the states of a traversal are the places one later."""
+        log, of the unigram or with what arcs() adds. A state is the word before, so the states of a
+        traversal are the places one later."""
         states = np.concatenate(([self.end], places[:-1]))
         held = states >= 0
         direct = held & (places >= 0)
@@ -155,6 +179,130 @@ def train(texts: DataFrame, counts: DataFrame, top_words: int = TOP_WORDS) -> Tr
     return Trained(top, pair_counts(texts, [w for w, _ in top]), totals["tokens"] or 0, totals["kinds"], discount(totals["once"], totals["twice"]))
 
 
+class Slice:
+    """Tokens and pairs of a slice's texts, numbered by content alone, so that every pass numbers alike.
+
+    Words are numbered in their order; the end mark is the first. A pair with a rarer word is a code: its
+    owner, then the other word, which is `size` higher if it precedes the owner. Codes are sorted."""
+
+    def __init__(self):
+        self.seen: dict[bytes, int] = {END: 0}
+        self.tokens: list[np.ndarray] = []
+        self.held: list[bool] = []
+
+    def add(self, text: bytes | None, held_out: bool) -> None:
+        number = self.seen
+        self.tokens.append(np.array([number.setdefault(w, len(number)) for w in (*words_of(text), END)], np.int32))
+        self.held.append(held_out)
+
+    def close(self, place: dict[bytes, int]) -> Slice:
+        self.names = sorted(self.seen)
+        size = self.size = len(self.names)
+        rank = np.empty(size, np.int32)
+        rank[np.fromiter((self.seen[w] for w in self.names), np.int64, size)] = np.arange(size, dtype=np.int32)
+        del self.seen
+        self.tokens = [rank[t] for t in self.tokens]
+        self.places = np.fromiter((place.get(w, -1) for w in self.names), np.int64, size)
+        self.flat = np.concatenate(self.tokens) if self.tokens else np.empty(0, np.int32)
+        # Each text ends with the end mark, in which the next starts.
+        self.before = np.concatenate((np.zeros(1, np.int32), self.flat[:-1]))[: len(self.flat)]
+        rare = self.places < 0
+        self.outer = np.flatnonzero(rare[self.before] | rare[self.flat])
+        first, second = self.before[self.outer].astype(np.int64), self.flat[self.outer].astype(np.int64)
+        mine = rare[first]
+        codes = np.where(mine, first * (2 * size) + second, second * (2 * size) + size + first)
+        del first, second, mine
+        self.codes = np.unique(codes)
+        self.at = np.searchsorted(self.codes, codes).astype(np.int32)
+        del codes
+        self.bounds = np.searchsorted(self.codes, np.arange(size + 1, dtype=np.int64) * (2 * size))
+        learned = np.repeat(~np.array(self.held, bool), [len(t) for t in self.tokens])
+        self.words_own = np.bincount(self.flat[learned], minlength=size)
+        self.pairs_own = np.bincount(self.at[learned[self.outer]], minlength=len(self.codes))
+        follow = (self.pairs_own > 0) & (self.codes % (2 * size) < size)
+        self.kinds_own = np.bincount(self.codes[follow] // (2 * size), minlength=size)
+        return self
+
+    def brought(self, where: int) -> Iterator[pa.RecordBatch]:
+        """Each rarer word with the other words of its pairs, and this slice's counts: the word's above its number."""
+        # No word holds a blank: one between others, a tab before those that precede.
+        names = pa.array([*self.names, *(b"\t" + w for w in self.names)], pa.binary())
+        others, rare = self.codes % (2 * self.size), np.flatnonzero(self.places < 0)
+        for some in (rare[i : i + ROWS] for i in range(0, len(rare), ROWS)):
+            sizes = self.bounds[some + 1] - self.bounds[some]
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+            at = np.repeat(self.bounds[some] - ends[:-1], sizes) + np.arange(ends[-1])
+            counts = self.pairs_own[at]
+            # One byte a count where that is enough for all; the length tells.
+            counts = counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names.take(pa.array(others[at]))), pa.scalar(b" ", pa.binary()))
+            offsets = pa.py_buffer((ends * counts.itemsize).astype(np.int32))
+            columns = (
+                names.take(pa.array(some)),
+                pa.array(np.full(len(some), where, np.int32)),
+                pa.array(some + (self.words_own[some] << 32)),
+                joined,
+                pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(counts)]),
+            )
+            yield pa.RecordBatch.from_arrays(list(columns), names=["word", "slice", "n_at", "others", "counts"])
+
+    def summed(self, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of words, of the kinds of words behind each and of pairs over all slices: what came back,
+        and this slice's own where nothing did."""
+        words, kinds, pairs = (x.astype(np.float64) for x in (self.words_own, self.kinds_own, self.pairs_own))
+        at = right.column("at").to_numpy()
+        words[at] = right.column("n").to_numpy()
+        kinds[at] = right.column("kinds").to_numpy()
+        sums = right.column("sums")
+        lengths = pc.binary_length(sums).to_numpy() // 16
+        changed = np.frombuffer(b"".join(x for c in sums.chunks for x in c.to_pylist()), np.int64).reshape(-1, 2)
+        pairs[np.repeat(self.bounds[at], lengths) + changed[:, 0]] = changed[:, 1]
+        return words, kinds, pairs
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over slices of rows sorted by word, for each slice that they differ in: of the word, of
+    the kinds of words behind it, and pairs' places with their sums. Nothing for a word that one slice alone brings."""
+    out: list[tuple] = []
+    held: list[tuple] = []
+
+    def close() -> None:
+        total = sum(r[2] >> 32 for r in held)
+        sums: dict[bytes, int] = {}
+        keys = [r[3].split(b" ") for r in held]
+        counts = [r[4] if len(r[4]) == len(k) else np.frombuffer(r[4], np.uint32).tolist() for k, r in zip(keys, held, strict=True)]
+        for names, own in zip(keys, counts, strict=True):
+            for k, n in zip(names, own, strict=True):
+                sums[k] = sums.get(k, 0) + n
+        follow = sum(n > 0 and k[:1] != b"\t" for k, n in sums.items())
+        for names, own, r in zip(keys, counts, held, strict=True):
+            told = array("q")
+            for i, (k, n) in enumerate(zip(names, own, strict=True)):
+                if sums[k] != n:
+                    told.extend((i, sums[k]))
+            if told or total != r[2] >> 32:
+                out.append((r[1], r[2] & 0xFFFFFFFF, total, follow, told.tobytes()))
+
+    def handed() -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["slice", "at", "n", "kinds", "sums"])
+
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][0] != r[0]:
+                if len(held) > 1:
+                    close()
+                held.clear()
+            held.append(r)
+        if len(out) > ROWS:
+            yield handed()
+    if len(held) > 1:
+        close()
+    yield handed()
+
+
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
@@ -167,37 +315,38 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = word_counts(texts).checkpoint()
     trained = train(texts, counts, top_words)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each word of a slice once."""
-        seen: dict[int, set[bytes]] = {}
+    place = {w: i for i, (w, _) in enumerate(trained.top)}
+
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Slice] = {}
         for b in batches:
-            for where, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                seen.setdefault(where, {END}).update(words_of(t))
-        for where, mine in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary()), pa.array([where] * len(mine), pa.int32())], names=["word", "slice"])
+            for where, held, t in zip(b.column("slice").to_pylist(), b.column("held_out").to_pylist(), as_bytes(b.column("text")), strict=True):
+                found.setdefault(where, Slice()).add(t, held)
+        while found:
+            where, mine = found.popitem()
+            yield from mine.close(place).brought(where)
 
-    # Both users of the texts read this one exchange.
+    # Both users of the texts read this one exchange, so both take all its columns.
     spread = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slices)).cast("int")).repartition(n_slices, "slice")
-    asked = spread.select("slice", "text").mapInArrow(ask, "word binary, slice int")
-    answers = asked.join(counts.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("word", "c", "slice")
+    brought = spread.mapInArrow(bring, "word binary, slice int, n_at long, others binary, counts binary")
+    answers = brought.repartition(n_slices, "word").sortWithinPartitions("word").mapInArrow(merged, "slice int, at int, n long, kinds long, sums binary")
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         machine = _automaton(trained)
-        number: dict[bytes, int] = {}
-        given = right.column("word").to_pylist()
-        for w in given:
-            number[w] = len(number)
-        texts = as_bytes(left.column("text").combine_chunks())
-        tokens = []
-        for t in texts:
-            tokens.append(np.array([number.setdefault(w, len(number)) for w in (*words_of(t), END)], np.int32))
-        names = list(number)
-        c = np.zeros(len(names))
-        c[: len(given)] = right.column("c").to_numpy()
+        mine = Slice()
+        for held, t in zip(left.column("held_out").to_pylist(), as_bytes(left.column("text").combine_chunks()), strict=True):
+            mine.add(t, held)
+        mine.close(machine.place)
+        c, behind, pairs = mine.summed(right)
+        dense = mine.places >= 0
+        c[dense] = np.array([n for _, n in trained.top], np.float64)[mine.places[dense]]
         logs = np.log10(machine.unigram(c))
-        places = np.array([machine.place.get(w, -1) for w in names], np.int64)
+        carried = logs[mine.flat]
+        before = mine.before[mine.outer]
+        carried[mine.outer] += machine.arcs(pairs[mine.at], c[before], behind[before], mine.places[before], carried[mine.outer])
         plus_one = np.log10(c + 1)
-        out = [(len(t), int((c[t] > 0).sum()), float(plus_one[t].sum()), machine.score(places[t], logs[t])) for t in tokens]
+        ends = np.cumsum([len(t) for t in mine.tokens])
+        out = [(len(t), int((c[t] > 0).sum()), float(plus_one[t].sum()), machine.score(mine.places[t], carried[e - len(t) : e])) for t, e in zip(mine.tokens, ends, strict=True)]
         cols = list(zip(*out, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([left.column("doc_id"), left.column("held_out"), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score"])

@@ -308,6 +308,37 @@ def test_lm_probabilities_add_up_and_scores_follow(docs, rows):
     assert machine.score(np.array([machine.place.get(w, -1) for w in tokens]), logs) == pytest.approx(want, rel=1e-5)
 
 
+def test_lm_every_pair_has_an_arc(spark):
+    rng = random.Random(6)
+    data = [(i, " ".join(rng.choice(["of", "in", "aa", f"r{rng.randint(0, 25)}", f"s{rng.randint(0, 400)}"]) for _ in range(rng.randint(1, 40)))) for i in range(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, top_words=3).collect()}
+    texts = spark.createDataFrame([(t,) for i, t in data if bucket(i, 7) != 2], "text string")
+    counts = lm.word_counts(texts)
+    machine = lm.Automaton(lm.train(texts, counts, top_words=3))
+    c = Counter({bytes(r["word"]): r["c"] for r in counts.collect()})
+    path = lambda t: [b"", *t.encode().split(), b""]
+    pairs = Counter(p for i, t in data if bucket(i, 7) != 2 for p in itertools.pairwise(path(t)))
+    uni = {w: float(machine.unigram(np.array([float(c[w])]))[0]) for w in [*c, b"?"]}
+    rest = 1 - sum(uni[w] for w in machine.place)
+
+    def p(h, w):
+        s, x = machine.place.get(h, -1), machine.place.get(w, -1)
+        u = uni.get(w, uni[b"?"])
+        if s >= 0 and x >= 0:
+            return 10.0 ** machine.direct[s, x]
+        if s < 0:
+            behind = sum(a == h for a, _ in pairs)
+            return (max(pairs[h, w] - lm.LESS, 0) + lm.LESS * behind * u) / c[h] if c[h] else u
+        room = sum(n for (a, b), n in pairs.items() if a == h and b not in machine.place)
+        return 10.0 ** machine.other[s] * ((1 - lm.LOWER) * pairs[h, w] / room * rest + lm.LOWER * u)
+
+    for h in [b"", b"of", b"aa", b"r1", b"s7", b"?"]:
+        assert sum(p(h, w) for w in uni) == pytest.approx(1, abs=1e-5)
+    for i, t in data:
+        assert got[i] == pytest.approx(sum(log10(p(h, w)) for h, w in itertools.pairwise(path(t))), rel=1e-5)
+
+
 def test_mixing_reaches_targets():
     rng = np.random.default_rng(0)
     n, kind = rng.integers(50, 500, 3000), rng.choice(3, 3000, p=[0.78, 0.11, 0.11])
