@@ -1,20 +1,21 @@
 """License scan by conditional compression.
 
-A text is cut into blocks: neighbouring lines that are not blank. A block that holds a word of licensing
-is a candidate. It is compressed alone and with each license notice as a raw zstandard dictionary; the
-notice that shrinks it most, by at least `least_gain` of its size, wins. Winners are confirmed by exact
-wording: words of the block and of the notice are aligned (in lower case, years and punctuation
-aside), and the share of the notice's words found in one unbroken or nearly unbroken stretch, with the
-words that differ, decides. A short notice that stands inside a longer block is searched for line by
-line, so that a one-line notice at a text's end is found in any block.
-
-Defined results: a null text has no block; each row is judged by itself; ties in size reduction go to the
+A text is read as words, across lines, in lower case and without punctuation. Wherever a word of licensing
+stands, each notice that holds such a word is laid over the text there: the window is as many words as the
+notice has, so what surrounds it, however long, is no part of any measure. The window is compressed alone
+and with the notice as a raw zstandard dictionary; it must shrink by at least `least_gain` of its size.
+What remains is confirmed by exact wording: words of the notice and of the window, a fifth wider on
+each side, are aligned, and the share of the notice's words found, with the words that differ, decides.
+Of notices that lie over the same words the one with the best wording is named alone.
+
+Defined results: a null text has no window; each row is judged by itself; ties go to the larger size reduction, then to the
 notice that sorts first; a text may hold several licenses, each named once, sorted.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -47,8 +48,8 @@ NOTICES = {
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
 }
-#: A block without any of these cannot hold a notice above.
-TRIGGER = re.compile(r"licen[sc]e|permission is hereby|permission to use|redistribution and use|free software", re.I)
+#: Words of licensing; a text without any of these cannot hold a notice above.
+TRIGGER = re.compile(r"licen[sc]e|permission|redistribution|free(?=[^a-z0-9]+software)", re.I)
 LEAST_GAIN, LEAST_SHARE, LEVEL = 0.25, 0.8, 3
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -57,9 +58,14 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(text: str) -> list[str]:
-    """Runs of lines that are not blank."""
-    return [b for b in re.split(r"\n[ \t\r\f\v]*\n", text) if b.strip()]
+def anchors_of(words: list[str]) -> dict[str, list[int]]:
+    """Places of words of licensing by kind."""
+    found: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        kind = "license" if "license" in w or "licence" in w else w
+        if kind in ("license", "permission", "redistribution") or (kind == "free" and words[i + 1 : i + 2] == ["software"]):
+            found.setdefault(kind, []).append(i)
+    return found
 
 
 class Scanner:
@@ -67,40 +73,56 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.templates = []
         for name, forms in sorted(notices.items()):
-            for form in forms:
-                held = zstandard.ZstdCompressionDict(form.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, words_of(form), zstandard.ZstdCompressor(level=LEVEL, dict_data=held)))
+            for wanted in map(words_of, forms):
+                held = zstandard.ZstdCompressionDict(" ".join(wanted).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                self.templates.append((name, wanted, Counter(wanted), anchors_of(wanted), zstandard.ZstdCompressor(level=LEVEL, dict_data=held)))
 
-    def gains(self, block: str) -> list[tuple[float, int]]:
-        """Size reduction by each template, largest first, as a share of the size without."""
-        data = block.lower().encode("utf-8", "replace")
+    def gain(self, window: list[str], template: int) -> float:
+        """Size reduction by the template as a share of the window's size without."""
+        data = " ".join(window).encode()
         alone = len(self.plain.compress(data))
-        found = [((alone - len(c.compress(data))) / alone, i) for i, (_, _, c) in enumerate(self.templates)]
-        return sorted(found, key=lambda x: (-x[0], x[1]))
+        return (alone - len(self.templates[template][4].compress(data))) / alone
 
-    def confirm(self, block: str, template: int) -> tuple[float, list[str]]:
-        """Share of the notice's words in the block in order, and the words that differ there."""
-        wanted, have = self.templates[template][1], words_of(block)
+    def confirm(self, have: list[str], template: int) -> tuple[float, list[str], int, int]:
+        """Share of the notice's words among these in order, the words that differ there, first and last place."""
+        wanted = self.templates[template][1]
         parts = SequenceMatcher(None, wanted, have, autojunk=False).get_opcodes()
-        kept = sum(b - a for tag, a, b, _, _ in parts if tag == "equal")
+        equal = [p for p in parts if p[0] == "equal"]
         inner = [p for p in parts if p[0] != "equal" and not (p[0] == "insert" and p[1] in (0, len(wanted)))]
-        return kept / max(1, len(wanted)), [w for _, a, b, c, d in inner for w in (*wanted[a:b], *have[c:d])][:50]
+        # At the notice's ends as many words of the window stand against its own, not all that surround it.
+        inner = [(a, b, max(c, d - b + a) if a == 0 else c, min(d, c + b - a) if b == len(wanted) else d) for _, a, b, c, d in inner]
+        differ = [w for a, b, c, d in inner for w in (*wanted[a:b], *have[c:d])][:50]
+        return sum(p[2] - p[1] for p in equal) / max(1, len(wanted)), differ, equal[0][3] if equal else 0, equal[-1][4] if equal else 0
 
     def scan(self, text: str | None) -> list[tuple[str, float, float, int]]:
         """(license, size reduction, share of wording, words that differ) of each license found."""
-        best: dict[str, tuple[float, float, int]] = {}
-        for block in blocks_of(text or "") if TRIGGER.search(text or "") else ():
-            if not TRIGGER.search(block):
-                continue
-            for part in dict.fromkeys([*(line for line in block.split("\n") if TRIGGER.search(line)), block]):
-                # The winner alone is judged, so that a notice's near relatives are not reported beside it.
-                gain, i = self.gains(part)[0]
+        if not TRIGGER.search(text or ""):
+            return []
+        words = words_of(text)
+        anchors = anchors_of(words)
+        found = []
+        for i, (name, wanted, counts, own, _) in enumerate(self.templates):
+            size, wider = len(wanted), max(2, len(wanted) // 5)
+            for start in sorted({p - t for kind, places in own.items() for t in places for p in anchors.get(kind, ())}):
+                first = max(0, start - wider)
+                have = words[first : start + size + wider]
+                # No alignment keeps more words than the two have in common.
+                if sum(min(n, counts[w]) for w, n in Counter(have).items() if w in counts) < LEAST_SHARE * size:
+                    continue
+                gain = self.gain(words[max(0, start) : start + size], i)
                 if gain < LEAST_GAIN:
                     continue
-                share, differ = self.confirm(part, i)
-                if share >= LEAST_SHARE and len(differ) <= max(2, (1 - LEAST_SHARE) * 2 * len(self.templates[i][1])):
-                    found = (round(gain, 6), round(share, 6), len(differ))
-                    best[self.templates[i][0]] = max(best.get(self.templates[i][0], found), found)
+                share, differ, a, b = self.confirm(have, i)
+                if share >= LEAST_SHARE and len(differ) <= max(2, (1 - LEAST_SHARE) * 2 * size):
+                    found.append((-share, -gain, name, len(differ), first + a, first + b))
+        # Near relatives of a notice that lie over the same words are not reported beside it.
+        taken: list[tuple[str, int, int]] = []
+        best: dict[str, tuple[float, float, int]] = {}
+        for share, gain, name, differ, a, b in sorted(found):
+            if not any(n != name and a < d and c < b for n, c, d in taken):
+                taken.append((name, a, b))
+                one = (round(-gain, 6), round(-share, 6), differ)
+                best[name] = max(best.get(name, one), one)
         return sorted((k, *v) for k, v in best.items())
 
 

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from math import log10
@@ -138,6 +139,18 @@ def test_licenses_need_the_wording():
     assert s.scan("Licenses were discussed under Apache trees.") == []
 
 
+@pytest.mark.parametrize("behind", [0, 600, 1500, 6000])
+def test_licenses_are_found_in_long_text(behind):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(n // 6 + 1))[:n]
+    s = licenses.Scanner()
+    for name, forms in licenses.NOTICES.items():
+        for form in forms:
+            assert [x[0] for x in s.scan(prose(behind) + "\n" + textwrap.fill(form, 72) + "\n" + prose(behind))] == [name]
+    both = prose(behind).join(["", licenses.NOTICES["MIT"][1], licenses.NOTICES["GPL-3.0-or-later"][0], ""])
+    assert [x[0] for x in s.scan(both)] == ["GPL-3.0-or-later", "MIT"]
+
+
 def simhash_brute(t):
     words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode().lower()) if w]
     n = min(3, len(words))
