@@ -12,7 +12,8 @@ the root; every byte of the text is parsed.
 
 Texts are lower-cased; every ASCII character but a letter becomes a blank and runs of blanks become one. The
 sample is a stated one: the `sample_docs` training documents of each language with the lowest hash of
-their id, up to `reference_bytes` bytes of each language altogether, an equal share per document.
+their id, up to `reference_bytes` bytes of each language altogether, an equal share for each document
+that the language has in the sample: 512 bytes with 64 documents, 8 KB with 4.
 
 Defined results: a null text, a text without a letter, and any text when nothing can be learned get
 `und` with score 0; ties go to the language that sorts first; a null lang is never learned; each row
@@ -163,13 +164,13 @@ def _parser(references: tuple[tuple[str, bytes], ...]) -> CrossParser:
 def reference_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, reference_bytes: int = REFERENCE_BYTES) -> dict[str, bytes]:
     """Reference text of each language from a bounded, repeatable sample of training documents."""
     learn = docs.filter((training_bucket(doc_id, MODULUS) != HELD_OUT) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = reference_bytes // sample_docs
     # The cut text belongs to the sample of labelled rows, not to any prediction.
-    rows = learn.select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.substring(text, 1, 4 * share).alias("t"))
-    first = Window.partitionBy("l").orderBy("h", "t")
+    rows = learn.select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.substring(text, 1, 4 * reference_bytes).alias("t"))
+    sample = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("n") <= sample_docs)
+    sample = sample.withColumn("share", F.floor(F.lit(reference_bytes) / F.count("*").over(Window.partitionBy("l"))).cast("int"))
     parts: dict[str, list[bytes]] = {}
-    for r in rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_docs).orderBy("l", "n").collect():
-        cut = folded(r["t"])[:share]
+    for r in sample.select("l", "n", "share", F.expr("substring(t, 1, 4 * share)").alias("t")).orderBy("l", "n").collect():
+        cut = folded(r["t"])[: r["share"]]
         if has_letter(cut):
             parts.setdefault(r["l"], []).append(cut)
     return {k: b" ".join(v) for k, v in parts.items()}

@@ -413,6 +413,15 @@ def test_language_id(spark, docs, rows, empty):
     assert {r["language"]["lang"] for r in langid.identify_language(docs, {}).collect()} == {"und"}
 
 
+def test_language_reference_is_shared_by_the_documents_there_are(spark):
+    long = "".join(chr(97 + i * i % 26) + " " * (i % 5 == 0) for i in range(9000))
+    ids = [i for i in range(400) if bucket(i, 4) != 2]
+    data = [(i, long, "few") for i in ids[:4]] + [(i, long, "many") for i in ids[4:104]]
+    got = langid.reference_texts(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    whole = langid.folded(long)
+    assert got == {"few": b" ".join([whole[:8192]] * 4), "many": b" ".join([whole[:512]] * 64)}
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 2, "user", "bye"), (4, 0, "user", "hi"), (4, 1, "assistant", "no")]
     turns += [(5, 0, "user", "hi"), (5, 1, "assistant", "no"), (6, 0, None, None), (7, 0, "user", ""), (8, 0, "user", None), (None, 0, "user", "x"), (9, None, "user", "x"), (3, 1, "assistant", "yo")]
