@@ -2,11 +2,14 @@
 
 Strong kinds stand by themselves: `assign` (a named value), `access` (an access key id), `hex` (a long
 lower-case hexadecimal run). Weak kinds are parts of a credential and say little alone: `ident` (a
-user or client name), `secret` (a mixed run of 20 to 64 characters), `endpoint` (a URL or an IP address).
+user or client name), `secret` (a mixed run of 20 characters or more), `endpoint` (a URL or an IP address).
 Parts within a scope, that is with starts at most `scope` code points apart in one text, are linked
 by an interval join: a weak secret needs an identifier or an endpoint there, a weak identifier or
 endpoint needs a secret, be it strong or weak. A weak part that overlaps a strong span is part of that span.
 
+A weak secret may be of any length, unless `longest` bounds it: op5_secret_scan does so, since its SQL takes
+runs of 20 to 64 characters alone.
+
 Positions are code points. They come from the lengths of what lies between matches: split() and
 regexp_extract_all() see the same leftmost, non-overlapping matches.
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from ._shared import session_ready, table
 
 SCOPE = 200
+#: The longest weak secret of op5_secret_scan, as its SQL has it.
+LONGEST = 64
 #: Kinds in their order with their patterns.
 PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -36,15 +41,16 @@ STRONG, IDENTIFIERS, SECRETS = ("assign", "access", "hex"), ("access", "ident"),
 _PART = "array<struct<kind:int,at:int,gap:int,size:int,ok:boolean>>"
 
 
-def _holds(kind: str, match, value):
+def _holds(kind: str, match, value, longest: int | None):
     if kind == "assign":
         return F.length(value) >= 6
     if kind == "secret":
-        return (F.length(match) <= 64) & match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]")
+        mixed = match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]")
+        return mixed if longest is None else (F.length(match) <= longest) & mixed
     return F.lit(True)
 
 
-def _found(kind: str):
+def _found(kind: str, longest: int | None):
     """Matches of a kind with the lengths of what precedes each and of itself; empty at once where none is."""
     pattern = F.lit(PATTERNS[kind])
     gaps = F.split("__text", PATTERNS[kind], -1)
@@ -52,16 +58,16 @@ def _found(kind: str):
     values = F.regexp_extract_all("__text", pattern, F.lit(2)) if kind == "assign" else matches
     zipped = F.transform(
         F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(matches)).alias("g")),
-        lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("at"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), _holds(kind, x["m"], x["v"]).alias("ok")),
+        lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("at"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), _holds(kind, x["m"], x["v"], longest).alias("ok")),
     )
     return F.when(F.col("__text").rlike(PATTERNS[kind]), zipped).otherwise(F.array().cast(_PART))
 
 
-def scan(docs: DataFrame, keys: list, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, keys: list, text: str = "text", longest: int | None = None) -> DataFrame:
     """keys of each row, a row number `__row` and `__parts`, all matches; checkpointed."""
     session_ready(docs.sparkSession)
     rows = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__parts", F.concat(*[_found(k) for k in KINDS])).drop("__text")
+    rows = rows.withColumn("__parts", F.concat(*[_found(k, longest) for k in KINDS])).drop("__text")
     return rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
 
 
@@ -95,9 +101,9 @@ def _told(parts):
     return F.array_join(F.transform(parts, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, keys: list, text: str = "text", scope: int = SCOPE) -> DataFrame:
+def find_secrets(docs: DataFrame, keys: list, text: str = "text", scope: int = SCOPE, longest: int | None = None) -> DataFrame:
     """keys of every row with `parts`: sorted structs of start, kind (place in KINDS) and end."""
-    scanned = scan(docs, keys, text)
+    scanned = scan(docs, keys, text, longest)
     grouped = spans(scanned, scope).groupBy(F.col("__row").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("parts"))
     joined = scanned.drop("__parts").join(grouped, F.col("__row") == F.col("__r"), "left").drop("__row", "__r")
     return joined.withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
@@ -117,7 +123,7 @@ def redact(text, parts):
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"], longest=LONGEST)
     base = F.filter("parts", lambda x: x["kind"] < len(STRONG))
     count = lambda k: F.size(F.filter("parts", lambda x: x["kind"] == KINDS.index(k))).cast("long")
     return found.select(

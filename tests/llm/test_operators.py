@@ -275,6 +275,13 @@ def test_secret_linking_and_redaction(docs, rows):
     assert one == "see [REDACTED] and token: abc, [REDACTED] [REDACTED] then\nkey [REDACTED] at [REDACTED]"
 
 
+def test_long_secrets_are_linked(spark):
+    key = "Zx9+" * 22
+    df = spark.createDataFrame([(1, f"user: bob key {key} at https://a.example/x"), (2, f"lonely {key} run")], "doc_id long, text string")
+    found = {r["doc_id"]: [(secrets.KINDS[p["kind"]], p["end"] - p["start"]) for p in r["parts"]] for r in secrets.find_secrets(df, ["doc_id"]).collect()}
+    assert found == {1: [("ident", 9), ("secret", 88), ("endpoint", 19)], 2: []}
+
+
 def test_secret_scan_is_native(docs):
     plan = secrets.find_secrets(docs, ["doc_id"])._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
