@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,35 @@ BATCH_BYTES = 4 << 20
 def session_ready(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by bytes and make sure that checkpoint() has a folder.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests, a laptop)
-    a temporary one is made.
+    The folder is the one in spark.checkpoint.dir; only on a local master where that is unset (tests, a laptop)
+    a temporary one is made. A cluster without that setting is an error, as its executors share no local folder.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="branchlight-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="branchlight-ckpt-"))
     return spark
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the checkpoint folder and read from there: a later reader of two columns reads two columns."""
+    spark = session_ready(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """The name, or one with underscores behind it, that no column of the frames has (letter case aside)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
