@@ -5,16 +5,21 @@ three domains: `high` (quality 1, not toxic), `low` (quality 0, not toxic) and `
 the share of words from lists learned per domain, and marks of form (symbols, bars, exclamations,
 capitals, distinct words, stutter).
 
-Rates are fitted by distributed projected-gradient least squares: with m the document's share of all
-tokens and p its posteriors, minimise half the squared distance of the domain totals sum(rate * m * p) from the
-targets plus half `ridge` * sum(m * (rate - 1)^2), rate >= 0. In the metric m the gradient of a document is p * residual + ridge *
-(rate - 1), so all that goes round is the residual, one number per domain: each iteration is one pass that
-replays the residuals so far and sums up domain totals, with Nesterov's momentum. No state per document is kept between passes.
+Rates are fitted by distributed projected-gradient least squares: with m the document's share of all tokens and p its
+posteriors, the distance of the domain totals sum(rate * m * p) from the targets is minimised over rates >= 0. The steps add up from rates of
+one and their sum is projected: rate = max(0, 1 - p * sum of steps), which of all rates that meet the targets leads to those nearest to one.
+The distance is measured in the inverse of the Gram matrix sum(m * p p') of the documents with a rate above zero; in the metric m the gradient
+of a document is then p * direction, with one direction for all. So all that goes round are the residual and the Gram matrix, a few
+numbers: each iteration is one pass over the posteriors, and a document's state is no more than the sum of steps. A step that does not
+bring the totals nearer is taken again with more damping. It ends when each total is within `SETTLED` of its target, or when `TRIALS`
+steps in a row do not help (targets out of reach).
+The posteriors are written once and read again by each pass, without the texts.
 
 Defined results: a null text has no tokens and weighs nothing, but has a rate; repeated rows weigh as often as
-they occur; labels with nulls are ignored, of repeated ones the worst counts; with fewer than two
-domains labelled, posteriors are uniform; an empty table gives none. The sample are the `sample_docs` labelled
-documents with the lowest hash of their id; everything else covers all rows.
+they occur; a very long text weighs by its tokens; labels with nulls are ignored, of repeated ones the worst counts; with fewer than two
+domains labelled, posteriors are uniform; an empty table gives none; columns of documents of any name are kept, but one named as
+the result is replaced. The sample are the `sample_docs` labelled documents with the lowest hash of their id; everything else covers
+all rows. A list holds every word of the sample whose share of a domain's documents exceeds that of the others by `SURE` standard errors.
 """
 
 from __future__ import annotations
@@ -27,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, session_ready, struct_of, table
+from ._shared import as_bytes, session_ready, stored, struct_of, table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = (0.92, 0.06, 0.02)
-SAMPLE_DOCS, LIST_WORDS = 6000, 256
-RIDGE, PASSES, SETTLED = 1e-3, 80, 1e-7
+SAMPLE_DOCS = 6000
+SETTLED, TRIALS = 1e-6, 12
+#: Standard errors by which a listed word's share of a domain's documents exceeds its share of the others.
+SURE = 4.5
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -121,9 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     lists = []
     for i in (1, 2):
         rest = sum(F.col(f"n{j}") for j in range(len(DOMAINS)) if j != i)
-        others = max(1, int(sizes.sum() - sizes[i]))
-        odds = F.log((F.col(f"n{i}") + 0.5) / float(sizes[i] + 1)) - F.log((rest + 0.5) / float(others + 1))
-        best = seen.filter(F.col(f"n{i}") >= max(3, 0.02 * int(sizes[i]))).withColumn("odds", odds).filter("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt(f"n{i}")), "word").limit(LIST_WORDS)
+        others, here = max(1, int(sizes.sum() - sizes[i])), max(1, int(sizes[i]))
+        pooled = (F.col(f"n{i}") + rest) / (here + others)
+        # Of all words of the sample those whose share of the domain's documents is far above that elsewhere.
+        error = F.sqrt(pooled * (1 - pooled) * (1 / here + 1 / others))
+        best = seen.filter(F.col(f"n{i}") / here - rest / others > SURE * error)
         lists.append(frozenset(bytes(r["word"]) for r in best.select("word").collect()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,67 +143,71 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Classifier(lists, Softmax(np.array([r["x"] for r in got]), np.array([r["domain"] for r in got]), len(DOMAINS)))
 
 
-def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text", into: str = "domains", residuals: list[np.ndarray] | None = None) -> DataFrame:
-    """docs with a struct `into` of n_tokens, p (the posteriors in the order of DOMAINS) and the rate that the
-    residuals so far lead to."""
+def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text", into: str = "domains") -> DataFrame:
+    """docs with a struct `into` of n_tokens and p (the posteriors in the order of DOMAINS)."""
 
-    @F.arrow_udf("struct<n_tokens:bigint,p:array<double>,rate:double>")
+    @F.arrow_udf("struct<n_tokens:bigint,p:array<double>>")
     def judged(column: pa.Array) -> pa.Array:
         texts = as_bytes(column)
-        p = classifier.posteriors(texts)
-        return struct_of({"n_tokens": (pa.int64(), [len((t or b"").split()) for t in texts]), "p": (pa.list_(pa.float64()), p.tolist()), "rate": (pa.float64(), replay(p, residuals or [])[0].tolist())})
+        return struct_of({"n_tokens": (pa.int64(), [len((t or b"").split()) for t in texts]), "p": (pa.list_(pa.float64()), classifier.posteriors(texts).tolist())})
 
     return docs.withColumn(into, judged.asNondeterministic()(F.col(text)))
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps with these residuals, and the point ahead at which the next one is taken."""
-    ahead = last = np.ones(len(p))
-    for t, residual in enumerate(residuals):
-        step = np.maximum(0, ahead - (p @ residual + ridge * (ahead - 1)) / (1 + ridge))
-        ahead, last = step + t / (t + 3) * (step - last), step
-    return last, ahead
+def rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return np.maximum(0, 1 - p @ steps)
 
 
-def fit_rates(weights: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: float = RIDGE, passes: int = PASSES) -> list[np.ndarray]:
-    """Residuals of each pass over weights (n_tokens, p); replay() turns them into rates."""
+def fit_rates(weights: DataFrame, targets: tuple[float, ...] = TARGETS) -> np.ndarray:
+    """The sum of steps over weights (n_tokens, p); rates() turns it into rates."""
     aim = np.array(targets, float) / sum(targets)
+    k = len(aim)
     total = weights.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    residuals: list[np.ndarray] = []
-    for _ in range(passes if total else 0):
+    best = np.zeros(k)
+    if not total:
+        return best
 
-        def sums(batches: Iterator[pa.RecordBatch], held=tuple(residuals)) -> Iterator[pa.RecordBatch]:
-            at = np.zeros(len(aim))
+    def state(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residual and Gram matrix of the rates after these steps: one pass."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = np.zeros((k + 1, k))
             for b in batches:
                 if len(b):
                     p = b.column(1).flatten().to_numpy().reshape(len(b), -1)
-                    at += (replay(p, list(held), ridge)[1] * b.column(0).to_numpy() / total) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(aim)), pa.int32()), pa.array(at)], names=["k", "v"])
-
-        got = {r["k"]: r["v"] for r in weights.mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        residual = np.array([got.get(k, 0.0) for k in range(len(aim))]) - aim
-        settled = bool(residuals) and np.abs(residual - residuals[-1]).max() < SETTLED
-        residuals.append(residual)
-        if settled:
-            break
-    return residuals
+                    rate, m = rates(p, steps), b.column(0).to_numpy() / total
+                    at[0] += (rate * m) @ p
+                    at[1:] += (p * (m * (rate > 0))[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array(range(at.size), pa.int32()), pa.array(at.ravel())], names=["k", "v"])
+
+        got = weights.mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        at = np.array([r["v"] for r in sorted(got)]).reshape(k + 1, k)
+        return at[0] - aim, at[1:]
+
+    residual, gram = state(best)
+    damping, failed = 1e-3, 0
+    while np.abs(residual).max() >= SETTLED and failed < TRIALS:
+        step = np.linalg.solve(gram + (damping * np.trace(gram) + 1e-15) * np.eye(k), residual)
+        there, gram_there = state(best + step)
+        if np.linalg.norm(there) < np.linalg.norm(residual):
+            best, residual, gram, failed, damping = best + step, there, gram_there, 0, damping / 8
+        else:
+            failed, damping = failed + 1, damping * 4
+    return best
 
 
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", targets: tuple[float, ...] = TARGETS, into: str = "mix", keep_text: bool = True) -> DataFrame:
-    """docs with a struct `into` of n_tokens, p and rate."""
+    """docs with a struct `into` of n_tokens, p and rate; without the text, if it is not kept."""
     session_ready(docs.sparkSession)
-    classifier = fit(docs, labels, doc_id, text)
-    if keep_text:
-        weights = with_posteriors(docs.select(text), classifier, text, "__d").select("__d.n_tokens", "__d.p").checkpoint()
-        return with_posteriors(docs, classifier, text, into, fit_rates(weights, targets))
-    judged = with_posteriors(docs, classifier, text, "__d").drop(text).checkpoint()
-    residuals = fit_rates(judged.select("__d.n_tokens", "__d.p"), targets)
+    judged = with_posteriors(docs.drop(into), fit(docs, labels, doc_id, text), text, into)
+    judged = stored(judged if keep_text else judged.drop(text))
+    steps = fit_rates(judged.select(f"{into}.n_tokens", f"{into}.p"), targets)
 
     @F.arrow_udf("double")
     def rate(p: pa.Array) -> pa.Array:
-        return pa.array(replay(np.array(p.to_pylist(), float).reshape(len(p), -1), residuals)[0])
+        return pa.array(rates(p.flatten().to_numpy().reshape(len(p), -1), steps))
 
-    return judged.withColumn(into, F.struct(F.col("__d.n_tokens").alias("n_tokens"), F.col("__d.p").alias("p"), rate("__d.p").alias("rate"))).drop("__d")
+    return judged.withColumn(into, F.struct(F.col(into)["n_tokens"].alias("n_tokens"), F.col(into)["p"].alias("p"), rate(F.col(into)["p"]).alias("rate")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
