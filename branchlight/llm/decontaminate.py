@@ -10,26 +10,31 @@ fewer words, but some, is one pattern of its own length. Patterns of one length
 * blocks with shift zero lead to a bucket of patterns with that suffix;
 * bucket members are compared word by word, which confirms the occurrence.
 
+The benchmark is a stated query set. It is read in blocks of at most `block_bytes`, each broadcast by itself, so neither the driver nor a
+worker holds more of it at once than that (its tables take some hundred times the bytes; workers keep those of `HELD` blocks). Documents are
+read once: a task takes some `BUFFER` bytes of texts and searches them for one block after the other.
+
 Defined results: a null text has no words; an empty benchmark hits nothing; items without words
 are ignored; a null item id is searched for but not listed; repeated item rows count once;
-repeated document rows each get a row.
+repeated document rows each get a row; a very long text is searched whole; an empty table gives none; columns of documents of any name are
+kept, but one named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ._shared import as_bytes, session_ready, struct_of, table
 
 WINDOW = 10
-#: Items whose text is broadcast at once; a larger benchmark is searched for in several blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes of items in one broadcast, blocks whose tables a worker keeps, and bytes of texts that it searches for all blocks in turn.
+BLOCK_BYTES, HELD, BUFFER = 1 << 20, 8, 16 << 20
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: A-Z become a-z, every byte that is in no word becomes a blank.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD_BYTES else 0x20 for c in range(256))
@@ -42,19 +47,19 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Searcher:
     """Wu-Manber tables for patterns of one length, in words."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, patterns: dict[tuple[bytes, ...], frozenset]):
         self.size = size = len(next(iter(patterns)))
         self.block = block = min(2, size)
         self.farthest = size - block + 1
         self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, list[tuple[tuple[bytes, ...], set[str]]]] = {}
+        self.buckets: dict[bytes, list[tuple[tuple[bytes, ...], frozenset]]] = {}
         for words, owners in patterns.items():
             for end in range(block, size + 1):
                 key = b" ".join(words[end - block : end])
                 self.shift[key] = min(self.shift.get(key, self.farthest), size - end)
             self.buckets.setdefault(b" ".join(words[size - block :]), []).append((words, owners))
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, frozenset]]:
         """Start of each occurrence and its items."""
         size, shift_of, far, n = self.size, self.shift.get, self.farthest, len(words)
         at = size - 1  # the last word of the window looked at
@@ -76,24 +81,20 @@ class Searcher:
 
 
 def searchers(items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW) -> list[Searcher]:
-    by_size: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    by_size: dict[int, dict[tuple[bytes, ...], frozenset]] = {}
     for item, text in items:
         words = words_of(text)
         size = min(window, len(words))
+        mine = frozenset((item,))  # one object for all windows of an item
         for i in range(len(words) - size + 1 if size else 0):
-            by_size.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
+            held = by_size.setdefault(size, {})
+            key = tuple(words[i : i + size])
+            held[key] = mine | held[key] if key in held else mine
     return [Searcher(p) for _, p in sorted(by_size.items())]
 
 
-def hits(text: bytes | None, tables: list[Searcher]) -> tuple[int, list[int], list[int], set[str]]:
-    """Number of words, starts and ends of the maximal runs of hit words, items that occur."""
-    words = words_of(text)
-    found: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for s in tables:
-        for start, owners in s.find(words):
-            found.append((start, start + s.size))
-            items |= owners
+def merged(found: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs of hit words."""
     starts: list[int] = []
     ends: list[int] = []
     for a, b in sorted(found):
@@ -102,29 +103,10 @@ def hits(text: bytes | None, tables: list[Searcher]) -> tuple[int, list[int], li
         else:
             starts.append(a)
             ends.append(b)
-    return len(words), starts, ends, items - {None}
-
-
-@lru_cache(maxsize=2)
-def _cached(key: str, window: int, holder) -> list[Searcher]:
-    return searchers(holder.items, window)
-
-
-class _Items:
-    """Benchmark items of a block, equal by content so that a worker builds their tables once."""
-
-    def __init__(self, items: list[tuple[str | None, bytes | None]]):
-        self.items = items
-        self.key = hashlib.sha256(repr(items).encode()).hexdigest()
-
-    def __hash__(self) -> int:
-        return hash(self.key)
+    return starts, ends
 
-    def __eq__(self, other) -> bool:
-        return self.key == other.key
 
-
-def _blocks(rows: Iterable, limit: int) -> Iterator[_Items]:
+def _blocks(rows: Iterable, limit: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
     block: list[tuple[str | None, bytes | None]] = []
     size = 0
     for item, text in rows:
@@ -132,57 +114,74 @@ def _blocks(rows: Iterable, limit: int) -> Iterator[_Items]:
         block.append((item, text))
         size += len(text or b"") + 16
         if size > limit:
-            yield _Items(block)
+            yield block
             block, size = [], 0
     if block:
-        yield _Items(block)
+        yield block
 
 
-_HITS = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
+#: Tables that this worker keeps, by content of the block and window.
+_KEPT: dict[tuple[str, int], list[Searcher]] = {}
+
 
+def _tables(key: str, window: int, items) -> list[Searcher]:
+    if (key, window) not in _KEPT:
+        # Blocks come round in one order, so the last one in is the one to give way.
+        while len(_KEPT) >= HELD:
+            _KEPT.popitem()
+        _KEPT[key, window] = searchers(items.value, window)
+    return _KEPT[key, window]
 
-def _search(block: _Items, window: int):
-    @F.arrow_udf(_HITS)
-    def search(text: pa.Array) -> pa.Array:
-        tables = _cached(block.key, window, block)
-        out = [hits(t, tables) for t in as_bytes(text)]
-        return struct_of(
-            {
-                "n_words": (pa.int64(), [x[0] for x in out]),
-                "starts": (pa.list_(pa.int64()), [x[1] for x in out]),
-                "ends": (pa.list_(pa.int64()), [x[2] for x in out]),
-                "items": (pa.list_(pa.string()), [sorted(x[3]) for x in out]),
-            }
-        )
 
-    # Marked so that a filter on the result does not make Spark search each text twice.
-    return search.asNondeterministic()
+_HITS = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, into: str = "leak", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a column `into`: n_words, starts and ends of hit word runs, items (sorted strings).
-
-    The benchmark is a stated query set: it comes to the driver in blocks of at most `block_bytes`
-    and each block is searched for in all documents. Usually that is a single block.
-    """
+    """docs with a column `into`: n_words, starts and ends of hit word runs, items (sorted strings)."""
     session_ready(spark)
     rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("binary")).toLocalIterator()
-    blocks = list(_blocks(rows, block_bytes)) or [_Items([])]
-    found = [_search(b, window)(F.col(text)) for b in blocks]
-    if len(found) == 1:
-        return docs.withColumn(into, found[0])
-    parts = [f"__leak{i}" for i in range(len(found))]
-    docs = docs.withColumns(dict(zip(parts, found, strict=True)))
-    runs = F.array_sort(F.flatten(F.array(*[F.arrays_zip(f"{p}.starts", f"{p}.ends") for p in parts])))
-    merged = F.aggregate(
-        runs,
-        F.array().cast("array<struct<starts:bigint,ends:bigint>>"),
-        lambda done, run: F.when((F.size(done) > 0) & (run["starts"] <= F.element_at(done, -1)["ends"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["starts"].alias("starts"), F.greatest(F.element_at(done, -1)["ends"], run["ends"]).alias("ends"))))).otherwise(F.concat(done, F.array(run))),
-    )
-    docs = docs.withColumn("__runs", merged)
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts]))))
-    leak = F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), F.col("__runs.starts").alias("starts"), F.col("__runs.ends").alias("ends"), items.alias("items"))
-    return docs.withColumn(into, leak).drop("__runs", *parts)
+    blocks = [(hashlib.sha256(repr(items).encode()).hexdigest(), spark.sparkContext.broadcast(items)) for items in _blocks(rows, block_bytes)]
+    rest = docs.drop(into)
+    at = rest.columns.index(text)
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [words_of(t) for b in held for t in as_bytes(b.column(at))]
+        found: list[list[tuple[int, int]]] = [[] for _ in words]
+        items: list[set] = [set() for _ in words]
+        for key, block in blocks:
+            tables = _tables(key, window, block)
+            for w, spans, names in zip(words, found, items, strict=True):
+                for s in tables:
+                    for start, owners in s.find(w):
+                        spans.append((start, start + s.size))
+                        names |= owners
+        first = 0
+        for b in held:
+            part = slice(first, first + len(b))
+            runs = [merged(x) for x in found[part]]
+            leak = struct_of(
+                {
+                    "n_words": (pa.int64(), list(map(len, words[part]))),
+                    "starts": (pa.list_(pa.int64()), [x for x, _ in runs]),
+                    "ends": (pa.list_(pa.int64()), [x for _, x in runs]),
+                    "items": (pa.list_(pa.string()), [sorted(x - {None}) for x in items[part]]),
+                }
+            )
+            yield pa.RecordBatch.from_arrays([*b.columns, leak], names=[*b.schema.names, into])
+            first += len(b)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.column(at).nbytes
+            if size >= BUFFER:
+                yield from searched(held)
+                held, size = [], 0
+        yield from searched(held)
+
+    return rest.mapInArrow(search, StructType([*rest.schema.fields, StructField(into, _parse_datatype_string(_HITS))]))
 
 
 def n_hit(leak: str = "leak"):
