@@ -11,13 +11,13 @@ blocks of text step through it together. A text is cut into blocks of `block` by
 the root; every byte of the text is parsed.
 
 Texts are lower-cased; every ASCII character but a letter becomes a blank and runs of blanks become one. The
-sample is a stated one: the `sample_docs` training documents of each language with the lowest hash of
-their id, up to `reference_bytes` bytes of each language altogether, an equal share for each document
-that the language has in the sample: 512 bytes with 64 documents, 8 KB with 4.
+sample is a stated one: of the training documents of each language whose text has at most `TEXT_BYTES` bytes, taken in the order of a hash of
+their id, whole texts up to `sample_docs` documents, until they fill `reference_bytes` bytes. A language that has only
+longer texts gives its shortest one, up to `reference_bytes` bytes.
 
 Defined results: a null text, a text without a letter, and any text when nothing can be learned get
-`und` with score 0; ties go to the language that sorts first; a null lang is never learned; each row
-is judged by itself. The score is the winner's lead, (second - first) / second in phrases per byte,
+`und` with score 0; a very long text is parsed whole; ties go to the language that sorts first; a null lang is never learned; each row
+is judged by itself; an empty table gives none; columns of documents of any name are kept, but one named as the result is replaced. The score is the winner's lead, (second - first) / second in phrases per byte,
 carried to 0..1; with one language alone it is 1.
 """
 
@@ -35,7 +35,7 @@ from ._shared import session_ready, struct_of, table, training_bucket
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 64
-REFERENCE_BYTES = 32 << 10
+REFERENCE_BYTES, TEXT_BYTES = 32 << 10, 4 << 10
 BLOCK = 1024
 MODULUS, HELD_OUT = 4, 2
 #: Every ASCII byte that is no letter becomes a blank.
@@ -164,15 +164,15 @@ def _parser(references: tuple[tuple[str, bytes], ...]) -> CrossParser:
 def reference_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, reference_bytes: int = REFERENCE_BYTES) -> dict[str, bytes]:
     """Reference text of each language from a bounded, repeatable sample of training documents."""
     learn = docs.filter((training_bucket(doc_id, MODULUS) != HELD_OUT) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # The cut text belongs to the sample of labelled rows, not to any prediction.
-    rows = learn.select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.substring(text, 1, 4 * reference_bytes).alias("t"))
-    sample = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("n") <= sample_docs)
-    sample = sample.withColumn("share", F.floor(F.lit(reference_bytes) / F.count("*").over(Window.partitionBy("l"))).cast("int"))
+    size = F.octet_length(F.col(text).cast("string"))
+    fits = size <= TEXT_BYTES
+    rows = learn.select(F.col(lang).cast("string").alias("l"), fits.alias("fits"), F.when(fits, 0).otherwise(size).alias("size"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.when(fits, F.col(text)).otherwise(F.substring(text, 1, reference_bytes)).alias("t"))
+    sample = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("size", "h", "t"))).filter(F.col("n") <= sample_docs)
     parts: dict[str, list[bytes]] = {}
-    for r in sample.select("l", "n", "share", F.expr("substring(t, 1, 4 * share)").alias("t")).orderBy("l", "n").collect():
-        cut = folded(r["t"])[: r["share"]]
-        if has_letter(cut):
-            parts.setdefault(r["l"], []).append(cut)
+    for r in sample.select("l", "n", "fits", "t").orderBy("l", "n").collect():
+        got = folded(r["t"])[:reference_bytes]
+        if has_letter(got) and (r["l"] not in parts or r["fits"] and sum(map(len, parts[r["l"]])) < reference_bytes):
+            parts.setdefault(r["l"], []).append(got)
     return {k: b" ".join(v) for k, v in parts.items()}
 
 
