@@ -8,7 +8,8 @@ What remains is confirmed by exact wording: words of the notice and of the windo
 each side, are aligned, and the share of the notice's words found, with the words that differ, decides.
 Of notices that lie over the same words the one with the best wording is named alone.
 
-Defined results: a null text has no window; each row is judged by itself; ties go to the larger size reduction, then to the
+Defined results: a null text has no window; a very long text is scanned whole; an empty table gives none; columns of documents of any name
+are kept, but one named as the result is replaced; each row is judged by itself; ties go to the larger size reduction, then to the
 notice that sorts first; a text may hold several licenses, each named once, sorted.
 """
 
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import session_ready, struct_of, table
+from ._shared import free, session_ready, struct_of, table
 
 #: Public license notices by SPDX name.
 NOTICES = {
@@ -91,7 +92,7 @@ class Scanner:
         inner = [p for p in parts if p[0] != "equal" and not (p[0] == "insert" and p[1] in (0, len(wanted)))]
         # At the notice's ends as many words of the window stand against its own, not all that surround it.
         inner = [(a, b, max(c, d - b + a) if a == 0 else c, min(d, c + b - a) if b == len(wanted) else d) for _, a, b, c, d in inner]
-        differ = [w for a, b, c, d in inner for w in (*wanted[a:b], *have[c:d])][:50]
+        differ = [w for a, b, c, d in inner for w in (*wanted[a:b], *have[c:d])]
         return sum(p[2] - p[1] for p in equal) / max(1, len(wanted)), differ, equal[0][3] if equal else 0, equal[-1][4] if equal else 0
 
     def scan(self, text: str | None) -> list[tuple[str, float, float, int]]:
@@ -141,8 +142,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", into: str = "licenses") -
         kinds = {"name": pa.string(), "gain": pa.float64(), "share": pa.float64(), "n_differ": pa.int64()}
         return struct_of({k: (pa.list_(t), [list(x[i]) for x in out]) for i, (k, t) in enumerate(kinds.items())})
 
-    found = docs.withColumn("__found", scanned(F.col(text)))
-    return found.withColumn(into, F.arrays_zip(*[F.col(f"__found.{k}").alias(k) for k in ("name", "gain", "share", "n_differ")])).drop("__found")
+    held = free("found", docs)
+    found = docs.drop(into).withColumn(held, scanned(F.col(text)))
+    return found.withColumn(into, F.arrays_zip(*[F.col(held)[k].alias(k) for k in ("name", "gain", "share", "n_differ")])).drop(held)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
