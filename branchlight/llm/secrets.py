@@ -13,7 +13,8 @@ runs of 20 to 64 characters alone.
 Positions are code points. They come from the lengths of what lies between matches: split() and
 regexp_extract_all() see the same leftmost, non-overlapping matches.
 
-Defined results: a null text counts as empty; repeated rows each get their row; a null doc_id is kept.
+Defined results: a null text counts as empty; repeated rows each get their row; a null doc_id is kept; a very long text is
+scanned whole; an empty table gives none.
 The scan's small result is checkpointed, so texts are read once and row numbers stay as they are.
 """
 
@@ -64,9 +65,9 @@ def _found(kind: str, longest: int | None):
 
 
 def scan(docs: DataFrame, keys: list, text: str = "text", longest: int | None = None) -> DataFrame:
-    """keys of each row, a row number `__row` and `__parts`, all matches; checkpointed."""
+    """keys of each row as one struct `__keys`, a row number `__row` and `__parts`, all matches; checkpointed."""
     session_ready(docs.sparkSession)
-    rows = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    rows = docs.select(F.struct(*keys).alias("__keys"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     rows = rows.withColumn("__parts", F.concat(*[_found(k, longest) for k in KINDS])).drop("__text")
     return rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
 
@@ -102,11 +103,13 @@ def _told(parts):
 
 
 def find_secrets(docs: DataFrame, keys: list, text: str = "text", scope: int = SCOPE, longest: int | None = None) -> DataFrame:
-    """keys of every row with `parts`: sorted structs of start, kind (place in KINDS) and end."""
+    """keys of every row with `parts`: sorted structs of start, kind (place in KINDS) and end. Keys may have any name but `parts`."""
     scanned = scan(docs, keys, text, longest)
     grouped = spans(scanned, scope).groupBy(F.col("__row").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("parts"))
-    joined = scanned.drop("__parts").join(grouped, F.col("__row") == F.col("__r"), "left").drop("__row", "__r")
-    return joined.withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
+    if "parts" in [c.lower() for c in scanned.schema["__keys"].dataType.names]:
+        raise ValueError("a key is named parts")
+    joined = scanned.select("__keys", "__row").join(grouped, F.col("__row") == F.col("__r"), "left")
+    return joined.select("__keys.*", F.coalesce("parts", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("parts"))
 
 
 def redact(text, parts):
