@@ -1,359 +1,375 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Tokens are words at ASCII blanks, A-Z lower-cased, and an end mark after each text. The vocabulary is
-closed: the words of the training documents and one unknown word. N-grams become states with arcs that
-carry log10 probabilities; a failure arc carries the back-off weight of a history and leads to the next
-shorter one:
-
-* bigram states, one for each word of the training documents, with an arc for each word that follows it
-  there, however many (the end mark is the state in which a text starts);
-* the unigram state below, with an arc for each word of the training documents; its failure arc leads to
-  the uniform distribution over the vocabulary.
-
-Counts among the `top_words` most frequent words are dense, and smoothed by absolute discounting; "some
-other word" is one cell there, and its probability is shared out by the counts of the pairs in it, of
-which the unigram state keeps `LOWER`. States of rarer words have the absolute discount `LESS`.
-One traversal from left to right carries the state and adds up log10 probabilities; those of all words in
-a state add up to one. `top_words` bounds what is broadcast, not which n-grams have arcs.
-
-Words and pairs may be of any number, so their counts are never broadcast: documents are dealt into as
-many slices as the input has partitions; each slice brings, for every rarer word in it, its own counts of
-the word and of the pairs around it, and gets the sums over all slices back where another has the word.
-A pair belongs to its rarer word (to the first of two), so no word's pairs crowd a task.
-
-Defined results: a null text counts as empty (its end is still a token); a null doc_id is training
-text; repeated rows each count and each get a row; with no training text every word has probability one.
+closed: the words of the training documents and one unknown word. Every n-gram of the training documents
+up to three tokens is a state or an arc, none is left out for being rare or for want of room:
+
+* the last two tokens are the state, if they stood together in training; it has an arc for every token that followed them there;
+* the last token is the state below, the end mark being the one in which a text starts; it has an arc for every token that followed it;
+* the root has an arc for every word, the unknown one included.
+
+A failure arc leads from a state to the one below. With c the count of a state and m the mean number of different tokens behind
+states of its order whose counts have as many binary digits (a statistic of all training documents), its weight is m / (c + m), and the arc of a token seen n times there
+weighs (n + m * p) / (c + m), p being the token's probability below. So a state's probabilities add up to one. The root's arcs are
+(n + V / (V + 1)) / (N + V) of N tokens of V kinds. One traversal from left to right carries the state, follows failure arcs until the token has
+an arc, and adds up log10 weights; it runs over all places of a slice at once, as the states follow from the text.
+
+Counts may be of any number, so they are never broadcast. Documents are dealt into slices of about `slice_bytes` bytes. Each slice brings
+its words and pairs, as sorted hashes with its own counts, to the owners of ranges of hashes; an owner adds up and tells each
+slice the sums of what another slice has, too. Then triples go the same way, but only those whose two pairs are in another slice, too: all
+others are counted where they are. Hashes of words have 64 bits, those of pairs and triples 20 bits more than it takes to number
+all tokens, so that less than one n-gram in a million shares a hash. Statistics are summed up to one row for each round and joined to the last.
+
+Defined results: doc_id is a long (anything that cannot be cast to it is an error); a null text counts as empty (its end is still a token); a
+null doc_id is training text; repeated rows each count and each get a row, and are dealt by the partition they come from, too; a very
+long text is in one slice; with no training text every word has probability one; an empty table gives none; other columns are left out.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+import struct
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, session_ready, slices, table, training_bucket
+from ._shared import session_ready, table, training_bucket
 
-TOP_WORDS = 2048
 MODULUS, HELD_OUT = 7, 2
 #: The end mark is written as the word of no bytes.
 END = b""
-#: The unigram state's share in "some other word", and the discount in states of rarer words.
-LOWER, LESS = 0.75, 0.8
-#: Rows of one batch that is handed on.
-ROWS = 1 << 15
-#: Distinct words that a task holds before it hands them on.
-WORDS_HELD = 1 << 20
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
-
-
-def discount(once: float, twice: float) -> float:
-    """Absolute discount from the numbers of n-grams seen once and twice."""
-    return once / (once + 2 * twice) if once and twice else 0.5
-
-
-class Trained:
-    """What is broadcast: the frequent words, their bigram counts, totals, and the unigram discount."""
-
-    def __init__(self, top: list[tuple[bytes, int]], pairs: np.ndarray, tokens: int, kinds: int, less: float):
-        self.top, self.pairs, self.tokens, self.kinds, self.less = top, pairs, tokens, kinds, less
-        self.key = hash((pairs.tobytes(), tuple(top), tokens, kinds, less))
-
-    def __hash__(self) -> int:
-        return self.key
-
-    def __eq__(self, other) -> bool:
-        return self.key == other.key
-
-
-class Automaton:
-    def __init__(self, trained: Trained):
-        self.tokens, self.kinds, self.less = trained.tokens, trained.kinds, trained.less
-        self.place = {w: i for i, (w, _) in enumerate(trained.top)}
-        self.end = self.place.get(END, -1)
-        k = len(trained.top)
-        below = self.unigram(np.array([c for _, c in trained.top], np.float64))
-        below = np.append(below, max(1 - below.sum(), 1e-300))  # the last: some other word
-        pairs = np.zeros((k, k + 1))
-        pairs[trained.pairs[:, 0], trained.pairs[:, 1]] = trained.pairs[:, 2]
-        #: Share of all other words in the unigram state, and how often each frequent word precedes one.
-        self.rest, self.outer = below[k], pairs[:, k].copy()
-        less = discount(int((pairs == 1).sum()), int((pairs == 2).sum()))
-        total = np.maximum(pairs.sum(axis=1), 1)[:, None]
-        backoff = np.where(pairs.any(axis=1), less * (pairs > 0).sum(axis=1), 1)[:, None] / total
-        logs = np.log10(np.maximum(pairs - less, 0) / total + backoff * below)
-        #: Arcs to frequent words, and what a bigram state adds to the unigram arc of any other word.
-        self.direct, self.other = logs[:, :k].astype(np.float32), logs[:, k] - np.log10(below[k])
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """Probability of words with these training counts."""
-        if not self.tokens:
-            return np.ones(len(counts))
-        return (np.maximum(counts - self.less, 0) + self.less * self.kinds / (self.kinds + 1)) / self.tokens
-
-    def arcs(self, found: np.ndarray, before: np.ndarray, kinds: np.ndarray, places: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """What counts of pairs with a rarer word add to the logs of their second words; before, kinds and
-        places are of the first word: its count, how many words follow it, its place among the frequent words."""
-        out, chance = np.zeros(len(found)), 10.0**logs
-        dense = np.flatnonzero(places >= 0)
-        dense = dense[self.outer[places[dense]] > 0]
-        out[dense] = np.log10((1 - LOWER) * found[dense] / self.outer[places[dense]] * self.rest / chance[dense] + LOWER)
-        rare = np.flatnonzero((places < 0) & (before > 0))
-        out[rare] = np.log10((np.maximum(found[rare] - LESS, 0) / chance[rare] + LESS * kinds[rare]) / before[rare])
-        return out
+#: Bytes of text of one slice, and bits of an n-gram's hash beyond those that number all tokens.
+SLICE_BYTES, SPARE_BITS = 16 << 20, 20
+#: Classes of counts: by number of binary digits.
+CLASSES = 48
+#: Odd multipliers, derived from the golden ratio's fraction.
+_MIX = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in (1, 3, 5)]
+_HEAD = struct.Struct("<IBQ")
 
-    def score(self, places: np.ndarray, logs: np.ndarray) -> float:
-        """Log10 probability of a text, given each token's place among the frequent words (-1: none) and
-        log, of the unigram or with what arcs() adds. A state is the word before, so the states of a
-        traversal are the places one later."""
-        states = np.concatenate(([self.end], places[:-1]))
-        held = states >= 0
-        direct = held & (places >= 0)
-        other = held & ~direct
-        return float(self.direct[states[direct], places[direct]].sum(dtype=np.float64) + logs[~direct].sum() + self.other[states[other]].sum())
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of one n-gram followed by a word, from the hashes of both."""
+    h = a * _MIX[0] + b
+    h ^= h >> np.uint64(29)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(32)
+    h *= _MIX[2]
+    return h ^ (h >> np.uint64(29))
 
-@lru_cache(maxsize=1)
-def _automaton(trained: Trained) -> Automaton:
-    return Automaton(trained)
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte each, larger ones behind."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts, the end mark included; counted in each task before anything is shuffled."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in as_bytes(b.column(0)):
-                seen.update(words_of(t))
-                seen[END] += 1
-            if len(seen) > WORDS_HELD:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    large = counts == 255
+    counts[large] = np.frombuffer(data, "<i8", int(large.sum()), n)
+    return counts
 
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
+def packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted codes by their differences, and counts."""
+    if not len(codes):
+        return b""
+    steps = np.diff(codes, prepend=codes[:1])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return _HEAD.pack(len(codes), width, int(codes[0])) + planes.tobytes() + packed_counts(counts)
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not data:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    n, width, first = _HEAD.unpack_from(data)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, n * width, _HEAD.size).reshape(width, n).T
+    codes = np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(first)
+    return codes, unpacked_counts(data[_HEAD.size + n * width :], n)
 
-def pair_counts(texts: DataFrame, top: list[bytes]) -> np.ndarray:
-    """Rows of state, next word and count among the frequent words; the number of words stands for any other."""
-    place = {w: i for i, w in enumerate(top)}
-    k = len(top)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((k + 1) * (k + 1), np.int64)
-        for b in batches:
-            for t in as_bytes(b.column(0)):
-                at = np.array([place.get(w, k) for w in (END, *words_of(t), END)], np.int64)
-                np.add.at(seen, at[:-1] * (k + 1) + at[1:], 1)
-        cells = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], names=["cell", "n"])
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Number of binary digits of each count."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
+def by_class(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(classes(counts), minlength=CLASSES)
+
 
-    rows = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells, n = rows.column("cell").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)
-    found = np.stack([cells // (k + 1), cells % (k + 1), n], axis=1)
-    found = found[found[:, 0] < k]
-    return found[np.lexsort((found[:, 1], found[:, 0]))]
+def ranges(codes: np.ndarray, owners: int, bits: int) -> np.ndarray:
+    """Where each owner's share of sorted codes begins, and the end."""
+    bounds = np.array([(k << bits) // owners for k in range(1, owners)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(codes, bounds), [len(codes)]))
 
 
-def train(texts: DataFrame, counts: DataFrame, top_words: int = TOP_WORDS) -> Trained:
-    """The model of the texts (one column) whose words counts holds."""
-    seen = lambda n: F.count_if(F.col("c") == n)
-    totals = counts.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), seen(1).alias("once"), seen(2).alias("twice")).first()
-    # The end mark is always among the frequent words: it is the state in which a text starts.
-    first = counts.orderBy((F.length("word") > 0).cast("int"), F.desc("c"), "word").limit(top_words).collect()
-    top = [(bytes(r["word"]), r["c"]) for r in first]
-    return Trained(top, pair_counts(texts, [w for w, _ in top]), totals["tokens"] or 0, totals["kinds"], discount(totals["once"], totals["twice"]))
+def untold(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n codes: whether another slice has it, whether this slice counts it as a kind, and the sums of those that another has."""
+    size = -(-n // 8)
+    flags = [np.unpackbits(np.frombuffer(data, np.uint8, size, k * size), count=n).astype(bool) for k in (0, 1)]
+    return *flags, unpacked_counts(data[2 * size :], int(flags[0].sum()))
+
+
+class Grams:
+    """The distinct codes of places of a slice, sorted, with the place each is at and the slice's own training counts."""
+
+    def __init__(self, codes: np.ndarray, learned: np.ndarray):
+        self.codes, self.first, self.at = np.unique(codes, return_index=True, return_inverse=True)
+        self.own = np.bincount(self.at[learned], minlength=len(self.codes))
+        self.sums = self.own.copy()
+        #: Codes that another slice has, too, and those that this slice counts among the kinds.
+        self.shared = np.zeros(len(self.codes), bool)
+        self.speaks = self.own > 0
+
+    def told(self, answers: dict[int, bytes], owners: int, bits: int, wanted: np.ndarray | None = None) -> None:
+        """Take the sums that owners told."""
+        places = np.arange(len(self.codes)) if wanted is None else np.flatnonzero(wanted)
+        cuts = ranges(self.codes[places], owners, bits)
+        for owner, data in answers.items():
+            mine = places[cuts[owner] : cuts[owner + 1]]
+            if len(mine):
+                self.shared[mine], self.speaks[mine], sums = untold(data, len(mine))
+                self.sums[mine[self.shared[mine]]] = sums
 
 
 class Slice:
-    """Tokens and pairs of a slice's texts, numbered by content alone, so that every pass numbers alike.
-
-    Words are numbered in their order; the end mark is the first. A pair with a rarer word is a code: its
-    owner, then the other word, which is `size` higher if it precedes the owner. Codes are sorted."""
-
-    def __init__(self):
-        self.seen: dict[bytes, int] = {END: 0}
-        self.tokens: list[np.ndarray] = []
-        self.held: list[bool] = []
-
-    def add(self, text: bytes | None, held_out: bool) -> None:
-        number = self.seen
-        self.tokens.append(np.array([number.setdefault(w, len(number)) for w in (*words_of(text), END)], np.int32))
-        self.held.append(held_out)
-
-    def close(self, place: dict[bytes, int]) -> Slice:
-        self.names = sorted(self.seen)
-        size = self.size = len(self.names)
-        rank = np.empty(size, np.int32)
-        rank[np.fromiter((self.seen[w] for w in self.names), np.int64, size)] = np.arange(size, dtype=np.int32)
-        del self.seen
-        self.tokens = [rank[t] for t in self.tokens]
-        self.places = np.fromiter((place.get(w, -1) for w in self.names), np.int64, size)
-        self.flat = np.concatenate(self.tokens) if self.tokens else np.empty(0, np.int32)
+    """Tokens, words, pairs and triples of a slice's texts, numbered by content alone, so that every pass numbers alike."""
+
+    def __init__(self, texts: pa.Array, held: np.ndarray, bits: int):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = lists.flatten()
+        full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        before = np.concatenate(([0], np.cumsum(full)))[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))]
+        sizes = np.diff(before)
+        named = words.filter(pa.array(full)).dictionary_encode()
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in (END, *named.dictionary.cast(pa.binary()).to_pylist())], np.uint64)
+        self.words = np.unique(hashes)
+        number = np.searchsorted(self.words, hashes)
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        self.flat = np.full(len(named) + len(sizes), number[0], np.int32)
+        inner = np.ones(len(self.flat), bool)
+        inner[self.ends] = False
+        self.flat[inner] = number[1:][named.indices.to_numpy()]
         # Each text ends with the end mark, in which the next starts.
-        self.before = np.concatenate((np.zeros(1, np.int32), self.flat[:-1]))[: len(self.flat)]
-        rare = self.places < 0
-        self.outer = np.flatnonzero(rare[self.before] | rare[self.flat])
-        first, second = self.before[self.outer].astype(np.int64), self.flat[self.outer].astype(np.int64)
-        mine = rare[first]
-        codes = np.where(mine, first * (2 * size) + second, second * (2 * size) + size + first)
-        del first, second, mine
-        self.codes = np.unique(codes)
-        self.at = np.searchsorted(self.codes, codes).astype(np.int32)
-        del codes
-        self.bounds = np.searchsorted(self.codes, np.arange(size + 1, dtype=np.int64) * (2 * size))
-        learned = np.repeat(~np.array(self.held, bool), [len(t) for t in self.tokens])
-        self.words_own = np.bincount(self.flat[learned], minlength=size)
-        self.pairs_own = np.bincount(self.at[learned[self.outer]], minlength=len(self.codes))
-        follow = (self.pairs_own > 0) & (self.codes % (2 * size) < size)
-        self.kinds_own = np.bincount(self.codes[follow] // (2 * size), minlength=size)
+        self.before = np.concatenate((number[:1].astype(np.int32), self.flat[:-1]))[: len(self.flat)]
+        self.learned = np.repeat(~held, sizes + 1)
+        self.words_own = np.bincount(self.flat[self.learned], minlength=len(self.words))
+        self.counts = self.words_own.copy()
+        self.cut = np.uint64(64 - bits)
+        self.whole = joined(self.words[self.before], self.words[self.flat])
+        self.pairs = Grams(self.whole >> self.cut, self.learned)
+
+    def told(self, words: dict[int, bytes], pairs: dict[int, bytes], owners: int, bits: int) -> None:
+        cuts = ranges(self.words, owners, 64)
+        for owner, data in words.items():
+            mine = np.arange(cuts[owner], cuts[owner + 1])
+            shared, _, sums = untold(data, len(mine))
+            self.counts[mine[shared]] = sums
+        self.pairs.told(pairs, owners, bits)
+
+    def close(self) -> Slice:
+        """Number the triples: those of all places but the first of each text."""
+        inside = np.ones(len(self.flat), bool)
+        inside[self.starts] = False
+        self.third = np.flatnonzero(inside)
+        self.triples = Grams(joined(self.whole[self.third - 1], self.words[self.flat[self.third]]) >> self.cut, self.learned[self.third])
+        # Another slice can only have a triple, in training text or not, if it has both its pairs.
+        place = self.third[self.triples.first]
+        self.wanted = self.pairs.shared[self.pairs.at[place]] & self.pairs.shared[self.pairs.at[place - 1]]
         return self
 
-    def brought(self, where: int) -> Iterator[pa.RecordBatch]:
-        """Each rarer word with the other words of its pairs, and this slice's counts: the word's above its number."""
-        # No word holds a blank: one between others, a tab before those that precede.
-        names = pa.array([*self.names, *(b"\t" + w for w in self.names)], pa.binary())
-        others, rare = self.codes % (2 * self.size), np.flatnonzero(self.places < 0)
-        for some in (rare[i : i + ROWS] for i in range(0, len(rare), ROWS)):
-            sizes = self.bounds[some + 1] - self.bounds[some]
-            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-            at = np.repeat(self.bounds[some] - ends[:-1], sizes) + np.arange(ends[-1])
-            counts = self.pairs_own[at]
-            # One byte a count where that is enough for all; the length tells.
-            counts = counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names.take(pa.array(others[at]))), pa.scalar(b" ", pa.binary()))
-            offsets = pa.py_buffer((ends * counts.itemsize).astype(np.int32))
-            columns = (
-                names.take(pa.array(some)),
-                pa.array(np.full(len(some), where, np.int32)),
-                pa.array(some + (self.words_own[some] << 32)),
-                joined,
-                pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(counts)]),
-            )
-            yield pa.RecordBatch.from_arrays(list(columns), names=["word", "slice", "n_at", "others", "counts"])
-
-    def summed(self, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of words, of the kinds of words behind each and of pairs over all slices: what came back,
-        and this slice's own where nothing did."""
-        words, kinds, pairs = (x.astype(np.float64) for x in (self.words_own, self.kinds_own, self.pairs_own))
-        at = right.column("at").to_numpy()
-        words[at] = right.column("n").to_numpy()
-        kinds[at] = right.column("kinds").to_numpy()
-        sums = right.column("sums")
-        lengths = pc.binary_length(sums).to_numpy() // 16
-        changed = np.frombuffer(b"".join(x for c in sums.chunks for x in c.to_pylist()), np.int64).reshape(-1, 2)
-        pairs[np.repeat(self.bounds[at], lengths) + changed[:, 0]] = changed[:, 1]
-        return words, kinds, pairs
-
-
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over slices of rows sorted by word, for each slice that they differ in: of the word, of
-    the kinds of words behind it, and pairs' places with their sums. Nothing for a word that one slice alone brings."""
-    out: list[tuple] = []
-    held: list[tuple] = []
-
-    def close() -> None:
-        total = sum(r[2] >> 32 for r in held)
-        sums: dict[bytes, int] = {}
-        keys = [r[3].split(b" ") for r in held]
-        counts = [r[4] if len(r[4]) == len(k) else np.frombuffer(r[4], np.uint32).tolist() for k, r in zip(keys, held, strict=True)]
-        for names, own in zip(keys, counts, strict=True):
-            for k, n in zip(names, own, strict=True):
-                sums[k] = sums.get(k, 0) + n
-        follow = sum(n > 0 and k[:1] != b"\t" for k, n in sums.items())
-        for names, own, r in zip(keys, counts, held, strict=True):
-            told = array("q")
-            for i, (k, n) in enumerate(zip(names, own, strict=True)):
-                if sums[k] != n:
-                    told.extend((i, sums[k]))
-            if told or total != r[2] >> 32:
-                out.append((r[1], r[2] & 0xFFFFFFFF, total, follow, told.tobytes()))
-
-    def handed() -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["slice", "at", "n", "kinds", "sums"])
-
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held and held[0][0] != r[0]:
-                if len(held) > 1:
-                    close()
-                held.clear()
-            held.append(r)
-        if len(out) > ROWS:
-            yield handed()
-    if len(held) > 1:
-        close()
-    yield handed()
-
-
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
-
-
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", top_words: int = TOP_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    session_ready(docs.sparkSession)
-    n_slices = slices(docs)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (training_bucket(doc_id, MODULUS) == HELD_OUT).alias("held_out"), F.col(text).cast("string").alias("text"))
-    texts = rows.filter("not held_out").select("text")
-    counts = word_counts(texts).checkpoint()
-    trained = train(texts, counts, top_words)
+    def statistics(self) -> np.ndarray:
+        """Kinds behind one-word states, two-word states, and kinds behind these as far as they are counted here, by class of the state's count."""
+        pairs, triples = self.pairs, self.triples
+        second = self.flat[pairs.first]
+        speaks, local = pairs.speaks, ~self.wanted & (triples.own > 0)
+        behind = by_class(self.counts[self.before[pairs.first[speaks]]])
+        states = by_class(pairs.sums[speaks & (second != self.flat[self.ends[0]])])
+        return np.concatenate((behind, states, by_class(self.histories()[local])))
+
+    def histories(self) -> np.ndarray:
+        """Counts of the first two tokens of each triple."""
+        return self.pairs.sums[self.pairs.at[self.third[self.triples.first] - 1]]
+
+    def weights(self, tokens: int, kinds: int, ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+        """Log10 weight of what the traversal follows at each place: failure arcs, then the token's arc. ones and twos:
+        mean number of kinds behind states of one and two words, by class."""
+        if not tokens:
+            return np.zeros(len(self.flat))
+        root = np.log10((self.counts + kinds / (kinds + 1)) / (tokens + kinds))[self.flat]
+        seen = self.pairs.sums[self.pairs.at]
+        out = step(seen, self.counts[self.before], ones, root)
+        at = self.third
+        out[at] = step(self.triples.sums[self.triples.at], seen[at - 1], twos, out[at])
+        return out
 
-    place = {w: i for i, (w, _) in enumerate(trained.top)}
 
-    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, Slice] = {}
+def step(seen: np.ndarray, state: np.ndarray, means: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The token's arc where the state has one, else the failure arc and what follows below."""
+    mean = means[classes(state)]
+    failure = np.log10(mean / (state + mean)) + below
+    return np.where(seen > 0, np.log10((seen + mean * 10.0**below) / (state + mean)), failure)
+
+
+def means(kinds: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Mean number of kinds by class; one where there is no state, so that its failure arc weighs nothing."""
+    return np.where(states > 0, np.maximum(kinds, 1e-9) / np.maximum(states, 1), 1.0)
+
+
+_ASK = "owner int, slice int, words binary, grams binary, marks binary, statistics binary, passed binary"
+_TELL = "slice int, owner int, words binary, grams binary, statistics binary, passed binary"
+#: The slice that statistics are told to.
+ALL = -1
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), types, strict=True)], names=list(names))
+
+
+def _added(asked: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """What slices brought to one owner: where each distinct code comes first, its sum over slices, and what each slice is told."""
+    parts = [unpacked(x) for x in asked]
+    _, first, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_index=True, return_inverse=True)
+    own = np.concatenate([n for _, n in parts])
+    sums = np.zeros(len(first), np.int64)
+    np.add.at(sums, inverse, own)
+    shared = np.bincount(inverse, minlength=len(sums)) > 1
+    # The first slice to have a code in training text speaks for it.
+    speaker = np.full(len(first), -1)
+    trained = np.flatnonzero(own > 0)[::-1]
+    speaker[inverse[trained]] = trained
+    answers, at = [], 0
+    for codes, _ in parts:
+        mine = inverse[at : at + len(codes)]
+        speaks = speaker[mine] == np.arange(at, at + len(codes))
+        flags = shared[mine]
+        answers.append(np.packbits(flags).tobytes() + np.packbits(speaks).tobytes() + packed_counts(sums[mine[flags]]))
+        at += len(codes)
+    return first, sums, answers
+
+
+def _owned(third: bool):
+    def answer(batches):
+        """Rows come owner by owner."""
+        held: list[dict] = []
+
+        def told() -> pa.RecordBatch:
+            first, sums, grams = _added([r["grams"] for r in held])
+            if third:
+                words = [b""] * len(held)
+                marks = np.concatenate([np.frombuffer(r["marks"], np.uint8) for r in held])
+                found = np.zeros(3 * CLASSES, np.int64)
+                found[2 * CLASSES :] = np.bincount(marks[first[sums > 0]], minlength=CLASSES)
+                found += sum(np.frombuffer(r["statistics"], np.int64) for r in held if r["statistics"])
+            else:
+                _, counts, words = _added([r["words"] for r in held])
+                found = np.concatenate(([counts.sum()], by_class(counts[counts > 0])))
+            out = [(r["slice"], r["owner"], w, g, b"", r["passed"]) for r, w, g in zip(held, words, grams, strict=True)]
+            return _rows(_TELL, [*out, (ALL, held[0]["owner"], b"", b"", found.astype(np.int64).tobytes(), b"")])
+
         for b in batches:
-            for where, held, t in zip(b.column("slice").to_pylist(), b.column("held_out").to_pylist(), as_bytes(b.column("text")), strict=True):
-                found.setdefault(where, Slice()).add(t, held)
-        while found:
-            where, mine = found.popitem()
-            yield from mine.close(place).brought(where)
-
-    # Both users of the texts read this one exchange, so both take all its columns.
-    spread = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slices)).cast("int")).repartition(n_slices, "slice")
-    brought = spread.mapInArrow(bring, "word binary, slice int, n_at long, others binary, counts binary")
-    answers = brought.repartition(n_slices, "word").sortWithinPartitions("word").mapInArrow(merged, "slice int, at int, n long, kinds long, sums binary")
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        machine = _automaton(trained)
-        mine = Slice()
-        for held, t in zip(left.column("held_out").to_pylist(), as_bytes(left.column("text").combine_chunks()), strict=True):
-            mine.add(t, held)
-        mine.close(machine.place)
-        c, behind, pairs = mine.summed(right)
-        dense = mine.places >= 0
-        c[dense] = np.array([n for _, n in trained.top], np.float64)[mine.places[dense]]
-        logs = np.log10(machine.unigram(c))
-        carried = logs[mine.flat]
-        before = mine.before[mine.outer]
-        carried[mine.outer] += machine.arcs(pairs[mine.at], c[before], behind[before], mine.places[before], carried[mine.outer])
-        plus_one = np.log10(c + 1)
-        ends = np.cumsum([len(t) for t in mine.tokens])
-        out = [(len(t), int((c[t] > 0).sum()), float(plus_one[t].sum()), machine.score(mine.places[t], carried[e - len(t) : e])) for t, e in zip(mine.tokens, ends, strict=True)]
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([left.column("doc_id"), left.column("held_out"), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score"])
-
-    scored = spread.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, _OUT)
-    floor = float(np.log10(trained.tokens + trained.kinds + 1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), (F.col("base_sum") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")
+            for r in b.to_pylist():
+                if held and r["owner"] != held[-1]["owner"]:
+                    yield told()
+                    held = []
+                held.append(r)
+        if held:
+            yield told()
+
+    return answer
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    session_ready(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    n = max(1, -(-size // slice_bytes))
+    bits = min(64, (size // 4 + 2).bit_length() + SPARE_BITS)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (training_bucket(doc_id, MODULUS) == HELD_OUT).alias("held_out"), F.col(text).cast("string").alias("text"))
+    # Rows that repeat each other go to different slices, unless they come from one partition.
+    spread = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")).repartition(n, "slice")
+
+    def sliced(rows: pa.Table) -> Slice:
+        return Slice(rows.column("text").combine_chunks(), rows.column("held_out").to_numpy(), bits)
+
+    def asked(where: int, words: tuple, grams: tuple, statistics: bytes = b"", passed: bytes = b"") -> pa.Table:
+        """A row for each owner of any of these sorted codes; where there is something to pass on, one for owner `where`, too."""
+        cuts, at = ranges(words[0], n, 64), ranges(grams[0], n, bits)
+        filled = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(at) > 0)).tolist()
+        rows = []
+        for o in sorted({*filled, where}) if passed else filled:
+            w, g = slice(cuts[o], cuts[o + 1]), slice(at[o], at[o + 1])
+            rows.append((o, where, packed(words[0][w], words[1][w]), packed(grams[0][g], grams[1][g]), grams[2][g].tobytes(), statistics if o == where else b"", passed if o == where else b""))
+        return pa.Table.from_batches([_rows(_ASK, rows)])
+
+    none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        mine = sliced(rows)
+        return asked(rows.column("slice")[0].as_py(), (mine.words, mine.words_own), (mine.pairs.codes, mine.pairs.own, np.empty(0, np.uint8)))
+
+    def resolved(rows: pa.Table, answers: list[dict]) -> Slice:
+        mine = sliced(rows)
+        mine.told({r["owner"]: r["words"] for r in answers if r["words"]}, {r["owner"]: r["grams"] for r in answers if r["grams"]}, n, bits)
+        return mine.close()
+
+    def ask_triples(key, rows: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(rows):  # the statistics' rows
+            return pa.Table.from_batches([_rows(_ASK, [])])
+        mine = resolved(rows, right.to_pylist())
+        # What was told about words and pairs is passed on to the last round.
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, right.schema) as out:
+            out.write_table(right)
+        grams, at = mine.triples, mine.wanted
+        return asked(key[0].as_py(), none, (grams.codes[at], grams.own[at], classes(mine.histories()[at]).astype(np.uint8)), mine.statistics().astype(np.int64).tobytes(), sink.getvalue().to_pybytes())
+
+    def score(key, rows: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(rows):
+            return pa.Table.from_batches([], schema=_SCORES)
+        answers = right.to_pylist()
+        told = next(r for r in answers if r["passed"])
+        mine = resolved(rows, pa.ipc.open_stream(told["passed"]).read_all().to_pylist())
+        mine.triples.told({r["owner"]: r["grams"] for r in answers if r["grams"]}, n, bits, mine.wanted)
+        tokens, *states = told["first"]
+        behind = np.array(told["second"], np.float64).reshape(3, CLASSES)
+        kinds = sum(states)
+        weights = mine.weights(tokens, kinds, means(behind[0], np.array(states)), means(behind[2], behind[1]))
+        counts = mine.counts[mine.flat]
+        summed = lambda x: np.add.reduceat(x, mine.starts)
+        lengths = mine.ends - mine.starts + 1
+        base = summed(np.log10(counts + 1)) - lengths * np.log10(tokens + kinds + 1)
+        out = (lengths, summed((counts > 0).astype(np.int64)), np.full(len(lengths), tokens), base, summed(weights))
+        return pa.table([rows.column("doc_id"), rows.column("held_out"), *map(pa.array, out)], schema=_SCORES)
+
+    def answers(asks: DataFrame, third: bool) -> DataFrame:
+        return asks.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(_owned(third), _TELL).repartition(n, "slice")
+
+    def summed_up(answers: DataFrame, name: str) -> DataFrame:
+        """One row of the statistics that owners told; it reads the exchange that the answers' next user reads."""
+
+        def add(rows: pa.Table) -> pa.Table:
+            found = [np.frombuffer(x, np.int64) for x in rows.column("statistics").to_pylist() if x]
+            return pa.table({name: pa.array([np.sum(found, axis=0)] if found else [], pa.list_(pa.int64()))})
+
+        # The slice of all statistics is one group, so there is one row.
+        return answers.groupBy("slice").applyInArrow(add, f"{name} array<bigint>")
+
+    # One exchange of the texts serves all three rounds.
+    first = answers(spread.groupBy("slice").applyInArrow(ask, _ASK), False)
+    second = answers(spread.groupBy("slice").cogroup(first.groupBy("slice")).applyInArrow(ask_triples, _ASK), True)
+    told = second.crossJoin(F.broadcast(summed_up(first, "first"))).crossJoin(F.broadcast(summed_up(second, "second")))
+    return spread.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

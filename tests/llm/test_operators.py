@@ -291,72 +291,81 @@ def bucket(i, n):
     return 0 if i is None else zlib.crc32(str(i).encode()) % n
 
 
-def test_lm_base_and_normalisation(docs, rows, empty):
-    words = lambda t: (t or "").encode().lower().split()
-    count = Counter(w for i, t in rows if bucket(i, 7) != 2 for w in [*words(t), b""])
-    n, v = sum(count.values()), len(count)
-    got = lm.score_documents(docs, top_words=20)
-    have = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got.collect())
-    want = Counter((i, bucket(i, 7) == 2, len(words(t)) + 1, sum(count[w] > 0 for w in [*words(t), b""]), n, round(sum(log10((count[w] + 1) / (n + v + 1)) for w in [*words(t), b""]), 6)) for i, t in rows)
-    assert have == want
+def lm_brute(rows):
+    """Base columns and scores by dictionaries, walking the automaton arc by arc; and the arcs' function."""
+    words = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + [""]
+    train = [words(t) for i, t in rows if bucket(i, 7) != 2]
+    one = Counter(w for t in train for w in t)
+    two = Counter(x for t in train for x in itertools.pairwise(["", *t]))
+    three = Counter(x for t in train for x in zip(["", *t], t, t[1:]))
+    n, v = sum(one.values()), len(one)
+
+    def mean_kinds(longer, states):
+        kinds, size = Counter(), Counter(c.bit_length() for c in states.values())
+        for x in longer:
+            kinds[states[x[:-1] if len(x) == 3 else x[0]].bit_length()] += 1
+        return {k: kinds[k] / size[k] for k in size}
+
+    ones, twos = mean_kinds(two, one), mean_kinds(three, {x: c for x, c in two.items() if x[1]})
+
+    def chance(state, w):
+        if not n:
+            return 1.0
+        if len(state) == 2:
+            c, seen = two[state], three[*state, w]
+            mean = twos[c.bit_length()] if c else 1
+        elif len(state) == 1:
+            c, seen = one[state[0]], two[*state, w]
+            mean = ones[c.bit_length()] if c else 1
+        else:
+            return (one[w] + v / (v + 1)) / (n + v)
+        below = chance(state[1:], w)
+        return (seen + mean * below) / (c + mean) if seen else mean / (c + mean) * below
+
+    out = []
+    for i, t in rows:
+        state, score, base = ("",), 0.0, 0.0
+        for w in words(t):
+            score += log10(chance(state, w))
+            base += log10((one[w] + 1) / (n + v + 1))
+            state = (state[-1], w)
+        out.append((i, bucket(i, 7) == 2, len(words(t)), sum(one[w] > 0 for w in words(t)), n, round(base, 6), round(score, 6)))
+    return Counter(out), chance, one, two
+
+
+@pytest.mark.parametrize("slice_bytes", [lm.SLICE_BYTES, 4000])
+def test_lm_against_brute_force(docs, rows, empty, slice_bytes):
+    got = lm.score_documents(docs, slice_bytes=slice_bytes)
+    have = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect())
+    assert have == lm_brute(rows)[0]
     assert lm.score_documents(empty).count() == 0
 
 
-def test_lm_probabilities_add_up_and_scores_follow(docs, rows):
-    texts = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("a")).cast("binary")) >= 0).select("text")
-    counts = lm.word_counts(texts)
-    trained = lm.train(texts, counts, top_words=15)
-    machine = lm.Automaton(trained)
-    words = {bytes(r["word"]): r["c"] for r in counts.collect()}
-    names = list(words)
-    uni = machine.unigram(np.array([*words.values(), 0], float))
-    assert uni.sum() == pytest.approx(1)
-    places = np.array([machine.place.get(w, -1) for w in [*names, b"?"]])
-    for state in [-1, *range(len(trained.top))]:
-        total = 0.0
-        for p, x in zip(places, np.log10(uni)):
-            total += 10.0 ** (x if state < 0 else machine.direct[state, p] if p >= 0 else x + machine.other[state])
-        assert total == pytest.approx(1, abs=1e-5)
-    # One text by hand, arc by arc.
-    tokens = [*(rows[3][1].encode().lower().split()), b""]
-    state, want = machine.end, 0.0
-    for w in tokens:
-        p, x = machine.place.get(w, -1), log10(machine.unigram(np.array([words.get(w, 0.0)]))[0])
-        want += x if state < 0 else float(machine.direct[state, p]) if p >= 0 else x + float(machine.other[state])
-        state = p
-    logs = np.log10(machine.unigram(np.array([words.get(w, 0) for w in tokens], float)))
-    assert machine.score(np.array([machine.place.get(w, -1) for w in tokens]), logs) == pytest.approx(want, rel=1e-5)
-
-
-def test_lm_every_pair_has_an_arc(spark):
-    rng = random.Random(6)
-    data = [(i, " ".join(rng.choice(["of", "in", "aa", f"r{rng.randint(0, 25)}", f"s{rng.randint(0, 400)}"]) for _ in range(rng.randint(1, 40)))) for i in range(90)]
-    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, top_words=3).collect()}
-    texts = spark.createDataFrame([(t,) for i, t in data if bucket(i, 7) != 2], "text string")
-    counts = lm.word_counts(texts)
-    machine = lm.Automaton(lm.train(texts, counts, top_words=3))
-    c = Counter({bytes(r["word"]): r["c"] for r in counts.collect()})
-    path = lambda t: [b"", *t.encode().split(), b""]
-    pairs = Counter(p for i, t in data if bucket(i, 7) != 2 for p in itertools.pairwise(path(t)))
-    uni = {w: float(machine.unigram(np.array([float(c[w])]))[0]) for w in [*c, b"?"]}
-    rest = 1 - sum(uni[w] for w in machine.place)
-
-    def p(h, w):
-        s, x = machine.place.get(h, -1), machine.place.get(w, -1)
-        u = uni.get(w, uni[b"?"])
-        if s >= 0 and x >= 0:
-            return 10.0 ** machine.direct[s, x]
-        if s < 0:
-            behind = sum(a == h for a, _ in pairs)
-            return (max(pairs[h, w] - lm.LESS, 0) + lm.LESS * behind * u) / c[h] if c[h] else u
-        room = sum(n for (a, b), n in pairs.items() if a == h and b not in machine.place)
-        return 10.0 ** machine.other[s] * ((1 - lm.LOWER) * pairs[h, w] / room * rest + lm.LOWER * u)
-
-    for h in [b"", b"of", b"aa", b"r1", b"s7", b"?"]:
-        assert sum(p(h, w) for w in uni) == pytest.approx(1, abs=1e-5)
-    for i, t in data:
-        assert got[i] == pytest.approx(sum(log10(p(h, w)) for h, w in itertools.pairwise(path(t))), rel=1e-5)
+def test_lm_query_against_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = lm.op6_lm_scoring(spark, sf_dir).collect()
+    want, chance, one, two = lm_brute(rows)
+    for a, b in zip(sorted(map(tuple, got)), sorted(want.elements()), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-5)
+    for state in [(), *[(w,) for w in ["", *list(one)[:20], "?"]], *list(two)[:20], ("", "?")]:
+        assert sum(chance(state, w) for w in [*one, "?"]) == pytest.approx(1)
+
+
+def test_lm_without_training_text(spark):
+    held = [i for i in range(60) if bucket(i, 7) == 2]
+    got = lm.score_documents(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and {(r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in got} == {(4, 0, 0, 0.0)}
+
+
+def test_lm_codes_survive_packing():
+    rng = np.random.default_rng(5)
+    for bits in (8, 40, 64):
+        codes = np.unique(rng.integers(0, 1 << bits, 500, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, np.iinfo(np.uint64).max, 500, dtype=np.uint64))
+        counts = rng.integers(0, 600, len(codes))
+        got = lm.unpacked(lm.packed(codes, counts))
+        assert (got[0] == codes).all() and (got[1] == counts).all()
+        cuts = lm.ranges(codes, 7, bits)
+        assert cuts[0] == 0 and cuts[-1] == len(codes) and (np.diff(cuts) >= 0).all()
 
 
 @pytest.mark.parametrize("targets", [(0.92, 0.06, 0.02), (0.5, 0.3, 0.2), (0.1, 0.1, 0.8)])
