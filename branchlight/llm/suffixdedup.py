@@ -344,3 +344,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, a, substr(h, 2 * a + 1, 1198) AS h, least(200, len(h) // 2 - 399 - a) AS n FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399, 200)) AS a FROM d WHERE len(h) >= 800)),
+w AS (SELECT r, a + i AS p, hash(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, a, h, unnest(range(n)) AS i FROM c)),
+many AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN many USING (k)),
+span AS (SELECT r, min(p) AS s, max(p) + 400 AS e FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM hit) GROUP BY r, g),
+cut AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS b FROM span),
+kept AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS x FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
