@@ -373,4 +373,29 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    found = score_documents(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+#: 3988292384 is CRC-32's polynomial, bits reversed.
+ORACLE = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS w,
+    coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 7, 0) = 2 AS held_out
+  FROM documents, crc
+), tok AS (SELECT r, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS v, CASE WHEN i = 2 THEN '' WHEN i > 2 THEN w[i - 2] END AS u FROM (SELECT r, held_out, w, unnest(range(1, len(w) + 1)) AS i FROM doc)),
+one AS (SELECT w, count(*) AS c, length(bin(count(*))) AS k FROM tok WHERE NOT held_out GROUP BY w),
+two AS (SELECT v, w, count(*) AS c, length(bin(count(*))) AS k FROM tok WHERE NOT held_out GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS c FROM tok WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w),
+ones AS (SELECT k, coalesce(kinds, 1e-9) / states AS m FROM (SELECT k, count(*) AS states FROM one GROUP BY k) LEFT JOIN (SELECT one.k, count(*) AS kinds FROM two JOIN one ON two.v = one.w GROUP BY one.k) USING (k)),
+twos AS (SELECT k, coalesce(kinds, 1e-9) / states AS m FROM (SELECT k, count(*) AS states FROM two WHERE w <> '' GROUP BY k) LEFT JOIN (SELECT two.k, count(*) AS kinds FROM three JOIN two ON three.u = two.v AND three.v = two.w GROUP BY two.k) USING (k)),
+total AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS kinds FROM one),
+root AS (SELECT tok.*, total.n, total.kinds, coalesce(one.c, 0) AS c, (coalesce(one.c, 0) + total.kinds / (total.kinds + 1)) / (total.n + total.kinds) AS p FROM tok LEFT JOIN one USING (w), total),
+pair AS (SELECT root.*, coalesce(two.c, 0) AS c2, coalesce(s.c, 0) AS above, coalesce(ones.m, 1) AS m FROM root LEFT JOIN two ON root.v = two.v AND root.w = two.w LEFT JOIN one s ON root.v = s.w LEFT JOIN ones ON s.k = ones.k),
+triple AS (SELECT pair.*, (c2 + pair.m * p) / (above + pair.m) AS p2, coalesce(three.c, 0) AS c3, coalesce(s.c, 0) AS above2, coalesce(twos.m, 1) AS m2
+  FROM pair LEFT JOIN three ON pair.u = three.u AND pair.v = three.v AND pair.w = three.w LEFT JOIN two s ON pair.u = s.v AND pair.v = s.w LEFT JOIN twos ON s.k = twos.k),
+told AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, round(sum(log10((c + 1) / (n + kinds + 1))), 6) AS base_score,
+  round(sum(CASE WHEN n = 0 THEN 0 ELSE log10(CASE WHEN u IS NULL THEN p2 ELSE (c3 + m2 * p2) / (above2 + m2) END) END), 6) AS score FROM triple GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, CAST(train_tokens AS BIGINT) AS train_tokens, base_score, score FROM doc JOIN told USING (r)
+"""

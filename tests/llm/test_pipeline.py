@@ -1,9 +1,11 @@
 """The pipeline's stages on the smallest tables."""
 
 import corpus_pipeline
+import duckdb
 import pytest
 
 import __spark_entry__
+from branchlight.llm import queries as llm
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -29,3 +31,15 @@ def test_registered():
 def test_whole_table(spark, sf_dir, name):
     got = __spark_entry__.queries()[name](spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = db.execute(llm.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    got = __spark_entry__.queries()[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(found.fetchall(), key=repr)
