@@ -21,6 +21,27 @@ def first_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return ranked(rows, key, order, "__at").filter("__at = 1").drop("__at")
 
 
+def global_rank(rows: DataFrame, by: list[str], drawn: str, ties: list[str], into: str) -> DataFrame:
+    """rows with their place (from one) in the order of a hex draw within each group, however large the groups are: the rank among
+    rows whose draws begin alike, and the sizes of the beginnings before. There are 4096 beginnings a group, so as many rows are broadcast."""
+    start = rows.withColumn("__p", F.substring(drawn, 1, 3))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = start.groupBy(*by, "__p").agg(F.count("*").alias("__k")).withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__k")
+    at = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(drawn, *ties))
+    return start.withColumn("__near", at).join(sizes, [*by, "__p"]).withColumn(into, F.col("__near") + F.col("__before")).drop("__near", "__before", "__p")
+
+
+def numbered(rows: DataFrame, key: str, into: str, buckets: int = 1024) -> DataFrame:
+    """rows with their place (from zero) in the order of a whole-number key: the rank within one of equally wide ranges of keys, and the
+    sizes of the ranges before. As many rows as ranges are broadcast; keys that crowd in one range crowd in one task."""
+    ends = rows.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))  # one row
+    cut = rows.crossJoin(F.broadcast(ends)).withColumn("__b", F.floor((F.col(key) - F.col("__lo")) * buckets / (F.col("__hi") - F.col("__lo") + 1))).drop("__lo", "__hi")
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("__b").agg(F.count("*").alias("__k")).withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__k")
+    at = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
+    return cut.withColumn("__near", at).join(F.broadcast(sizes), "__b").withColumn(into, F.col("__near") + F.col("__before")).drop("__near", "__before", "__b")
+
+
 def sample_per_group(rows: DataFrame, group: str, key: list[str], n: int, seed: int) -> DataFrame:
     """min(n, size) rows of each group, by a seeded draw."""
     return ranked(rows.withColumn("__draw", draw(seed, *key)), [group], ["__draw", *key], "__at").filter(F.col("__at") <= n).drop("__draw", "__at")
@@ -31,11 +52,7 @@ def split_by_group(rows: DataFrame, group: str, ratio: float, seed: int) -> Data
     groups = rows.select(group).distinct().withColumn("__draw", draw(seed, group))
     n = groups.agg(F.count("*").alias("n"))  # one row
     wanted = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * ratio)))
-    # A global rank, taken from ranks within draw prefixes and the sizes of the prefixes before.
-    groups = groups.withColumn("__p", F.substring("__draw", 1, 2))
-    sizes = groups.groupBy("__p").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))  # 256 rows
-    at = F.row_number().over(Window.partitionBy("__p").orderBy("__draw", group))
-    placed = groups.withColumn("at", at).join(F.broadcast(sizes), "__p").withColumn("at", F.col("at") + F.coalesce("before", F.lit(0))).crossJoin(F.broadcast(n))
+    placed = global_rank(groups.withColumn("__all", F.lit(0)), ["__all"], "__draw", [group], "at").crossJoin(F.broadcast(n))
     named = placed.select(group, F.when(F.col("at") <= wanted, "val").otherwise("train").alias("split"))
     return rows.join(named, group)
 
@@ -48,7 +65,7 @@ def stratified_split(rows: DataFrame, stratum: str, key: list[str], ratio: float
     short = F.bround(F.sum("n").over(total) * ratio) - F.sum("base").over(total)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("share") - F.col("base"), 9)), stratum))
     quota = sizes.withColumn("short", short).withColumn("quota", F.col("base") + (rank <= F.col("short")).cast("long")).select(stratum, "quota")
-    at = ranked(rows.withColumn("__draw", draw(seed, *key)), [stratum], ["__draw", *key], "__at").join(F.broadcast(quota), stratum)
+    at = global_rank(rows.withColumn("__draw", draw(seed, *key)), [stratum], "__draw", key, "__at").join(F.broadcast(quota), stratum)
     return at.withColumn("split", F.when(F.col("__at") <= F.col("quota"), "val").otherwise("train")).drop("__draw", "__at", "quota")
 
 
@@ -74,3 +91,61 @@ def union_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         same = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
         joined = joined.withColumn(c, F.when(same, F.col(c)).otherwise(F.raise_error(F.lit(f"conflict in {c}")).cast(left.schema[c].dataType)))
     return joined.drop(*[f"__r_{c}" for c in both])
+
+
+def split_by_budget(rows: DataFrame, group: str, ratio: float, seed: int) -> DataFrame:
+    """rows with `split`: whole groups go to val, in the order of a seeded draw, as long as their rows fit in the budget of ratio of
+    all rows (one at least); one that does not fit is passed over. The table of group sizes is walked in one task, as each
+    step depends on the one before; groups beyond the first that fills the budget are not walked."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).withColumn("__draw", draw(seed, group))
+    total, groups = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*")).first()
+    budget = max(1, int(total * ratio)) if ratio > 0 and total > 1 else 0
+    chosen: list = []
+    taken = 0
+    if budget and groups > 1:
+        for r in sizes.orderBy("__draw", group).toLocalIterator():
+            if taken + r["__n"] <= budget or not chosen:
+                chosen.append(r[group])
+                taken += r["__n"]
+            if taken >= budget:
+                break
+        if taken == total:
+            chosen.pop(0)
+    # At most as many keys as the budget has rows.
+    picked = rows.sparkSession.createDataFrame([(c,) for c in chosen], rows.select(F.col(group).alias("__g")).schema).withColumn("__in", F.lit(True))
+    named = rows.join(picked, F.col(group) == F.col("__g"), "left").withColumn("split", F.when(F.col("__in"), "val").otherwise("train"))
+    return named.drop("__g", "__in")
+
+
+def fraction_sample(rows: DataFrame, key: list[str], fraction: float, seed: int) -> DataFrame:
+    """The share of all rows with the least draws, to the row."""
+    n = int(rows.count() * fraction)
+    drawn = rows.withColumn("__draw", draw(seed, *key)).withColumn("__all", F.lit(0))
+    return global_rank(drawn, ["__all"], "__draw", key, "__at").filter(F.col("__at") <= n).drop("__draw", "__all", "__at")
+
+
+def capped_per_source(rows: DataFrame, source: str, order: list[str], most: int) -> DataFrame:
+    """Up to ceil(most / sources) rows of each source in order, then the first `most` by source and order."""
+    n = max(1, rows.select(source).distinct().count())
+    return ranked(rows, [source], order, "__at").filter(F.col("__at") <= max(1, -(-most // n))).orderBy(source, *order).limit(most).drop("__at")
+
+
+def route(rows: DataFrame, key: str, train: DataFrame, val: DataFrame, otherwise: str | None = None) -> DataFrame:
+    """rows with `split` by membership of their key in two lists, which must not share a key. The rest is dropped, or an error if otherwise is `error`."""
+    names = train.select(F.col(key).alias("__k"), F.lit("train").alias("split")).unionByName(val.select(F.col(key).alias("__k"), F.lit("val").alias("split")))
+    one = names.groupBy("__k").agg(F.min("split").alias("split"), F.countDistinct("split").alias("__n"))
+    clash = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"{key} in both splits")).cast("string")).otherwise(F.col("split"))
+    got = rows.join(one, F.col(key) == F.col("__k"), "left" if otherwise == "error" else "inner").withColumn("split", clash)
+    if otherwise == "error":
+        got = got.withColumn("split", F.when(F.col("__k").isNull(), F.raise_error(F.lit(f"{key} in no split")).cast("string")).otherwise(F.col("split")))
+    return got.drop("__k", "__n")
+
+
+def fetch(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows of a list (at, key) in its order. A key listed or found twice, or not found, is an error."""
+    listed = ids.groupBy(F.col(key).alias("__k")).agg(F.min("at").alias("at"), F.count("*").alias("__twice"))
+    found = listed.join(rows, F.col(key) == F.col("__k"), "left")
+    times = F.count("*").over(Window.partitionBy("__k"))
+    wrong = F.when(F.col("__twice") > 1, "listed twice").when(F.col(key).isNull(), "not found").when(times > 1, "found twice")
+    checked = found.withColumn("__wrong", wrong)
+    return checked.withColumn("at", F.when(F.col("__wrong").isNull(), F.col("at")).otherwise(F.raise_error(F.concat_ws(" ", F.lit(key), F.col("__k").cast("string"), "__wrong")).cast("int"))).drop("__k", "__twice", "__wrong")

@@ -56,6 +56,13 @@ def messages(rows: DataFrame, column: str = "messages") -> DataFrame:
     return rows
 
 
+def coalesced_messages(messages, prompt_path: str, response_path: str):
+    """Messages from a column of JSON text or structs where it is not null, else a user and an assistant turn from two key paths."""
+    form = "array<struct<role:string,content:string>>"
+    turn = lambda role, path: F.struct(F.lit(role).alias("role"), F.col(path).cast("string").alias("content"))
+    return F.coalesce(F.from_json(messages, form), F.array(turn("user", prompt_path), turn("assistant", response_path)))
+
+
 def write_new(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Write where nothing is yet; Spark's commit makes it appear as a whole."""
     df.write.mode("errorifexists").format(form).save(path)
