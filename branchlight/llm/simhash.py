@@ -4,33 +4,36 @@ A text is lower-cased (A-Z only) and cut into words at ASCII blanks; its shingle
 joined by a blank (all words if fewer; none: fingerprint zero). A bit of the fingerprint is set if it
 is set in more than half of the shingles' XXH64 (seed 42), repeats counted.
 
-Equal fingerprints are one node. Nodes are dealt into tiles by the population counts of four 16-bit
-lanes. Differing bits change lane counts by one each, so two tiles whose counts differ by more than
-the radius altogether cannot hold a link: the pair is skipped. All other pairs of tiles are compared
-whole, by numpy exclusive-or and bit counts. There are at most 17^4 count vectors whatever the
+Equal fingerprints are one node. Nodes are dealt into cells by the population counts of five lanes of
+bits. Differing bits change lane counts by one each, so two cells whose counts differ by more than
+the radius altogether cannot hold a link: the pair is skipped (by a binomial estimate 1.5 % of pairs of random fingerprints
+are in cells that remain; four lanes leave 5 %, a single count 60 %). All other pairs of cells are compared
+whole, by numpy exclusive-or and bit counts. There are at most 14^4 * 13 cells whatever the
 input; a crowded one is split into several tiles. From each comparison only a spanning forest of the
 links found goes on, never all pairs of a group, and components join the forests exactly.
 
 Defined results: a null text has no words; repeated rows share fingerprint and component; a null
-doc_id takes part but is never a component's id unless the component has no other; empty tables give none.
+doc_id takes part but is never a component's id unless the component has no other; empty tables give none;
+a very long text is read whole; columns of documents of any name are kept, but one named as the result is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._shared import as_bytes, session_ready, table
+from ._shared import as_bytes, free, session_ready, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-LANES, LANE_BITS = 4, 16
+#: Bits of each lane; a cell is its counts as digits to the base 32, so that neighbours differ by a fixed number and none borrows.
+LANES, DIGIT = (13, 13, 13, 13, 12), 32
 #: Fingerprints of a tile, tiles of a visiting column, and cells of one numpy comparison.
 TILE, VISITORS, CELLS = 2048, 8, 1 << 20
 _LINKS = "u long, v long"
@@ -64,74 +67,97 @@ def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerpri
     return docs.withColumn(into, bits.asNondeterministic()(F.col(text)))
 
 
-def _lane(at: int):
-    return F.bit_count(F.shiftrightunsigned("u", at * LANE_BITS).bitwiseAND(F.lit((1 << LANE_BITS) - 1)))
+def _cell():
+    """Population counts of the lanes of u as one number."""
+    cell, at = F.lit(0).cast("long"), 0
+    for i, bits in enumerate(LANES):
+        count = F.bit_count(F.shiftrightunsigned("u", at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+        cell, at = cell + count * F.lit(DIGIT**i).cast("long"), at + bits
+    return cell
 
 
-def _steps() -> list[tuple[int, ...]]:
-    """Differences of lane counts within the radius; of two opposite ones, the one that sorts last, and zero."""
-    return [d for d in product(range(-RADIUS, RADIUS + 1), repeat=LANES) if sum(map(abs, d)) <= RADIUS and d >= (0,) * LANES]
+def _steps() -> list[int]:
+    """Differences of cells within the radius; of two opposite ones the one that sorts last, and zero."""
+    near = [d for d in product(range(-RADIUS, RADIUS + 1), repeat=len(LANES)) if sum(map(abs, d)) <= RADIUS and d >= (0,) * len(LANES)]
+    return [sum(x * DIGIT**i for i, x in enumerate(d)) for d in near]
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between a and b (uint64 each)."""
-    place: dict[int, int] = {}
-    root: list[int] = []
-
-    def find(x: int) -> int:
-        at = place.setdefault(x, len(root))
-        if at == len(root):
-            root.append(at)
-        while root[at] != at:
-            root[at] = root[root[at]]
-            at = root[at]
-        return at
-
-    edges = []
+    edges: list[tuple[int, int]] = []
+    root = of_a = of_b = None
     height = max(1, CELLS // max(1, len(b)))
     for top in range(0, len(a), height):
         part = a[top : top + height]
         near = np.bitwise_count(part[:, None] ^ b[None, :]) <= radius
         near &= part[:, None] != b[None, :]
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            x = int(part[i])
-            for y in b[near[i]].tolist():
-                p, q = find(x), find(y)
-                if p != q:
-                    root[q] = p
-                    edges.append((x, y))
+        rows = np.flatnonzero(near.any(axis=1)).tolist()
+        if rows and root is None:
+            place = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
+            root, of_a, of_b = np.arange(len(a) + len(b)), place[: len(a)], place[len(a) :]
+        for i in rows:
+            there = np.flatnonzero(near[i])
+            # One partner of each group that this one is not in yet.
+            groups, first = np.unique(root[of_b[there]], return_index=True)
+            for group, y in zip(groups.tolist(), there[first].tolist(), strict=True):
+                mine = root[of_a[top + i]]
+                if group != mine:
+                    edges.append((int(part[i]), int(b[y])))
+                    root[root == group] = mine
     return edges
 
 
-def _compare(group: pd.DataFrame) -> pd.DataFrame:
-    """One home tile against the tiles that visit it."""
-    homes, guests = group["bits"][group["home"]].tolist(), group["bits"][~group["home"]].tolist()
-    edges = []
-    if homes and guests:  # a part of a crowded count vector may have got no fingerprint
-        edges = forest(*[np.concatenate([np.asarray(x, np.int64) for x in side]).view(np.uint64) for side in (homes, guests)])
-    return pd.DataFrame(np.array(edges, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each home tile with the tiles that visit it; rows come spot by spot, the home tile first."""
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        spots = np.stack([rows.column(i).to_numpy() for i in range(3)])
+        bits = rows.column("bits").combine_chunks()
+        values, offsets = bits.values.to_numpy().view(np.uint64), bits.offsets.to_numpy()
+        home = rows.column("home").to_numpy()
+        cuts = [0, *(np.flatnonzero((spots[:, 1:] != spots[:, :-1]).any(axis=0)) + 1).tolist(), len(home)]
+        edges = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            # A part of a crowded cell may have got no fingerprint, and then no home tile.
+            if home[a] and b - a > 1:
+                edges += forest(values[offsets[a] : offsets[a + 1]], values[offsets[a + 1] : offsets[b]])
+        found = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    spot = None
+    for b in batches:
+        if not len(b):
+            continue
+        spots = np.stack([b.column(i).to_numpy() for i in range(3)])
+        last = len(b) - int(np.argmax((spots[:, ::-1] != spots[:, -1:]).any(axis=0))) if (spots != spots[:, -1:]).any() else 0
+        if held and (last or (spots[:, 0] != spot).any()):
+            yield linked(pa.Table.from_batches([*held, b.slice(0, last)]))
+            held = []
+        elif last:
+            yield linked(pa.Table.from_batches([b.slice(0, last)]))
+        held.append(b.slice(last))
+        spot = spots[:, -1]
+    if held:
+        yield linked(pa.Table.from_batches(held))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Spanning forests of the links among the distinct fingerprints u."""
-    lanes = [f"l{i}" for i in range(LANES)]
-    prints = prints.withColumns({n: _lane(i) for i, n in enumerate(lanes)})
-    # At most 17^4 rows, whatever the input.
-    keys = prints.groupBy(*lanes).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    tiles = prints.join(F.broadcast(keys), lanes).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
-    tiles = tiles.groupBy(*lanes, "part").agg(F.collect_list("u").alias("bits"))
-    at = {n: F.element_at("d", i + 1) for i, n in enumerate(lanes)}
-    steps = F.array(*[F.array(*map(F.lit, d)) for d in _steps()])
-    # Where a tile goes as a guest: to every tile of an existing count vector within the radius, each pair once.
-    visits = tiles.withColumn("d", F.explode(steps)).withColumns({f"h{i}": F.col(n) - at[n] for i, n in enumerate(lanes)}).withColumn("same", F.forall("d", lambda x: x == 0)).drop("d")
-    there = keys.select(*[F.col(n).alias(f"h{i}") for i, n in enumerate(lanes)], "parts")
-    visits = visits.join(F.broadcast(there), [f"h{i}" for i in range(LANES)]).withColumn("h_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    visits = visits.filter("not same or part >= h_part").withColumn("column", F.floor(F.col("part") / VISITORS).cast("int"))
-    spot = [*[f"h{i}" for i in range(LANES)], "h_part", "column"]
+    prints = prints.select("u", _cell().alias("cell"))
+    # At most 14^4 * 13 rows of two numbers, whatever the input.
+    keys = prints.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    tiles = prints.join(F.broadcast(keys), "cell").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    tiles = tiles.groupBy("cell", "part").agg(F.collect_list("u").alias("bits"))
+    # Where a tile goes as a guest: to every tile of an existing cell within the radius, each pair once.
+    visits = tiles.withColumn("d", F.explode(F.array(*[F.lit(d).cast("long") for d in _steps()]))).withColumn("h", F.col("cell") + F.col("d")).drop("d")
+    visits = visits.join(F.broadcast(keys.withColumnRenamed("cell", "h")), "h").withColumn("h_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visits = visits.filter("h <> cell or part >= h_part").withColumn("column", F.floor(F.col("part") / VISITORS).cast("int"))
+    spot = ["h", "h_part", "column"]
     widest = keys.agg(F.max("parts")).first()[0] or 1
-    homes = tiles.select(*[F.col(n).alias(f"h{i}") for i, n in enumerate(lanes)], F.col("part").alias("h_part"), F.explode(F.sequence(F.lit(0), F.lit((widest - 1) // VISITORS))).alias("column"), "bits", F.lit(True).alias("home"))
+    homes = tiles.select(F.col("cell").alias("h"), F.col("part").alias("h_part"), F.explode(F.sequence(F.lit(0), F.lit((widest - 1) // VISITORS))).alias("column"), "bits", F.lit(True).alias("home"))
     dealt = homes.unionByName(visits.select(*spot, "bits", F.lit(False).alias("home")))
-    return dealt.groupBy(*spot).applyInPandas(_compare, _LINKS)
+    return dealt.repartition(*spot).sortWithinPartitions(*spot, F.desc("home")).mapInArrow(_compare, _LINKS)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "near", keep_text: bool = True) -> DataFrame:
@@ -141,16 +167,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     which costs less than keeping a second copy of the texts.
     """
     session_ready(docs.sparkSession)
-    dense = with_fingerprint(docs, text, "__bits")
+    docs = docs.drop(into)
+    bits, u, component = (free(n, docs) for n in ("bits", "u", "component_of"))
+    dense = with_fingerprint(docs, text, bits)
     if not keep_text:
         dense = dense.drop(text).checkpoint()
-    prints = dense.groupBy(F.col("__bits").alias("u")).agg(F.min(F.col(doc_id)).alias("first")).checkpoint()
+    prints = dense.groupBy(F.col(bits).alias("u")).agg(F.min(F.col(doc_id)).alias("first")).checkpoint()
     roots = connected_components(links(prints.select("u")).checkpoint())
     named = prints.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    lookup = named.join(least, "root").select(F.col("u").alias("__u"), F.col("component").alias("__component"))
-    joined = dense.join(lookup, F.col("__bits") == F.col("__u"), "left")
-    return joined.withColumn(into, F.struct(F.lpad(F.lower(F.hex("__bits")), 16, "0").alias("fingerprint"), F.col("__component").alias("component"))).drop("__bits", "__u", "__component")
+    lookup = named.join(least, "root").select(F.col("u").alias(u), F.col("component").alias(component))
+    joined = dense.join(lookup, F.col(bits) == F.col(u), "left")
+    return joined.withColumn(into, F.struct(F.lpad(F.lower(F.hex(bits)), 16, "0").alias("fingerprint"), F.col(component).alias("component"))).drop(bits, u, component)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
