@@ -42,7 +42,7 @@ MODULUS, HELD_OUT = 7, 2
 #: The end mark is written as the word of no bytes.
 END = b""
 #: Bytes of text of one slice, and bits of an n-gram's hash beyond those that number all tokens.
-SLICE_BYTES, SPARE_BITS = 16 << 20, 20
+SLICE_BYTES, SPARE_BITS = 6 << 20, 20
 #: Classes of counts: by number of binary digits.
 CLASSES = 48
 #: Odd multipliers, derived from the golden ratio's fraction.
