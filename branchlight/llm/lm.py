@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ MODULUS, HELD_OUT = 7, 2
 #: The end mark is written as the word of no bytes.
 END = b""
 #: Bytes of text of one slice, and bits of an n-gram's hash beyond those that number all tokens.
-SLICE_BYTES, SPARE_BITS = 6 << 20, 20
+SLICE_BYTES, SPARE_BITS = 8 << 20, 20
 #: Classes of counts: by number of binary digits.
 CLASSES = 48
 #: Odd multipliers, derived from the golden ratio's fraction.
@@ -79,17 +80,18 @@ def packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
     steps = np.diff(codes, prepend=codes[:1])
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
     planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return _HEAD.pack(len(codes), width, int(codes[0])) + planes.tobytes() + packed_counts(counts)
+    return _HEAD.pack(len(codes), width, int(codes[0])) + zstandard.compress(planes.tobytes() + packed_counts(counts), 1)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not data:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     n, width, first = _HEAD.unpack_from(data)
+    body = zstandard.decompress(data[_HEAD.size :])
     steps = np.zeros((n, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, n * width, _HEAD.size).reshape(width, n).T
+    steps[:, :width] = np.frombuffer(body, np.uint8, n * width).reshape(width, n).T
     codes = np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(first)
-    return codes, unpacked_counts(data[_HEAD.size + n * width :], n)
+    return codes, unpacked_counts(body[n * width :], n)
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -326,7 +328,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         mine = resolved(rows, right.to_pylist())
         # What was told about words and pairs is passed on to the last round.
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, right.schema) as out:
+        with pa.ipc.new_stream(sink, right.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(right)
         grams, at = mine.triples, mine.wanted
         return asked(key[0].as_py(), none, (grams.codes[at], grams.own[at], classes(mine.histories()[at]).astype(np.uint8)), mine.statistics().astype(np.int64).tobytes(), sink.getvalue().to_pybytes())
