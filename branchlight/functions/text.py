@@ -51,14 +51,19 @@ def tokens(normalized: Column) -> Column:
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """Multiset F1 of normalised tokens; yes, no and noanswer must match whole."""
-    p, g = normalize_answer(prediction), normalize_answer(gold)
-    a, b = tokens(p), tokens(g)
-    times = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
+    # Normalised once, as fields of one struct, and read from there.
+    form = lambda s: F.struct(normalize_answer(s).alias("s"), tokens(normalize_answer(s)).alias("t"))
+    return F.transform(F.array(F.struct(form(prediction).alias("p"), form(gold).alias("g"))), lambda x: f1_of(x["p"]["s"], x["g"]["s"], x["p"]["t"], x["g"]["t"]))[0]
+
+
+def f1_of(p: Column, g: Column, a: Column, b: Column) -> Column:
+    """token_f1() of texts already normalised and cut."""
+    times = lambda xs, t: F.size(xs) - F.size(F.array_remove(xs, t))
     same = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, t: s + F.least(times(a, t), times(b, t)))
     special = [F.lit(x) for x in ("yes", "no", "noanswer")]
     whole = (p.isin(*special) | g.isin(*special)) & (p != g)
-    precision, recall = F.try_divide(same, F.size(a)), F.try_divide(same, F.size(b))
-    return F.when(whole | (same == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
+    # 2 P R / (P + R), with P and R the common share of either side.
+    return F.when(whole | (same == 0), 0.0).otherwise(2 * same / (F.size(a) + F.size(b)))
 
 
 def best_f1(prediction: Column, golds: Column) -> Column:
@@ -113,32 +118,37 @@ def cut_at_action(response: Column) -> Column:
     return F.when(F.contains(response, F.lit("</search>")), upto("</search>")).when(F.contains(response, F.lit("</answer>")), upto("</answer>")).otherwise(response)
 
 
-#: Allowed moves of the strict form: state and tag lead to the next state.
-_MOVES = {
-    ("start", "<think>"): "in_think",
-    ("in_think", "</think>"): "after_think",
-    ("after_think", "<search>"): "in_search",
-    ("after_think", "<answer>"): "in_answer",
-    ("in_search", "</search>"): "after_search",
-    ("after_search", "<information>"): "in_information",
-    ("in_information", "</information>"): "information",
-    ("information", "<think>"): "in_think",
-    ("in_answer", "</answer>"): "end",
-}
 _TAG = r"</?(?:think|search|information|answer)>"
+#: Anything but a tag, and a block whose body is that.
+_FREE = rf"(?:(?!{_TAG}).)*+"
+
+
+def _blocks(between: str, *tags: str) -> str:
+    return between.join(f"<{t}>{_FREE}</{t}>" for t in tags)
+
+
+#: The strict form: searches with their information after a thought each, then a thought with the answer; blanks between.
+STRICT = rf"\s*(?:{_blocks(chr(92) + 's*', 'think', 'search', 'information')}\s*)*{_blocks(chr(92) + 's*', 'think', 'answer')}\s*"
+#: The lax form: a search may open the sequence, an answer may follow information, and free text may stand between blocks.
+_SEARCH, _THINK, _ANSWER = _blocks(_FREE, "search", "information"), _blocks(_FREE, "think"), _blocks(_FREE, "answer")
+LAX = rf"{_FREE}(?:{_THINK}{_FREE}{_ANSWER}|(?:{_THINK}{_FREE})?{_SEARCH}{_FREE}(?:{_THINK}{_FREE}{_SEARCH}{_FREE})*(?:{_THINK}{_FREE})?{_ANSWER}){_FREE}"
+#: Where the assistant begins to speak.
+ASSISTANT = r"<\|im_start\|>assistant\s*"
+
+
+def valid_sequence(text: Column, form: str = STRICT, marker: bool = False) -> Column:
+    """Whether text has the form; with marker, what follows the assistant's first marker, which must be there."""
+    start = rf"(?:(?!{ASSISTANT}).)*+{ASSISTANT}" if marker else ""
+    return F.regexp_like(text, F.lit(rf"(?s)\A{start}{form}\z"))
 
 
-def valid_sequence(text: Column) -> Column:
-    """Whether text is think blocks that lead to searches with information, or to the final answer; only
-    blanks may stand between blocks. A fold over tags and the text before each, with a table of moves."""
-    moves = F.create_map(*[F.lit(x) for (a, b), c in _MOVES.items() for x in (a + b, c)])
-    tags = F.regexp_extract_all(text, F.lit(f"({_TAG})"), F.lit(1))
-    between = F.split(text, _TAG, -1)
-    free = lambda state: F.startswith(state, F.lit("in_"))
-    step = lambda state, x: F.when((state != "bad") & (free(state) | (F.trim(F.regexp_replace(x["before"], r"\s", " ")) == "")), F.coalesce(F.try_element_at(moves, F.concat(state, x["tag"])), F.lit("bad"))).otherwise(F.lit("bad"))
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(tags)).alias("before"), tags.alias("tag"))
-    end = F.aggregate(pairs, F.lit("start"), step)
-    return (end == "end") & (F.trim(F.regexp_replace(F.element_at(between, -1), r"\s", " ")) == "")
+def sequence_fault(text: Column, form: str = STRICT) -> Column:
+    """Why a text with an assistant's marker is not valid: no marker, tags that do not balance (the first kind of them), or their order; else empty."""
+    said = F.regexp_extract(text, rf"(?s)\A(?:(?!{ASSISTANT}).)*+{ASSISTANT}(.*)\z", 1)
+    fault = F.when(~F.regexp_like(text, F.lit(ASSISTANT)), "missing_assistant_marker")
+    for tag in TAGS:
+        fault = fault.when(F.regexp_count(said, F.lit(f"<{tag}>")) != F.regexp_count(said, F.lit(f"</{tag}>")), f"unbalanced_{tag}")
+    return fault.when(~valid_sequence(said, form), "order_or_content").otherwise("")
 
 
 def information_blocks(text: Column) -> Column:

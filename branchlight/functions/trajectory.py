@@ -56,14 +56,17 @@ def parse_turn(raw: Column) -> Column:
     )
 
 
-def _wrong_tags(raw: Column, once: tuple[str, str], prefix: str) -> Column:
-    """Reasons for tags of a turn that must hold each of two blocks once and no other."""
+#: Tags of a search turn and of a final turn, those that must stand there once and those that must not, in the order of reasons.
+SEARCH_ONCE = ("<think>", "</think>", "<search>", "</search>")
+SEARCH_NEVER = ("<answer>", "</answer>", "<information>", "</information>")
+FINAL_ONCE = ("<think>", "</think>", "<answer>", "</answer>")
+FINAL_NEVER = ("<search>", "</search>", "<information>", "</information>")
+
+
+def _wrong_tags(raw: Column, once: tuple[str, ...], never: tuple[str, ...], prefix: str) -> Column:
+    """Reasons for tags that do not stand once in a turn, and for those that stand there at all."""
     count = lambda t: F.regexp_count(F.coalesce(raw, F.lit("")), F.lit(t))
-    spelled = [f"{slash}{tag}>" for tag in once for slash in ("<", "</")]
-    others = [f"{slash}{tag}>" for tag in TAGS if tag not in once for slash in ("<", "</")]
-    # The reference lists an answer's tags before an observation's, and a search's, too.
-    order = sorted(others, key=lambda t: (("answer" not in t) and ("search" not in t), t.replace("/", "~")))
-    return _reasons(*[(count(t) != 1, f"{prefix}tag_count_{t}") for t in spelled], *[(count(t) > 0, f"{prefix}tag_{t}") for t in order])
+    return _reasons(*[(count(t) != 1, f"{prefix}tag_count_{t}") for t in once], *[(count(t) > 0, f"{prefix}tag_{t}") for t in never])
 
 
 def validate_trajectory(turns: Column, answered: Column, max_searches: int = 3) -> Column:
@@ -85,11 +88,11 @@ def validate_trajectory(turns: Column, answered: Column, max_searches: int = 3)
             info = r["t"]["information"]
             inside = F.regexp_like(F.coalesce(info, F.lit("")), F.lit(r"</?(?:think|search|information|answer)>"))
             malformed = F.when(r["p"]["strict"], F.array().cast("array<string>")).otherwise(r["p"]["reasons"])
-            told = F.concat(malformed, _reasons((info.isNull(), "missing_information_after_search"), (inside, "control_tag_inside_information")), _wrong_tags(r["t"]["raw_output"], ("think", "search"), "unexpected_"))
+            told = F.concat(malformed, _reasons((info.isNull(), "missing_information_after_search"), (inside, "control_tag_inside_information")), _wrong_tags(r["t"]["raw_output"], SEARCH_ONCE, SEARCH_NEVER, "unexpected_"))
             return F.when(r["p"]["action"] == "search", told).otherwise(F.array(F.lit("non_search_turn_before_final_answer")))
 
         cut = _reasons((F.exists(rows, lambda r: F.coalesce(r["t"]["hit_max_new_tokens"], F.lit(False))), "generation_hit_max_new_tokens"))
-        return F.concat(no_end, head, final, counts, F.flatten(F.transform(before, of_search)), _wrong_tags(last["t"]["raw_output"], ("think", "answer"), "unexpected_final_"), cut)
+        return F.concat(no_end, head, final, counts, F.flatten(F.transform(before, of_search)), _wrong_tags(last["t"]["raw_output"], FINAL_ONCE, FINAL_NEVER, "unexpected_final_"), cut)
 
     return F.when(F.coalesce(F.size(turns), F.lit(0)) < 1, F.concat(no_end, F.array(F.lit("no_generation_turn")))).otherwise(F.array_distinct(judge(parsed)))
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 0.9, 0.4
+#: Rows of (query, term) that are broadcast; numbers of one batch of a matrix product.
+MOST_TERMS, CELLS = 200_000, 1 << 22
+#: Queries of one broadcast.
+QUERIES = 10_000
 
 
 def terms(text):
@@ -16,19 +25,23 @@ def terms(text):
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, rank, doc_id, score) of queries (query_id, text) over docs (doc_id, text).
 
-    Postings are cut to the terms of the queries before they are counted, so documents are read once and
-    what is shuffled follows the queries' terms.
+    Documents are cut into words once: each gives its length and, of the terms that queries ask for, how often it has them. What is
+    shuffled follows those terms. The table of terms asked for is broadcast up to `MOST_TERMS`, and joined by shuffle beyond.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    split = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    tf = split.select("doc_id", "dl", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    wanted = asked.groupBy("term").agg(F.count("*").alias("askers"))
+    wanted = F.broadcast(wanted) if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted
+    split = docs.select("doc_id", terms(F.col("text")).alias("t"))
+    words = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term"), "term", "left_semi")
+    tf = words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = split.select(F.size("t").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = scored.withColumn("s", idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    sums = scored.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return top_k(sums, k)
+    met = asked.join(df, "term").crossJoin(F.broadcast(stats))
+    met = met.select("query_id", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    small = met.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    scored = tf.join(F.broadcast(met) if small else met, "term")
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return top_k(scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -40,19 +53,39 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def dense(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score) by inner product of queries (query_id, vector) and docs (doc_id, vector).
 
-    A flat index: every document meets every query of the batch. The caller states the batch's size, as it is broadcast.
+    A flat index: every document meets every query of the batch, as a product of matrices, block by block. A block of documents hands on its k best
+    for each query alone. Queries go out in broadcasts of at most `QUERIES` rows; a larger batch takes one pass over the documents for each.
     """
-    dot = F.aggregate(F.zip_with("q", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    met = docs.select("doc_id", "vector").join(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
-    return top_k(met.select("query_id", "doc_id", F.round(dot, 6).alias("score")), k)
-
-
-def fuse(lexical: DataFrame, vectors: DataFrame, k: int = 10, weights: tuple[float, float] = (4.0, 1.0)) -> DataFrame:
+    spark = docs.sparkSession
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").toLocalIterator()
+    found = None
+    while block := [(r["query_id"], r["vector"]) for r in islice(asked, QUERIES)]:
+        held = spark.sparkContext.broadcast(block)
+
+        def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names = np.array([i for i, _ in held.value], np.int64)
+            q = np.array([v for _, v in held.value], np.float64).T
+            for b in batches:
+                wide = max(1, CELLS // len(names))
+                for at in range(0, len(b), wide):
+                    part = b.slice(at, wide)
+                    ids = part.column(0).to_numpy()
+                    d = part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(part), -1)
+                    scores = np.round(d @ q, 6)
+                    order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(order))), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=0).ravel())], names=["query_id", "doc_id", "score"])
+
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "vector").mapInArrow(best, "query_id long, doc_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found if found is not None else spark.createDataFrame([], "query_id long, doc_id long, score double"), k)
+
+
+def fuse(lexical: DataFrame, vectors: DataFrame, k: int = 10, weights: tuple[float, float] = (4.0, 1.0), digits: int = 6) -> DataFrame:
     """Weighted sum of scores, each scaled by its query's best; a document that one side lacks scores zero there."""
     scale = lambda d, n: d.select("query_id", "doc_id", (F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).alias(n))
     both = scale(lexical, "a").join(scale(vectors, "b"), ["query_id", "doc_id"], "full")
     score = (weights[0] * F.coalesce("a", F.lit(0.0)) + weights[1] * F.coalesce("b", F.lit(0.0))) / sum(weights)
-    return top_k(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), k)
+    return top_k(both.select("query_id", "doc_id", F.round(score, digits).alias("score")), k)
 
 
 def mean_pool(vectors, mask):
@@ -71,3 +104,25 @@ def nested(results: DataFrame, scores: bool = True) -> DataFrame:
     """One row per query with its results in order."""
     got = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("results"))
     return got if scores else got.withColumn("results", F.col("results.doc_id"))
+
+
+def prefixed(text, kind: str, query: bool):
+    """Text as an encoder family wants it: `e5` marks queries and passages, `bge` gives queries an instruction."""
+    marks = {("e5", True): "query: ", ("e5", False): "passage: ", ("bge", True): "Represent this sentence for searching relevant passages: "}
+    return F.concat(F.lit(marks.get((kind, query), "")), text)
+
+
+def retriever(method: str):
+    """The search of a method, by name."""
+    known = {"bm25": bm25, "dense": dense}
+    if method not in known:
+        raise ValueError(f"no retrieval method {method!r}; there are {sorted(known)}")
+    return known[method]
+
+
+def cached(queries: DataFrame, cache: DataFrame, fetch, key: str = "key", value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """queries with their values, and the cache with what was missing. fetch is given the distinct missing keys as a DataFrame and returns
+    (key, value), for instance by mapInPandas with its own retries; it is called once."""
+    missing = queries.select(key).distinct().join(cache.select(key), key, "left_anti")
+    grown = cache.select(key, value).unionByName(fetch(missing).select(key, value))
+    return queries.join(grown, key, "left"), grown

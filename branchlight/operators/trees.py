@@ -31,11 +31,24 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 def node_values(nodes: DataFrame, max_depth: int, threshold: float | None = None) -> DataFrame:
     """tree_uid, node_uid, leaf_count, leaf_sum, node_value: the mean reward of the leaves below; with a
-    threshold rewards first become 1 or 0."""
+    threshold rewards first become 1 or 0.
+
+    Sums go up one level at a time, so each node is met once, whatever the depth. `depth` is that of the node in its tree. A
+    uid should stand in one row; one that stands in r rows counts as in a join of rows: r * r leaves of its own, and r times as many above.
+    """
     reward = F.coalesce(F.col("score"), F.lit(0.0)) if threshold is None else (F.coalesce(F.col("score"), F.lit(0.0)) >= F.lit(threshold)).cast("double")
-    ends = leaves(nodes).select(*KEY, reward.alias("reward"))
-    below = closure(nodes, max_depth).join(ends, list(KEY))
-    return below.groupBy("tree_uid", F.col("ancestor").alias("node_uid")).agg(F.count("*").alias("leaf_count"), F.sum("reward").alias("leaf_sum"), F.avg("reward").alias("node_value"))
+    below, found = None, None
+    for depth in range(max_depth, -1, -1):
+        level = nodes.filter(F.col("depth") == depth).groupBy(*KEY, "parent_node_uid").agg(F.count("*").alias("r"), F.sum(reward).alias("reward"))
+        if below is None:
+            level = level.select(*KEY, "parent_node_uid", "r", (F.col("r") * F.col("r")).alias("leaf_count"), (F.col("r") * F.col("reward")).alias("leaf_sum"))
+        else:
+            up = below.groupBy("tree_uid", F.col("parent_node_uid").alias("node_uid")).agg(F.sum(F.col("leaf_count") * F.col("r")).alias("n"), F.sum(F.col("leaf_sum") * F.col("r")).alias("s"))
+            # A node without children is a leaf, whatever it says of itself.
+            level = level.join(up, list(KEY), "left").select(*KEY, "parent_node_uid", "r", F.coalesce("n", F.col("r") * F.col("r")).alias("leaf_count"), F.coalesce("s", F.col("r") * F.col("reward")).alias("leaf_sum"))
+        found = level if found is None else found.unionByName(level)
+        below = level
+    return found.select(*KEY, "leaf_count", "leaf_sum", (F.col("leaf_sum") / F.col("leaf_count")).alias("node_value"))
 
 
 def sibling_credit(edges: DataFrame, clip: float = 3.0, eps: float = 1e-6) -> DataFrame:

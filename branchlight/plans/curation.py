@@ -99,7 +99,7 @@ def repeat_interleave(spark, sf_dir):
     """Copies of rows with their places in interleaved and in tiled order, from row numbers alone."""
     items = table(spark, sf_dir, "benchmark").select("item_id")
     n = items.agg(F.count("*").alias("n"))
-    at = items.alias("a").join(items.alias("b"), F.col("b.item_id") <= F.col("a.item_id")).groupBy(F.col("a.item_id").alias("item_id")).agg((F.count("*") - 1).alias("at"))
+    at = C.numbered(items, "item_id", "at")
     got = at.crossJoin(F.broadcast(n)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return got.select("item_id", "copy", (F.col("at") * 3 + F.col("copy")).alias("interleaved"), (F.col("copy") * F.col("n") + F.col("at")).alias("tiled"))
 

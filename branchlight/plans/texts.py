@@ -43,7 +43,10 @@ s AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda t: least(len(li
 SELECT conv_id, turn, round(CASE WHEN coalesce(same, 0) = 0 THEN 0 ELSE 2 * (same / len(a)) * (same / len(b)) / (same / len(a) + same / len(b)) END, 6) AS f1 FROM s""",
 )
 def token_f1(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", r6(T.best_f1(F.col("prediction"), F.array("gold")), "f1"))
+    # Normalised once as columns, then cut once: expressions inside a lambda would be evaluated for every element.
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", *[T.normalize_answer(F.col(c)).alias(n) for c, n in (("prediction", "p"), ("gold", "g"))])
+    rows = rows.withColumns({"a": T.tokens(F.col("p")), "b": T.tokens(F.col("g"))})
+    return rows.select("conv_id", "turn", r6(T.f1_of(*map(F.col, "pgab")), "f1"))
 
 
 @query("token_jaccard", f"WITH {PAIRS}, t AS (SELECT conv_id, turn, list_distinct({TOKENS.format(x='prediction')}) AS a, list_distinct({TOKENS.format(x='gold')}) AS b FROM pairs) SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM t")
