@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curate as C
+from ..sources import io
 from .registry import query
 from .relations import table
 
@@ -70,9 +71,9 @@ def query_cache(spark, sf_dir):
 def cache_merge(spark, sf_dir):
     """Two key-value caches in one; the right one wins."""
     orders = table(spark, sf_dir, "orders")
-    a = orders.filter("o_orderkey % 3 < 2").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("a"))
-    b = orders.filter("o_orderkey % 3 > 0").groupBy(F.col("o_custkey").alias("k")).agg((-F.max("o_orderkey")).alias("b"))
-    return a.join(b, "k", "full").select("k", F.coalesce("b", "a").alias("v"))
+    a = orders.filter("o_orderkey % 3 < 2").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
+    b = orders.filter("o_orderkey % 3 > 0").groupBy(F.col("o_custkey").alias("k")).agg((-F.max("o_orderkey")).alias("v"))
+    return io.merge_cache(a, b, "k", "v")
 
 
 _OTHER = "substr(sha256(a.n_name || b.n_name), 1, 16)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +23,13 @@ def read_jsonl(spark: SparkSession, *paths: str, schema: str | T.StructType, pro
     `_source_path` and `_source_line` (from one, blank lines counted) come along."""
     if not provenance:
         return spark.read.option("mode", "FAILFAST").schema(schema).json(list(paths))
-    # Line numbers need a whole file at hand; JSONL dumps are written in files of bounded size.
-    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("_source_path"), "value")
-    lines = files.select("_source_path", F.posexplode(F.split("value", "\n")).alias("at", "line")).filter(F.trim("line") != "")
-    parsed = lines.select("_source_path", (F.col("at") + 1).alias("_source_line"), F.from_json("line", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"}).alias("r"))
+    # Lines come in the order of the file within a split of it, and splits are told apart by where they begin. So a line's number is its
+    # place in its split and the lines of the splits before, and large files stay many tasks.
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("_source_path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), "value")
+    sizes = lines.groupBy("_source_path", "__start").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("_source_path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = lines.join(sizes, ["_source_path", "__start"]).withColumn("_source_line", (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("int")).filter(F.trim("value") != "")
+    parsed = placed.select("_source_path", "_source_line", F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("r.*", "_source_path", "_source_line")
 
 
@@ -63,6 +66,96 @@ def coalesced_messages(messages, prompt_path: str, response_path: str):
     return F.coalesce(F.from_json(messages, form), F.array(turn("user", prompt_path), turn("assistant", response_path)))
 
 
+def split_path(spark: SparkSession, folder: str, wanted: str = "test", forms: tuple[str, ...] = ("parquet", "jsonl", "json")) -> tuple[str, str]:
+    """(split, path) of a dataset folder: the split wanted, else test, dev or train, whichever is there first, in any of the forms. Looked up
+    with the cluster's file system, whatever the folder is on."""
+    jvm = spark.sparkContext._jvm
+    for split in dict.fromkeys((wanted, "test", "dev", "train")):
+        for form in forms:
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{split}.{form}")
+            if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                return split, path.toString()
+    raise FileNotFoundError(f"no split of {folder}")
+
+
+def read_dataset(spark: SparkSession, folder: str, schema: str, wanted: str = "test") -> DataFrame:
+    """Rows of a dataset folder's split with `split`, from Parquet, JSON lines or a JSON array."""
+    split, path = split_path(spark, folder, wanted)
+    rows = spark.read.schema(schema).parquet(path) if path.endswith(".parquet") else read_json_array(spark, path, schema) if path.endswith(".json") else read_jsonl(spark, path, schema=schema)
+    return rows.withColumn("split", F.lit(split))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(there)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder copied between any two file systems that the cluster knows; what is there already is replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
+#: Columns of the wide training form, in their order.
+WIDE = ("messages", "question", "question_id", "data_source", "teacher_model", "teacher_type", "trajectory", "original_trajectory", "trajectory_sha256", "original_trajectory_sha256", "messages_sha256", "original_token_length", "final_token_length", "compressed", "information_characters_removed", "information_tokens_removed", "information_blocks_compressed")
+
+
+def write_wide(rows: DataFrame, path: str) -> None:
+    """Training rows with messages as canonical JSON text and hashes of what they hold, as Parquet where nothing is yet."""
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    text = rows.withColumn("messages", canonical_messages(F.col("messages")))
+    hashed = text.withColumns({"messages_sha256": sha("messages"), "trajectory_sha256": sha("trajectory"), "original_trajectory_sha256": sha("original_trajectory")})
+    write_new(hashed.select(*WIDE), path)
+
+
+def canonical_messages(messages):
+    """JSON text of messages, keys in order and nothing between: content before role."""
+    return F.to_json(F.transform(messages, lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role"))), {"ignoreNullFields": "false"})
+
+
+def manifest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One small row for each row: its key, the hash of each column, and one hash of all."""
+    hashes = {c: F.sha2(F.col(c).cast("string").cast("binary"), 256) for c in columns}
+    one = F.sha2(F.concat_ws(":", F.col(key).cast("string"), *[F.coalesce(h, F.lit("")) for h in hashes.values()]).cast("binary"), 256)
+    return rows.select(key, *[h.alias(f"{c}_sha256") for c, h in hashes.items()], one.alias("row_sha256"))
+
+
+def save_batch(batch: DataFrame, path: str) -> None:
+    batch.write.mode("overwrite").parquet(path)
+
+
+def load_batch(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def save_cache(entries: DataFrame, path: str, key: str = "key", value: str = "value") -> str:
+    """The cache in a folder of generations with new entries, which win: a new generation is written whole beside the last, and a reader takes
+    the newest that was completed, so none sees half a cache. Writers must take turns. Returns the new generation's path."""
+    spark = entries.sparkSession
+    old = newest(spark, path)
+    merged = merge_cache(spark.read.parquet(old), entries, key, value) if old else entries.select(key, value)
+    n = int(old.rsplit("=", 1)[1]) + 1 if old else 0
+    merged.write.parquet(f"{path}/generation={n:08d}")
+    return f"{path}/generation={n:08d}"
+
+
+def newest(spark: SparkSession, path: str) -> str | None:
+    """Path of the newest completed generation of a cache."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(there):
+        return None
+    names = sorted(f.getPath().toString() for f in fs.listStatus(there))
+    done = [n for n in names if "generation=" in n and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{n}/_SUCCESS"))]
+    return done[-1] if done else None
+
+
 def write_new(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Write where nothing is yet; Spark's commit makes it appear as a whole."""
     df.write.mode("errorifexists").format(form).save(path)
