@@ -1,12 +1,21 @@
 """The pipeline's stages on the smallest tables."""
 
+from collections import Counter
+
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from branchlight.llm import langid, licenses, mixing, simhash
 from branchlight.llm import queries as llm
 
+from .test_operators import components_brute, leak_brute, phrases_brute, secrets_brute, simhash_brute, texts
+
+#: Columns of documents with names that stages use for themselves.
+CLASHING = ("language", "near", "component", "leak", "hash", "id", "same", "spans", "mix", "bits", "u", "found", "parts")
+
 
 def test_stages(spark, sf_dir, tmp_path):
     docs = first = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -43,3 +52,163 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
     got = __spark_entry__.queries()[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(found.fetchall(), key=repr)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, sf_dir):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns among documents of known languages."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(None if i is None else i + 10_000, t, "en" if i else None, None, len(t or "")) for i, t in texts()]
+    mixed = real.select("doc_id", "text", "lang", "source", "n_chars").limit(60).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    return mixed.withColumns({c: F.lit(c) for c in CLASHING})
+
+
+def brute_kept(docs, kept):
+    """Rows that a stage should leave, as (doc_id, text)."""
+    return Counter((r["doc_id"], r["text"]) for r in docs if kept(r))
+
+
+def test_stages_on_odd_rows(spark, sf_dir, odd, tmp_path):
+    docs = odd
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        got = stage(spark, docs, sf_dir)
+        if k < 4:
+            assert got.columns == odd.columns
+        got.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        rows = docs.collect()
+        assert rows and all(r[c] == c for r in rows for c in CLASHING)
+        have = Counter((r["doc_id"], r["text"]) for r in rows)
+        if name == "language ID":
+            assert have == brute_kept(before, lambda r: langid.has_letter(langid.folded(r["text"])))
+        elif name == "SimHash near-dedup":
+            prints = {r["text"]: simhash_brute(r["text"]) for r in before}
+            find = components_brute(list(prints.values()))
+            least = {}
+            for r in before:
+                c = find(prints[r["text"]])
+                least[c] = min((x for x in (least.get(c), r["doc_id"]) if x is not None), default=None)
+            want = {(prints[r["text"]], r["doc_id"]) for r in before if least[find(prints[r["text"]])] == r["doc_id"]}
+            assert {(prints[t], i) for i, t in have} == want and max(have.values()) == 1
+        elif name == "benchmark decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+            cut = {r["text"] for r in before}
+            found = {t: leak_fast(t, items) for t in cut}
+            assert have == brute_kept(before, lambda r: not found[r["text"]])
+        elif name == "secret scans":
+            assert len(rows) == len(before) and Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in before)
+            assert not any(secrets_brute(r["text"]) for r in rows) and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+            clean = {r["text"] for r in before if not secrets_brute(r["text"])}
+            assert sum(r["text"] in clean for r in rows) >= 0.9 * sum(r["text"] in clean for r in before)
+        else:
+            assert all(r["n_copies"] > 0 and r["rate"] >= 0 and abs(r["p_high"] + r["p_low"] + r["p_toxic"] - 1) < 1e-9 for r in rows)
+
+
+def leak_fast(text, items, window=10):
+    """Whether a window of an item stands in the text, words joined by blanks."""
+    n, hit, _ = leak_brute(text, [], window)
+    cut = lambda t: leak_words(t)
+    said = " " + " ".join(cut(text)) + " "
+    for _, item in items:
+        w = cut(item)
+        m = min(window, len(w))
+        if m and any(f" {' '.join(w[i : i + m])} " in said for i in range(len(w) - m + 1)):
+            return True
+    return False
+
+
+def leak_words(t):
+    import re
+
+    return [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())]
+
+
+def test_stages_on_empty_tables(spark, sf_dir, odd):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_mixing_stage_draws_by_rate(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rates = {r["doc_id"]: r["mix"]["rate"] for r in mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "mix").collect()}
+    got = {r["doc_id"]: (r["rate"], r["n_copies"]) for r in corpus_pipeline.source_mixing(spark, docs, sf_dir).collect()}
+    assert all(rate == rates[i] and int(rate) <= n <= int(rate) + 1 for i, (rate, n) in got.items())
+    assert all(rates[i] < 1 for i in rates if i not in got)
+
+
+def test_near_duplicates_of_the_query(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    prints = {i: simhash_brute(t) for i, t in rows}
+    find = components_brute(list(prints.values()))
+    least = {}
+    for i, p in prints.items():
+        least[find(p)] = min(i, least.get(find(p), i))
+    got = simhash.op4_simhash_near_dedup(spark, sf_dir).collect()
+    assert {tuple(r) for r in got} == {(i, f"{p:016x}", least[find(p)]) for i, p in prints.items()} and len(got) == len(rows)
+
+
+def test_languages_of_the_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    refs = langid.reference_texts(docs)
+    got = {r["doc_id"]: r for r in langid.op8_language_id(spark, sf_dir).collect()}
+    assert len(got) == docs.count() and {r["lang_pred"] for r in got.values()} <= {*refs, langid.UNDETERMINED}
+    wrong = 0
+    for r in docs.filter("length(text) < 700").collect():
+        data = langid.folded(r["text"])
+        counts = {k: phrases_brute(data, refs[k], langid.BLOCK) for k in sorted(refs)}
+        best = min(counts, key=counts.get)
+        assert got[r["doc_id"]]["lang_pred"] == (best if langid.has_letter(data) else langid.UNDETERMINED)
+        wrong += r["lang"] is not None and got[r["doc_id"]]["held_out"] and best != r["lang"]
+    assert wrong <= 1
+
+
+SHIPPED = {
+    "MIT": "Copyright (c) 2020 Someone\n\n{0}\n\nTHE SOFTWARE IS PROVIDED AS IS.",
+    "Apache-2.0": "/*\n * {0}\n */\nint main() {{ return 0; }}",
+    "BSD-3-Clause": "Copyright 2019.\n\n{0}\n\nAll of it.",
+    "GPL-3.0-or-later": "{0}\nimport os",
+    "MPL-2.0": "// {0}",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SHIPPED))
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_licenses_as_shipped(name, mark):
+    import textwrap
+
+    notice = licenses.NOTICES[name][-1]
+    # Paragraphs apart, lines wrapped, each behind a comment mark.
+    parts = notice.replace(": 1.", ":\n\n1.").replace(" 2. Redist", "\n\n2. Redist").replace(" 3. Neither", "\n\n3. Neither").replace("conditions: The", "conditions:\n\nThe").split("\n\n")
+    body = "\n\n".join(textwrap.fill(x, 60) for x in parts)
+    text = SHIPPED[name].format("\n".join((mark + line).rstrip() for line in body.split("\n")))
+    assert [x[0] for x in licenses.Scanner().scan(text)] == [name]
+
+
+@pytest.mark.parametrize("text", ["Permission to land was granted, free of charge, to any person.", "The license of the redistribution is a permission in free software circles.", "Apache trees, Version 2.0, are licensed by nobody; GNU is a General Public animal."])
+def test_license_near_misses(text):
+    assert licenses.Scanner().scan(text) == []
+
+
+def test_licenses_against_every_position(spark, sf_dir):
+    """Laying each notice over every place names the same licenses as laying it at words of licensing."""
+    s = licenses.Scanner()
+
+    def everywhere(text):
+        words, found = licenses.words_of(text), []
+        for i, (name, wanted, *_rest) in enumerate(s.templates):
+            size, wider = len(wanted), max(2, len(wanted) // 5)
+            for start in range(len(words)):
+                have = words[max(0, start - wider) : start + size + wider]
+                if sum((Counter(have) & Counter(wanted)).values()) < licenses.LEAST_SHARE * size or s.gain(words[start : start + size], i) < licenses.LEAST_GAIN:
+                    continue
+                share, differ, _, _ = s.confirm(have, i)
+                if share >= licenses.LEAST_SHARE and len(differ) <= max(2, (1 - licenses.LEAST_SHARE) * 2 * size):
+                    found.append(name)
+        return set(found)
+
+    rows = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) < 3000").select("text").collect()]
+    rows = [t for t in rows if t and licenses.TRIGGER.search(t)]
+    assert rows
+    for t in rows:
+        assert {x[0] for x in s.scan(t)} <= everywhere(t) and bool(s.scan(t)) == bool(everywhere(t))
