@@ -98,6 +98,16 @@ def arithmetic_column(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else arithmetic(t)).astype(float)
 
 
+def compressing(budget: int, count: Callable[[str], int], marker: str = "\n[...]\n"):
+    """compress_to_budget() as a column function, with a count of tokens given from outside."""
+
+    @F.pandas_udf(StringType())
+    def shorten(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else compress_to_budget(t, budget, count, marker))
+
+    return shorten
+
+
 def gsm8k_answer(text, strict: bool = True):
     """Number after ####, without commas and dollars; or the last number that is more than a dot."""
     if strict:

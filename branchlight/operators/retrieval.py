@@ -95,6 +95,13 @@ def mean_pool(vectors, mask):
     return F.transform(total, lambda x: F.try_divide(x, F.size(kept)))
 
 
+def pooled(vectors, mask, method: str):
+    """One vector of token vectors: the mean of those that the mask keeps, or the first (`cls`; also what a pooler head is given)."""
+    if method not in ("mean", "cls"):
+        raise ValueError(f"no pooling method {method!r}")
+    return mean_pool(vectors, mask) if method == "mean" else F.element_at(vectors, 1)
+
+
 def unit(vector):
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(vector, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
