@@ -42,6 +42,17 @@ def numbered(rows: DataFrame, key: str, into: str, buckets: int = 1024) -> DataF
     return cut.withColumn("__near", at).join(F.broadcast(sizes), "__b").withColumn(into, F.col("__near") + F.col("__before")).drop("__near", "__before", "__b")
 
 
+def running_sum(rows: DataFrame, by: list[str], key: str, order: list[str], value: str, into: str, buckets: int = 1024) -> DataFrame:
+    """rows with the sum of value up to each, within its group and in the order of a whole-number key and then of the rest of the order: the
+    sum within one of equally wide ranges of keys, and the sums of the ranges before. So a group of any size is many tasks."""
+    ends = rows.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))  # one row
+    cut = rows.crossJoin(F.broadcast(ends)).withColumn("__b", F.floor((F.col(key) - F.col("__lo")) * buckets / (F.col("__hi") - F.col("__lo") + 1))).drop("__lo", "__hi")
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "__b").agg(F.sum(value).alias("__k")).withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0))).drop("__k")
+    within = F.sum(value).over(Window.partitionBy(*by, "__b").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__in", within).join(sums, [*by, "__b"]).withColumn(into, F.col("__in") + F.col("__before")).drop("__in", "__before", "__b")
+
+
 def sample_per_group(rows: DataFrame, group: str, key: list[str], n: int, seed: int) -> DataFrame:
     """min(n, size) rows of each group, by a seeded draw."""
     return ranked(rows.withColumn("__draw", draw(seed, *key)), [group], ["__draw", *key], "__at").filter(F.col("__at") <= n).drop("__draw", "__at")

@@ -116,9 +116,9 @@ def derangement(spark, sf_dir):
 @query("running_budget", "SELECT o_orderkey, source, spent FROM (SELECT o_orderkey, o_orderpriority AS source, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 2) AS spent FROM orders) WHERE spent <= 1000000")
 def running_budget(spark, sf_dir):
     """Orders of each source, in turn, while a running sum stays within the budget."""
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
-    got = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("source"), F.round(F.sum("o_totalprice").over(w), 2).alias("spent"))
-    return got.filter("spent <= 1000000")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("source"), "o_totalprice")
+    got = C.running_sum(rows, ["source"], "o_orderkey", [], "o_totalprice", "spent")
+    return got.select("o_orderkey", "source", F.round("spent", 2).alias("spent")).filter("spent <= 1000000")
 
 
 @query("balanced_partitions")
@@ -132,9 +132,9 @@ def balanced_partitions(spark, sf_dir):
 @query("token_budget_batches", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor((sum(l_quantity) OVER w - l_quantity) / 100) AS BIGINT) AS batch FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING)")
 def token_budget_batches(spark, sf_dir):
     """Micro-batches of about a hundred tokens, in order, of each supplier's lines."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor((F.sum("l_quantity").over(w) - F.col("l_quantity")) / 100).alias("batch"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    got = C.running_sum(lines, ["l_suppkey"], "l_orderkey", ["l_linenumber", "l_partkey"], "l_quantity", "upto")
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor((F.col("upto") - F.col("l_quantity")) / 100).alias("batch"))
 
 
 @query("dataset_stats", "SELECT lang, count(*) AS n, count(*) - count(DISTINCT text) AS duplicates, min(n_chars) AS least, round(avg(n_chars), 4) AS mean, max(n_chars) AS most FROM documents GROUP BY lang")
