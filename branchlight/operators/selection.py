@@ -146,3 +146,14 @@ def on_first_row(rows: DataFrame, group: str, order: list[str], stat: str) -> Da
     """rows with the statistic on the first row of its group and zero on the others, so that sums count it once."""
     at = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn(stat, F.when(at == 1, F.col(stat)).otherwise(F.lit(0).cast(rows.schema[stat].dataType)))
+
+
+def path_intervals(nodes: DataFrame, lengths: Column, max_depth: int) -> DataFrame:
+    """(tree_uid, leaf, node_uid, start, stop) of each edge on each root-to-leaf path, in tokens of the leaf's response: an edge has as many as its
+    lower node adds, and the root has no edge. lengths: tokens that a node adds."""
+    ends = leaves(nodes).select("tree_uid", F.col("node_uid").alias("leaf")).distinct()
+    path = closure(nodes, max_depth).select("tree_uid", F.col("node_uid").alias("leaf"), F.col("ancestor").alias("node_uid"), "steps").distinct().join(ends, ["tree_uid", "leaf"])
+    edges = nodes.filter("parent_node_uid is not null").select(*KEY, lengths.alias("__n")).distinct()
+    upto = F.sum("__n").over(Window.partitionBy("tree_uid", "leaf").orderBy(F.desc("steps")).rowsBetween(Window.unboundedPreceding, 0))
+    got = path.join(edges, list(KEY)).withColumn("stop", upto)
+    return got.select("tree_uid", "leaf", "node_uid", (F.col("stop") - F.col("__n")).alias("start"), "stop")

@@ -116,7 +116,12 @@ def preference_pairs(spark, sf_dir):
     return rows.select("p_partkey", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size(F.filter("ids", lambda x: x == 2)).cast("long").alias("n_end"))
 
 
-@query("group_split_budget", None)
+@query(
+    "group_split_budget",
+    """WITH RECURSIVE g AS (SELECT o_custkey, n, row_number() OVER (ORDER BY substr(sha256('5:' || o_custkey), 1, 13), o_custkey) AS i FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)), b AS (SELECT greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS budget FROM orders),
+w AS (SELECT i, n AS taken, true AS picked FROM g WHERE i = 1 UNION ALL SELECT g.i, CASE WHEN taken < budget AND taken + n <= budget THEN taken + n ELSE taken END, taken < budget AND taken + n <= budget FROM w JOIN g ON g.i = w.i + 1, b)
+SELECT o_orderkey, CASE WHEN picked THEN 'val' ELSE 'train' END AS split FROM orders JOIN g USING (o_custkey) JOIN w ON w.i = g.i""",
+)
 def group_split_budget(spark, sf_dir):
     """Customers' orders in two splits, whole customers each, up to a tenth of the rows."""
     return C.split_by_budget(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 0.1, 5).select("o_orderkey", "split")

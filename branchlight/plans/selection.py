@@ -150,3 +150,14 @@ def stats_once(spark, sf_dir):
     """A tree's statistic on its first leaf row alone."""
     rows = S.on_first_row(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity")
     return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("counted"))
+
+
+@query(
+    "path_token_lengths",
+    f"""WITH {_UP}, p AS (SELECT tree_uid, node_uid AS leaf, node_uid, 0 AS steps FROM leaf UNION ALL SELECT l.tree_uid, l.node_uid, l.parent_node_uid, 1 FROM leaf l JOIN nodes n ON n.tree_uid = l.tree_uid AND n.node_uid = l.parent_node_uid WHERE n.parent_node_uid IS NOT NULL)
+SELECT leaf, node_uid, CAST(sum(length(node_uid)) OVER w - length(node_uid) AS BIGINT) AS start, CAST(sum(length(node_uid)) OVER w AS BIGINT) AS stop FROM p WINDOW w AS (PARTITION BY tree_uid, leaf ORDER BY steps DESC)""",
+)
+def path_token_lengths(spark, sf_dir):
+    """Token intervals of edges on each leaf's path; a node adds as many tokens as its name has letters."""
+    got = S.path_intervals(tree_nodes(spark, sf_dir), F.length("node_uid"), DEPTH)
+    return got.select("leaf", "node_uid", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
