@@ -100,7 +100,7 @@ def event_gates(spark, sf_dir):
     "sampled_nll",
     f"""WITH {TOKENS}, s AS (SELECT *, sum(m) OVER w AS nm, sum(1 - m) OVER w AS nk FROM tokens WINDOW w AS (PARTITION BY row_id)),
 x AS (SELECT row_id, lp, greatest(0, ref - lp) * (m * 0.2 / greatest(1, nm) + (1 - m) * 1.0 / greatest(1, nk)) * CASE WHEN row_id % 3 > 0 THEN 0.5 ELSE 0 END AS w FROM s)
-SELECT row_id, round(-sum(lp * w), 5) + 0.0 AS numerator, round(sum(w), 6) AS weight FROM x GROUP BY row_id""",
+SELECT row_id, round(-sum(lp * w), 9) + 0.0 AS numerator, round(sum(w), 9) AS weight FROM x GROUP BY row_id""",
 )
 def sampled_nll(spark, sf_dir):
     """Weighted negative log-likelihood of each response, thought tokens being those of the mask."""
@@ -108,7 +108,7 @@ def sampled_nll(spark, sf_dir):
     rows = responses(spark, sf_dir).withColumn("s", T.span_weights(F.col("m"), other))
     ones = F.transform("m", lambda x: F.lit(1.0))
     got = rows.withColumn("x", T.sampled_nll(F.col("lp"), F.col("ref"), ones, F.col("s"), F.col("row_id") % 3 > 0, F.lit(0.5)))
-    return got.select("row_id", (F.round("x.numerator", 5) + F.lit(0.0)).alias("numerator"), r6(F.col("x.weight"), "weight"))
+    return got.select("row_id", (F.round("x.numerator", 9) + F.lit(0.0)).alias("numerator"), F.round("x.weight", 9).alias("weight"))
 
 
 @query("skill_advantages", f"WITH {TOKENS} SELECT round(sum((ref - lp) * m), 3) + 0.0 AS total, round(sum(abs(ref - lp) * m), 3) AS size, count(*) FILTER (m > 0 AND ref - lp > 1e-9) AS positive, count(*) FILTER (m > 0) AS tokens FROM tokens")
