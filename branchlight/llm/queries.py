@@ -16,6 +16,9 @@ _OPERATORS = (
     ("langid", "op8_language_id"),
     ("chat", "op9_chat_format"),
     ("decontaminate", "op10_decontaminate"),
+    ("compression", "op11_compression_quality"),
+    ("divergence", "op12_source_divergence"),
+    ("merkle", "op13_merkle_manifest"),
 )
 
 
