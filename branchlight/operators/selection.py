@@ -92,11 +92,11 @@ def sibling_events(kids: DataFrame, least_gap: float, least_advantage: float = 0
     return got.select("tree_uid", "parent_node_uid", F.col("b.node_uid").alias("target"), "siblings", F.col("top").alias("target_value"), "value_gap", "raw_advantage", outcome.alias("outcome"))
 
 
-def path_events(nodes: DataFrame, events: DataFrame, max_depth: int, most: int, largest: float = 1.0) -> DataFrame:
+def path_events(nodes: DataFrame, events: DataFrame, most: int, largest: float = 1.0) -> DataFrame:
     """The last `most` events on the path from the root to each leaf, in order from the root, with weights min(largest, advantage / deviation),
     shared among the leaves below the event's parent. events: (tree_uid, node_uid, raw_advantage, deviation, leaf_count)."""
     ends = leaves(nodes).select(*KEY).distinct()
-    path = closure(nodes, max_depth).join(ends, list(KEY)).select("tree_uid", F.col("node_uid").alias("leaf"), F.col("ancestor").alias("node_uid"), "steps").distinct()
+    path = closure(nodes).join(ends, list(KEY)).select("tree_uid", F.col("node_uid").alias("leaf"), F.col("ancestor").alias("node_uid"), "steps").distinct()
     met = path.join(events, list(KEY))
     at = F.row_number().over(Window.partitionBy("tree_uid", "leaf").orderBy("steps"))
     strength = F.least(F.lit(largest), F.col("raw_advantage") / F.greatest(F.col("deviation"), F.lit(1e-6)))
@@ -148,11 +148,11 @@ def on_first_row(rows: DataFrame, group: str, order: list[str], stat: str) -> Da
     return rows.withColumn(stat, F.when(at == 1, F.col(stat)).otherwise(F.lit(0).cast(rows.schema[stat].dataType)))
 
 
-def path_intervals(nodes: DataFrame, lengths: Column, max_depth: int) -> DataFrame:
+def path_intervals(nodes: DataFrame, lengths: Column) -> DataFrame:
     """(tree_uid, leaf, node_uid, start, stop) of each edge on each root-to-leaf path, in tokens of the leaf's response: an edge has as many as its
     lower node adds, and the root has no edge. lengths: tokens that a node adds."""
     ends = leaves(nodes).select("tree_uid", F.col("node_uid").alias("leaf")).distinct()
-    path = closure(nodes, max_depth).select("tree_uid", F.col("node_uid").alias("leaf"), F.col("ancestor").alias("node_uid"), "steps").distinct().join(ends, ["tree_uid", "leaf"])
+    path = closure(nodes).select("tree_uid", F.col("node_uid").alias("leaf"), F.col("ancestor").alias("node_uid"), "steps").distinct().join(ends, ["tree_uid", "leaf"])
     edges = nodes.filter("parent_node_uid is not null").select(*KEY, lengths.alias("__n")).distinct()
     upto = F.sum("__n").over(Window.partitionBy("tree_uid", "leaf").orderBy(F.desc("steps")).rowsBetween(Window.unboundedPreceding, 0))
     got = path.join(edges, list(KEY)).withColumn("stop", upto)

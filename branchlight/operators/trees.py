@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import stored
+
 KEY = ("tree_uid", "node_uid")
 
 
-def closure(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """(tree_uid, ancestor, node_uid, steps) of every node and each of its ancestors, itself included.
+def paths(nodes: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Each node once, with the way up: KEY, parent_node_uid, rows (of the uid), leaf (it is no one's parent), path and the aggregates of `carry`.
 
-    Rollout trees are as deep as they have turns, so the closure is that many joins on (tree, parent).
+    path holds (uid, times) of all ancestors from the parent up; times is the product of the rows of the nodes below, one in a proper tree. Pointers are
+    doubled: a round appends to a path the path of its last node, so there are as many rounds as the logarithm of the depth, each a join by (tree, last
+    node) whose result is written down. It ends when no path grows. A cycle is an error, as is a uid with two parents. A parent without a row of its own ends a path.
     """
-    up = nodes.select("tree_uid", F.col("node_uid").alias("child"), F.col("parent_node_uid").alias("parent"))
-    level = nodes.select("tree_uid", F.col("node_uid").alias("ancestor"), "node_uid", F.lit(0).alias("steps"))
-    found = level
-    for _ in range(max_depth):
-        above = level.join(up, (level["tree_uid"] == up["tree_uid"]) & (level["ancestor"] == up["child"]) & up["parent"].isNotNull())
-        level = above.select(level["tree_uid"], F.col("parent").alias("ancestor"), "node_uid", (F.col("steps") + 1).alias("steps"))
-        found = found.unionByName(level)
-    return found
+    carry = carry or {}
+    parent = F.when(~F.max("parent_node_uid").eqNullSafe(F.min("parent_node_uid")), F.raise_error(F.lit("a node with two parents")).cast(nodes.schema["parent_node_uid"].dataType)).otherwise(F.max("parent_node_uid"))
+    one = nodes.groupBy(*KEY).agg(parent.alias("parent_node_uid"), F.count("*").alias("rows"), *[c.alias(n) for n, c in carry.items()])
+    kids = nodes.filter("parent_node_uid is not null").select("tree_uid", F.col("parent_node_uid").alias("node_uid"), F.lit(False).alias("__has")).distinct()
+    step = F.struct(F.col("parent_node_uid").alias("uid"), F.col("rows").alias("times"))
+    none = F.filter(F.array(step), lambda _: F.lit(False))
+    kept = [*KEY, "parent_node_uid", "rows", *carry, "leaf"]
+    state = one.join(kids, list(KEY), "left").withColumn("leaf", F.coalesce("__has", F.lit(True))).select(*kept, F.when(F.col("parent_node_uid").isNotNull(), F.array(step)).otherwise(none).alias("path"), F.col("parent_node_uid").alias("last"))
+    while True:
+        state = stored(state)
+        growing, loops = state.filter("last is not null").agg(F.count("*"), F.count_if(F.array_contains("path.uid", F.col("node_uid")))).first()
+        if loops:
+            raise ValueError(f"{loops} nodes are their own ancestors")
+        if not growing:
+            return state.drop("last")
+        above = state.select(F.col("tree_uid").alias("__t"), F.col("node_uid").alias("__n"), F.col("path").alias("__path"), F.col("last").alias("__last"))
+        longer = F.concat("path", F.transform(F.coalesce("__path", none), lambda x: F.struct(x["uid"].alias("uid"), (x["times"] * F.element_at("path", -1)["times"]).alias("times"))))
+        met = state.filter("last is not null").join(above, (F.col("tree_uid") == F.col("__t")) & (F.col("last") == F.col("__n")), "left")
+        state = state.filter("last is null").unionByName(met.select(*kept, longer.alias("path"), F.col("__last").alias("last")))
+
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """(tree_uid, ancestor, node_uid, steps) of every node and each of its ancestors, itself included, at any depth. A uid that stands in r rows
+    counts as in a join of rows."""
+    own = F.array(F.struct(F.col("node_uid").alias("uid"), F.lit(1).cast("long").alias("times")))
+    got = paths(nodes).select("tree_uid", "node_uid", "rows", F.posexplode(F.concat(own, "path")).alias("steps", "a"))
+    return got.select("tree_uid", F.col("a.uid").alias("ancestor"), "node_uid", "steps", F.explode(F.sequence(F.lit(1), F.col("rows") * F.col("a.times")))).drop("col")
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -29,26 +52,29 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(parents, list(KEY), "left_anti")
 
 
-def node_values(nodes: DataFrame, max_depth: int, threshold: float | None = None) -> DataFrame:
-    """tree_uid, node_uid, leaf_count, leaf_sum, node_value: the mean reward of the leaves below; with a
-    threshold rewards first become 1 or 0.
+def leaf_sums(nodes: DataFrame, rewards: dict[str, Column]) -> DataFrame:
+    """KEY, parent_node_uid, rows (of the uid; null of a root), leaf_count, and for each reward its sum over the leaves below: every leaf sends its sums
+    up its path, added up before and after one shuffle. A uid should stand in one row; one that stands in r rows counts as in a join of rows: r * r
+    leaves of its own, and r times as many above."""
+    ends = paths(nodes, {f"__{n}": F.sum(c) for n, c in rewards.items()}).filter("leaf")
+    own = F.array(F.struct(F.col("node_uid").alias("uid"), F.lit(1).cast("long").alias("times")))
+    way = ends.withColumn("__way", F.concat(own, "path")).select("*", F.posexplode("__way").alias("__i", "__a"))
+    named = way.select("tree_uid", F.col("__a.uid").alias("node_uid"), F.get("__way", F.col("__i") + 1)["uid"].alias("parent_node_uid"), F.expr("get(__way, __i + 1).times div __a.times").alias("rows"), (F.col("rows") * F.col("rows") * F.col("__a.times")).alias("n"), *[(F.col(f"__{n}") * F.col("rows") * F.col("__a.times")).alias(n) for n in rewards])
+    return named.groupBy(*KEY, "parent_node_uid").agg(F.max("rows").alias("rows"), F.sum("n").alias("leaf_count"), *[F.sum(n).alias(n) for n in rewards])
 
-    Sums go up one level at a time, so each node is met once, whatever the depth. `depth` is that of the node in its tree. A
-    uid should stand in one row; one that stands in r rows counts as in a join of rows: r * r leaves of its own, and r times as many above.
-    """
-    reward = F.coalesce(F.col("score"), F.lit(0.0)) if threshold is None else (F.coalesce(F.col("score"), F.lit(0.0)) >= F.lit(threshold)).cast("double")
-    below, found = None, None
-    for depth in range(max_depth, -1, -1):
-        level = nodes.filter(F.col("depth") == depth).groupBy(*KEY, "parent_node_uid").agg(F.count("*").alias("r"), F.sum(reward).alias("reward"))
-        if below is None:
-            level = level.select(*KEY, "parent_node_uid", "r", (F.col("r") * F.col("r")).alias("leaf_count"), (F.col("r") * F.col("reward")).alias("leaf_sum"))
-        else:
-            up = below.groupBy("tree_uid", F.col("parent_node_uid").alias("node_uid")).agg(F.sum(F.col("leaf_count") * F.col("r")).alias("n"), F.sum(F.col("leaf_sum") * F.col("r")).alias("s"))
-            # A node without children is a leaf, whatever it says of itself.
-            level = level.join(up, list(KEY), "left").select(*KEY, "parent_node_uid", "r", F.coalesce("n", F.col("r") * F.col("r")).alias("leaf_count"), F.coalesce("s", F.col("r") * F.col("reward")).alias("leaf_sum"))
-        found = level if found is None else found.unionByName(level)
-        below = level
-    return found.select(*KEY, "leaf_count", "leaf_sum", (F.col("leaf_sum") / F.col("leaf_count")).alias("node_value"))
+
+def node_values(nodes: DataFrame, threshold: float | None = None, also: dict[str, float] | None = None) -> DataFrame:
+    """KEY, parent_node_uid, rows, leaf_count, leaf_sum, node_value: the mean reward of the leaves below; with a threshold rewards first become 1 or 0. `also` names
+    more values by their thresholds, from the same pass."""
+    score = F.coalesce(F.col("score"), F.lit(0.0))
+    of = lambda t: score if t is None else (score >= F.lit(t)).cast("double")
+    got = leaf_sums(nodes, {"leaf_sum": of(threshold), **{n: of(t) for n, t in (also or {}).items()}})
+    return got.select(*KEY, "parent_node_uid", "rows", "leaf_count", "leaf_sum", (F.col("leaf_sum") / F.col("leaf_count")).alias("node_value"), *[(F.col(n) / F.col("leaf_count")).alias(n) for n in also or {}])
+
+
+def edges(values: DataFrame) -> DataFrame:
+    """node_values() of all nodes but roots, a row for each row of the uid."""
+    return values.filter("parent_node_uid is not null").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("__k")
 
 
 def sibling_credit(edges: DataFrame, clip: float = 3.0, eps: float = 1e-6) -> DataFrame:
@@ -67,19 +93,18 @@ def sibling_credit(edges: DataFrame, clip: float = 3.0, eps: float = 1e-6) -> Da
     return rows.withColumn("credit_raw", F.when(F.col("siblings") > 1, raw).otherwise(0.0)).withColumn("credit", F.least(F.lit(clip), F.greatest(F.lit(-clip), scaled))).withColumn("clipped", F.abs(scaled) > clip)
 
 
-def tree_diff(nodes: DataFrame, max_depth: int, margin: float = 0.0) -> DataFrame:
+def tree_diff(nodes: DataFrame, margin: float = 0.0) -> DataFrame:
     """Score (max(mean - parent mean - margin, 0) + mean) / sqrt(leaves) of every node below a root."""
-    values = node_values(nodes, max_depth)
-    links = nodes.filter("parent_node_uid is not null").select(*KEY, "parent_node_uid")
+    values = node_values(nodes)
     up = values.select("tree_uid", F.col("node_uid").alias("parent_node_uid"), F.col("node_value").alias("parent_value"))
-    joined = links.join(values, list(KEY)).join(up, ["tree_uid", "parent_node_uid"])
+    joined = edges(values).join(up, ["tree_uid", "parent_node_uid"])
     return joined.withColumn("diff", (F.greatest(F.col("node_value") - F.col("parent_value") - margin, F.lit(0.0)) + F.col("node_value")) / F.sqrt("leaf_count"))
 
 
-def prune(nodes: DataFrame, selected: DataFrame, max_depth: int) -> DataFrame:
+def prune(nodes: DataFrame, selected: DataFrame) -> DataFrame:
     """Nodes that are selected (tree_uid, node_uid) or have a selected node below them."""
-    keep = closure(nodes, max_depth).join(selected, list(KEY), "left_semi").select("tree_uid", F.col("ancestor").alias("node_uid")).distinct()
-    return nodes.join(keep, list(KEY), "left_semi")
+    way = paths(nodes).join(selected.select(*KEY), list(KEY), "left_semi").select("tree_uid", F.explode(F.concat(F.array("node_uid"), F.col("path.uid"))).alias("node_uid"))
+    return nodes.join(way.distinct(), list(KEY), "left_semi")
 
 
 def uncertainty(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from ..operators import trees
 from .registry import query
 from .relations import NODES, r6, table, tree_nodes
 
-DEPTH = 2
 _SHARE = lambda key: f"(CAST('0x' || substr(sha256({key}), 1, 13) AS UBIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE)"
 _CANDIDATES = f"""{NODES}, kid AS (SELECT tree_uid, parent_node_uid AS node_uid, count(*) AS children, greatest(0, coalesce(-avg(log_prob_node), 0)) AS uncertainty FROM nodes WHERE parent_node_uid IS NOT NULL GROUP BY ALL),
 c AS (SELECT tree_uid, node_uid, depth, children, uncertainty, max(depth) OVER (PARTITION BY tree_uid) AS deepest, CASE depth WHEN 0 THEN CAST(0.23255813953488372 AS DOUBLE) WHEN 1 THEN CAST(0.20754716981132076 AS DOUBLE) ELSE CAST(0.11363636363636363 AS DOUBLE) END AS prior FROM nodes JOIN kid USING (tree_uid, node_uid)),
@@ -66,7 +65,7 @@ SELECT tree_uid, count(*) AS n_nodes FROM kept WHERE node_uid IS NOT NULL GROUP
 def leaf_sample_prune(spark, sf_dir):
     """Trees cut down to two sampled leaves and what leads to them."""
     nodes = tree_nodes(spark, sf_dir)
-    kept = trees.prune(nodes, S.sample_leaves(nodes, 2, 24), DEPTH)
+    kept = trees.prune(nodes, S.sample_leaves(nodes, 2, 24))
     return kept.select("tree_uid", "node_uid").distinct().groupBy("tree_uid").agg(F.count("*").alias("n_nodes"))
 
 
@@ -98,7 +97,7 @@ def path_events(spark, sf_dir):
     """The last event on each leaf's path, with its weight."""
     nodes = tree_nodes(spark, sf_dir)
     events = nodes.filter("depth = 1").select("tree_uid", "node_uid", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("raw_advantage"), F.lit(0.25).alias("deviation"), F.lit(3).alias("leaf_count"))
-    return S.path_events(nodes, events, DEPTH, 1).select("leaf", "node_uid", "steps", F.round("weight", 6).alias("weight"))
+    return S.path_events(nodes, events, 1).select("leaf", "node_uid", "steps", F.round("weight", 6).alias("weight"))
 
 
 def _codes(c):
@@ -159,5 +158,5 @@ SELECT leaf, node_uid, CAST(sum(length(node_uid)) OVER w - length(node_uid) AS B
 )
 def path_token_lengths(spark, sf_dir):
     """Token intervals of edges on each leaf's path; a node adds as many tokens as its name has letters."""
-    got = S.path_intervals(tree_nodes(spark, sf_dir), F.length("node_uid"), DEPTH)
+    got = S.path_intervals(tree_nodes(spark, sf_dir), F.length("node_uid"))
     return got.select("leaf", "node_uid", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))

@@ -9,7 +9,6 @@ from ..operators import trees
 from .registry import query
 from .relations import NODES, r6, table, tree_nodes
 
-DEPTH = 2
 #: The same closure in SQL, recursively.
 _CLOSURE = f"""RECURSIVE {NODES},
 closure AS (
@@ -22,15 +21,13 @@ vals AS (SELECT c.tree_uid, c.ancestor AS node_uid, count(*) AS leaf_count, sum(
 
 @query("tree_closure", f"WITH {_CLOSURE} SELECT ancestor, count(*) - 1 AS n_descendants, max(steps) AS height FROM closure GROUP BY tree_uid, ancestor")
 def tree_closure(spark, sf_dir):
-    got = trees.closure(tree_nodes(spark, sf_dir), DEPTH)
+    got = trees.closure(tree_nodes(spark, sf_dir))
     return got.groupBy("tree_uid", "ancestor").agg((F.count("*") - 1).alias("n_descendants"), F.max("steps").alias("height")).drop("tree_uid")
 
 
 @query("tree_node_values", f"WITH {_CLOSURE} SELECT node_uid, leaf_count, round(leaf_sum, 6) + 0.0 AS leaf_sum, round(node_value, 10) + 0.0 AS node_value, round(correct_value, 10) + 0.0 AS correct_value FROM vals")
 def tree_node_values(spark, sf_dir):
-    nodes = tree_nodes(spark, sf_dir)
-    right = trees.node_values(nodes, DEPTH, 0.5).select("tree_uid", "node_uid", F.col("node_value").alias("correct_value"))
-    got = trees.node_values(nodes, DEPTH).join(right, ["tree_uid", "node_uid"])
+    got = trees.node_values(tree_nodes(spark, sf_dir), also={"correct_value": 0.5})
     return got.select("node_uid", "leaf_count", r6(F.col("leaf_sum"), "leaf_sum"), *[(F.round(c, 10) + F.lit(0.0)).alias(c) for c in ("node_value", "correct_value")])
 
 
@@ -43,10 +40,7 @@ credit AS (SELECT *, greatest(-3, least(3, s)) AS credit, abs(s) > 3 AS clipped
 
 
 def _credit(spark, sf_dir):
-    nodes = tree_nodes(spark, sf_dir)
-    values = trees.node_values(nodes, DEPTH)
-    edges = nodes.filter("parent_node_uid is not null").select("tree_uid", "parent_node_uid", "node_uid").join(values, ["tree_uid", "node_uid"])
-    return trees.sibling_credit(edges)
+    return trees.sibling_credit(trees.edges(trees.node_values(tree_nodes(spark, sf_dir))))
 
 
 @query("sibling_credit", f"WITH {_CREDIT} SELECT node_uid, siblings, round(baseline, 8) + 0.0 AS baseline, round(credit_raw, 8) + 0.0 AS credit_raw, round(credit, 4) + 0.0 AS credit FROM credit")
@@ -104,14 +98,14 @@ def credit_by_segment(spark, sf_dir):
 FROM nodes n JOIN vals v ON v.tree_uid = n.tree_uid AND v.node_uid = n.node_uid JOIN vals p ON p.tree_uid = n.tree_uid AND p.node_uid = n.parent_node_uid""",
 )
 def tree_diff(spark, sf_dir):
-    return trees.tree_diff(tree_nodes(spark, sf_dir), DEPTH).select("node_uid", (F.round("diff", 8) + F.lit(0.0)).alias("diff"))
+    return trees.tree_diff(tree_nodes(spark, sf_dir)).select("node_uid", (F.round("diff", 8) + F.lit(0.0)).alias("diff"))
 
 
 @query("tree_prune", f"WITH {_CLOSURE} SELECT DISTINCT c.ancestor AS node_uid FROM closure c JOIN leaf l ON l.tree_uid = c.tree_uid AND l.node_uid = c.node_uid WHERE l.score >= CAST(0.95 AS DOUBLE)")
 def tree_prune(spark, sf_dir):
     """Nodes left when the leaves of the highest reward are selected."""
     nodes = tree_nodes(spark, sf_dir)
-    return trees.prune(nodes, trees.leaves(nodes).filter("score >= 0.95D"), DEPTH).select("node_uid")
+    return trees.prune(nodes, trees.leaves(nodes).filter("score >= 0.95D")).select("node_uid")
 
 
 @query(
@@ -142,7 +136,7 @@ WHERE a.lo = 1 AND b.hi = 1 AND a.n > 1 AND round(b.value, 9) - round(a.value, 9
 )
 def sibling_contrasts(spark, sf_dir):
     nodes = tree_nodes(spark, sf_dir)
-    values = trees.node_values(nodes, DEPTH).withColumn("node_value", F.round("node_value", 9))
+    values = trees.node_values(nodes).withColumn("node_value", F.round("node_value", 9))
     return trees.contrasts(nodes, values, 0.25).select("parent_node_uid", F.col("worst.node_uid").alias("worst"), F.col("best.node_uid").alias("best"), r6(F.col("best.value") - F.col("worst.value"), "gap"))
 
 
@@ -168,7 +162,7 @@ def path_token_intervals(spark, sf_dir):
     """Credit of each edge of each root-to-leaf path over the tokens of that edge (ten each); the root has none."""
     nodes = tree_nodes(spark, sf_dir)
     ends = trees.leaves(nodes).select("tree_uid", "node_uid")
-    path = trees.closure(nodes, DEPTH).join(ends, ["tree_uid", "node_uid"]).withColumnRenamed("node_uid", "leaf")
+    path = trees.closure(nodes).join(ends, ["tree_uid", "node_uid"]).withColumnRenamed("node_uid", "leaf")
     credit = _credit(spark, sf_dir).select("tree_uid", F.col("node_uid").alias("ancestor"), "credit")
     at = F.row_number().over(Window.partitionBy("tree_uid", "leaf").orderBy(F.desc("steps")))
     got = path.join(credit, ["tree_uid", "ancestor"]).withColumn("at", at)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from .tail import register
+
 
 def encode(step: Column, metrics: Column) -> Column:
     """`step:<int> - key:<float> - key:<float>` of a map, keys sorted."""
@@ -33,10 +35,9 @@ def with_change(points: DataFrame) -> DataFrame:
     return points.withColumn("change", F.col("value") - F.lag("value").over(w))
 
 
-def follow(spark: SparkSession, folder: str) -> DataFrame:
-    """Points of a growing folder of log files as a stream, with their change; a step that is not later than
-    the last one seen of its key is stale and dropped. State per key is its last step and value."""
-    points = parse(spark.readStream.text(folder))
+def advancing(points: DataFrame) -> DataFrame:
+    """A stream of points (key, step, value) with their change; a step that is not later than the last one seen of its key is
+    stale and dropped. State per key is its last step and value."""
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, previous = state.get if state.exists else (-1, float("nan"))
@@ -50,3 +51,13 @@ def follow(spark: SparkSession, folder: str) -> DataFrame:
         yield pd.DataFrame(out, columns=["key", "step", "value", "change"])
 
     return points.groupBy("key").applyInPandasWithState(advance, "key string, step long, value double, change double", "last long, previous double", "append", "NoTimeout")
+
+
+def follow(spark: SparkSession, folder: str) -> DataFrame:
+    """advancing() points of a growing folder of finished log files."""
+    return advancing(parse(spark.readStream.text(folder)))
+
+
+def tail(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """advancing() points of log files that are being written: appended lines, lines in two parts, rotation and truncation; see streaming.tail."""
+    return advancing(parse(register(spark).readStream.format("log_tail").option("path", path).options(**options).load()))

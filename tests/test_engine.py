@@ -66,10 +66,10 @@ def nodes(spark):
 
 def test_tree_values_and_pruning(spark):
     n = nodes(spark)
-    assert {r["node_uid"]: r["node_value"] for r in trees.node_values(n, 2, 0.8).collect()} == {"r": pytest.approx(1 / 3), "a": 0.5, "b": 0.0, "c": 1.0, "d": 0.0}
+    assert {r["node_uid"]: r["node_value"] for r in trees.node_values(n, 0.8).collect()} == {"r": pytest.approx(1 / 3), "a": 0.5, "b": 0.0, "c": 1.0, "d": 0.0}
     assert {r["node_uid"] for r in trees.leaves(n).collect()} == {"b", "c", "d"}
-    assert {r["node_uid"] for r in trees.prune(n, n.filter("node_uid = 'd'"), 2).collect()} == {"r", "a", "d"}
-    assert trees.closure(n, 2).count() == 5 + 4 + 2
+    assert {r["node_uid"] for r in trees.prune(n, n.filter("node_uid = 'd'")).collect()} == {"r", "a", "d"}
+    assert trees.closure(n).count() == 5 + 4 + 2
 
 
 @pytest.mark.parametrize(
