@@ -33,6 +33,8 @@ TOP = 200
 SCALE = 1_000_000_000
 #: Groups whose totals and names are broadcast; more are joined by a salted shuffle.
 BROADCAST_GROUPS, SALTS = 50_000, 64
+#: A task counts texts of so many bytes, or terms of a group, before it sends counts on.
+HELD_BYTES, HELD_TERMS = 32 << 20, 1 << 18
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -40,17 +42,25 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term in each group."""
 
+    def rows(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (k, s), (n, seen) in groups.items():
+            cols = [pa.array([k] * len(n), pa.string()), pa.array([s] * len(n), pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([seen[t] for t in n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        read = 0
         for b in batches:
-            groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
             for key, t in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), as_bytes(b.column(2)), strict=True):
                 terms = _TERM.findall(t.translate(_LOWER))
                 n, seen = groups.setdefault(key, (Counter(), Counter()))
                 n.update(terms)
                 seen.update(set(terms))
-            for (k, s), (n, seen) in groups.items():
-                cols = [pa.array([k] * len(n), pa.string()), pa.array([s] * len(n), pa.string()), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([seen[t] for t in n], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
+                read += len(t)
+                if read > HELD_BYTES or len(n) > HELD_TERMS:
+                    yield from rows(groups)
+                    groups, read = {}, 0
+        yield from rows(groups)
 
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text)])
     found = read.mapInArrow(counted, "lang string, source string, term string, n bigint, docs bigint")
@@ -102,12 +112,14 @@ def wide_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 
 def pair_divergence(wide: DataFrame, groups: _Groups) -> DataFrame:
     """(lang, source, item, value): each source of a language against each other one."""
-    every = F.sequence(F.lit(0), F.size("n") - 1)
-    rows = wide.select("lang", "n", "p", every.alias("every"), F.filter(every, lambda i: F.get("n", i) > 0).alias("having"))
-    # Contributions of pairs of which one at least has the term.
-    facing = lambda i: F.filter(F.when(F.get("n", i) > 0, F.col("every")).otherwise(F.col("having")), lambda j: i != j)
-    of_one = lambda i: F.transform(facing(i), lambda j: F.struct(i.alias("i"), j.alias("j"), weight(F.get("p", i), F.get("p", j)).alias("f")))
-    summed = rows.select("lang", F.explode(F.flatten(F.transform("every", of_one))).alias("e")).groupBy("lang", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.f").alias("f"), F.count("*").alias("terms"))
+    # Contributions of pairs i < j of which one at least has the term, in both directions.
+    with_one = lambda i: F.when(F.get("n", i) > 0, F.sequence(i + 1, F.size("n") - 1)).otherwise(F.filter("having", lambda j: j > i))
+    of_pair = lambda i: F.transform(with_one(i), lambda j: F.struct((i * F.size("n") + j).alias("at"), weight(F.get("p", i), F.get("p", j)).alias("f"), weight(F.get("p", j), F.get("p", i)).alias("back")))
+    first = F.sequence(F.lit(0), F.size("n") - 2)
+    rows = wide.filter(F.size("n") > 1).select("lang", "n", "p", F.filter(F.sequence(F.lit(0), F.size("n") - 1), lambda i: F.get("n", i) > 0).alias("having"))
+    summed = rows.select("lang", F.size("n").alias("s"), F.explode(F.flatten(F.transform(first, of_pair))).alias("e")).groupBy("lang", "s", F.col("e.at").alias("at")).agg(F.sum("e.f").alias("f"), F.sum("e.back").alias("back"), F.count("*").alias("terms"))
+    i, j = F.floor(F.col("at") / F.col("s")).cast("int"), (F.col("at") % F.col("s")).cast("int")
+    summed = summed.select("lang", "terms", F.explode(F.array(F.struct(i.alias("i"), j.alias("j"), "f"), F.struct(j.alias("i"), i.alias("j"), F.col("back").alias("f")))).alias("e")).select("lang", "terms", "e.*")
     one = groups.frame.select("lang", "sources", "totals", "kinds", F.posexplode("sources").alias("i", "source"))
     pairs = one.select("lang", "kinds", "totals", "i", "source", F.posexplode("sources").alias("j", "item")).filter("i <> j")
     zero = F.lit(0).cast("bigint")
