@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .curate import draw
+from .rounds import stored
+
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of k of n; (0, 0) of none."""
@@ -21,18 +26,60 @@ def explained_variance(predicted: str, actual: str) -> Column:
     return 1 - F.var_samp(F.col(actual) - F.col(predicted)) / (F.var_samp(actual) + 1e-5)
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, samples: int = 10_000, seed: int = 0) -> DataFrame:
-    """Percentile 95 % interval of the mean of each group. A group's values are counted by value first, so a
-    task gets as many rows as there are different values, and resamples are multinomial draws of counts."""
+#: A group's values are dealt to so many buckets, by value.
+BUCKETS = 64
+
+
+def _resamples(pdf: pd.DataFrame, samples: int, seed: int, name: str) -> pd.DataFrame:
+    """For one group with the size n of each bucket: how many of the draws of each resample fall into it, as one array a bucket."""
+    pdf = pdf.sort_values("bucket")
+    sizes = pdf["n"].to_numpy(np.int64)
+    rng = np.random.default_rng([seed, *hashlib.sha256(str(name).encode()).digest()[:8]])
+    draws = np.concatenate([rng.multinomial(sizes.sum(), sizes / sizes.sum(), size=min(500, samples - at)) for at in range(0, samples, 500)])
+    return pdf.assign(draws=list(draws.T))
+
+
+def bootstrap(rows: DataFrame, group: str, value: str, samples: int = 10_000, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """(group, mean, low, high, n): percentile 95 % interval of the mean of each group, by resamples as large as the group.
+
+    Equal values are counted first and dealt to buckets by a hash of the value. One multinomial draw a resample splits its size over the
+    buckets; in each bucket, a task of its own, a second one splits that over the values. Both are seeded by group and bucket, so the result
+    is the same however rows are partitioned. A bucket sends one sum a resample; the sums of a resample are added in the order of buckets. Null values do not count.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k")).withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    counts = stored(counts)
+    sizes = counts.groupBy("g", "bucket").agg(F.sum("k").alias("n"))
+    split = sizes.groupBy("g").applyInPandas(lambda pdf: _resamples(pdf, samples, seed, pdf["g"].iloc[0]), f"g {kind}, bucket int, n long, draws array<long>")
+
+    def summed(key: tuple, values: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        if drawn.empty or values.empty:
+            return pd.DataFrame({"g": [], "bucket": [], "sums": []})
+        values = values.sort_values("v")
+        v, share = values["v"].to_numpy(float), values["k"].to_numpy(float) / values["k"].sum()
+        rng = np.random.default_rng([seed, 1, int(key[1]), *hashlib.sha256(str(key[0]).encode()).digest()[:8]])
+        draws = np.asarray(drawn["draws"].iloc[0], np.int64)
+        step = max(1, (1 << 22) // len(v))  # a block of draws at a time
+        sums = np.concatenate([rng.multinomial(draws[at : at + step], share) @ v for at in range(0, len(draws), step)])
+        return pd.DataFrame({"g": [key[0]], "bucket": [key[1]], "sums": [sums]})
+
+    parts = counts.groupBy("g", "bucket").cogroup(split.groupBy("g", "bucket")).applyInPandas(summed, f"g {kind}, bucket int, sums array<double>")
+    means = parts.select("g", "bucket", F.posexplode("sums").alias("at", "s")).groupBy("g", "at").agg(F.sort_array(F.collect_list(F.struct("bucket", "s"))).alias("x"))
+    means = means.select("g", F.aggregate("x.s", F.lit(0.0), lambda a, s: a + s).alias("s"))
+    whole = counts.groupBy("g").agg(F.sum("k").alias("n"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
+    bounds = means.groupBy("g").agg(F.percentile("s", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return whole.join(bounds, "g").select(F.col("g").alias(group), "mean", (F.col("q")[0] / F.col("n")).alias("low"), (F.col("q")[1] / F.col("n")).alias("high"), "n")
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        n = int(pdf["n"].sum())
-        rng = np.random.default_rng(seed)
-        values, shares = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float) / n
-        means = np.concatenate([rng.multinomial(n, shares, size=500) @ values / n for _ in range(-(-samples // 500))])[:samples]
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "mean": [float(values @ shares)], "low": [float(low)], "high": [float(high)], "n": [n]})
 
-    counts = rows.groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    return counts.groupBy(group).applyInPandas(interval, f"{group} {rows.schema[group].dataType.simpleString()}, mean double, low double, high double, n long")
+def bootstrap_by_index(rows: DataFrame, group: str, order: list[str], value: str, samples: int, seed: int) -> DataFrame:
+    """The same interval from draws that any engine can repeat: draw i of resample r takes the row whose place in the group's order is
+    floor(u * n), u from a SHA-256 of seed, group, r and i. It costs a row for each draw, n * samples in all; no task holds a group."""
+    placed = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("at"))
+    placed = placed.withColumn("at", F.col("at") - 1)
+    whole = placed.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    draws = whole.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("r")).select("g", "n", "r", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
+    share = F.conv(draw(seed, "g", "r", "i"), 16, 10).cast("double") / float(16**13)
+    picks = draws.select("g", "r", F.floor(share * F.col("n")).cast("int").alias("at")).groupBy("g", "r", "at").agg(F.count("*").alias("k"))
+    means = picks.join(placed, ["g", "at"]).groupBy("g", "r").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
+    bounds = means.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return whole.join(bounds, "g").select(F.col("g").alias(group), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import stored
+
 
 def draw(seed: int, *key: str) -> Column:
     """A repeatable random order: 13 hex digits of a SHA-256 over seed and key, the same in any engine."""
@@ -104,28 +106,61 @@ def union_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.drop(*[f"__r_{c}" for c in both])
 
 
+#: Beginnings of draws are told apart by so many hex digits more in each round of a search; as many sums reach the driver at most.
+_DIGITS = 3
+_DRAWN = 13
+
+
+def _overflow(sizes: DataFrame, room: int) -> tuple[str, int] | None:
+    """The first draw whose group does not fit when groups (__draw, __n) are taken in order, and the rows taken before; None if all fit.
+    Sums by the beginning of the draw lead to the beginning in which the room ends, and so on into it."""
+    beginning, taken = "", 0
+    while True:
+        width = min(_DRAWN, len(beginning) + _DIGITS)
+        within = sizes.filter(F.col("__draw").startswith(beginning)) if beginning else sizes
+        sums = within.groupBy(F.substring("__draw", 1, width).alias("p")).agg(F.sum("__n").alias("n")).orderBy("p").collect()
+        for r in sums:
+            if taken + r["n"] > room:
+                break
+            taken += r["n"]
+        else:
+            return None
+        beginning = r["p"]
+        if width == _DRAWN:
+            return beginning, taken
+
+
 def split_by_budget(rows: DataFrame, group: str, ratio: float, seed: int) -> DataFrame:
     """rows with `split`: whole groups go to val, in the order of a seeded draw, as long as their rows fit in the budget of ratio of
-    all rows (one at least); one that does not fit is passed over. The table of group sizes is walked in one task, as each
-    step depends on the one before; groups beyond the first that fills the budget are not walked."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).withColumn("__draw", draw(seed, group))
-    total, groups = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*")).first()
+    all rows (the first in any case); one that does not fit is passed over. If that were all groups, the first goes to train.
+
+    Of groups that may still fit (size within the room left) all up to the one at which the room ends are taken at once, and that one is passed
+    over; then the same with the room that is left, behind it. Where the room ends is found by sums over ranges of draws, so the driver
+    sees at most 4096 sums at a time and no key. There are as many rounds as sizes that overflow, each smaller than the one before.
+    Groups whose draws are equal (52 bits) are taken or passed over together.
+    """
+    sizes = stored(rows.groupBy(group).agg(F.count("*").alias("__n")).withColumn("__draw", draw(seed, group)))
+    total, groups, first = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count("*"), F.min(F.struct("__draw", "__n"))).first()
     budget = max(1, int(total * ratio)) if ratio > 0 and total > 1 else 0
-    chosen: list = []
-    taken = 0
+    picked = F.lit(False)
     if budget and groups > 1:
-        for r in sizes.orderBy("__draw", group).toLocalIterator():
-            if taken + r["__n"] <= budget or not chosen:
-                chosen.append(r[group])
-                taken += r["__n"]
-            if taken >= budget:
+        taken, after = first["__n"], first["__draw"]
+        picked = F.col("__draw") == first["__draw"]
+        while taken < budget:
+            room = budget - taken
+            fitting = sizes.filter((F.col("__draw") > after) & (F.col("__n") <= room))
+            found = _overflow(fitting.select("__draw", "__n"), room)
+            span = (F.col("__draw") > after) & (F.col("__n") <= room)
+            if found is None:
+                taken += fitting.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+                picked = picked | span
                 break
+            picked = picked | (span & (F.col("__draw") < found[0]))
+            after, taken = found[0], taken + found[1]
         if taken == total:
-            chosen.pop(0)
-    # At most as many keys as the budget has rows.
-    picked = rows.sparkSession.createDataFrame([(c,) for c in chosen], rows.select(F.col(group).alias("__g")).schema).withColumn("__in", F.lit(True))
-    named = rows.join(picked, F.col(group) == F.col("__g"), "left").withColumn("split", F.when(F.col("__in"), "val").otherwise("train"))
-    return named.drop("__g", "__in")
+            picked = picked & (F.col("__draw") != first["__draw"])
+    named = sizes.select(F.col(group).alias("__g"), F.when(picked, "val").otherwise("train").alias("split"))
+    return rows.join(named, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def fraction_sample(rows: DataFrame, key: list[str], fraction: float, seed: int) -> DataFrame:

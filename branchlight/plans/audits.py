@@ -121,6 +121,24 @@ def bootstrap_interval(spark, sf_dir):
     return audit.bootstrap(rollouts(spark, sf_dir), "data_source", "score", samples=2000)
 
 
+@query(
+    "paired_interval",
+    f"""WITH {ROLLOUTS}, p AS (SELECT data_source, uid, max(CASE WHEN line % 2 = 1 THEN {_RIGHT} ELSE 0 END) - max(CASE WHEN line % 2 = 0 THEN {_RIGHT} ELSE 0 END) AS delta, avg(score) AS s FROM rollouts GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY uid) - 1 AS place, count(*) OVER (PARTITION BY data_source) AS n FROM p),
+d AS (SELECT data_source, r, floor(CAST('0x' || substr(sha256('47:' || data_source || ':' || r || ':' || i), 1, 13) AS UBIGINT) / CAST(4503599627370496 AS DOUBLE) * n) AS place FROM (SELECT data_source, n, place AS i FROM o), range(40) AS t(r)),
+m AS (SELECT data_source, r, avg(delta) AS m FROM d JOIN o USING (data_source, place) GROUP BY ALL),
+b AS (SELECT data_source, quantile_cont(m, [0.025, 0.975]) AS q FROM m GROUP BY 1)
+SELECT data_source, n, round(mean, 6) + 0.0 AS mean, round(q[1], 6) + 0.0 AS low, round(q[2], 6) + 0.0 AS high FROM b JOIN (SELECT data_source, count(*) AS n, avg(delta) AS mean FROM p GROUP BY 1) USING (data_source)""",
+)
+def paired_interval(spark, sf_dir):
+    """Mean lift of the treated arm by source with its bootstrap interval, from draws that SQL repeats."""
+    ok = (F.col("score") >= 0.8).cast("int")
+    arm = lambda k: F.max(F.when(F.col("line") % 2 == k, ok).otherwise(0))
+    p = rollouts(spark, sf_dir).groupBy("data_source", "uid").agg((arm(1) - arm(0)).alias("delta"))
+    got = audit.bootstrap_by_index(p, "data_source", ["uid"], "delta", 40, 47)
+    return got.select("data_source", "n", r6(F.col("mean"), "mean"), r6(F.col("low"), "low"), r6(F.col("high"), "high"))
+
+
 @query("efficiency_totals", f"WITH {ROLLOUTS} SELECT data_source, count(*) AS n, round(sum(tokens), 2) AS tokens, round(sum(score) / nullif(sum(tokens), 0), 8) AS reward_per_token, round(sum(CASE WHEN line > 99 THEN score END) / nullif(sum(CASE WHEN line > 99 THEN tokens ELSE 0 END), 0), 6) AS empty_ratio FROM rollouts GROUP BY data_source")
 def efficiency_totals(spark, sf_dir):
     late = F.when(F.col("line") > 99, F.col("tokens")).otherwise(0.0)

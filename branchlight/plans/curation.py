@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import balance as balancing
+from ..operators import batching
 from ..operators import curate as C
 from .registry import query
 from .relations import r6, table
@@ -137,6 +138,42 @@ def token_budget_batches(spark, sf_dir):
     return got.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor((F.col("upto") - F.col("l_quantity")) / 100).alias("batch"))
 
 
+_PACKED = """WITH RECURSIVE l AS (SELECT o_custkey AS request, l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row_idx FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+o AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {order}row_idx) - 1 AS place FROM l),
+w AS (SELECT request, place, 0 AS batch, 0 AS slot, n AS widest FROM o WHERE place = 0 UNION ALL
+  SELECT o.request, o.place, CASE WHEN (slot + 2) * greatest(widest, n) > 200 THEN batch + 1 ELSE batch END, CASE WHEN (slot + 2) * greatest(widest, n) > 200 THEN 0 ELSE slot + 1 END, CASE WHEN (slot + 2) * greatest(widest, n) > 200 THEN n ELSE greatest(widest, n) END FROM w JOIN o ON o.request = w.request AND o.place = w.place + 1)
+SELECT request, row_idx::INT AS row_idx, l_orderkey, n, batch, slot, place::INT AS place, max(n) OVER (PARTITION BY request, batch) AS width FROM w JOIN o USING (request, place)"""
+
+
+def _requests(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("request")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.withColumn("n", F.col("l_quantity").cast("int")).select("request", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "n")
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+@query("dynamic_batches", _PACKED.format(order=""))
+def dynamic_batches(spark, sf_dir):
+    """Lines of each customer, as they come, in batches of at most 200 padded tokens."""
+    got = batching.pack(_requests(spark, sf_dir), "request", _LINE, "n", 200)
+    return got.select("request", "row_idx", "l_orderkey", "n", "batch", "slot", "place", "width")
+
+
+@query("packed_batches", _PACKED.format(order="n DESC, "))
+def packed_batches(spark, sf_dir):
+    """The same, longest lines first; row_idx is where results go back to."""
+    got = batching.pack(_requests(spark, sf_dir), "request", _LINE, "n", 200, by_length=True)
+    return got.select("request", "row_idx", "l_orderkey", "n", "batch", "slot", "place", "width")
+
+
+@query("restored_order", "SELECT o_custkey AS request, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INT) AS row_idx, CAST(l_quantity AS INT) * 2 AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def restored_order(spark, sf_dir):
+    """Scores of packed rows, brought back to the rows' places in their requests."""
+    plan = batching.pack(_requests(spark, sf_dir), "request", _LINE, "n", 200, by_length=True)
+    return batching.restore(plan.select("request", "place", (F.col("n") * 2).alias("score")), plan, ["request"])
+
+
 @query("dataset_stats", "SELECT lang, count(*) AS n, count(*) - count(DISTINCT text) AS duplicates, min(n_chars) AS least, round(avg(n_chars), 4) AS mean, max(n_chars) AS most FROM documents GROUP BY lang")
 def dataset_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("h"))

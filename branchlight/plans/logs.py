@@ -24,7 +24,17 @@ def metric_mean(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query("event_replay")
+@query(
+    "event_replay",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS c, event_id % 2 = 0 AS call, event_id // 2 AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+w AS (
+  SELECT c, i, CASE WHEN call THEN [id] ELSE [] END AS open, 0 AS matched, 0 AS sole, CASE WHEN call THEN 0 ELSE 1 END AS orphans FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.c, e.i, CASE WHEN call THEN list_append(list_filter(open, lambda x: x <> id), id) WHEN list_contains(open, id) THEN list_filter(open, lambda x: x <> id) WHEN len(open) = 1 THEN [] ELSE open END,
+    matched + CASE WHEN NOT call AND list_contains(open, id) THEN 1 ELSE 0 END, sole + CASE WHEN NOT call AND NOT list_contains(open, id) AND len(open) = 1 THEN 1 ELSE 0 END, orphans + CASE WHEN NOT call AND NOT list_contains(open, id) AND len(open) <> 1 THEN 1 ELSE 0 END
+  FROM w JOIN e ON e.c = w.c AND e.i = w.i + 1)
+SELECT c AS candidate_id, matched::BIGINT AS matched, sole::BIGINT AS sole, orphans::BIGINT AS orphans, len(open) AS pending FROM w WHERE i = (SELECT max(i) FROM e WHERE e.c = w.c)""",
+)
 def event_replay(spark, sf_dir):
     """Events of each user as calls and observations, replayed in order."""
     e = table(spark, sf_dir, "events")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +106,33 @@ def copy(spark: SparkSession, source: str, target: str) -> None:
     jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
 
 
+def copy_by_content(spark: SparkSession, source: str, folder: str) -> str:
+    """A file or folder copied to `folder`/<hash of its name, sizes and times>/<name>, and that path. What was copied before is not copied again. Copies are
+    made beside it and appear by one rename, so of two that copy at once one wins and neither sees half a copy."""
+    fs, there = _hadoop(spark, source)
+    status = fs.getFileStatus(there)
+    files = [status] if status.isFile() else sorted(_files(fs, there), key=lambda f: f.getPath().toString())
+    facts = "\n".join(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}" for f in files)
+    home = f"{folder}/{hashlib.sha256(facts.encode()).hexdigest()[:32]}"
+    target = f"{home}/{there.getName()}"
+    if not exists(spark, target):
+        staged = f"{folder}/_copying/{uuid4().hex}"
+        make_folder(spark, staged)
+        copy(spark, source, f"{staged}/{there.getName()}")
+        make_folder(spark, folder)
+        if not exists(spark, home):
+            _move(spark, staged, home)
+        _delete(spark, staged)
+    return target
+
+
+def _files(fs, there) -> list:
+    found, it = [], fs.listFiles(there, True)
+    while it.hasNext():
+        found.append(it.next())
+    return found
+
+
 #: Columns of the wide training form, in their order.
 WIDE = ("messages", "question", "question_id", "data_source", "teacher_model", "teacher_type", "trajectory", "original_trajectory", "trajectory_sha256", "original_trajectory_sha256", "messages_sha256", "original_token_length", "final_token_length", "compressed", "information_characters_removed", "information_tokens_removed", "information_blocks_compressed")
 
@@ -134,26 +165,107 @@ def load_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_cache(entries: DataFrame, path: str, key: str = "key", value: str = "value") -> str:
-    """The cache in a folder of generations with new entries, which win: a new generation is written whole beside the last, and a reader takes
-    the newest that was completed, so none sees half a cache. Writers must take turns. Returns the new generation's path."""
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears whole, unless there is one already: of any number of writers one gets True. By a hard link on a mounted file
+    system, by a rename that does not replace elsewhere (atomic on HDFS; object stores without such a rename are not served)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(conf)
+    fs.mkdirs(there.getParent())
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid4().hex}")
+    out = fs.create(staged, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(staged.toUri().getPath(), there.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(there), none)
+        return True
+    except Exception:
+        if fs.exists(there):
+            return False
+        raise
+    finally:
+        fs.delete(staged, False)
+
+
+def save_cache(entries: DataFrame, path: str, key: str = "key", value: str = "value", attempts: int = 20) -> str:
+    """The cache in a folder of generations with new entries, which win: a new generation is written whole beside the last and committed by an
+    atomic create of `_commits/<number>`. A writer that finds its number taken reads what the other wrote, merges again and takes the next, so any number of
+    writers may save at once and no key is lost; of two values for a key the later commit's stays. Readers take the newest committed
+    generation and never see half a cache. Returns the new generation's path."""
     spark = entries.sparkSession
-    old = newest(spark, path)
-    merged = merge_cache(spark.read.parquet(old), entries, key, value) if old else entries.select(key, value)
-    n = int(old.rsplit("=", 1)[1]) + 1 if old else 0
-    merged.write.parquet(f"{path}/generation={n:08d}")
-    return f"{path}/generation={n:08d}"
+    mine = f"{path}/_writing/{uuid4().hex}"
+    entries.select(key, value).write.parquet(f"{mine}-entries")
+    entries = spark.read.parquet(f"{mine}-entries")
+    for attempt in range(attempts):
+        old, n = _last(spark, path)
+        staged = f"{mine}-{attempt}"
+        (merge_cache(spark.read.parquet(old), entries, key, value) if old else entries).write.parquet(staged)
+        if create_once(spark, f"{path}/_commits/{n + 1:08d}", staged.rsplit("/", 1)[1]):
+            _move(spark, staged, f"{path}/generation={n + 1:08d}")
+            _delete(spark, f"{mine}-entries")
+            return f"{path}/generation={n + 1:08d}"
+        _delete(spark, staged)
+    raise RuntimeError(f"{attempts} other writers were faster: {path}")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
 
 
-def newest(spark: SparkSession, path: str) -> str | None:
-    """Path of the newest completed generation of a cache."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    fs, a = _hadoop(spark, source)
+    fs.rename(a, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, there = _hadoop(spark, path)
+    fs.delete(there, True)
+
+
+def _last(spark: SparkSession, path: str) -> tuple[str | None, int]:
+    """Path and number of the newest committed generation. One whose writer was lost between commit and move still lies where it was written."""
+    fs, there = _hadoop(spark, f"{path}/_commits")
     if not fs.exists(there):
-        return None
-    names = sorted(f.getPath().toString() for f in fs.listStatus(there))
-    done = [n for n in names if "generation=" in n and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{n}/_SUCCESS"))]
-    return done[-1] if done else None
+        return _completed(spark, path)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(there) if "." not in f.getPath().getName())
+    if not names:
+        return _completed(spark, path)
+    moved = f"{path}/generation={names[-1]}"
+    if exists(spark, moved):
+        return moved, int(names[-1])
+    at = fs.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{names[-1]}"))
+    written = bytes(at.readAllBytes()).decode()
+    at.close()
+    kept = f"{path}/_writing/{written}"
+    return (kept if exists(spark, kept) else moved), int(names[-1])
+
+
+def newest(spark: SparkSession, path: str) -> str | None:
+    """Path of the newest committed generation of a cache."""
+    return _last(spark, path)[0]
+
+
+def _completed(spark: SparkSession, path: str) -> tuple[str | None, int]:
+    """The newest generation of a cache that was written without commits."""
+    fs, there = _hadoop(spark, path)
+    names = sorted(f.getPath().toString() for f in fs.listStatus(there)) if fs.exists(there) else []
+    done = [n for n in names if "generation=" in n and exists(spark, f"{n}/_SUCCESS")]
+    return (done[-1], int(done[-1].rsplit("=", 1)[1])) if done else (None, -1)
+
+
+def warm_cache(entries: DataFrame, spark: SparkSession, path: str, key: str = "key", value: str = "value") -> str | None:
+    """A cache filled beforehand: of the entries those that it lacks are saved; what it has stays. None if it lacks none."""
+    old = newest(spark, path)
+    missing = entries.select(key, value).dropDuplicates([key])
+    if old:
+        missing = missing.join(spark.read.parquet(old).select(key), key, "left_anti")
+    return None if missing.isEmpty() else save_cache(missing, path, key, value)
 
 
 def write_new(df: DataFrame, path: str, form: str = "parquet") -> None:
