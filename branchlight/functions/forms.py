@@ -176,3 +176,17 @@ def redacted_value(value: Column, kind, key: str | None = None) -> Column:
     if isinstance(kind, T.StructType):
         return F.when(value.isNotNull(), F.struct(*[redacted_value(value[f.name], f.dataType, key).alias(f.name) for f in kind.fields]))
     return value
+
+
+def normalized_messages(messages: Column) -> Column:
+    """Messages (structs of role and content) with roles and contents trimmed; null where they must be rejected: none, one without a role or a
+    content, or an end that is no assistant's word."""
+    neat = F.transform(messages, lambda m: F.struct(F.trim(m["role"]).alias("role"), F.trim(m["content"]).alias("content")))
+    sound = (F.size(messages) > 0) & F.forall(neat, lambda m: m["content"].isNotNull() & (F.coalesce(m["role"], F.lit("")) != ""))
+    last = F.try_element_at(neat, F.lit(-1))
+    return F.when(F.coalesce(sound & (last["role"] == "assistant") & (last["content"] != ""), F.lit(False)), neat)
+
+
+def stable_id(*parts: Column) -> Column:
+    """16 hex digits of a SHA-256 over the parts, joined by colons; a null part counts as empty."""
+    return F.substring(F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"), 256), 1, 16)

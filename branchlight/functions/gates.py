@@ -12,7 +12,7 @@ SYSTEMIC_STATUS = (400, 401, 402, 403, 404)
 #: An action as a whole response, the artifact of redaction, and columns that no training row may have.
 ACTION = r"(?s)<think>.+?</think>\n<search>[^\n<>]+</search>"
 REDACTED = "[redacted]"
-FORBIDDEN = ("ground_truth", "answer", "answers")
+FORBIDDEN = ("ground_truth", "answer", "answers", "raw_response")
 
 
 def has_generation(turns: Column, trajectory: Column, answer: Column) -> Column:

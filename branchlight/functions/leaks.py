@@ -70,8 +70,13 @@ def gold_questions(source: Column, hops: Column) -> Column:
     return F.when(source == "musique", F.filter(F.transform(hops, lambda h: h["question"]), lambda q: q != "")).otherwise(F.array().cast("array<string>"))
 
 
-def skill_faults(fields: dict[str, Column], answers: Column, good_query: Column, bad_query: Column, titles: Column) -> Column:
-    """Sorted reasons why a generated skill may not be used; fields by name."""
+#: Words that a skill may not use.
+PRIVILEGED = r"(?i)\b(?:reward|score|gold|branch|hindsight|better action|correct answer)\b"
+
+
+def skill_faults(fields: dict[str, Column], answers: Column, good_query: Column, bad_query: Column, titles: Column, keys: Column | None = None) -> Column:
+    """Sorted reasons why a generated skill may not be used; fields by name. keys: names that the skill as written has; others than the fields, or
+    fewer, are the fault `schema`."""
     whole = F.array_join(F.array(*[F.trim(F.coalesce(fields[k], F.lit(""))) for k in sorted(fields)]), "\n")
     n = F.size(words(whole))
     blank = F.lit(False)
@@ -83,8 +88,9 @@ def skill_faults(fields: dict[str, Column], answers: Column, good_query: Column,
         "bad_query_copy": copied(bad_query, 3),
         "empty": blank,
         "length": ~n.between(14, 120),
-        "privileged_meta": F.regexp_like(whole, F.lit(r"(?i)\b(?:reward|score|gold|branch|hindsight|better action|correct answer)\b")),
+        "privileged_meta": F.regexp_like(whole, F.lit(PRIVILEGED)),
         "redaction_artifact": F.contains(F.lower(whole), F.lit("[redacted]")),
+        "schema": F.lit(False) if keys is None else ~F.coalesce(F.array_sort(F.array_distinct(keys)) == F.array(*map(F.lit, sorted(fields))), F.lit(False)),
         "target_query_copy": copied(good_query, 3),
         "title_copy": F.exists(titles, lambda t: copied(t, 2)),
     }

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .curate import draw
+from .curate import draw, global_rank
 from .rounds import stored
 
 
@@ -71,15 +71,53 @@ def bootstrap(rows: DataFrame, group: str, value: str, samples: int = 10_000, se
     return whole.join(bounds, "g").select(F.col("g").alias(group), "mean", (F.col("q")[0] / F.col("n")).alias("low"), (F.col("q")[1] / F.col("n")).alias("high"), "n")
 
 
-def bootstrap_by_index(rows: DataFrame, group: str, order: list[str], value: str, samples: int, seed: int) -> DataFrame:
-    """The same interval from draws that any engine can repeat: draw i of resample r takes the row whose place in the group's order is
-    floor(u * n), u from a SHA-256 of seed, group, r and i. It costs a row for each draw, n * samples in all; no task holds a group."""
-    placed = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("at"))
-    placed = placed.withColumn("at", F.col("at") - 1)
+def bootstrap_by_index(rows: DataFrame, group: str, key: list[str], value: str, samples: int, seed: int) -> DataFrame:
+    """The same interval from draws that any engine can repeat: draw i of resample r takes the row whose place, in the order of a seeded draw by
+    key, is floor(u * n), u from a SHA-256 of seed, group, r and i. It costs a row for each draw, n * samples in all; no task holds a group."""
+    drawn = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), *key).withColumn("d", draw(seed, *key))
+    placed = stored(global_rank(drawn, ["g"], "d", key, "at").select("g", "v", (F.col("at") - 1).alias("at")))
     whole = placed.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    draws = whole.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("r")).select("g", "n", "r", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
+    # As many draws start from a row as there are resamples, so they are spread as the rows are.
+    draws = placed.select("g", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("r")).join(whole, "g")
     share = F.conv(draw(seed, "g", "r", "i"), 16, 10).cast("double") / float(16**13)
-    picks = draws.select("g", "r", F.floor(share * F.col("n")).cast("int").alias("at")).groupBy("g", "r", "at").agg(F.count("*").alias("k"))
+    picks = draws.select("g", "r", F.floor(share * F.col("n")).alias("at")).groupBy("g", "r", "at").agg(F.count("*").alias("k"))
     means = picks.join(placed, ["g", "at"]).groupBy("g", "r").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
     bounds = means.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return whole.join(bounds, "g").select(F.col("g").alias(group), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
+
+
+def paired_lifts(rows: DataFrame, key: str, arms: str, metrics: list[str], real: str, baselines: list[str], samples: int, seed: int) -> DataFrame:
+    """(metric, baseline, n, mean, low, high) of real minus baseline over the keys that both have. rows: one for each key and arm, with the metrics."""
+    wide = rows.groupBy(key).agg(*[F.max(F.when(F.col(arms) == a, F.col(m))).alias(f"{a}_{m}") for a in (real, *baselines) for m in metrics])
+    name = lambda arm, m: F.col(f"`{arm}_{m}`").cast("double")
+    pairs = F.array(*[F.struct(F.lit(f"{m}:{b}").alias("what"), (name(real, m) - name(b, m)).alias("delta")) for m in metrics for b in baselines])
+    deltas = wide.select(F.col(key).alias("key"), F.explode(pairs).alias("p")).select("key", "p.what", "p.delta").filter("delta is not null")
+    got = bootstrap_by_index(deltas, "what", ["key"], "delta", samples, seed)
+    return got.select(F.substring_index("what", ":", 1).alias("metric"), F.substring_index("what", ":", -1).alias("baseline"), "n", "mean", "low", "high")
+
+
+def strict_gate(lifts: DataFrame, valid_rate: float, leak_rate: float, least_lift: float, sure_against: list[str], least_valid: float = 0.8, most_leak: float = 0.05) -> DataFrame:
+    """One row of checks and gate_pass: the hit lift over each baseline, its lower bound and the lift of the reciprocal rank over `sure_against`, the share
+    of valid and of leaking texts. lifts: paired_lifts() with the metrics hit and mrr."""
+    sure = F.col("baseline").isin(*sure_against)
+    hit, mrr = F.col("metric") == "hit", F.col("metric") == "mrr"
+    checks = {"hit_check": F.bool_and(F.when(hit, F.col("mean") >= least_lift)), "ci_check": F.bool_and(F.when(hit & sure, F.col("low") >= 0)), "mrr_check": F.bool_and(F.when(mrr & sure, F.col("mean") > 0))}
+    got = lifts.agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    got = got.withColumns({"valid_check": F.lit(valid_rate >= least_valid), "leak_check": F.lit(leak_rate <= most_leak)})
+    return got.withColumn("gate_pass", F.col("hit_check") & F.col("ci_check") & F.col("mrr_check") & F.col("valid_check") & F.col("leak_check"))
+
+
+def arm_report(rows: DataFrame, uid: str, arm: str, right: str, answered: str) -> DataFrame:
+    """By arm, over the uids that all arms have: uids, samples, em and answered (shares of samples), pass_at_k (share of uids with any right)."""
+    arms = rows.select(arm).distinct().count()
+    by = rows.groupBy(arm, uid).agg(F.count("*").alias("k"), F.count_if(right).alias("c"), F.count_if(answered).alias("a"))
+    shared = by.groupBy(uid).agg(F.count("*").alias("__arms")).filter(F.col("__arms") == arms).select(uid)
+    got = by.join(shared, uid).groupBy(arm)
+    return got.agg(F.count("*").alias("uids"), F.sum("k").alias("samples"), (F.sum("c") / F.sum("k")).alias("em"), (F.sum("a") / F.sum("k")).alias("answered"), F.avg((F.col("c") > 0).cast("double")).alias("pass_at_k"))
+
+
+def retrieval_overlap(found: Column, gold: Column) -> dict[str, Column]:
+    """Of titles found against gold ones: recall, jaccard, any and all; nothing found and no gold agree in nothing."""
+    both, either = F.size(F.array_intersect(found, gold)), F.size(F.array_union(found, gold))
+    n = F.size(F.array_distinct(gold))
+    return {"recall": F.coalesce(F.try_divide(both, n), F.lit(0.0)), "jaccard": F.coalesce(F.try_divide(both, either), F.lit(0.0)), "any_hit": both > 0, "all_hit": (n > 0) & (both == n)}

@@ -80,6 +80,36 @@ def lists(batch: DataFrame) -> DataFrame:
     return batch.agg(F.array_sort(F.collect_list(F.struct(ROW, *inner))).alias("__r")).select(*[F.col(f"__r.{c}").alias(c) for c in inner])
 
 
+def rows_of_lists(lists: DataFrame, key: str | None = None) -> DataFrame:
+    """The rows of lists again, numbered from zero (within the key, if rows of lists have one); lists of unequal length are an error."""
+    names = [c for c in lists.columns if c != key]
+    size = F.size(names[0])
+    same = F.lit(True)
+    for c in names[1:]:
+        same = same & (F.size(c) == size)
+    zipped = F.when(same, F.arrays_zip(*names)).otherwise(F.raise_error(F.lit("lists of unequal length")).cast("array<struct<" + ",".join(f"{c}:{lists.schema[c].dataType.elementType.simpleString()}" for c in names) + ">>"))
+    return lists.select(*([key] if key else []), F.posexplode(zipped).alias(ROW, "__r")).select(*([key] if key else []), ROW, *[F.col(f"__r.{c}").alias(c) for c in names])
+
+
+def lists_by(rows: DataFrame, key: str) -> DataFrame:
+    """A row for each key with a list for each other column, in row order: what lists() is for a whole batch, for groups of bounded size."""
+    inner = [c for c in rows.columns if c not in (key, ROW)]
+    got = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ROW, *inner))).alias("__r"))
+    return got.select(key, *[F.col(f"__r.{c}").alias(c) for c in inner])
+
+
+def size_report(batch: DataFrame) -> DataFrame:
+    """(column, values, missing, bytes): non-null values of each column and the bytes that they take as UTF-8 text, arrays by their elements."""
+    def width(f):
+        c = F.col(f.name)
+        if f.dataType.typeName() == "array":
+            return F.aggregate(F.transform(c, lambda x: F.octet_length(x.cast("string")).cast("long")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("long")))
+        return F.octet_length(c.cast("string")).cast("long")
+
+    sums = batch.agg(*[F.struct(F.count(f.name).alias("values"), F.count_if(F.col(f.name).isNull()).alias("missing"), F.coalesce(F.sum(width(f)), F.lit(0)).alias("bytes")).alias(f.name) for f in batch.schema.fields])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in batch.columns])).alias("x")).select("x.column", "x.s.*")
+
+
 def mini_batches(batch: DataFrame, rows: int, epochs: int, seed: int | None = None) -> DataFrame:
     """The batch once for each epoch, with `epoch` and `step`: shuffled anew by a seeded draw, or in order without a seed."""
     passes = batch.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

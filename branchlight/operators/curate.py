@@ -187,6 +187,39 @@ def route(rows: DataFrame, key: str, train: DataFrame, val: DataFrame, otherwise
     return got.drop("__k", "__n")
 
 
+def derangement(rows: DataFrame, key: list[str], value: str, seed: int, into: str) -> DataFrame:
+    """rows with another row's value in `into`: each row gets that of the next in the order of a seeded draw, the last that of the first. Of two rows or
+    more none keeps its own; equal values of different rows may meet. Places come from ranks within beginnings of draws, so no task holds all."""
+    drawn = rows.withColumn("__draw", draw(seed, *key)).withColumn("__all", F.lit(0))
+    placed = stored(global_rank(drawn, ["__all"], "__draw", key, "__at").drop("__draw", "__all"))
+    n = placed.count()
+    given = placed.select((F.when(F.col("__at") == 1, n).otherwise(F.col("__at") - 1)).alias("__to"), F.col(value).alias(into))
+    return placed.join(given, F.col("__at") == F.col("__to")).drop("__at", "__to")
+
+
+def require_counts(rows: DataFrame, source: str, counts: dict[str, int]) -> DataFrame:
+    """rows, if each source has exactly as many as it must and there is no other; else an error that names what differs."""
+    found = {r[source]: r["n"] for r in rows.groupBy(source).agg(F.count("*").alias("n")).limit(len(counts) + 100).collect()}
+    wrong = {k: (found.get(k, 0), counts.get(k, 0)) for k in {*found, *counts} if found.get(k, 0) != counts.get(k, 0)}
+    if wrong:
+        raise ValueError(f"rows by {source}, found and required: {dict(sorted(wrong.items(), key=str))}")
+    return rows
+
+
+def mixture(rows: DataFrame, source: str, key: list[str], shares: dict[str, float], total: int, seed: int) -> DataFrame:
+    """`total` rows: floor(total * share) of each source by a seeded draw, the last source the remainder. A source with fewer rows is an error."""
+    wanted = {s: int(total * p) for s, p in shares.items()}
+    last = list(shares)[-1]
+    wanted[last] = total - sum(n for s, n in wanted.items() if s != last)
+    have = {r[source]: r["n"] for r in rows.filter(F.col(source).isin(*wanted)).groupBy(source).agg(F.count("*").alias("n")).collect()}
+    short = {s: (have.get(s, 0), n) for s, n in wanted.items() if have.get(s, 0) < n}
+    if short:
+        raise ValueError(f"rows by {source}, found and required: {short}")
+    at = global_rank(rows.filter(F.col(source).isin(*wanted)).withColumn("__draw", draw(seed, *key)), [source], "__draw", key, "__at")
+    n = F.create_map(*[x for s, k in wanted.items() for x in (F.lit(s), F.lit(k))])
+    return at.filter(F.col("__at") <= F.element_at(n, F.col(source))).drop("__at", "__draw")
+
+
 def fetch(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """rows of a list (at, key) in its order. A key listed or found twice, or not found, is an error."""
     listed = ids.groupBy(F.col(key).alias("__k")).agg(F.min("at").alias("at"), F.count("*").alias("__twice"))

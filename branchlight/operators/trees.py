@@ -127,3 +127,12 @@ def contrasts(nodes: DataFrame, values: DataFrame, least_gap: float) -> DataFram
     kids = nodes.filter("parent_node_uid is not null").join(values.select(*KEY, "node_value"), list(KEY), "left").withColumn("value", F.coalesce("node_value", F.lit(0.0)))
     best = kids.groupBy("tree_uid", "parent_node_uid").agg(F.min(F.struct("value", "node_uid")).alias("worst"), F.max(F.struct("value", "node_uid")).alias("best"), F.count("*").alias("children"))
     return best.filter((F.col("children") > 1) & (F.col("best.value") - F.col("worst.value") >= least_gap))
+
+
+def snapshot(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """(tree_uid, root_node_uid, n_nodes, nodes): trees nested, each node with its parent, children, depth, is_root, is_leaf and the columns named, by depth and uid."""
+    kids = nodes.filter("parent_node_uid is not null").groupBy("tree_uid", F.col("parent_node_uid").alias("node_uid")).agg(F.array_sort(F.collect_list("node_uid")).alias("child_node_uids"))
+    full = nodes.join(kids, list(KEY), "left")
+    children = F.coalesce("child_node_uids", F.array().cast("array<string>"))
+    node = F.struct("depth", "node_uid", "parent_node_uid", children.alias("child_node_uids"), F.col("parent_node_uid").isNull().alias("is_root"), (F.size(children) == 0).alias("is_leaf"), *columns)
+    return full.groupBy("tree_uid").agg(F.max(F.when(F.col("parent_node_uid").isNull(), F.col("node_uid"))).alias("root_node_uid"), F.count("*").alias("n_nodes"), F.array_sort(F.collect_list(node)).alias("nodes"))

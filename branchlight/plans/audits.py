@@ -124,7 +124,7 @@ def bootstrap_interval(spark, sf_dir):
 @query(
     "paired_interval",
     f"""WITH {ROLLOUTS}, p AS (SELECT data_source, uid, max(CASE WHEN line % 2 = 1 THEN {_RIGHT} ELSE 0 END) - max(CASE WHEN line % 2 = 0 THEN {_RIGHT} ELSE 0 END) AS delta, avg(score) AS s FROM rollouts GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY uid) - 1 AS place, count(*) OVER (PARTITION BY data_source) AS n FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY substr(sha256('47:' || uid), 1, 13), uid) - 1 AS place, count(*) OVER (PARTITION BY data_source) AS n FROM p),
 d AS (SELECT data_source, r, floor(CAST('0x' || substr(sha256('47:' || data_source || ':' || r || ':' || i), 1, 13) AS UBIGINT) / CAST(4503599627370496 AS DOUBLE) * n) AS place FROM (SELECT data_source, n, place AS i FROM o), range(40) AS t(r)),
 m AS (SELECT data_source, r, avg(delta) AS m FROM d JOIN o USING (data_source, place) GROUP BY ALL),
 b AS (SELECT data_source, quantile_cont(m, [0.025, 0.975]) AS q FROM m GROUP BY 1)

@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _module in ("advantages", "trees", "texts", "tokens", "retrieval", "curation", "audits", "joins", "logs", "batches", "gates", "forms", "selection", "rewards", "services", "checks", "distill"):
+for _module in ("advantages", "trees", "texts", "tokens", "retrieval", "curation", "audits", "joins", "logs", "batches", "gates", "forms", "selection", "rewards", "services", "checks", "distill", "measures"):
     import_module(f".{_module}", __package__)

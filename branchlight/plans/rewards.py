@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rewards as R
 from ..functions import text as X
 from ..functions import tokens as T
+from ..operators import groups as G
 from .registry import query
 from .relations import ROLLOUTS, r6, rollouts, table
 from .texts import _ID, SEQUENCES, _VALID, sequences
@@ -186,8 +186,6 @@ def advantage_pooled_tokens(spark, sf_dir):
 )
 def advantage_branch_credit(spark, sf_dir):
     """The group's advantage plus half of a local credit where its mask is set."""
-    w = Window.partitionBy("uid")
-    n = F.count("*").over(w)
-    base = F.when(n > 1, (F.col("score") - F.avg("score").over(w)) / (F.stddev_samp("score").over(w) + 1e-6)).otherwise(F.col("score") / (1 + 1e-6))
-    credit = F.when(F.col("line") % 2 == 0, 0.5 * (F.col("tokens") / 50 - 0.5)).otherwise(0.0)
-    return rollouts(spark, sf_dir).select("tree_uid", "line", "part", "supplier", (F.round(base + credit, 4) + F.lit(0.0)).alias("advantage"))
+    credit = F.when(F.col("line") % 2 == 0, F.col("tokens") / 50 - 0.5)
+    got = G.advantages(rollouts(spark, sf_dir).withColumn("credit", credit), "branch_credit", credit="credit", coefficient=0.5)
+    return got.select("tree_uid", "line", "part", "supplier", (F.round("advantage", 4) + F.lit(0.0)).alias("advantage"))
