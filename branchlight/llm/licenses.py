@@ -1,11 +1,14 @@
 """License scan by conditional compression.
 
-A text is read as words, across lines, in lower case and without punctuation. Wherever a word of licensing
-stands, each notice that holds such a word is laid over the text there: the window is as many words as the
-notice has, so what surrounds it, however long, is no part of any measure. The window is compressed alone
-and with the notice as a raw zstandard dictionary; it must shrink by at least `least_gain` of its size.
-What remains is confirmed by exact wording: words of the notice and of the window, a fifth wider on
-each side, are aligned, and the share of the notice's words found, with the words that differ, decides.
+A text is read as words, across lines, in lower case and without punctuation. At each word of licensing every notice that holds
+such a word is laid over the text: the window is as many words as the notice has, so what surrounds it, however long, is no
+part of any measure. The window is compressed alone and with the notice as a raw zstandard dictionary. At each such word the notices are ranked by
+the size reduction; those that reach `least_gain` and `NEAR` of the best there are the winners, and only they are confirmed.
+
+A winner is confirmed by exact wording: words of the notice and of the window, a fifth wider on each side, are aligned. The share of the notice's
+words found decides, and the words that tell licenses apart must be the same on both sides: names, versions, Lesser, Affero, ShareAlike, later and
+the like (TELLING), and no version and no word of CHANGING may follow within `BESIDE` words of the sentence. A notice behind a negation, or before words
+that only a longer relative has (RIVALS), is none. So a relative without a template is reported as nothing, not as its neighbour.
 Of notices that lie over the same words the one with the best wording is named alone.
 
 Defined results: a null text has no window; a very long text is scanned whole; an empty table gives none; columns of documents of any name
@@ -16,7 +19,6 @@ notice that sorts first; a text may hold several licenses, each named once, sort
 from __future__ import annotations
 
 import re
-from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -36,9 +38,12 @@ NOTICES = {
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "AGPL-3.0-or-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",),
+    "GPL-2.0-only": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    "LGPL-2.1-or-later": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "LGPL-3.0-or-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "MPL-1.1": ('The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/.',),
     "GPL-2.0-or-later": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
     "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3.",),
     "GPL-3.0-or-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
@@ -49,10 +54,49 @@ NOTICES = {
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
 }
+#: Parts of Creative Commons licenses and what they are called; versions and the word that goes with them.
+_CC = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+for _parts in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    for _version, _ported in (("3.0", "Unported"), ("4.0", "International")):
+        _long = "-".join(_CC[p] for p in _parts.split("-"))
+        NOTICES[f"CC-{_parts}-{_version}"] = (f"Licensed under CC {_parts} {_version}.", f"This work is licensed under a Creative Commons {_long} {_version} {_ported} License.")
+
 #: Words of licensing; a text without any of these cannot hold a notice above.
-TRIGGER = re.compile(r"licen[sc]e|permission|redistribution|free(?=[^a-z0-9]+software)", re.I)
+TRIGGER = re.compile(r"licen[sc]e|permission|redistribution|free(?=[^a-z0-9]+software)|subject to", re.I)
+#: Words that tell licenses apart; versions do so too (see telling()).
+TELLING = frozenset("affero apache artistic boost bsd by cc cecill clause creative eclipse epl eupl gfdl gnu gpl isc later lesser lgpl agpl library mit mozilla mpl nc nd sa noncommercial noderivatives noderivs only public sharealike unlicense zlib advertising endorse".split())
+#: Those that change a license when they stand behind its name.
+CHANGING = frozenset("later only nc nd sa noncommercial noderivatives sharealike noderivs".split())
+#: Words behind a notice that make it a longer one.
+RIVALS = {"BSD-2-Clause": frozenset({"neither", "endorse", "advertising"})}
+NEGATIONS = frozenset("not no never nor neither cannot isn aren wasn without unlike formerly".split())
 LEAST_GAIN, LEAST_SHARE, LEVEL = 0.25, 0.8, 3
+#: Winners reach this part of the best reduction at their place; words beside a match that are looked at; words behind it for RIVALS.
+NEAR, BESIDE, BEHIND = 0.8, 4, 40
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_VERSION = re.compile(r"v?(\d+(?:\.\d+)+)")
+
+
+def telling(words: list[str]) -> frozenset[str]:
+    """Words that tell licenses apart: those of TELLING, dotted numbers, and numbers behind `version` or `v`; n and n.0 are one version."""
+    parts = [p for w in words for p in w.split("-")]
+    found = {p for p in parts if p in TELLING}
+    for before, p in zip(["", *parts], parts, strict=False):
+        dotted = _VERSION.fullmatch(p)
+        if dotted or p.isdigit() and before in ("version", "v", "gpl", "lgpl", "agpl"):
+            found.add((dotted[1] if dotted else p).removesuffix(".0"))
+    return frozenset(found)
+
+
+def sentences_of(text: str) -> tuple[list[str], list[int]]:
+    """Words, and for each the number of its sentence."""
+    words, sentence, end, low = [], [], 0, text.lower()
+    for m in _WORD.finditer(low):
+        begun = bool(words) and bool(re.search(r"[.!?;]\s|\n\s*\n", low[end : m.start()] + " "))
+        sentence.append((sentence[-1] if sentence else 0) + begun)
+        words.append(m[0])
+        end = m.end()
+    return words, sentence
 
 
 def words_of(text: str) -> list[str]:
@@ -64,7 +108,7 @@ def anchors_of(words: list[str]) -> dict[str, list[int]]:
     found: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         kind = "license" if "license" in w or "licence" in w else w
-        if kind in ("license", "permission", "redistribution") or (kind == "free" and words[i + 1 : i + 2] == ["software"]):
+        if kind in ("license", "permission", "redistribution") or (kind == "subject" and words[i + 1 : i + 2] == ["to"]) or (kind == "free" and words[i + 1 : i + 2] == ["software"]):
             found.setdefault(kind, []).append(i)
     return found
 
@@ -76,7 +120,7 @@ class Scanner:
         for name, forms in sorted(notices.items()):
             for wanted in map(words_of, forms):
                 held = zstandard.ZstdCompressionDict(" ".join(wanted).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, wanted, Counter(wanted), anchors_of(wanted), zstandard.ZstdCompressor(level=LEVEL, dict_data=held)))
+                self.templates.append((name, wanted, telling(wanted), anchors_of(wanted), zstandard.ZstdCompressor(level=LEVEL, dict_data=held)))
 
     def gain(self, window: list[str], template: int) -> float:
         """Size reduction by the template as a share of the window's size without."""
@@ -84,8 +128,9 @@ class Scanner:
         alone = len(self.plain.compress(data))
         return (alone - len(self.templates[template][4].compress(data))) / alone
 
-    def confirm(self, have: list[str], template: int) -> tuple[float, list[str], int, int]:
-        """Share of the notice's words among these in order, the words that differ there, first and last place."""
+    def confirm(self, have: list[str], template: int) -> tuple[float, list[str], int, int, int, int]:
+        """Share of the notice's words among these in order, the words that differ there, first and last place, and how many words of the notice stand
+        before the first and behind the last."""
         wanted = self.templates[template][1]
         parts = SequenceMatcher(None, wanted, have, autojunk=False).get_opcodes()
         equal = [p for p in parts if p[0] == "equal"]
@@ -93,29 +138,49 @@ class Scanner:
         # At the notice's ends as many words of the window stand against its own, not all that surround it.
         inner = [(a, b, max(c, d - b + a) if a == 0 else c, min(d, c + b - a) if b == len(wanted) else d) for _, a, b, c, d in inner]
         differ = [w for a, b, c, d in inner for w in (*wanted[a:b], *have[c:d])]
-        return sum(p[2] - p[1] for p in equal) / max(1, len(wanted)), differ, equal[0][3] if equal else 0, equal[-1][4] if equal else 0
+        return sum(p[2] - p[1] for p in equal) / max(1, len(wanted)), differ, *((equal[0][3], equal[-1][4], equal[0][1], len(wanted) - equal[-1][2]) if equal else (0, 0, 0, 0))
+
+    def told(self, words: list[str], sentence: list[int], a: int, b: int, template: int) -> bool:
+        """Whether the words from a to b tell the template's license and no other, nothing before them denies it and nothing behind them changes it."""
+        before = [words[i] for i in range(max(0, a - BESIDE), a) if sentence[i] == sentence[a]]
+        behind = [words[i] for i in range(b, min(len(words), b + BESIDE)) if sentence[i] == sentence[b - 1]]
+        name, _, mine = self.templates[template][:3]
+        if NEGATIONS.intersection(before) or RIVALS.get(name, frozenset()).intersection(words[b : b + BEHIND]):
+            return False
+        changed = {w for w in telling(behind) if w in CHANGING or w[0].isdigit()}
+        return telling(words[a:b]) == mine and changed <= mine
+
+    def winners(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """(template, start, size reduction) of windows that are among the best at one of their words of licensing."""
+        anchors = anchors_of(words)
+        laid: dict[tuple[int, int], float] = {}
+        best: dict[int, float] = {}
+        at: dict[tuple[int, int], list[int]] = {}
+        for i, (_, wanted, _, own, _) in enumerate(self.templates):
+            for kind, places in own.items():
+                for p in anchors.get(kind, ()):
+                    for t in places:
+                        start = p - t
+                        if (i, start) not in laid:
+                            laid[i, start] = self.gain(words[max(0, start) : start + len(wanted)], i)
+                        best[p] = max(best.get(p, 0.0), laid[i, start])
+                        at.setdefault((i, start), []).append(p)
+        return [(i, start, gain) for (i, start), gain in laid.items() if gain >= LEAST_GAIN and any(gain >= NEAR * best[p] for p in at[i, start])]
 
     def scan(self, text: str | None) -> list[tuple[str, float, float, int]]:
         """(license, size reduction, share of wording, words that differ) of each license found."""
         if not TRIGGER.search(text or ""):
             return []
-        words = words_of(text)
-        anchors = anchors_of(words)
+        words, sentence = sentences_of(text)
         found = []
-        for i, (name, wanted, counts, own, _) in enumerate(self.templates):
+        for i, start, gain in self.winners(words):
+            name, wanted = self.templates[i][:2]
             size, wider = len(wanted), max(2, len(wanted) // 5)
-            for start in sorted({p - t for kind, places in own.items() for t in places for p in anchors.get(kind, ())}):
-                first = max(0, start - wider)
-                have = words[first : start + size + wider]
-                # No alignment keeps more words than the two have in common.
-                if sum(min(n, counts[w]) for w, n in Counter(have).items() if w in counts) < LEAST_SHARE * size:
-                    continue
-                gain = self.gain(words[max(0, start) : start + size], i)
-                if gain < LEAST_GAIN:
-                    continue
-                share, differ, a, b = self.confirm(have, i)
-                if share >= LEAST_SHARE and len(differ) <= max(2, (1 - LEAST_SHARE) * 2 * size):
-                    found.append((-share, -gain, name, len(differ), first + a, first + b))
+            first = max(0, start - wider)
+            share, differ, a, b, lead, trail = self.confirm(words[first : start + size + wider], i)
+            low, high = max(0, first + a - lead), min(len(words), first + b + trail)
+            if share >= LEAST_SHARE and len(differ) <= max(2, (1 - LEAST_SHARE) * 2 * size) and self.told(words, sentence, low, high, i):
+                found.append((-share, -gain, name, len(differ), first + a, first + b))
         # Near relatives of a notice that lie over the same words are not reported beside it.
         taken: list[tuple[str, int, int]] = []
         best: dict[str, tuple[float, float, int]] = {}

@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest tables."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -190,25 +191,55 @@ def test_license_near_misses(text):
     assert licenses.Scanner().scan(text) == []
 
 
-def test_licenses_against_every_position(spark, sf_dir):
-    """Laying each notice over every place names the same licenses as laying it at words of licensing."""
+def test_licenses_of_the_table_by_plain_search(spark, sf_dir):
+    """The registered query names what a search for the notices' words, one after the other, finds in whole texts of any length."""
+    wanted = {name: [" ".join(licenses.words_of(f)) for f in forms] for name, forms in licenses.NOTICES.items()}
+
+    def plain(text):
+        have = f" {' '.join(re.findall(r'[a-z0-9]+(?:[.-][a-z0-9]+)*', (text or '').lower()))} "
+        return sorted(n for n, forms in wanted.items() if any(f" {f} " in have for f in forms))
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: [x for x in r["licenses"].split(",") if x] for r in licenses.op3_license_scan(spark, sf_dir).collect()}
+    assert got == {k: plain(t) for k, t in texts.items()} and any(got.values())
+
+
+GPL3 = licenses.NOTICES["GPL-3.0-or-later"][0]
+BSD2 = licenses.NOTICES["BSD-2-Clause"][0]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (GPL3.replace("General Public", "Affero General Public"), ["AGPL-3.0-or-later"]),
+        (licenses.NOTICES["LGPL-2.1-or-later"][0], ["LGPL-2.1-or-later"]),
+        (licenses.NOTICES["GPL-2.0-or-later"][0].replace("General", "Library General"), []),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        ("Licensed under the Eclipse Public License, Version 2.0.", []),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-only"]),
+        ("This work is licensed under the GNU General Public License, version 2 or any later version.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", []),
+        ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+        ("Licensed under CC BY-NC 2.5.", []),
+        ("Released under the BSD License.", []),
+        (licenses.NOTICES["MPL-2.0"][0].replace("2.0", "1.1"), []),
+        ("This is not Released under the MIT License.", []),
+        ("Do not. Released under the MIT License.", ["MIT"]),
+        ("This library is released under the MIT License, by Ann.", ["MIT"]),
+        (BSD2 + " 3. Neither the name of Foo nor any of its employees may ever be named in advertising.", []),
+        (BSD2 + " THIS SOFTWARE IS PROVIDED AS IS.", ["BSD-2-Clause"]),
+    ],
+)
+def test_relatives_are_told_apart(text, names):
+    assert [x[0] for x in licenses.Scanner().scan(text)] == names
+
+
+def test_size_reductions_rank_the_notices(monkeypatch):
     s = licenses.Scanner()
-
-    def everywhere(text):
-        words, found = licenses.words_of(text), []
-        for i, (name, wanted, *_rest) in enumerate(s.templates):
-            size, wider = len(wanted), max(2, len(wanted) // 5)
-            for start in range(len(words)):
-                have = words[max(0, start - wider) : start + size + wider]
-                if sum((Counter(have) & Counter(wanted)).values()) < licenses.LEAST_SHARE * size or s.gain(words[start : start + size], i) < licenses.LEAST_GAIN:
-                    continue
-                share, differ, _, _ = s.confirm(have, i)
-                if share >= licenses.LEAST_SHARE and len(differ) <= max(2, (1 - licenses.LEAST_SHARE) * 2 * size):
-                    found.append(name)
-        return set(found)
-
-    rows = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) < 3000").select("text").collect()]
-    rows = [t for t in rows if t and licenses.TRIGGER.search(t)]
-    assert rows
-    for t in rows:
-        assert {x[0] for x in s.scan(t)} <= everywhere(t) and bool(s.scan(t)) == bool(everywhere(t))
+    words = licenses.words_of(GPL3)
+    names = {s.templates[i][0] for i, *_ in s.winners(words)}
+    assert {"GPL-3.0-or-later"} <= names and names <= {"GPL-3.0-or-later", "AGPL-3.0-or-later", "LGPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-2.1-or-later", "GPL-2.0-only"}
+    monkeypatch.setattr(s, "gain", lambda window, template: 0.0)
+    assert s.scan(GPL3) == []
