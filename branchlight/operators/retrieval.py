@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import stored
+
 K1, B = 0.9, 0.4
 #: Rows of (query, term) that are broadcast; numbers of one batch of a matrix product.
 MOST_TERMS, CELLS = 200_000, 1 << 22
@@ -22,26 +24,33 @@ def terms(text):
     return F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda t: t != "")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, rank, doc_id, score) of queries (query_id, text) over docs (doc_id, text).
+def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score) of queries (query_id, text) and all docs (doc_id, text) that have a term of theirs.
 
-    Documents are cut into words once: each gives its length and, of the terms that queries ask for, how often it has them. What is
-    shuffled follows those terms. The table of terms asked for is broadcast up to `MOST_TERMS`, and joined by shuffle beyond.
+    Documents are read and cut into words once: each gives a row of its length and, of the terms that queries ask for, how often it has them. That
+    table is written down; how many documents there are, their mean length, the documents of each term and all scores come from it. What is
+    shuffled follows the terms asked for. They are broadcast up to `MOST_TERMS`, counted on the queries alone, and joined by shuffle beyond.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.groupBy("term").agg(F.count("*").alias("askers"))
-    wanted = F.broadcast(wanted) if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted
+    small = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    send = F.broadcast if small else lambda x: x
+    # The empty term, which no text has, stands for the document itself.
+    wanted = asked.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
     split = docs.select("doc_id", terms(F.col("text")).alias("t"))
-    words = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term"), "term", "left_semi")
-    tf = words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = split.select(F.size("t").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    words = split.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).join(send(wanted), "term", "left_semi")
+    tf = stored(words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    stats = tf.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    df = tf.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     met = asked.join(df, "term").crossJoin(F.broadcast(stats))
     met = met.select("query_id", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    small = met.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    scored = tf.join(F.broadcast(met) if small else met, "term")
+    scored = tf.filter("term <> ''").join(send(met), "term")
     part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return top_k(scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best of bm25_scores() for each query."""
+    return top_k(bm25_scores(queries, docs, k1, b), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -88,6 +97,21 @@ def fuse(lexical: DataFrame, vectors: DataFrame, k: int = 10, weights: tuple[flo
     return top_k(both.select("query_id", "doc_id", F.round(score, digits).alias("score")), k)
 
 
+def hybrid(queries: DataFrame, docs: DataFrame, k: int = 10, depth: int = 100, weights: tuple[float, float] = (4.0, 1.0), digits: int = 6) -> DataFrame:
+    """(query_id, rank, doc_id, score) of queries (query_id, text, vector) over docs (doc_id, text, vector): the `depth` best by terms and the `depth` best by
+    vectors are candidates, and each is given its exact score on both sides, scaled by its query's best there. So a query passes on 2 * depth rows at most. A text without a vector has a score of zero on that side."""
+    lexical = stored(bm25_scores(queries.select("query_id", "text"), docs.select("doc_id", "text")))
+    vectors = stored(dense(queries.filter("vector is not null").select("query_id", "vector"), docs.filter("vector is not null").select("doc_id", "vector"), depth))
+    first = top_k(lexical, depth)
+    found = first.select("query_id", "doc_id").unionByName(vectors.select("query_id", "doc_id")).distinct()
+    tops = lambda d, n: d.filter("rank = 1").select("query_id", F.col("score").alias(n))
+    dot = F.when(F.col("q").isNotNull() & F.col("d").isNotNull(), F.aggregate(F.zip_with(F.col("q"), F.col("d"), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    exact = found.join(queries.select("query_id", F.col("vector").alias("q")), "query_id").join(docs.select("doc_id", F.col("vector").alias("d")), "doc_id").select("query_id", "doc_id", F.round(dot, 6).alias("b"))
+    both = exact.join(lexical.withColumnRenamed("score", "a"), ["query_id", "doc_id"], "left").join(tops(first, "best_a"), "query_id", "left").join(tops(vectors, "best_b"), "query_id", "left")
+    score = (weights[0] * F.coalesce(F.try_divide("a", "best_a"), F.lit(0.0)) + weights[1] * F.coalesce(F.try_divide("b", "best_b"), F.lit(0.0))) / sum(weights)
+    return top_k(both.select("query_id", "doc_id", F.round(score, digits).alias("score")), k)
+
+
 def mean_pool(vectors, mask):
     """Mean of the token vectors that the mask keeps."""
     kept = F.filter(F.zip_with(vectors, mask, lambda v, m: F.when(m > 0, v)), lambda v: v.isNotNull())

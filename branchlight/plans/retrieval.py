@@ -45,22 +45,21 @@ def dense_top_k(spark, sf_dir):
 
 @query(
     "hybrid_top_k",
-    f"""WITH {_BM25.replace('QUALIFY rank <= 10', '')}, q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 40),
-den AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM embeddings, q),
-a AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM lex WHERE query_id < 40), b AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM den),
-f AS (SELECT query_id, doc_id, round((4.0 * coalesce(a.s, 0) + coalesce(b.s, 0)) / 5, 5) AS score FROM a FULL JOIN b USING (query_id, doc_id))
+    f"""WITH {_BM25.replace('QUALIFY rank <= 10', '')}, q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings JOIN benchmark ON item_id = vec_id), v AS (SELECT vec_id AS doc_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id),
+den AS (SELECT query_id, doc_id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM den),
+l AS (SELECT lex.query_id, lex.doc_id, lex.score FROM lex JOIN q USING (query_id)), la AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM l),
+c AS (SELECT query_id, doc_id FROM la WHERE rank <= 50 UNION SELECT query_id, doc_id FROM r WHERE rank <= 50),
+f AS (SELECT c.query_id, c.doc_id, round((4.0 * coalesce(la.score / (SELECT max(score) FROM la x WHERE x.query_id = c.query_id), 0) + coalesce(r.score / m.best, 0)) / 5, 5) AS score FROM c LEFT JOIN r ON r.query_id = c.query_id AND r.doc_id = c.doc_id JOIN (SELECT query_id, max(score) AS best FROM r GROUP BY 1) m ON m.query_id = c.query_id LEFT JOIN la ON la.query_id = c.query_id AND la.doc_id = c.doc_id)
 SELECT query_id, doc_id, score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""",
 )
 def hybrid_top_k(spark, sf_dir):
-    """Lexical and dense scores of all documents fused four to one (an extension; the weights come without a formula). The query set is the
-    first forty items; the vector with a document's number stands for its encoding, that with an item's number for the item's."""
-    asked = table(spark, sf_dir, "benchmark").filter("item_id < 40").select(F.col("item_id").alias("query_id"), "text")
+    """Lexical and dense scores fused four to one (an extension; the weights come without a formula), of the fifty best documents on either side. All
+    items ask; the vector with a document's number stands for its encoding, that with an item's number for the item's."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, F.col("query_id") == F.col("vec_id")).drop("vec_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    every = vectors.count()
-    lexical = R.bm25(asked, docs, docs.count())
-    dense = R.dense(vectors.filter("doc_id < 40").withColumnRenamed("doc_id", "query_id"), vectors, every)
-    return R.fuse(lexical, dense, digits=5).select("query_id", "doc_id", "score")
+    every = R.hybrid(asked, docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id"), depth=50, digits=5)
+    return every.select("query_id", "doc_id", "score")
 
 
 @query("fetch_documents", f"WITH {_BM25} SELECT query_id, string_agg(lex.doc_id || ':' || length(documents.text), ',' ORDER BY rank) AS results FROM lex JOIN documents USING (doc_id) GROUP BY query_id")
