@@ -28,14 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies: the one with the smallest doc_id. Near copies are texts whose fingerprints differ in at most three
+    bits, and those whose five-word shingles have a similarity of 0.8 or more.
 
     All texts without a word, nulls included, are one group. Of rows that share that smallest id and a fingerprint one stays, of rows
     that share the id alone (near copies under one id) one of each fingerprint. A group in which every id is null keeps one row of each fingerprint.
     """
     session_ready(spark)
     name = free("near", docs)
-    found = simhash.near_duplicates(docs, into=name)
+    found = simhash.near_duplicates(docs, into=name, similar=True)
     # Rows that repeat a document meet under one id and component, never a whole group of copies.
     key = free("component", docs)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col(name)["component"])).withColumn(key, F.concat_ws(":", F.col(name)["fingerprint"], F.col("doc_id").cast("string")))
