@@ -158,7 +158,14 @@ def simhash_brute(t):
     return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components_brute(prints):
+def shingles_brute(t):
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode().lower()) if w]
+    n = min(5, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+
+
+def components_brute(prints, alike=()):
+    """find() over fingerprints with links within three bits and those of alike."""
     root = {p: p for p in prints}
 
     def find(x):
@@ -169,9 +176,43 @@ def components_brute(prints):
     for a, b in itertools.combinations(set(prints), 2):
         if (a ^ b).bit_count() <= 3:
             root[find(a)] = find(b)
+    for a, b in alike:
+        root[find(a)] = find(b)
     return find
 
 
+def similar_brute(rows):
+    """Pairs of fingerprints of (doc_id, text) rows with an id whose sets of five-word shingles are similar."""
+    sets = {t: shingles_brute(t) for i, t in rows if i is not None and t}
+    return [(simhash_brute(a), simhash_brute(b)) for a, b in itertools.combinations([t for t, s in sets.items() if s], 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_similar_texts_are_linked(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for k in range(12):
+        base = [word() for _ in range(rng.choice([6, 30, 120, 400]))]
+        rows.append((len(rows), " ".join(base)))
+        for changes in (1, 2, 5, 20):
+            other = list(base)
+            for _ in range(changes):
+                other[rng.randrange(len(other))] = word()
+            rows.append((len(rows), " ".join(other)))
+    rows += [(None, rows[0][1] + " tail"), (900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bands", F.lit("x"))
+    find = components_brute([simhash_brute(t) for _, t in rows], similar_brute(rows))
+    got = {r["doc_id"]: r["near"]["component"] for r in simhash.near_duplicates(df, similar=True).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(find(simhash_brute(t)), []).append(i)
+    want = {i: min((x for x in g if x is not None), default=None) for g in groups.values() for i in g}
+    assert got == want
+    assert len(set(want.values())) < len(rows) - 15
+    plain = {r["doc_id"]: r["near"]["component"] for r in simhash.near_duplicates(df).collect()}
+    assert len(set(plain.values())) > len(set(got.values()))
+
+
 def test_simhash(docs, rows, empty):
     prints = [simhash_brute(t) for _, t in rows]
     find = components_brute(prints)

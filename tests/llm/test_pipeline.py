@@ -12,7 +12,7 @@ import __spark_entry__
 from branchlight.llm import langid, licenses, mixing, simhash
 from branchlight.llm import queries as llm
 
-from .test_operators import components_brute, leak_brute, phrases_brute, secrets_brute, simhash_brute, texts
+from .test_operators import components_brute, leak_brute, phrases_brute, secrets_brute, simhash_brute, similar_brute, texts
 
 #: Columns of documents with names that stages use for themselves.
 CLASHING = ("language", "near", "component", "leak", "hash", "id", "same", "spans", "mix", "bits", "u", "found", "parts")
@@ -85,7 +85,7 @@ def test_stages_on_odd_rows(spark, sf_dir, odd, tmp_path):
             assert have == brute_kept(before, lambda r: langid.has_letter(langid.folded(r["text"])))
         elif name == "SimHash near-dedup":
             prints = {r["text"]: simhash_brute(r["text"]) for r in before}
-            find = components_brute(list(prints.values()))
+            find = components_brute(list(prints.values()), similar_brute([(r["doc_id"], r["text"]) for r in before]))
             least = {}
             for r in before:
                 c = find(prints[r["text"]])
