@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -16,14 +17,14 @@ BATCH_BYTES = 4 << 20
 def session_ready(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by bytes and make sure that checkpoint() has a folder.
 
-    The folder is the one in spark.checkpoint.dir; only on a local master where that is unset (tests, a laptop)
-    a temporary one is made. A cluster without that setting is an error, as its executors share no local folder.
+    The folder is the one in spark.checkpoint.dir; only on a local master where that is unset (tests, a laptop), whose driver is its one executor,
+    a temporary one is made. A cluster, local-cluster included, without that setting is an error, as its executors share no local folder.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="branchlight-ckpt-"))
     return spark

@@ -13,7 +13,8 @@ The verdict keeps a document if the base checks pass (50 words at least, at most
 repeated three-word windows) and the lines left hold at least `1 - max_loss` of the word characters.
 
 Defined results: a null text counts as empty and fails; every row is judged by itself, so repeated
-rows get equal answers; lines are cut at line feeds only.
+rows get equal answers; lines are cut at line feeds only; a very long text is judged whole; an empty table gives none; there are no ties; columns of documents of
+any name are kept, but one named as the result is replaced.
 """
 
 from __future__ import annotations

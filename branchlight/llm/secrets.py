@@ -14,7 +14,7 @@ Positions are code points. They come from the lengths of what lies between match
 regexp_extract_all() see the same leftmost, non-overlapping matches.
 
 Defined results: a null text counts as empty; repeated rows each get their row; a null doc_id is kept; a very long text is
-scanned whole; an empty table gives none.
+scanned whole; an empty table gives none; ties in place are ordered by kind; other columns of the input are not read, and none of the keys may be named `parts`.
 The scan's small result is checkpointed, so texts are read once and row numbers stay as they are.
 """
 

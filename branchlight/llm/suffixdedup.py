@@ -19,7 +19,8 @@ corpus in one index would be one task's work, so suffixes are first brought toge
    dealt by narrower pieces, down to single windows, which need no comparison. So no task gets them all.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes lose nothing; repeated rows are
-copies like any others; a null doc_id is kept; windows never cross documents.
+copies like any others; a null doc_id is kept, and the query reads ids as whole numbers; windows never cross documents; a very long text is cut into segments
+and judged whole; there are no ties; an empty table gives none; other columns of the input, of any name, are not read.
 """
 
 from __future__ import annotations
