@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import forms, leaks, prompts
-from ..operators import audit
+from ..operators import answers, audit
 from ..operators import batch as B
 from ..operators import curate as C
 from ..operators import groups as G
@@ -206,3 +206,15 @@ def unpadded_pieces(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", ids.alias("ids")).select("p_partkey", K.unpadded(F.col("ids"), F.transform("ids", lambda x: (x != 0).cast("int"))).alias("u"))
     cut = rows.select("p_partkey", F.size("u").cast("long").alias("n"), K.split(F.col("u"), 7).alias("p"))
     return cut.select("p_partkey", "n", F.size("p").cast("long").alias("pieces"), F.size(F.element_at("p", -1)).cast("long").alias("last"))
+
+
+@query(
+    "shortened_texts",
+    """WITH t AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name || ' ' || p_type AS x FROM part), n AS (SELECT p_partkey, x, unnest(range(0, length(x) // 2 + 1)) AS n FROM t), s AS (SELECT p_partkey, n, substr(x, 1, n) || ' .. ' || CASE WHEN n = 0 THEN '' ELSE right(x, n) END AS s FROM n),
+b AS (SELECT p_partkey, max_by(s, n) AS s FROM s WHERE len(list_filter(string_split(s, ' '), lambda w: w <> '')) <= 4 GROUP BY 1) SELECT p_partkey, CASE WHEN len(list_filter(string_split(x, ' '), lambda w: w <> '')) <= 4 THEN x ELSE s END AS short FROM t LEFT JOIN b USING (p_partkey)""",
+)
+def shortened_texts(spark, sf_dir):
+    """Descriptions of parts shortened to four words, the mark between head and tail included."""
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name", "p_type")
+    shorten = answers.compressing(4, lambda t: len(t.split()), " .. ")
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("x")).select("p_partkey", shorten("x").alias("short"))
