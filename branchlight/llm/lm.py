@@ -11,14 +11,17 @@ up to three tokens is a state or an arc, none is left out for being rare or for
 A failure arc leads from a state to the one below. With c the count of a state and m the mean number of different tokens behind
 states of its order whose counts have as many binary digits (a statistic of all training documents), its weight is m / (c + m), and the arc of a token seen n times there
 weighs (n + m * p) / (c + m), p being the token's probability below. So a state's probabilities add up to one. The root's arcs are
-(n + V / (V + 1)) / (N + V) of N tokens of V kinds. One traversal from left to right carries the state, follows failure arcs until the token has
-an arc, and adds up log10 weights; it runs over all places of a slice at once, as the states follow from the text.
+(n + V / (V + 1)) / (N + V) of N tokens of V kinds. Each slice builds the states and arcs that its texts can reach, and one traversal from left
+to right carries the state, follows failure arcs until the token has an arc, and adds up log10 weights. All texts of a slice advance
+together, a token a step. A text of more than `PIECE` tokens goes in pieces that start two tokens early at the root: after two
+tokens the state is the same, as no state is longer.
 
 Counts may be of any number, so they are never broadcast. Documents are dealt into slices of about `slice_bytes` bytes. Each slice brings
 its words and pairs, as sorted hashes with its own counts, to the owners of ranges of hashes; an owner adds up and tells each
-slice the sums of what another slice has, too. Then triples go the same way, but only those whose two pairs are in another slice, too: all
+slice the sums of what another slice has, too. A task takes several slices or owners, one after another, where there are more than `most_tasks`. Then triples go the same way, but only those whose two pairs are in another slice, too: all
 others are counted where they are. Hashes of words have 64 bits, those of pairs and triples 20 bits more than it takes to number
-all tokens, so that less than one n-gram in a million shares a hash. Statistics are summed up to one row for each round and joined to the last.
+all tokens, so that less than one n-gram in a million shares a hash. Statistics are summed up in groups of about the square root of the number of owners,
+then to one row for each round, and joined to the last.
 
 Defined results: doc_id is a long (anything that cannot be cast to it is an error); a null text counts as empty (its end is still a token); a
 null doc_id is training text; repeated rows each count and each get a row, and are dealt by the partition they come from, too; a very
@@ -27,6 +30,7 @@ long text is in one slice; with no training text every word has probability one;
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -44,6 +48,8 @@ MODULUS, HELD_OUT = 7, 2
 END = b""
 #: Bytes of text of one slice, and bits of an n-gram's hash beyond those that number all tokens.
 SLICE_BYTES, SPARE_BITS = 8 << 20, 20
+#: Tasks of a stage at most, and tokens that the traversal takes in one piece.
+MOST_TASKS, PIECE = 1 << 14, 1024
 #: Classes of counts: by number of binary digits.
 CLASSES = 48
 #: Odd multipliers, derived from the golden ratio's fraction.
@@ -198,24 +204,73 @@ class Slice:
         """Counts of the first two tokens of each triple."""
         return self.pairs.sums[self.pairs.at[self.third[self.triples.first] - 1]]
 
-    def weights(self, tokens: int, kinds: int, ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
-        """Log10 weight of what the traversal follows at each place: failure arcs, then the token's arc. ones and twos:
-        mean number of kinds behind states of one and two words, by class."""
-        if not tokens:
-            return np.zeros(len(self.flat))
-        root = np.log10((self.counts + kinds / (kinds + 1)) / (tokens + kinds))[self.flat]
-        seen = self.pairs.sums[self.pairs.at]
-        out = step(seen, self.counts[self.before], ones, root)
-        at = self.third
-        out[at] = step(self.triples.sums[self.triples.at], seen[at - 1], twos, out[at])
-        return out
 
 
-def step(seen: np.ndarray, state: np.ndarray, means: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """The token's arc where the state has one, else the failure arc and what follows below."""
-    mean = means[classes(state)]
-    failure = np.log10(mean / (state + mean)) + below
-    return np.where(seen > 0, np.log10((seen + mean * 10.0**below) / (state + mean)), failure)
+class Automaton:
+    """The states and arcs that a slice's texts can reach. States by number: the root, then words, then pairs; those not
+    seen in training are never reached. Arcs are sorted by state and token."""
+
+    def __init__(self, mine: Slice, tokens: int, kinds: int, ones: np.ndarray, twos: np.ndarray):
+        """ones and twos: mean number of kinds behind states of one and two words, by class."""
+        pairs, triples = mine.pairs, mine.triples
+        self.width = len(mine.words)
+        word_states = np.arange(1, self.width + 1)
+        pair_states = np.arange(len(pairs.codes)) + self.width + 1
+        first, second = mine.before[pairs.first], mine.flat[pairs.first]
+        state_mean, pair_mean = ones[classes(mine.counts)], twos[classes(pairs.sums)]
+        self.fail = np.concatenate(([0], np.zeros(self.width, np.int64), word_states[second]))
+        self.fail_weight = np.log10(np.concatenate(([1.0], state_mean / (mine.counts + state_mean), pair_mean / (pairs.sums + pair_mean))))
+        # After a token the state is its pair with the token before, if that was seen, else the token, else the root.
+        after_word = np.where(mine.counts > 0, word_states, 0)
+        self.start = after_word[mine.flat[mine.ends[0]]]
+        after_pair = np.where(pairs.sums > 0, pair_states, after_word[second])
+        root = (mine.counts + kinds / (kinds + 1)) / (tokens + kinds)
+        one = (pairs.sums + state_mean[first] * root[second]) / (mine.counts[first] + state_mean[first])
+        place = mine.third[triples.first]
+        history, inner, token = pairs.at[place - 1], pairs.at[place], mine.flat[place]
+        two = (triples.sums + pair_mean[history] * one[inner]) / (pairs.sums[history] + pair_mean[history])
+        seen, seen_thrice = pairs.sums > 0, triples.sums > 0
+        keys = np.concatenate((self._key(0, np.arange(self.width)), self._key(word_states[first], second)[seen], self._key(pair_states[history], token)[seen_thrice]))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weight = np.log10(np.concatenate((root, one[seen], two[seen_thrice])))[order]
+        self.target = np.concatenate((after_word, after_pair[seen], after_pair[inner[seen_thrice]]))[order]
+
+    def _key(self, state, token):
+        return state * np.int64(self.width) + token
+
+    def follow(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Log10 weight of what is followed from each state until the token has an arc; state becomes what that leads to."""
+        weight = np.zeros(len(state))
+        rest = np.arange(len(state))
+        while len(rest):
+            key = self._key(state[rest], token[rest])
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[arc] == key
+            there, arc, rest = rest[found], arc[found], rest[~found]
+            weight[there] += self.weight[arc]
+            state[there] = self.target[arc]
+            weight[rest] += self.fail_weight[state[rest]]
+            state[rest] = self.fail[state[rest]]
+        return weight
+
+    def traverse(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int | None = None) -> np.ndarray:
+        """Log10 probability of each text, flat[start] to flat[end] included."""
+        piece = piece or PIECE
+        parts = (ends - starts) // piece + 1
+        text = np.repeat(np.arange(len(starts)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = starts[text] + nth * piece
+        early = np.where(nth > 0, 2, 0)
+        size = np.minimum(piece, ends[text] - begin + 1) + early
+        order = np.argsort(-size, kind="stable")
+        text, size, begin, early = text[order], size[order], (begin - early)[order], early[order]
+        state = np.where(early > 0, 0, self.start)
+        total = np.zeros(len(text))
+        alive = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
+        for t, n in enumerate(alive.tolist()):
+            total[:n] += self.follow(state[:n], flat[begin[:n] + t]) * (t >= early[:n])
+        return np.bincount(text, total, len(starts))
 
 
 def means(kinds: np.ndarray, states: np.ndarray) -> np.ndarray:
@@ -224,9 +279,8 @@ def means(kinds: np.ndarray, states: np.ndarray) -> np.ndarray:
 
 
 _ASK = "owner int, slice int, words binary, grams binary, marks binary, statistics binary, passed binary"
+#: Statistics are told to slices below zero.
 _TELL = "slice int, owner int, words binary, grams binary, statistics binary, passed binary"
-#: The slice that statistics are told to.
-ALL = -1
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -257,7 +311,7 @@ def _added(asked: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return first, sums, answers
 
 
-def _owned(third: bool):
+def _owned(third: bool, groups: int):
     def answer(batches):
         """Rows come owner by owner."""
         held: list[dict] = []
@@ -274,7 +328,7 @@ def _owned(third: bool):
                 _, counts, words = _added([r["words"] for r in held])
                 found = np.concatenate(([counts.sum()], by_class(counts[counts > 0])))
             out = [(r["slice"], r["owner"], w, g, b"", r["passed"]) for r, w, g in zip(held, words, grams, strict=True)]
-            return _rows(_TELL, [*out, (ALL, held[0]["owner"], b"", b"", found.astype(np.int64).tobytes(), b"")])
+            return _rows(_TELL, [*out, (-1 - held[0]["owner"] % groups, held[0]["owner"], b"", b"", found.astype(np.int64).tobytes(), b"")])
 
         for b in batches:
             for r in b.to_pylist():
@@ -288,15 +342,16 @@ def _owned(third: bool):
     return answer
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = SLICE_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     session_ready(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     n = max(1, -(-size // slice_bytes))
+    tasks = min(n, most_tasks)
     bits = min(64, (size // 4 + 2).bit_length() + SPARE_BITS)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (training_bucket(doc_id, MODULUS) == HELD_OUT).alias("held_out"), F.col(text).cast("string").alias("text"))
     # Rows that repeat each other go to different slices, unless they come from one partition.
-    spread = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")).repartition(n, "slice")
+    spread = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int")).repartition(tasks, "slice")
 
     def sliced(rows: pa.Table) -> Slice:
         return Slice(rows.column("text").combine_chunks(), rows.column("held_out").to_numpy(), bits)
@@ -343,16 +398,17 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tokens, *states = told["first"]
         behind = np.array(told["second"], np.float64).reshape(3, CLASSES)
         kinds = sum(states)
-        weights = mine.weights(tokens, kinds, means(behind[0], np.array(states)), means(behind[2], behind[1]))
+        automaton = Automaton(mine, tokens, kinds, means(behind[0], np.array(states)), means(behind[2], behind[1])) if tokens else None
+        scores = automaton.traverse(mine.flat, mine.starts, mine.ends) if automaton else np.zeros(len(mine.starts))
         counts = mine.counts[mine.flat]
         summed = lambda x: np.add.reduceat(x, mine.starts)
         lengths = mine.ends - mine.starts + 1
         base = summed(np.log10(counts + 1)) - lengths * np.log10(tokens + kinds + 1)
-        out = (lengths, summed((counts > 0).astype(np.int64)), np.full(len(lengths), tokens), base, summed(weights))
+        out = (lengths, summed((counts > 0).astype(np.int64)), np.full(len(lengths), tokens), base, scores)
         return pa.table([rows.column("doc_id"), rows.column("held_out"), *map(pa.array, out)], schema=_SCORES)
 
     def answers(asks: DataFrame, third: bool) -> DataFrame:
-        return asks.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(_owned(third), _TELL).repartition(n, "slice")
+        return asks.repartition(tasks, "owner").sortWithinPartitions("owner").mapInArrow(_owned(third, math.isqrt(n) + 1), _TELL).repartition(tasks, "slice")
 
     def summed_up(answers: DataFrame, name: str) -> DataFrame:
         """One row of the statistics that owners told; it reads the exchange that the answers' next user reads."""
@@ -361,8 +417,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             found = [np.frombuffer(x, np.int64) for x in rows.column("statistics").to_pylist() if x]
             return pa.table({name: pa.array([np.sum(found, axis=0)] if found else [], pa.list_(pa.int64()))})
 
-        # The slice of all statistics is one group, so there is one row.
-        return answers.groupBy("slice").applyInArrow(add, f"{name} array<bigint>")
+        def add_all(rows: pa.Table) -> pa.Table:
+            return pa.table({name: pa.array([np.sum(rows.column(name).to_pylist(), axis=0)], pa.list_(pa.int64()))})
+
+        schema = f"{name} array<bigint>"
+        return answers.groupBy("slice").applyInArrow(add, schema).groupBy().applyInArrow(add_all, schema)
 
     # One exchange of the texts serves all three rounds.
     first = answers(spread.groupBy("slice").applyInArrow(ask, _ASK), False)

@@ -12,6 +12,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -374,9 +375,9 @@ def lm_brute(rows):
     return Counter(out), chance, one, two
 
 
-@pytest.mark.parametrize("slice_bytes", [lm.SLICE_BYTES, 4000])
-def test_lm_against_brute_force(docs, rows, empty, slice_bytes):
-    got = lm.score_documents(docs, slice_bytes=slice_bytes)
+@pytest.mark.parametrize("slice_bytes, most_tasks", [(lm.SLICE_BYTES, 9), (4000, lm.MOST_TASKS), (4000, 3)])
+def test_lm_against_brute_force(docs, rows, empty, slice_bytes, most_tasks):
+    got = lm.score_documents(docs, slice_bytes=slice_bytes, most_tasks=most_tasks)
     have = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect())
     assert have == lm_brute(rows)[0]
     assert lm.score_documents(empty).count() == 0
@@ -392,6 +393,20 @@ def test_lm_query_against_brute_force(spark, sf_dir):
         assert sum(chance(state, w) for w in [*one, "?"]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("piece", [2, 7, lm.PIECE])
+def test_automaton_carries_its_state_over_pieces(rows, piece):
+    known = [(i, t) for i, t in rows if i is not None]
+    mine = lm.Slice(pa.array([t for _, t in known]), np.array([bucket(i, 7) == 2 for i, _ in known]), 64).close()
+    behind, states, behind_pairs = mine.statistics().reshape(3, -1)
+    trained = mine.counts[mine.counts > 0]
+    automaton = lm.Automaton(mine, int(trained.sum()), len(trained), lm.means(behind, lm.by_class(trained)), lm.means(behind_pairs, states))
+    scores = automaton.traverse(mine.flat, mine.starts, mine.ends, piece)
+    assert Counter((i, round(x, 6)) for (i, _), x in zip(known, scores, strict=True)) == Counter((r[0], r[-1]) for r in lm_brute(known)[0].elements())
+    # Failure arcs lead to shorter states and end at the root; only words lie between pairs and the root.
+    assert automaton.fail[0] == 0 and not automaton.fail[1 : automaton.width + 1].any() and ((automaton.fail[automaton.width + 1 :] - 1) // automaton.width == 0).all()
+    assert (np.diff(automaton.keys) > 0).all()
+
+
 def test_lm_without_training_text(spark):
     held = [i for i in range(60) if bucket(i, 7) == 2]
     got = lm.score_documents(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")).collect()
@@ -420,6 +435,14 @@ def test_rates_meet_their_targets_nearest_to_one(spark, targets):
     assert np.abs((rate * m) @ p - np.array(targets)).max() < 1e-6
     # Of rates with these totals none is nearer to one: the conditions of the optimum hold.
     assert (rate >= 0).all() and np.abs(rate - np.maximum(0, 1 - p @ steps)).max() == 0
+    # Alternating projections of all rates from one, onto rates with these totals and onto rates of zero or more, in the metric m, end at the same rates.
+    gram = (p * m[:, None]).T @ p
+    other, onto_zero = np.ones(3000), np.zeros(3000)
+    for _ in range(20000):
+        met = other - p @ np.linalg.solve(gram, (other * m) @ p - targets)
+        other = np.maximum(0, met + onto_zero)
+        onto_zero = met + onto_zero - other
+    assert np.abs(other - rate).max() < 1e-4
 
 
 def test_mixing(spark, empty):
@@ -445,6 +468,15 @@ def test_mixing_query_meets_its_targets(spark, sf):
     assert np.abs(np.array(totals) - mixing.TARGETS).max() < 1e-3
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_posteriors_of_held_out_documents(spark, seed):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(3)) == 0
+    judged = mixing.with_posteriors(docs, mixing.fit(docs, labels.filter(~held))).join(labels.filter(held), "doc_id").select("domains.p", "quality", "toxic").collect()
+    right = [int(np.argmax(r["p"])) == (2 if r["toxic"] else 0 if r["quality"] else 1) for r in judged]
+    assert len(right) > 100 and np.mean(right) > 0.9
+
+
 def phrases_brute(data, reference, block):
     n = 0
     for at in range(0, len(data), block):
