@@ -49,7 +49,7 @@ END = b""
 #: Bytes of text of one slice, and bits of an n-gram's hash beyond those that number all tokens.
 SLICE_BYTES, SPARE_BITS = 8 << 20, 20
 #: Tasks of a stage at most, and tokens that the traversal takes in one piece.
-MOST_TASKS, PIECE = 1 << 14, 1024
+MOST_TASKS, PIECE = 1 << 14, 256
 #: Classes of counts: by number of binary digits.
 CLASSES = 48
 #: Odd multipliers, derived from the golden ratio's fraction.
@@ -126,7 +126,13 @@ class Grams:
     """The distinct codes of places of a slice, sorted, with the place each is at and the slice's own training counts."""
 
     def __init__(self, codes: np.ndarray, learned: np.ndarray):
-        self.codes, self.first, self.at = np.unique(codes, return_index=True, return_inverse=True)
+        order = np.argsort(codes)
+        ordered = codes[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        self.codes, self.first = ordered[new], order[new]
+        self.at = np.empty(len(codes), np.int32)
+        self.at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.own = np.bincount(self.at[learned], minlength=len(self.codes))
         self.sums = self.own.copy()
         #: Codes that another slice has, too, and those that this slice counts among the kinds.
@@ -186,6 +192,7 @@ class Slice:
         inside[self.starts] = False
         self.third = np.flatnonzero(inside)
         self.triples = Grams(joined(self.whole[self.third - 1], self.words[self.flat[self.third]]) >> self.cut, self.learned[self.third])
+        del self.whole  # no round needs it any more
         # Another slice can only have a triple, in training text or not, if it has both its pairs.
         place = self.third[self.triples.first]
         self.wanted = self.pairs.shared[self.pairs.at[place]] & self.pairs.shared[self.pairs.at[place - 1]]
@@ -208,45 +215,77 @@ class Slice:
 
 class Automaton:
     """The states and arcs that a slice's texts can reach. States by number: the root, then words, then pairs; those not
-    seen in training are never reached. Arcs are sorted by state and token."""
+    seen in training are never reached. The root has an arc for each token, arcs of other states are found by hash."""
 
     def __init__(self, mine: Slice, tokens: int, kinds: int, ones: np.ndarray, twos: np.ndarray):
         """ones and twos: mean number of kinds behind states of one and two words, by class."""
+        self._build(mine, tokens, kinds, ones, twos)
+        self._index()
+
+    def _build(self, mine: Slice, tokens: int, kinds: int, ones: np.ndarray, twos: np.ndarray) -> None:
         pairs, triples = mine.pairs, mine.triples
         self.width = len(mine.words)
-        word_states = np.arange(1, self.width + 1)
-        pair_states = np.arange(len(pairs.codes)) + self.width + 1
+        states = np.arange(1 + self.width + len(pairs.codes), dtype=np.int32)
+        word_states, pair_states = states[1 : self.width + 1], states[self.width + 1 :]
         first, second = mine.before[pairs.first], mine.flat[pairs.first]
-        state_mean, pair_mean = ones[classes(mine.counts)], twos[classes(pairs.sums)]
-        self.fail = np.concatenate(([0], np.zeros(self.width, np.int64), word_states[second]))
-        self.fail_weight = np.log10(np.concatenate(([1.0], state_mean / (mine.counts + state_mean), pair_mean / (pairs.sums + pair_mean))))
+        word_mean, pair_mean = ones[classes(mine.counts)], twos[classes(pairs.sums)]
+        self.fail = np.concatenate((np.zeros(self.width + 1, np.int32), word_states[second]))
+        self.fail_weight = np.log10(np.concatenate(([1.0], word_mean / (mine.counts + word_mean), pair_mean / (pairs.sums + pair_mean))))
         # After a token the state is its pair with the token before, if that was seen, else the token, else the root.
         after_word = np.where(mine.counts > 0, word_states, 0)
         self.start = after_word[mine.flat[mine.ends[0]]]
-        after_pair = np.where(pairs.sums > 0, pair_states, after_word[second])
         root = (mine.counts + kinds / (kinds + 1)) / (tokens + kinds)
-        one = (pairs.sums + state_mean[first] * root[second]) / (mine.counts[first] + state_mean[first])
-        place = mine.third[triples.first]
-        history, inner, token = pairs.at[place - 1], pairs.at[place], mine.flat[place]
-        two = (triples.sums + pair_mean[history] * one[inner]) / (pairs.sums[history] + pair_mean[history])
-        seen, seen_thrice = pairs.sums > 0, triples.sums > 0
-        keys = np.concatenate((self._key(0, np.arange(self.width)), self._key(word_states[first], second)[seen], self._key(pair_states[history], token)[seen_thrice]))
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.weight = np.log10(np.concatenate((root, one[seen], two[seen_thrice])))[order]
-        self.target = np.concatenate((after_word, after_pair[seen], after_pair[inner[seen_thrice]]))[order]
-
-    def _key(self, state, token):
+        one = (pairs.sums + word_mean[first] * root[second]) / (mine.counts[first] + word_mean[first])
+        seen = np.flatnonzero(pairs.sums > 0)
+        seen_thrice = np.flatnonzero(triples.sums > 0)
+        place = mine.third[triples.first[seen_thrice]]
+        history, inner = pairs.at[place - 1], pairs.at[place]
+        two = (triples.sums[seen_thrice] + pair_mean[history] * one[inner]) / (pairs.sums[history] + pair_mean[history])
+        self.keys = np.concatenate((self._key(states[:1], states[: self.width]), self._key(word_states[first[seen]], second[seen]), self._key(pair_states[history], mine.flat[place])))
+        self.weight = np.log10(np.concatenate((root, one[seen], two)))
+        self.target = np.concatenate((after_word, pair_states[seen], pair_states[inner]))
+
+    def _key(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         return state * np.int64(self.width) + token
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _MIX[0]) >> self.cut).view(np.int64)
+
+    def _index(self) -> None:
+        """Each arc has the first free slot from its hash on; at most half of the slots are taken."""
+        bits = (2 * len(self.keys)).bit_length()
+        self.cut, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        rest = np.arange(self.width, len(self.keys), dtype=np.int32)  # the root's need none
+        slot = self._slot(self.keys[rest])
+        while len(rest):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rest[free]
+            lost = self.slots[slot] != rest
+            rest, slot = rest[lost], (slot[lost] + 1) & self.last
+
+    def arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Each state's arc for the token, -1 where there is none."""
+        found = np.where(state == 0, token, -1)
+        rest = np.flatnonzero(state)
+        key = self._key(state[rest], token[rest])
+        slot = self._slot(key)
+        while len(rest):
+            arc = self.slots[slot]
+            same = self.keys[arc] == key
+            same &= arc >= 0
+            found[rest[same]] = arc[same]
+            on = (arc >= 0) & ~same
+            rest, key, slot = rest[on], key[on], (slot[on] + 1) & self.last
+        return found
+
     def follow(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Log10 weight of what is followed from each state until the token has an arc; state becomes what that leads to."""
         weight = np.zeros(len(state))
         rest = np.arange(len(state))
         while len(rest):
-            key = self._key(state[rest], token[rest])
-            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[arc] == key
+            arc = self.arcs(state[rest], token[rest])
+            found = arc >= 0
             there, arc, rest = rest[found], arc[found], rest[~found]
             weight[there] += self.weight[arc]
             state[there] = self.target[arc]
@@ -265,7 +304,7 @@ class Automaton:
         size = np.minimum(piece, ends[text] - begin + 1) + early
         order = np.argsort(-size, kind="stable")
         text, size, begin, early = text[order], size[order], (begin - early)[order], early[order]
-        state = np.where(early > 0, 0, self.start)
+        state = np.where(early > 0, 0, self.start).astype(np.int32)
         total = np.zeros(len(text))
         alive = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
         for t, n in enumerate(alive.tolist()):

@@ -404,7 +404,9 @@ def test_automaton_carries_its_state_over_pieces(rows, piece):
     assert Counter((i, round(x, 6)) for (i, _), x in zip(known, scores, strict=True)) == Counter((r[0], r[-1]) for r in lm_brute(known)[0].elements())
     # Failure arcs lead to shorter states and end at the root; only words lie between pairs and the root.
     assert automaton.fail[0] == 0 and not automaton.fail[1 : automaton.width + 1].any() and ((automaton.fail[automaton.width + 1 :] - 1) // automaton.width == 0).all()
-    assert (np.diff(automaton.keys) > 0).all()
+    state, token = np.divmod(automaton.keys, automaton.width)
+    assert len(np.unique(automaton.keys)) == len(automaton.keys) and (automaton.arcs(state, token) == np.arange(len(automaton.keys))).all()
+    assert set(automaton.arcs(np.repeat(np.unique(state)[1:], 2), np.full(2 * len(np.unique(state)) - 2, automaton.width - 1)).tolist()) - {-1} <= set(np.flatnonzero(token == automaton.width - 1).tolist())
 
 
 def test_lm_without_training_text(spark):
