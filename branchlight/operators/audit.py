@@ -121,3 +121,10 @@ def retrieval_overlap(found: Column, gold: Column) -> dict[str, Column]:
     both, either = F.size(F.array_intersect(found, gold)), F.size(F.array_union(found, gold))
     n = F.size(F.array_distinct(gold))
     return {"recall": F.coalesce(F.try_divide(both, n), F.lit(0.0)), "jaccard": F.coalesce(F.try_divide(both, either), F.lit(0.0)), "any_hit": both > 0, "all_hit": (n > 0) & (both == n)}
+
+
+def absolute_changes(old: DataFrame, new: DataFrame, metrics: list[str], judged: list[str]) -> DataFrame:
+    """One row of two one-row summaries: the change of each metric, null if either lacks it, and whether the judged ones rose."""
+    both = old.select(*[F.col(m).alias(f"old_{m}") for m in metrics]).crossJoin(F.broadcast(new.select(*[F.col(m).alias(f"new_{m}") for m in metrics])))
+    change = {m: F.col(f"new_{m}") - F.col(f"old_{m}") for m in metrics}
+    return both.select(*[c.alias(f"{m}_absolute_change") for m, c in change.items()], *[(change[m] > 0).alias(f"{m}_improved") for m in judged])

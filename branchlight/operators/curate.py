@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,3 +232,51 @@ def fetch(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     wrong = F.when(F.col("__twice") > 1, "listed twice").when(F.col(key).isNull(), "not found").when(times > 1, "found twice")
     checked = found.withColumn("__wrong", wrong)
     return checked.withColumn("at", F.when(F.col("__wrong").isNull(), F.col("at")).otherwise(F.raise_error(F.concat_ws(" ", F.lit(key), F.col("__k").cast("string"), "__wrong")).cast("int"))).drop("__k", "__twice", "__wrong")
+
+
+def alternating_sample(rows: DataFrame, key: list[str], bucket: str, order: list, owner: str, limit: int, cap: int, seed: int) -> DataFrame:
+    """Up to `limit` rows, in turn from each bucket of the order, each bucket by a seeded draw; at most `cap` rows of an owner over all buckets. Rows
+    get their place `at` from one. A bucket without a row that may be taken loses its turn; rows of other buckets are left out, null owners are one owner.
+
+    The turns are walked in one task, over at most 2 * limit rows a bucket, and are exact all the same: of an owner's rows in a bucket only the first
+    `cap` can be taken, and among those no more than `limit` are taken and no more than `limit` passed over, as each of these belongs to an owner of whom `cap` were taken.
+    """
+    if cap < 1 or limit < 1:
+        raise ValueError("limit and cap must be positive")
+    drawn = rows.withColumn("__draw", draw(seed, *key))
+    able = ranked(drawn, [bucket, owner], ["__draw", *key], "__nth").filter(F.col("__nth") <= cap).drop("__nth")
+    first = [able.filter(F.col(bucket) == b).orderBy("__draw", *key).limit(2 * limit).withColumn("__b", F.lit(i)) for i, b in enumerate(order)]
+    seen = stored(ranked(reduce(DataFrame.unionByName, first), ["__b"], ["__draw", *key], "__n"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        queues = [iter(list(q.sort_values("__n")[["__n", "__owner"]].itertuples(index=False, name=None))) for q in (pdf[pdf["__b"] == i] for i in range(len(order)))]
+        taken, found, idle, turn = Counter(), [], 0, 0
+        while len(found) < limit and idle < len(queues):
+            b = turn % len(queues)
+            n, who = next(((n, who) for n, who in queues[b] if taken[who] < cap), (None, None))
+            if n is None:
+                idle += 1
+            else:
+                idle = 0
+                taken[who] += 1
+                found.append((b, n, len(found) + 1))
+            turn += 1
+        return pd.DataFrame(found, columns=["__b", "__n", "at"])
+
+    turns = seen.select("__b", "__n", F.col(owner).cast("string").alias("__owner")).groupBy().applyInPandas(walk, "__b int, __n int, at int")
+    return seen.join(F.broadcast(turns), ["__b", "__n"]).drop("__b", "__n", "__draw")
+
+
+def unique_questions(rows: DataFrame, source: str, question: Column, sources: list[str], key: list[str], n: int, seed: int) -> DataFrame:
+    """Exactly n rows of each source by a seeded draw, no two of a source with one question; empty and null questions never count.
+    A source with fewer questions is an error."""
+    asked = rows.filter(F.col(source).isin(sources)).withColumn("__q", question).filter("__q <> ''").withColumn("__draw", draw(seed, *key))
+    once = first_per_key(asked, [source, "__q"], ["__draw", *key]).drop("__q")
+    picked = ranked(once, [source], ["__draw", *key], "__nth").filter(F.col("__nth") <= n).drop("__nth", "__draw")
+    return require_counts(picked, source, dict.fromkeys(sources, n))
+
+
+def shuffled_sample(rows: DataFrame, group: str, key: list[str], n: int, seed: int, into: str = "place") -> DataFrame:
+    """min(n, size) rows of each group, and their places from one in a seeded order of all."""
+    picked = sample_per_group(rows, group, key, n, seed).withColumn("__draw", draw(seed + 1, *key))
+    return global_rank(picked, [], "__draw", key, into).drop("__draw")

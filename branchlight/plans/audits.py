@@ -164,3 +164,24 @@ def explode_arms(spark, sf_dir):
     arm = lambda name, q, hit: F.struct(F.lit(name).alias("arm"), q.alias("q"), hit.alias("hit"))
     arms = F.array(arm("old", F.col("p_name"), F.col("p_size") > 25), arm("new", F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(""), F.col("p_size") > 20))
     return table(spark, sf_dir, "part").select(F.explode(arms).alias("a")).select("a.*").groupBy("arm").agg(F.count("*").alias("total"), F.count_if(F.col("q") != "").alias("valid"), F.count_if("hit").alias("hits"))
+
+
+@query(
+    "absolute_changes",
+    f"""WITH {ROLLOUTS}, g AS (SELECT line % 2 AS arm, data_source, uid, max(score) - min(score) AS spread, max(score) AS best FROM rollouts GROUP BY ALL),
+s AS (SELECT arm, avg(CAST(spread > 0 AND best >= CAST(0.8 AS DOUBLE) AS INT)) AS effective_parent_rate, avg(CAST(spread > 0 AS INT)) AS nonzero_sibling_edge_rate, avg(CAST(spread = 0 AS INT)) AS zero_variance_parent_rate FROM g GROUP BY arm)
+SELECT round(n.effective_parent_rate - o.effective_parent_rate, 6) + 0.0 AS effective_parent_rate_absolute_change, round(n.nonzero_sibling_edge_rate - o.nonzero_sibling_edge_rate, 6) + 0.0 AS nonzero_sibling_edge_rate_absolute_change,
+  round(n.zero_variance_parent_rate - o.zero_variance_parent_rate, 6) + 0.0 AS zero_variance_parent_rate_absolute_change, n.effective_parent_rate - o.effective_parent_rate > 0 AS effective_parent_rate_improved, n.nonzero_sibling_edge_rate - o.nonzero_sibling_edge_rate > 0 AS nonzero_sibling_edge_rate_improved
+FROM s o, s n WHERE o.arm = 0 AND n.arm = 1""",
+)
+def absolute_changes(spark, sf_dir):
+    """Groups of the lines with odd numbers against those with even ones: how often scores differ, and do so with one that is right."""
+    names = ["effective_parent_rate", "nonzero_sibling_edge_rate", "zero_variance_parent_rate"]
+
+    def summary(arm: int):
+        g = rollouts(spark, sf_dir).filter(F.col("line") % 2 == arm).groupBy("data_source", "uid").agg((F.max("score") - F.min("score")).alias("spread"), F.max("score").alias("best"))
+        kinds = [(F.col("spread") > 0) & (F.col("best") >= 0.8), F.col("spread") > 0, F.col("spread") == 0]
+        return g.agg(*[F.avg(k.cast("int")).alias(m) for m, k in zip(names, kinds, strict=True)])
+
+    got = audit.absolute_changes(summary(0), summary(1), names, names[:2])
+    return got.select(*[r6(F.col(c), c) if c.endswith("change") else F.col(c) for c in got.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import balance as balancing
 from ..operators import batching
 from ..operators import curate as C
@@ -194,3 +195,41 @@ def normalize_messages(spark, sf_dir):
     good = F.forall("m", lambda x: x["role"].isin("user", "assistant", "system") & (x["content"] != ""))
     text = F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["role"], x["content"])), "\n")
     return turns.select("conv_id", F.size("m").cast("long").alias("n"), good.alias("well_formed"), (F.element_at("m", -1)["role"] == "assistant").alias("ends_well"), F.sha2(text.cast("binary"), 256).alias("content_hash"))
+
+
+@query(
+    "alternating_sample",
+    f"""WITH RECURSIVE b AS (SELECT event_id, user_id, CASE WHEN value <= 25 THEN 0 WHEN value >= 75 THEN 1 ELSE 2 END AS bucket, {_draw(4, 'event_id')} AS d FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY d, event_id) AS place FROM b QUALIFY row_number() OVER (PARTITION BY bucket, user_id ORDER BY d, event_id) <= 2),
+c AS (SELECT list({{'bucket': bucket, 'place': place, 'user_id': user_id, 'event_id': event_id}} ORDER BY place) AS all_rows FROM f),
+w AS (
+  SELECT 0 AS turn, CAST(0 AS BIGINT) AS n, 0 AS idle, CAST([] AS BIGINT[]) AS users, [CAST(0 AS BIGINT), 0, 0] AS spot, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS INT) AS bucket
+  UNION ALL
+  SELECT turn + 1, n + CAST(r IS NOT NULL AS INT), CASE WHEN r IS NULL THEN idle + 1 ELSE 0 END, CASE WHEN r IS NULL THEN users ELSE list_append(users, r.user_id) END,
+    list_transform(spot, lambda x, i: CASE WHEN i = turn % 3 + 1 AND r IS NOT NULL THEN r.place ELSE x END), r.event_id, r.bucket
+  FROM (SELECT w.* EXCLUDE (event_id, bucket), list_filter(all_rows, lambda x: x.bucket = w.turn % 3 AND x.place > w.spot[w.turn % 3 + 1] AND len(list_filter(w.users, lambda u: u = x.user_id)) < 2)[1] AS r FROM w, c WHERE w.n < 90 AND w.idle < 3)
+)
+SELECT event_id, user_id, bucket, CAST(n AS INT) AS place FROM w JOIN (SELECT event_id, user_id FROM events) USING (event_id)""",
+)
+def alternating_sample(spark, sf_dir):
+    """Ninety events in turn from the low, the high and the middle bucket, at most two of a user."""
+    bucket = F.when(F.col("value") <= 25, 0).when(F.col("value") >= 75, 1).otherwise(2)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", bucket.alias("bucket"))
+    return C.alternating_sample(rows, ["event_id"], "bucket", [0, 1, 2], "user_id", 90, 2, 4).withColumnRenamed("at", "place")
+
+
+@query(
+    "unique_questions",
+    f"""WITH q AS (SELECT conv_id, turn, role, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q, {_draw(8, 'conv_id', 'turn')} AS d FROM conversations WHERE role IN ('user', 'assistant')),
+o AS (SELECT * FROM q WHERE q <> '' QUALIFY row_number() OVER (PARTITION BY role, q ORDER BY d, conv_id, turn) = 1)
+SELECT conv_id, turn, role FROM o QUALIFY row_number() OVER (PARTITION BY role ORDER BY d, conv_id, turn) <= 20""",
+)
+def unique_questions(spark, sf_dir):
+    """Twenty different messages of each role."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return C.unique_questions(rows, "role", T.question_key(F.col("text")), ["user", "assistant"], ["conv_id", "turn"], 20, 8).select("conv_id", "turn", "role")
+
+
+@query("shuffled_sample", f"WITH s AS (SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {_draw(11, 'doc_id')}, doc_id) <= 7) SELECT doc_id, source, row_number() OVER (ORDER BY {_draw(12, 'doc_id')}, doc_id) AS place FROM s")
+def shuffled_sample(spark, sf_dir):
+    return C.shuffled_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], 7, 11)
