@@ -51,19 +51,24 @@ def unpad(batch: DataFrame, n: int, pad: int) -> DataFrame:
     return batch.filter(F.col(ROW) < n - pad) if pad else batch
 
 
-def chunk(batch: DataFrame, chunks: int, n: int) -> DataFrame:
-    """The batch with `chunk`, its number among equal runs of rows."""
-    if n % chunks:
+def chunk(batch: DataFrame, chunks: int, n: int, rest: bool = False) -> DataFrame:
+    """The batch with `chunk`, its number among equal runs of rows. Rows that equal runs leave over are an error, or with rest further chunks behind them."""
+    if n % chunks and (n < chunks or not rest):
         raise ValueError(f"{n} rows do not make {chunks} equal chunks")
-    return batch.withColumn("chunk", F.floor(F.col(ROW) / (n // chunks)))
+    return batch.withColumn("chunk", F.floor(F.col(ROW) / max(1, n // chunks)))
 
 
 def fold(batch: DataFrame, rows: int, n: int) -> DataFrame:
     """Every n / rows neighbours nested in one row, as arrays."""
     if n % rows:
         raise ValueError(f"{n} rows do not fold into {rows}")
+    return fold_by(batch, n // rows)
+
+
+def fold_by(batch: DataFrame, width: int) -> DataFrame:
+    """Every width neighbours nested in one row, as arrays; the last row may hold fewer."""
     inner = [c for c in batch.columns if c != ROW]
-    nested = batch.groupBy(F.floor(F.col(ROW) / (n // rows)).alias("__row")).agg(F.array_sort(F.collect_list(F.struct(ROW, *inner))).alias("__r"))
+    nested = batch.groupBy(F.floor(F.col(ROW) / width).alias("__row")).agg(F.array_sort(F.collect_list(F.struct(ROW, *inner))).alias("__r"))
     return nested.select(F.col("__row").alias(ROW), *[F.col(f"__r.{c}").alias(c) for c in inner])
 
 
