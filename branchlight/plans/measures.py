@@ -84,7 +84,8 @@ def training_metrics(spark, sf_dir):
     rows = G.advantages(rollouts(spark, sf_dir), "grpo")
     each = F.array(*[F.struct(F.lit(m).alias("m"), v.alias("v"), n.alias("tokens")) for m, v, n in (("score", F.col("score"), F.lit(1.0)), ("advantage", F.col("advantage"), F.col("tokens")), ("return", F.col("score") * 0.5, F.col("tokens")))])
     at = lambda c, n: (F.round(c, 5) + F.lit(0.0)).alias(n)
-    return rows.select(F.explode(each).alias("x")).select("x.*").groupBy("m").agg(at(F.min("v"), "least"), at(F.sum(F.col("v") * F.col("tokens")) / F.sum("tokens"), "mean"), at(F.max("v"), "most"))
+    mean = audit.exact_sum(F.col("v") * F.col("tokens")) / audit.exact_sum(F.col("tokens"))
+    return rows.select(F.explode(each).alias("x")).select("x.*").groupBy("m").agg(at(F.min("v"), "least"), at(mean, "mean"), at(F.max("v"), "most"))
 
 
 @query("seeded_derangement", "WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY substr(sha256('19:' || o_orderkey), 1, 13), o_orderkey) AS i, count(*) OVER () AS n FROM orders) SELECT a.o_orderkey, a.o_custkey, b.o_orderkey AS control FROM r a JOIN r b ON b.i = a.i % a.n + 1")
