@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,19 +79,81 @@ def bootstrap(rows: DataFrame, group: str, value: str, samples: int = 10_000, se
     return whole.join(bounds, "g").select(F.col("g").alias(group), "mean", (F.col("q")[0] / F.col("n")).alias("low"), (F.col("q")[1] / F.col("n")).alias("high"), "n")
 
 
+#: Draws that fall into one block of places, on average; and draws that are made at a time.
+BLOCK_DRAWS, AT_ONCE = 1 << 20, 1 << 19
+
+
+def _drawn(name: str, at: list[int], n: int, samples: int, seed: int) -> np.ndarray:
+    """The places that draws i of every resample take, resample after resample."""
+    ends = [b"%d" % i for i in at]
+    digests = bytearray()
+    for r in range(samples):
+        head = hashlib.sha256(f"{seed}:{name}:{r}:".encode())
+        for end in ends:
+            h = head.copy()
+            h.update(end)
+            digests += h.digest()[:8]
+    # Thirteen hex digits are 52 bits.
+    share = (np.frombuffer(digests, ">u8") >> np.uint64(12)).astype(np.float64) / float(16**13)
+    return np.floor(share * float(n)).astype(np.int64)
+
+
+def _picks(batches: Iterator[pa.RecordBatch], samples: int, seed: int, width: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(g, block, codes) of the draws that start from rows (g, at, n), `most` rows at a time: by blocks of `width` places, resample * width + place in the block as unsigned of 32 bits."""
+    def rows() -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    for b in rows():
+        groups, at, sizes = b.column(0).dictionary_encode(), b.column(1).to_numpy(), b.column(2).to_numpy()
+        number = groups.indices.to_numpy(zero_copy_only=False)
+        for g, name in enumerate(groups.dictionary.to_pylist()):
+            mine = np.flatnonzero(number == g)
+            for lo in range(0, len(mine), most):
+                some = at[mine[lo : lo + most]].tolist()
+                place = _drawn(name, some, int(sizes[mine[0]]), samples, seed)
+                block, code = place // width, np.repeat(np.arange(samples), len(some)) * width + place % width
+                order = np.argsort(block, kind="stable")
+                found, starts = np.unique(block[order], return_index=True)
+                parts = [x.tobytes() for x in np.split(code[order].astype("<u4"), starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(parts, pa.binary())], names=["g", "block", "codes"])
+
+
 def bootstrap_by_index(rows: DataFrame, group: str, key: list[str], value: str, samples: int, seed: int) -> DataFrame:
     """The same interval from draws that any engine can repeat: draw i of resample r takes the row whose place, in the order of a seeded draw by
-    key, is floor(u * n), u from a SHA-256 of seed, group, r and i. It costs a row for each draw, n * samples in all; no task holds a group."""
-    drawn = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), *key).withColumn("d", draw(seed, *key))
+    key, is floor(u * n), u from a SHA-256 of seed, group, r and i. It costs n * samples hashes; no task holds a group, and one row a group is broadcast.
+
+    As many draws start from a row as there are resamples, so they are made where the rows are. Four bytes of each travel to the block of places it falls
+    into, where they are counted and meet the values. Null values do not count in a resample, and null groups have none.
+    """
+    drawn = rows.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), *key).withColumn("d", draw(seed, *key))
+    width, most = max(1, BLOCK_DRAWS // samples), max(1, AT_ONCE // samples)
     placed = stored(global_rank(drawn, ["g"], "d", key, "at").select("g", "v", (F.col("at") - 1).alias("at")))
-    whole = placed.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    # As many draws start from a row as there are resamples, so they are spread as the rows are.
-    draws = placed.select("g", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("r")).join(whole, "g")
-    share = F.conv(draw(seed, "g", "r", "i"), 16, 10).cast("double") / float(16**13)
-    picks = draws.select("g", "r", F.floor(share * F.col("n")).alias("at")).groupBy("g", "r", "at").agg(F.count("*").alias("k"))
-    means = picks.join(placed, ["g", "at"]).groupBy("g", "r").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
-    bounds = means.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return whole.join(bounds, "g").select(F.col("g").alias(group), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
+    whole = stored(placed.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean")))
+    starts = placed.join(F.broadcast(whole.select("g", "n")), "g").select(F.col("g").cast("string").alias("g"), "at", "n")
+    picks = starts.mapInArrow(lambda batches: _picks(batches, samples, seed, width, most), "g string, block long, codes binary")
+    values = placed.select(F.col("g").cast("string").alias("g"), F.floor(F.col("at") / width).alias("block"), (F.col("at") % width).alias("at"), "v")
+
+    def summed(key: tuple, values: pd.DataFrame, picked: pd.DataFrame) -> pd.DataFrame:
+        if picked.empty:
+            return pd.DataFrame({"g": [], "block": [], "sums": [], "known": []})
+        v = np.full(width, np.nan)
+        v[values["at"].to_numpy(np.int64)] = values["v"].to_numpy(float)
+        times = np.bincount(np.frombuffer(b"".join(picked["codes"]), "<u4"), minlength=samples * width).reshape(samples, width)
+        has = ~np.isnan(v)
+        return pd.DataFrame({"g": [key[0]], "block": [key[1]], "sums": [times[:, has] @ v[has]], "known": [times[:, has].sum(axis=1)]})
+
+    parts = values.groupBy("g", "block").cogroup(picks.groupBy("g", "block")).applyInPandas(summed, "g string, block long, sums array<double>, known array<long>")
+    each = parts.select("g", "block", F.posexplode(F.arrays_zip("sums", "known")).alias("r", "x")).groupBy("g", "r").agg(F.array_sort(F.collect_list(F.struct("block", "x.sums"))).alias("s"), F.sum("x.known").alias("k"))
+    means = each.select("g", (F.aggregate("s.sums", F.lit(0.0), lambda a, x: a + x) / F.nullif("k", F.lit(0))).alias("m"))
+    bounds = means.groupBy(F.col("g").alias("__g")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return whole.join(bounds, F.col("g").cast("string") == F.col("__g")).select(F.col("g").alias(group), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
 
 
 def paired_lifts(rows: DataFrame, key: str, arms: str, metrics: list[str], real: str, baselines: list[str], samples: int, seed: int) -> DataFrame:

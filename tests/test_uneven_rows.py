@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from branchlight.operators import audit, batch
 from branchlight.plans import registry
@@ -45,3 +47,22 @@ def test_mean_score_at_a_tie_of_rounding(spark):
     """Over sf0.01 the mean score is 29951.1 / 60000 = 0.499185."""
     got = {r["m"]: r["mean"] for r in registry.QUERIES["training_metrics"](spark, "/root/testdata/sf0.01").collect()}
     assert got["score"] == 0.49919
+
+
+def test_repeatable_resamples_by_brute_force(spark, monkeypatch):
+    """Draws over several blocks and batches; a null value does not count where it is drawn, and a null group has no row."""
+    monkeypatch.setattr(audit, "BLOCK_DRAWS", 12)
+    monkeypatch.setattr(audit, "AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    rows = [(g, i, None if i % 9 == 4 else float(rng.normal())) for g, n in (("a", 53), ("b", 1), ("c", 17), (None, 3)) for i in range(n)]
+    want = {}
+    for g in ("a", "b", "c"):
+        mine = sorted((hashlib.sha256(f"7:{i}".encode()).hexdigest()[:13], i, v) for h, i, v in rows if h == g)
+        pick = lambda r, i, n, g=g: int(int(hashlib.sha256(f"7:{g}:{r}:{i}".encode()).hexdigest()[:13], 16) / 16**13 * n)
+        taken = [[mine[pick(r, i, len(mine))][2] for i in range(len(mine))] for r in range(6)]
+        means = [np.mean([v for v in t if v is not None]) for t in taken]
+        want[g] = (np.mean([v for *_, v in mine if v is not None]), *np.quantile(means, [0.025, 0.975]), len(mine))
+    got = audit.bootstrap_by_index(spark.createDataFrame(rows, "g string, k int, v double"), "g", ["k"], "v", 6, 7).collect()
+    assert {r["g"] for r in got} == set(want)
+    for r in got:
+        assert tuple(r)[1:] == pytest.approx(want[r["g"]])
