@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .curate import draw
-from .trees import KEY, closure, depth_preference, leaves, uncertainty
+from .trees import KEY, depth_preference, leaves, paths, uncertainty
 
 #: Calibrated rates of mixed outcomes by where a node was expanded.
 PRIORS = {"root": 0.23255813953488372, "pre_search": 0.17880794701986755, "after_search_depth1": 0.20754716981132076, "after_search_depth2": 0.11363636363636363, "after_search_depth3plus": 0.09090909090909091}
@@ -95,12 +95,14 @@ def sibling_events(kids: DataFrame, least_gap: float, least_advantage: float = 0
 def path_events(nodes: DataFrame, events: DataFrame, most: int, largest: float = 1.0) -> DataFrame:
     """The last `most` events on the path from the root to each leaf, in order from the root, with weights min(largest, advantage / deviation),
     shared among the leaves below the event's parent. events: (tree_uid, node_uid, raw_advantage, deviation, leaf_count)."""
-    ends = leaves(nodes).select(*KEY).distinct()
-    path = closure(nodes).join(ends, list(KEY)).select("tree_uid", F.col("node_uid").alias("leaf"), F.col("ancestor").alias("node_uid"), "steps").distinct()
-    met = path.join(events, list(KEY))
-    at = F.row_number().over(Window.partitionBy("tree_uid", "leaf").orderBy("steps"))
+    rest = [c for c in events.columns if c not in KEY]
+    found = events.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("events"))
+    ends = paths(nodes, beside=found, along=("events",)).filter("leaf")
+    way = F.concat(F.array(F.struct("node_uid", "events")), F.zip_with("path", "along", lambda p, a: F.struct(p["uid"].alias("node_uid"), a["events"].alias("events"))))
+    met = F.flatten(F.transform(way, lambda x, i: F.transform(F.coalesce(x["events"], F.array().cast(found.schema["events"].dataType)), lambda e: F.struct(x["node_uid"].alias("node_uid"), i.alias("steps"), e.alias("event")))))
+    last = ends.select("tree_uid", F.col("node_uid").alias("leaf"), F.explode(F.slice(met, 1, most)).alias("e")).select("tree_uid", "e.node_uid", "leaf", "e.steps", "e.event.*")
     strength = F.least(F.lit(largest), F.col("raw_advantage") / F.greatest(F.col("deviation"), F.lit(1e-6)))
-    return met.withColumn("__at", at).filter(F.col("__at") <= most).withColumn("weight", strength / F.greatest(F.col("leaf_count"), F.lit(1))).drop("__at")
+    return last.withColumn("weight", strength / F.greatest(F.col("leaf_count"), F.lit(1)))
 
 
 def anchored_prefix(prompt: Column, state: Column, budget: Column) -> Column:
@@ -150,10 +152,11 @@ def on_first_row(rows: DataFrame, group: str, order: list[str], stat: str) -> Da
 
 def path_intervals(nodes: DataFrame, lengths: Column) -> DataFrame:
     """(tree_uid, leaf, node_uid, start, stop) of each edge on each root-to-leaf path, in tokens of the leaf's response: an edge has as many as its
-    lower node adds, and the root has no edge. lengths: tokens that a node adds."""
-    ends = leaves(nodes).select("tree_uid", F.col("node_uid").alias("leaf")).distinct()
-    path = closure(nodes).select("tree_uid", F.col("node_uid").alias("leaf"), F.col("ancestor").alias("node_uid"), "steps").distinct().join(ends, ["tree_uid", "leaf"])
-    edges = nodes.filter("parent_node_uid is not null").select(*KEY, lengths.alias("__n")).distinct()
-    upto = F.sum("__n").over(Window.partitionBy("tree_uid", "leaf").orderBy(F.desc("steps")).rowsBetween(Window.unboundedPreceding, 0))
-    got = path.join(edges, list(KEY)).withColumn("stop", upto)
-    return got.select("tree_uid", "leaf", "node_uid", (F.col("stop") - F.col("__n")).alias("start"), "stop")
+    lower node adds, and the root has no edge. lengths: tokens that a node adds (if rows of one uid differ, the most)."""
+    ends = paths(nodes, {"tokens": F.max(lengths)}, along=("tokens",)).filter("leaf")
+    way = F.concat(F.array(F.struct("node_uid", "tokens")), F.zip_with("path", "along", lambda p, a: F.struct(p["uid"].alias("node_uid"), a["tokens"].alias("tokens"))))
+    # What a way ends at is a root or has no row: no edge.
+    edges = ends.select("tree_uid", F.col("node_uid").alias("leaf"), F.slice(way, F.lit(1), F.size(way) - 1).alias("edges"))
+    upto = F.aggregate(F.slice("edges", F.col("i") + 1, F.size("edges")), F.lit(0).cast("long"), lambda n, e: n + F.coalesce(e["tokens"], F.lit(0)))
+    got = edges.select("*", F.posexplode("edges").alias("i", "e")).withColumn("stop", upto)
+    return got.select("tree_uid", "leaf", "e.node_uid", (F.col("stop") - F.col("e.tokens")).alias("start"), "stop")

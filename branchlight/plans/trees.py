@@ -160,10 +160,12 @@ SELECT leaf, node_uid, (row_number() OVER w - 1) * 10 AS start, row_number() OVE
 )
 def path_token_intervals(spark, sf_dir):
     """Credit of each edge of each root-to-leaf path over the tokens of that edge (ten each); the root has none."""
-    nodes = tree_nodes(spark, sf_dir)
-    ends = trees.leaves(nodes).select("tree_uid", "node_uid")
-    path = trees.closure(nodes).join(ends, ["tree_uid", "node_uid"]).withColumnRenamed("node_uid", "leaf")
-    credit = _credit(spark, sf_dir).select("tree_uid", F.col("node_uid").alias("ancestor"), "credit")
-    at = F.row_number().over(Window.partitionBy("tree_uid", "leaf").orderBy(F.desc("steps")))
-    got = path.join(credit, ["tree_uid", "ancestor"]).withColumn("at", at)
-    return got.select("leaf", F.col("ancestor").alias("node_uid"), ((F.col("at") - 1) * 10).cast("long").alias("start"), (F.col("at") * 10).cast("long").alias("stop"), (F.round("credit", 4) + F.lit(0.0)).alias("credit"))
+    credit = _credit(spark, sf_dir).groupBy("tree_uid", "node_uid").agg(F.max("credit").alias("credit"), F.count("*").alias("edges"))
+    ends = trees.paths(tree_nodes(spark, sf_dir), beside=credit, along=("credit", "edges")).filter("leaf")
+    entry = lambda uid, times, x: F.struct(uid.alias("node_uid"), x["credit"].alias("credit"), (times * x["edges"]).alias("times"))
+    own = entry(F.col("node_uid"), F.lit(1).cast("long"), {"credit": F.col("credit"), "edges": F.col("edges")})
+    way = F.reverse(F.concat(F.array(own), F.zip_with("path", "along", lambda p, a: entry(p["uid"], p["times"], a))))
+    # A uid in several rows counts as in a join of rows; the root has no edge.
+    rows = F.flatten(F.transform(F.filter(way, lambda x: x["times"].isNotNull()), lambda x: F.array_repeat(x, (x["times"] * F.col("rows") * F.col("rows")).cast("int"))))
+    got = ends.select(F.col("node_uid").alias("leaf"), F.posexplode(rows).alias("at", "x"))
+    return got.select("leaf", "x.node_uid", (F.col("at") * 10).cast("long").alias("start"), ((F.col("at") + 1) * 10).cast("long").alias("stop"), (F.round("x.credit", 4) + F.lit(0.0)).alias("credit"))

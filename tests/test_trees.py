@@ -50,3 +50,16 @@ def test_cycles_and_two_parents_are_errors(spark):
 def test_small_and_empty(spark):
     assert trees.closure(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in trees.node_values(spark.createDataFrame([("t", "r", None, 0, None)], SCHEMA)).collect()] == [("t", "r", None, None, 1, 0.0, 0.0)]
+
+
+def test_leaves_stay_out_of_the_rounds_and_paths_need_no_window(spark, monkeypatch):
+    """Only parents are written down round by round, and what a path holds is not joined to it anew."""
+    edges = [("r", None), *[(f"a{i}", "r") for i in range(3)], *[(f"b{i}-{j}", f"a{i}") for i in range(3) for j in range(5)]]
+    n = spark.createDataFrame([("t", u, p, 0, 1.0) for u, p in edges], SCHEMA)
+    kept, stored = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    assert sorted(len(r["path"]) for r in trees.paths(n).collect()) == [0, 1, 1, 1, *[2] * 15]
+    assert [k.count() for k in kept][0] == 19 and all(k.count() == 4 for k in kept[1:])
+    events = n.filter("parent_node_uid = 'r'").selectExpr("tree_uid", "node_uid", "0.5D AS raw_advantage", "1.0D AS deviation", "2 AS leaf_count")
+    for got in (selection.path_intervals(n, F.length("node_uid")), selection.path_events(n, events, 1)):
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == (30 if "stop" in got.columns else 15)
