@@ -221,3 +221,15 @@ def test_without_labels_or_documents(spark):
     assert compression.fit(df, labels.limit(0)).scores([b"a", None]).tolist() == [0.5, 0.5]
     assert compression.fit(df, labels.filter("quality = 1")).scores([b"a"])[0] > 0.9
     assert compression.score_quality(docs(spark, []), compression.fit(docs(spark, []), labels)).count() == 0
+
+
+def test_words_of_a_shard_rank_as_its_strings():
+    import numpy as np
+    from branchlight.llm import suffixdedup
+
+    rng = np.random.default_rng(2)
+    for n in (400, 411):
+        shard = rng.integers(0, 3, n).astype(np.uint8) * 127
+        want = [(bytes(shard) * 2)[i : i + 8] for i in range(n)]
+        order = np.argsort(suffixdedup.words_of(shard), kind="stable").tolist()
+        assert [want[i] for i in order] == sorted(want)
