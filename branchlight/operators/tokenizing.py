@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what a label that does not count is.
 IGNORED = -100
+#: Characters or ids that go to a vocabulary at a time.
+PART = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -39,14 +41,31 @@ def _loaded(path: str, pattern: str | None):
     return lambda xs: [p.encode(x) for x in xs], lambda rows: [p.decode(r) for r in rows]
 
 
+def _in_parts(items: list, convert, kind: pa.DataType) -> pa.Array:
+    """What convert makes of the items, null of null. PART characters or ids at a time, as an encoding takes many times the memory of its text."""
+    done, part, size = [], [], 0
+
+    def finish() -> None:
+        found = iter(convert([x for x in part if x is not None]))
+        done.append(pa.array([None if x is None else next(found) for x in part], kind))
+
+    for x in items:
+        if part and x and size + len(x) > PART:
+            finish()
+            part, size = [], 0
+        part.append(x)
+        size += len(x or ())
+    if part:
+        finish()
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def encoded(text: Column, path: str, pattern: str | None = None) -> Column:
     """Token ids of a text; null of null."""
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
-        texts = column.to_pylist()
-        found = iter(_loaded(path, pattern)[0]([t for t in texts if t is not None]))
-        return pa.array([None if t is None else next(found) for t in texts], pa.list_(pa.int32()))
+        return _in_parts(column.to_pylist(), _loaded(path, pattern)[0], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -54,9 +73,7 @@ def encoded(text: Column, path: str, pattern: str | None = None) -> Column:
 def decoded(ids: Column, path: str, pattern: str | None = None) -> Column:
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        rows = column.to_pylist()
-        found = iter(_loaded(path, pattern)[1]([r for r in rows if r is not None]))
-        return pa.array([None if r is None else next(found) for r in rows], pa.string())
+        return pa.concat_arrays([pa.array([], pa.string()), *(_in_parts(c.to_pylist(), _loaded(path, pattern)[1], pa.string()) for c in (column.slice(at, 256) for at in range(0, len(column), 256)))])
 
     return texts(ids)
 

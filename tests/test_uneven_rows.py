@@ -7,8 +7,9 @@ from decimal import Decimal
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
-from branchlight.operators import audit, batch
+from branchlight.operators import audit, batch, tokenizing
 from branchlight.plans import registry
 from pyspark.sql import functions as F
 
@@ -66,3 +67,11 @@ def test_repeatable_resamples_by_brute_force(spark, monkeypatch):
     assert {r["g"] for r in got} == set(want)
     for r in got:
         assert tuple(r)[1:] == pytest.approx(want[r["g"]])
+
+
+def test_vocabulary_gets_parts_of_a_batch(monkeypatch):
+    monkeypatch.setattr(tokenizing, "PART", 10)
+    seen = []
+    got = tokenizing._in_parts(["a" * 6, None, "b" * 6, "", "c" * 30, None], lambda xs: seen.append(xs) or [[len(x)] for x in xs], pa.list_(pa.int32()))
+    assert got.to_pylist() == [[6], None, [6], [0], [30], None] and [len(x) for x in seen] == [1, 2, 1]
+    assert tokenizing._in_parts([], list, pa.string()).to_pylist() == []
