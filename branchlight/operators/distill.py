@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,37 +24,69 @@ class Marks:
     search: tuple[tuple[int, ...], tuple[int, ...]]
 
 
-def find(tokens: Column, part: tuple[int, ...], start: Column) -> Column:
-    """First place (from zero) at or behind start where the part stands in tokens; -1 if nowhere."""
-    n, want = len(part), F.array(*map(F.lit, part))
-    last = F.size(tokens) - n
-    places = F.when(start <= last, F.filter(F.sequence(start, F.greatest(start, last)), lambda i: F.slice(tokens, i + 1, F.lit(n)) == want))
-    return F.coalesce(F.get(places, F.lit(0)), F.lit(-1))
+def first(hits: np.ndarray, width: int, begins: np.ndarray, ends: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """First place (from zero) at or behind start where a part of `width` tokens stands in each row; -1 if nowhere. hits: its places in all rows' tokens, joined."""
+    at = np.searchsorted(hits, begins + start)
+    place = np.append(hits, np.iinfo(np.int64).max - width)[at]
+    return np.where(place + width <= ends, place - begins, -1)
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all arrays, joined (nulls as a number no tag has), and where each row begins and ends. A null array is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    return pc.fill_null(column.flatten().cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), ends - sizes, ends
+
+
+def places(values: np.ndarray, part: tuple[int, ...]) -> np.ndarray:
+    """Where part stands in values, across rows too."""
+    n = max(0, len(values) - len(part) + 1)
+    met = np.ones(n, bool)
+    for i, token in enumerate(part):
+        met &= values[i : i + n] == token
+    return np.flatnonzero(met)
+
+
+def spans(tokens: pa.Array, info: pa.Array | None, marks: Marks, most_query: int, most_action: int) -> pa.StructArray:
+    """The spans of with_spans() for a batch of edges; a tag is looked for in all of them at once."""
+    values, begins, ends = flat(tokens)
+    (think, thought), (search, searched) = marks.think, marks.search
+    find = lambda part, start: first(places(values, part), len(part), begins, ends, start)
+    zero = np.zeros(len(begins), np.int64)
+    s = find(search, zero)
+    q = s + len(search)
+    e = np.where(s >= 0, find(searched, q), -1)
+    k = find(think, zero)
+    inside = (k >= 0) & (k < s)
+    b = np.where(inside, k + len(think), 0)
+    d = find(thought, b)
+    crossed = (d < b) | (d > s)
+    begin, end = np.where(crossed, 0, b), np.where(crossed, s, d)
+    seen = np.zeros(len(begins), bool)
+    if info is not None:
+        given, a, z = flat(info)
+        outside = np.concatenate(([0], np.cumsum(given == 0)))
+        among = lambda x, y: outside[np.clip(a + np.maximum(x, y), a, z)] - outside[np.clip(a + x, a, z)]
+        seen = (e > q) & (among(begin, end) + among(q, e) > 0)
+    reasons = [(ends == begins) | (s < 0), e <= q, e - q > most_query, (end - begin) + (e - q) > most_action, seen]
+    reason = np.select(reasons, ["no_search", "empty_query", "query_too_long", "action_too_long", "observed_tokens"], "")
+    found = [q, e, begin, end, np.where(inside, k, 0)]
+    names = ["reason", "query_start", "query_stop", "think_start", "think_stop", "action_start"]
+    return pa.StructArray.from_arrays([pa.array(reason, pa.string(), mask=reason == ""), *[pa.array(x, pa.int32()) for x in found]], names=names)
 
 
 def with_spans(edges: DataFrame, marks: Marks, tokens: str = "tokens", info: str | None = "info", most_query: int = 64, most_action: int = 256) -> DataFrame:
     """edges with `span`: why there is none (reason), or where the query and the thought before it stand on the edge's own tokens: query_start, query_stop,
     think_start, think_stop, action_start. The states are passed in order: search tag, its end, thinking tag before it, its end; text before the search is the
     thought where tags of thinking lack or are crossed. A token from outside (info 0) in what is taught refuses the edge. An edge without tokens has no search."""
-    n = F.coalesce(F.size(tokens), F.lit(0))
-    t = F.coalesce(F.col(tokens), F.array().cast("array<int>"))
-    opened, closed = (len(x) for x in (marks.search[0], marks.think[0]))
-    got = edges.withColumn("__t", t).withColumn("__s", find(F.col("__t"), marks.search[0], F.lit(0)))
-    got = got.withColumn("__q", F.col("__s") + opened).withColumn("__e", F.when(F.col("__s") >= 0, find(F.col("__t"), marks.search[1], F.col("__q"))).otherwise(-1))
-    got = got.withColumn("__k", find(F.col("__t"), marks.think[0], F.lit(0)))
-    inside = (F.col("__k") >= 0) & (F.col("__k") < F.col("__s"))
-    got = got.withColumn("__b", F.when(inside, F.col("__k") + closed).otherwise(0)).withColumn("__d", find(F.col("__t"), marks.think[1], F.col("__b")))
-    crossed = (F.col("__d") < F.col("__b")) | (F.col("__d") > F.col("__s"))
-    begin, end = F.when(crossed, 0).otherwise(F.col("__b")), F.when(crossed, F.col("__s")).otherwise(F.col("__d"))
-    taught = (end - begin) + (F.col("__e") - F.col("__q"))
-    seen = F.lit(False)
-    if info:
-        part = lambda a, b: F.slice(F.col(info), a + 1, F.greatest(b - a, F.lit(0)))
-        seen = F.when(F.col("__e") > F.col("__q"), F.exists(F.concat(part(begin, end), part(F.col("__q"), F.col("__e"))), lambda x: x == 0))
-    reason = F.when((n == 0) | (F.col("__s") < 0), "no_search").when(F.col("__e") <= F.col("__q"), "empty_query").when(F.col("__e") - F.col("__q") > most_query, "query_too_long").when(taught > most_action, "action_too_long").when(F.coalesce(seen, F.lit(False)), "observed_tokens")
-    span = F.struct(reason.alias("reason"), F.col("__q").alias("query_start"), F.col("__e").alias("query_stop"), begin.alias("think_start"), end.alias("think_stop"), F.when(inside, F.col("__k")).otherwise(0).alias("action_start"))
-    # Written down, as every later step filters on the span.
-    return stored(got.withColumn("span", span).drop("__t", "__s", "__q", "__e", "__k", "__b", "__d"))
+    kind = "struct<reason:string,query_start:int,query_stop:int,think_start:int,think_stop:int,action_start:int>"
+
+    @F.arrow_udf(kind)
+    def spanned(t: pa.Array, i: pa.Array) -> pa.Array:
+        return spans(t, i if info else None, marks, most_query, most_action)
+
+    # Marked so that later filters on the span do not make Spark look for it again.
+    return edges.withColumn("span", spanned.asNondeterministic()(F.col(tokens), F.col(info or tokens)))
 
 
 def selected_positions(span: Column) -> Column:
@@ -96,14 +131,16 @@ def events(nodes: DataFrame, mode: str, most: int, budget: int, success: float =
     events in order from the root. An event whose instruction and action alone exceed the budget is `over_budget`; the rest of the budget is the state
     before it, from its end (see selection.anchored_prefix). In the mode `global_failure` paths whose leaf reached `success` teach nothing. Counters are (outcome, n) over
     the nodes of all paths, `dropped_early` those that gave way to later ones."""
-    nodes = stored(nodes)
+    # Written down without the tokens, as all that follows reads it several times.
+    kept = ("parent_node_uid", "place", "node_value", "leaf_count", "span", "instruction")
+    nodes = stored(nodes.select(*KEY, *kept))
     told = judged(nodes, mode, **limits)
     action = F.col("span.query_stop") - F.col("span.action_start")
     required = F.size("instruction") + action
     told = told.withColumn("outcome", F.when((F.col("outcome") == "event") & (required > budget), "over_budget").otherwise(F.col("outcome")))
     way = paths(nodes.select(*KEY, "parent_node_uid", "node_value"), {"leaf_value": F.max("node_value")}).filter("leaf")
     steps = way.select("tree_uid", F.col("node_uid").alias("leaf"), "leaf_value", F.posexplode(F.reverse(F.concat(F.array("node_uid"), F.col("path.uid")))).alias("depth_on_path", "node_uid"))
-    met = steps.join(told.drop("depth"), list(KEY))
+    met = steps.join(told, list(KEY))
     if mode == "global_failure":
         met = met.withColumn("outcome", F.when(F.coalesce("leaf_value", F.lit(0.0)) >= success, "succeeded").otherwise(F.col("outcome")))
     # A path is as long as the tree is deep: it is folded in one row.
@@ -112,6 +149,9 @@ def events(nodes: DataFrame, mode: str, most: int, budget: int, success: float =
     folded = folded.withColumn("met", F.filter("path", lambda x: x["outcome"] == "event"))
     kept = folded.select("tree_uid", "leaf", F.posexplode(F.slice("met", F.greatest(F.lit(1), F.size("met") - most + 1), F.lit(most))).alias("at", "e"))
     rows = kept.select("tree_uid", "leaf", "at", F.col("e.node_uid").alias("node_uid"), "e.weight", "e.raw_advantage", "e.value_gap", "e.siblings", "e.positions", "e.required", (F.lit(budget) - F.col("e.required")).alias("state_budget"), F.col("e.told").alias("target_offset"))
-    early = folded.select(F.greatest(F.lit(0), F.size("met") - most).cast("long").alias("n")).agg(F.lit("dropped_early").alias("outcome"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    counters = met.groupBy("outcome").agg(F.count("*").alias("n")).unionByName(early)
+    # One pass for all counters, and no path is folded for them; outcomes are few.
+    ways = met.groupBy("tree_uid", "leaf", "outcome").agg(F.count("*").alias("c"))
+    late = F.when(F.col("outcome") == "event", F.greatest(F.lit(0), F.col("c") - most))
+    total = ways.groupBy("outcome").agg(F.sum("c").alias("n"), F.sum(late).alias("late")).agg(F.collect_list(F.struct("outcome", "n")).alias("o"), F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+    counters = total.select(F.inline(F.concat("o", F.array(F.struct(F.lit("dropped_early").alias("outcome"), F.col("late").alias("n"))))))
     return rows, counters

@@ -18,17 +18,19 @@ def _edges(spark, sf_dir):
     its status; every fifth order has no search, every seventh saw its query."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
     k = F.col("o_orderkey")
-    digits = F.transform(F.split(k.cast("string"), ""), lambda c: F.ascii(c))
     asked = F.transform(F.split("o_orderpriority", ""), lambda c: F.ascii(c))
     one = lambda *xs: F.array(*map(F.lit, xs))
-    tokens = F.when(k % 5 == 0, digits).otherwise(F.concat(one(1), digits, one(2, 3), asked, one(4)))
-    shape = lambda uid, parent, t, value, place, leaves: [F.col("o_custkey").alias("tree_uid"), uid.alias("node_uid"), parent.alias("parent_node_uid"), t.alias("tokens"), F.transform(t, lambda x, i: F.when((k % 7 == 0) & (x == 3), 1).when((k % 7 == 0) & (i > F.size(digits) + 2), 0).otherwise(1)).alias("info"), value.alias("node_value"), place.alias("place"), leaves.alias("leaf_count")]
+    # Columns, so that no token of what is made of them makes them again.
+    o = o.withColumn("digits", F.transform(F.split(k.cast("string"), ""), lambda c: F.ascii(c))).withColumn("n", F.size("digits"))
+    digits = F.col("digits")
+    o = o.withColumn("first", F.when(k % 5 == 0, digits).otherwise(F.concat(one(1), digits, one(2, 3), asked, one(4)))).withColumn("last", F.concat(one(1), digits, one(2, 3), digits, one(4)))
+    shape = lambda uid, parent, t, value, place, leaves: [F.col("o_custkey").alias("tree_uid"), uid.alias("node_uid"), parent.alias("parent_node_uid"), t.alias("tokens"), F.transform(t, lambda x, i: F.when((k % 7 == 0) & (x == 3), 1).when((k % 7 == 0) & (i > F.col("n") + 2), 0).otherwise(1)).alias("info"), value.alias("node_value"), place.alias("place"), leaves.alias("leaf_count")]
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     none = F.array().cast("array<int>")
     value = F.round(F.col("o_totalprice") % 1, 2)
     root = o.select("o_custkey").distinct().select(F.col("o_custkey").alias("tree_uid"), text("c", F.col("o_custkey")).alias("node_uid"), F.lit(None).cast("string").alias("parent_node_uid"), none.alias("tokens"), none.alias("info"), F.lit(0.0).alias("node_value"), F.lit(0).cast("long").alias("place"), F.lit(1).cast("long").alias("leaf_count"))
-    middle = o.select(*shape(text("o", k), text("c", F.col("o_custkey")), tokens, value, k, k % 3 + 1))
-    last = o.select(*shape(text("e", k), text("o", k), F.concat(one(1), digits, one(2, 3), digits, one(4)), value, k, F.lit(1).cast("long")))
+    middle = o.select(*shape(text("o", k), text("c", F.col("o_custkey")), F.col("first"), value, k, k % 3 + 1))
+    last = o.select(*shape(text("e", k), text("o", k), F.col("last"), value, k, F.lit(1).cast("long")))
     nodes = root.unionByName(middle).unionByName(last)
     return D.with_spans(nodes, _MARKS).withColumn("instruction", F.when(F.col("place") % 11 != 0, one(9, 9, 9)))
 

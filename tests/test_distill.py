@@ -149,3 +149,17 @@ def test_contracts_and_controls(spark):
     gate = audit.strict_gate(spark.createDataFrame([("hit", "x", 5, 0.3, 0.1, 0.5), ("mrr", "x", 5, 0.1, 0.0, 0.2)], "metric string, baseline string, n int, mean double, low double, high double"), 0.9, 0.0, 0.2, ["x"])
     assert gate.first()["gate_pass"] is True
     assert np.isclose(tell(audit.retrieval_overlap(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)))["jaccard"]), 1 / 3)
+
+
+def test_spans_of_a_batch_are_those_of_each_edge(spark):
+    """Tags of several tokens, across rows, in null and empty rows, and info that is short or has nulls; a tag is looked for once a batch, not once for each use."""
+    marks = distill.Marks(((1, 1), (2,)), ((3, 4), (5,)))
+    rows = [([1, 1, 7, 2, 3, 4, 8, 5], [1] * 8), (None, None), ([], []), ([7, 1], [1, 1]), ([1, 7, 3], [1] * 3), ([4, 8, 5], [1] * 3), ([1, 1, 7, 2, 3, 4, 8, 5], [1, 1, 0]), ([3, 4, 8, None, 5], [1, 1, None, 0, 1]), ([3, 4, 5], None), ([3, 4, 6, 6], None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, tokens array<int>, info array<int>").coalesce(1)
+    plan = distill.with_spans(df, marks)
+    got = [tuple(r["span"]) for r in plan.orderBy("i").collect()]
+    none = ("no_search", 1, -1, 0, -1, 0)
+    assert got[0] == (None, 6, 7, 2, 3, 0) and got[3:6] == [none] * 3 and got[1][0] == got[2][0] == "no_search"
+    assert [g[0] for g in got[6:]] == ["observed_tokens", "observed_tokens", "empty_query", "empty_query"]
+    assert got[7][1:] == (2, 4, 0, 0, 0)
+    assert plan.filter("span.reason is null")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
