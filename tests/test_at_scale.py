@@ -178,3 +178,37 @@ def test_a_service_that_is_down_is_not_called_again_and_again():
 
     found = fetching.together(fetcher, [str(i) for i in range(20)], limits, fetching._Budget(limits))
     assert len(calls) == 23 and all(f[1] == "OSError: down" for f in found)
+
+
+def test_bm25_of_odd_rows_and_little_shuffle(spark, monkeypatch):
+    """Repeated and null ids, null and empty texts, ties beyond k: as counted by hand, whether terms are broadcast or shuffled. No row for each query and document is sorted."""
+    from math import log
+
+    from branchlight.operators import retrieval
+
+    texts = [(1, "a b b"), (1, "a c d"), (2, "b"), (None, "a b"), (None, "a b"), (3, None), (4, ""), (5, "x y"), (5, "a x"), *[(i, "c q") for i in range(10, 30)]]
+    asked = [(1, "a b"), (2, "C c"), (3, "none"), (4, "x q")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    tf: dict = {}
+    sizes = [len(t.split()) for _, t in texts if t is not None]
+    for i, t in texts:
+        for w in (t or "").split():
+            tf[i, len(t.split()), w] = tf.get((i, len(t.split()), w), 0) + 1
+    want: dict = {}
+    for q, text in asked:
+        for w in set(text.lower().split()):
+            df = sum(x == w for *_, x in tf)
+            for (i, n, x), c in tf.items():
+                if x == w:
+                    want[q, i] = want.get((q, i), 0.0) + log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * c / (c + 0.9 * (0.6 + 0.4 * n / (sum(sizes) / len(sizes))))
+    for most in (retrieval.MOST_TERMS, 1):
+        monkeypatch.setattr(retrieval, "MOST_TERMS", most)
+        got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.bm25_scores(queries, docs).collect()}
+        assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+        best = [(r["query_id"], r["doc_id"]) for r in retrieval.bm25(queries, docs, 3).orderBy("query_id", "rank").collect()]
+        assert best == [k for q in (1, 2, 4) for k in sorted((k for k in want if k[0] == q), key=lambda k: (-round(want[k], 6), k[1] is not None, k[1]))[:3]]
+    monkeypatch.undo()
+    plain = docs.filter("doc_id > 5")
+    assert retrieval.bm25_scores(queries, plain, k=3).count() < 3 * 4 * plain.rdd.getNumPartitions() + 1
+    assert retrieval.bm25_scores(queries, docs.limit(0)).count() == retrieval.bm25_scores(queries.limit(0), docs).count() == 0
