@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,19 +45,27 @@ def greedy(lengths: Sequence[int], k: int) -> list[list[int]]:
 
 
 def balance(rows: DataFrame, group: str, key: str, length: str, k: int, method: str = "differencing") -> DataFrame:
-    """rows with `part`: each group (a batch, of bounded size) is parted by itself."""
+    """rows with `part`: each group (a batch, of bounded size) is parted by itself. A group is one row of its members in order of the key; batches of
+    groups go to Python with their lengths alone."""
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        sizes = pdf[length].tolist()
-        found = greedy(sizes, k) if method == "greedy" else differencing(sizes, min(k, len(sizes)))
-        pdf["part"] = 0
-        for at, members in enumerate(found):
-            pdf.loc[members, "part"] = at
-        return pdf[[group, key, "part"]]
+    @F.arrow_udf("array<int>")
+    def parted(column: pa.Array) -> pa.Array:
+        made = []
+        for sizes in column.to_pylist():
+            found = greedy(sizes, k) if method == "greedy" else differencing(sizes, min(k, len(sizes)))
+            parts = [0] * len(sizes)
+            for at, members in enumerate(found):
+                for i in members:
+                    parts[i] = at
+            made.append(parts)
+        return pa.array(made, pa.list_(pa.int32()))
 
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, part int"
-    return rows.join(rows.select(group, key, length).groupBy(group).applyInPandas(part, schema), [group, key])
+    rest = [c for c in rows.columns if c not in (group, key)]
+    # An item begins with its key and length, so that items can be sorted whatever else a row holds; a missing key sorts last.
+    item = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(length).alias("length"), F.struct(*rest).alias("rest"))
+    held = rows.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    held = held.withColumn("parts", parted.asNondeterministic()(F.col("items.length")))
+    return held.select(group, F.explode(F.arrays_zip("items", "parts")).alias("x")).select(group, F.col("x.items.key").alias(key), *[F.col("x.items.rest")[c].alias(c) for c in rest], F.col("x.parts").alias("part"))
 
 
 def imbalance(parted: DataFrame, length: str) -> DataFrame:

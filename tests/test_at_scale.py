@@ -212,3 +212,19 @@ def test_bm25_of_odd_rows_and_little_shuffle(spark, monkeypatch):
     plain = docs.filter("doc_id > 5")
     assert retrieval.bm25_scores(queries, plain, k=3).count() < 3 * 4 * plain.rdd.getNumPartitions() + 1
     assert retrieval.bm25_scores(queries, docs.limit(0)).count() == retrieval.bm25_scores(queries.limit(0), docs).count() == 0
+
+
+def test_balanced_rows_keep_their_columns_and_number(spark):
+    """A repeated or null key and a null group make no row more or fewer, and parts are those of the lengths in order of the key."""
+    from branchlight.operators import balance
+
+    rows = [("g", 3, 8, "c"), ("g", 1, 7, "a"), ("g", 2, 6, "b"), ("g", 5, 4, "e"), ("g", 4, 5, "d"), ("h", 1, 2, "x"), ("h", 1, 2, "y"), ("h", None, 1, "z"), (None, 1, 9, "n")]
+    df = spark.createDataFrame(rows, "group string, k int, n int, s string")
+    for method in ("differencing", "greedy"):
+        got = balance.balance(df, "group", "k", "n", 2, method)
+        assert got.columns == ["group", "k", "n", "s", "part"]
+        have = {(r["group"], r["s"]): r for r in got.collect()}
+        assert got.count() == len(have) == len(rows) and {tuple(r)[:4] for r in have.values()} == set(rows)
+        sizes = [7, 6, 8, 5, 4]
+        want = balance.greedy(sizes, 2) if method == "greedy" else balance.differencing(sizes, 2)
+        assert [have["g", s]["part"] for s in "abcde"] == [next(p for p, m in enumerate(want) if i in m) for i in range(5)]
