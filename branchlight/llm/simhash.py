@@ -230,11 +230,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         dense = dense.drop(text).checkpoint()
     if similar:
 
-        @F.arrow_udf("array<bigint>")
-        def banded(column: pa.Array) -> pa.Array:
-            return pa.array([bands(t) for t in as_bytes(column)], pa.list_(pa.int64()))
+        # One function for both, so that a text goes to one Python worker, not to two in a row.
+        @F.arrow_udf("struct<u:bigint,bands:array<bigint>>")
+        def sketched(column: pa.Array) -> pa.Array:
+            texts = as_bytes(column)
+            return struct_of({"u": (pa.int64(), np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64).tolist()), "bands": (pa.list_(pa.int64()), [bands(t) for t in texts])})
 
-        sketch = with_fingerprint(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), "t", "u").withColumn("bands", banded.asNondeterministic()("t"))
+        sketch = docs.select(F.col(doc_id).alias("id"), sketched.asNondeterministic()(F.col(text)).alias("s")).select("id", "s.u", "s.bands")
         # Of rows that share a fingerprint the one with the smallest id is looked at; its bands are the same for all copies.
         prints = sketch.groupBy("u").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "bands"))).alias("f")).select("u", F.col("f.id").alias("first"), F.coalesce("f.bands", F.array().cast("array<bigint>")).alias("bands")).checkpoint()
         found = links(prints.select("u")).unionByName(similar_links(docs, prints, doc_id, text))

@@ -243,3 +243,18 @@ def test_size_reductions_rank_the_notices(monkeypatch):
     assert {"GPL-3.0-or-later"} <= names and names <= {"GPL-3.0-or-later", "AGPL-3.0-or-later", "LGPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-2.1-or-later", "GPL-2.0-only"}
     monkeypatch.setattr(s, "gain", lambda window, template: 0.0)
     assert s.scan(GPL3) == []
+
+
+def test_near_dedup_sends_a_text_to_one_python_worker_for_its_sketch(spark, monkeypatch):
+    """Fingerprint and bands of a text come from one function: no task has a text in two workers in a row."""
+    from branchlight.llm import simhash
+
+    seen = []
+    monkeypatch.setattr(simhash, "similar_links", lambda docs, prints, doc_id, text: seen.append(prints) or prints.selectExpr("u", "u as v"))
+    whole = type(spark.range(1)).checkpoint
+    plans = []
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or whole(self, *a))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "a b c d e f")], "doc_id long, text string")
+    assert simhash.near_duplicates(docs, similar=True).count() == 3
+    assert plans[0].count("ArrowEvalPython") == 1
+    assert {(r["u"], r["first"], len(r["bands"])) for r in seen[0].collect()} == {(0, 2, 0), (simhash.with_fingerprint(docs.limit(1), into="u").first()["u"], 1, simhash.BANDS)}
