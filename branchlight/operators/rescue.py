@@ -68,6 +68,11 @@ def child_uid(parent: Column, k: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", parent, k.cast("string")).cast("binary"), 256), 1, 16)
 
 
+def spread(rows: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """rows dealt by the key to as many tasks as it takes for about `most` rows each: what a small table grows into then grows in more tasks, not in larger ones."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key)
+
+
 def grown(frontier: DataFrame, children: int, levels: int, piece: Callable[[Column, Column], Column]) -> DataFrame:
     """frontier and what grows from it in `levels` levels of `children` each: (tree_uid, node_uid, parent_node_uid, depth, response, kd).
 

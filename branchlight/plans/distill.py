@@ -120,7 +120,8 @@ SELECT n.tree, id, len, CASE WHEN second THEN t.a + t.b ELSE t.a END AS taught F
 )
 def seeded_forks(spark, sf_dir):
     """Two levels grown from both nodes of each customer's seeded tree: lengths of the leaves and how much of them a teacher wrote."""
-    c = table(spark, sf_dir, "customer").withColumn("tree_uid", F.col("c_custkey"))
+    c = table(spark, sf_dir, "customer").withColumn("tree_uid", F.col("c_custkey")).select("tree_uid", "c_mktsegment", "c_name")
+    c = R.spread(c, "tree_uid")
     hop = lambda col: F.struct(_codes(col).alias("tokens"), F.transform(_codes(col), lambda _: F.lit(True)).alias("kd"))
     seeds = R.seeded(c, hop("c_mktsegment"), hop("c_name"))
     nodes = R.grown(seeds, 2, 2, _piece)

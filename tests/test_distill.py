@@ -163,3 +163,12 @@ def test_spans_of_a_batch_are_those_of_each_edge(spark):
     assert [g[0] for g in got[6:]] == ["observed_tokens", "observed_tokens", "empty_query", "empty_query"]
     assert got[7][1:] == (2, 4, 0, 0, 0)
     assert plan.filter("span.reason is null")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_what_grows_from_a_small_table_grows_in_more_tasks(spark):
+    from branchlight.operators import rescue
+
+    for n in (0, 1000, 6000):
+        rows = rescue.spread(spark.range(n).coalesce(1), "id", 500)
+        assert rows.rdd.getNumPartitions() == max(1, n // 500) and rows.count() == n
+        assert max([0, *rows.rdd.glom().map(len).collect()]) < 700
