@@ -76,9 +76,13 @@ def selection_stats(draws: DataFrame) -> DataFrame:
 
 def sample_leaves(nodes: DataFrame, k: int, seed: int) -> DataFrame:
     """k leaves of each tree, or all of them, by a seeded draw: (tree_uid, node_uid)."""
-    ends = leaves(nodes).select(*KEY).distinct().withColumn("__d", draw(seed, *KEY))
+    return drawn_leaves(leaves(nodes).select(*KEY).distinct(), k, seed)
+
+
+def drawn_leaves(ends: DataFrame, k: int, seed: int) -> DataFrame:
+    """k rows of each tree, or all of them, by a seeded draw. ends: leaves, once each. Draws are made behind the shuffle, which so carries none."""
     at = F.row_number().over(Window.partitionBy("tree_uid").orderBy("__d", "node_uid"))
-    return ends.withColumn("__at", at).filter(F.col("__at") <= k).drop("__d", "__at")
+    return ends.repartition("tree_uid").withColumn("__d", draw(seed, *KEY)).withColumn("__at", at).filter(F.col("__at") <= k).drop("__d", "__at")
 
 
 def sibling_events(kids: DataFrame, least_gap: float, least_advantage: float = 0.0) -> DataFrame:

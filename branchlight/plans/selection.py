@@ -64,9 +64,9 @@ SELECT tree_uid, count(*) AS n_nodes FROM kept WHERE node_uid IS NOT NULL GROUP
 )
 def leaf_sample_prune(spark, sf_dir):
     """Trees cut down to two sampled leaves and what leads to them."""
-    nodes = tree_nodes(spark, sf_dir)
-    kept = trees.prune(nodes, S.sample_leaves(nodes, 2, 24))
-    return kept.select("tree_uid", "node_uid").distinct().groupBy("tree_uid").agg(F.count("*").alias("n_nodes"))
+    nodes = trees.known(tree_nodes(spark, sf_dir))
+    ends = nodes.filter("leaf").select("tree_uid", "node_uid", "parent_node_uid")
+    return trees.above_leaves(nodes, S.drawn_leaves(ends, 2, 24)).groupBy("tree_uid").agg(F.count("*").alias("n_nodes"))
 
 
 def _kids(spark, sf_dir):

@@ -97,3 +97,15 @@ def test_tree_diff_adds_up_the_tree_once(spark):
         v = values[r["tree_uid"], r["node_uid"]]
         up = values[r["tree_uid"], v["parent_node_uid"]]["node_value"]
         assert r["diff"] == pytest.approx((max(v["node_value"] - up, 0) + v["node_value"]) / v["leaf_count"] ** 0.5)
+
+
+def test_sampled_leaves_and_what_is_above_them(spark, sf_dir):
+    """As prune() of the sample, from nodes read once; the query goes back to no table behind them."""
+    for k in (1, 2, 9):
+        every = trees.known(_odd(spark))
+        drawn = selection.drawn_leaves(every.filter("leaf").select("tree_uid", "node_uid", "parent_node_uid"), k, 24)
+        want = trees.prune(_odd(spark), selection.sample_leaves(_odd(spark), k, 24)).select("tree_uid", "node_uid").distinct()
+        assert sorted(map(tuple, trees.above_leaves(every, drawn).collect())) == sorted(map(tuple, want.collect()))
+    from branchlight.plans import selection as plans
+
+    assert "lineitem" not in plans.leaf_sample_prune(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
