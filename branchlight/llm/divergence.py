@@ -7,8 +7,8 @@ p = 1 + floor(SCALE * (count + 1) / (N + V)), N the sum of its counts. Against s
 the products in decimals of 38 digits.
 
 Wide term vectors: tasks count the terms of their batches, one shuffle adds them up, and each kept term of a language becomes one row with an
-array of its counts by the number of the source. Higher-order functions turn an array into contributions of the ordered pairs of sources in which
-at least one has the term; they are summed by pair before and after a shuffle. Terms that neither source has weigh the same for all,
+array of its counts by the number of the source. Tasks take the weights of a batch of such rows for the ordered pairs of sources in which at least one has
+the term, in 64-bit integers of numpy; they are summed by pair in the task and by a shuffle. Terms that neither source has weigh the same for all,
 so for them one product (the number of such terms by that weight) stands in for V rows.
 
 Null texts, languages and sources are read as ''. A source without terms has N = 0 and the same share for all terms; where no term is kept (V = 0) all pairs are 0.
@@ -22,7 +22,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ SCALE = 1_000_000_000
 BROADCAST_GROUPS, SALTS = 50_000, 64
 #: A task counts texts of so many bytes, or terms of a group, before it sends counts on.
 HELD_BYTES, HELD_TERMS = 32 << 20, 1 << 18
+#: Weights of so many cells (terms by sources) are taken at once.
+CELLS = 1 << 17
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -110,16 +114,41 @@ def wide_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     return stored(counted.select("lang", "term", "n", p.alias("p"), share(of_all, F.col("total"), F.col("kinds")).alias("q"))), groups
 
 
+def _weights(rows: DataFrame) -> DataFrame:
+    """(lang, i, j, f, terms) of parts of rows (lang, n, p): the sum of weights of source i against source j over the terms that one of them has at least, and their number."""
+
+    def of_source(i: int, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+        # Terms of i: it against all others, and those that lack the term against it. The rest of a pair's terms come with the other source.
+        own, lacks = p[:, i : i + 1], n == 0
+        apart = (own - p) ** 2
+        f = np.concatenate([(apart // p).sum(0), (apart // own * lacks).sum(0)])
+        at, me = np.arange(n.shape[1]), np.full(n.shape[1], i)
+        terms = np.concatenate([np.where(at == i, 0, len(n)), lacks.sum(0)])
+        return tuple(x[terms > 0] for x in (np.concatenate([me, at]), np.concatenate([at, me]), f, terms))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = b.column(0).dictionary_encode()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                some = b.filter(pc.equal(langs.indices, k))
+                n, p = (some.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1) for c in (1, 2))
+                for i in np.flatnonzero((n > 0).any(0)).tolist():
+                    having = np.flatnonzero(n[:, i] > 0)
+                    # One weight fits in 64 bits; only as many are added up here as surely do, and Spark's sum takes over.
+                    most = float(p[having].max()) ** 2 / float(p[having].min())
+                    step = max(1, min(CELLS // n.shape[1], int(2**62 / most)))
+                    for x in range(0, len(having), step):
+                        at = having[x : x + step]
+                        found = of_source(i, n[at], p[at])
+                        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found[0]), pa.string()), *[pa.array(c, t) for c, t in zip(found, types, strict=True)]], names=["lang", "i", "j", "f", "terms"])
+
+    return rows.mapInArrow(summed, "lang string, i int, j int, f bigint, terms bigint")
+
+
 def pair_divergence(wide: DataFrame, groups: _Groups) -> DataFrame:
     """(lang, source, item, value): each source of a language against each other one."""
-    # Contributions of pairs i < j of which one at least has the term, in both directions.
-    with_one = lambda i: F.when(F.get("n", i) > 0, F.sequence(i + 1, F.size("n") - 1)).otherwise(F.filter("having", lambda j: j > i))
-    of_pair = lambda i: F.transform(with_one(i), lambda j: F.struct((i * F.size("n") + j).alias("at"), weight(F.get("p", i), F.get("p", j)).alias("f"), weight(F.get("p", j), F.get("p", i)).alias("back")))
-    first = F.sequence(F.lit(0), F.size("n") - 2)
-    rows = wide.filter(F.size("n") > 1).select("lang", "n", "p", F.filter(F.sequence(F.lit(0), F.size("n") - 1), lambda i: F.get("n", i) > 0).alias("having"))
-    summed = rows.select("lang", F.size("n").alias("s"), F.explode(F.flatten(F.transform(first, of_pair))).alias("e")).groupBy("lang", "s", F.col("e.at").alias("at")).agg(F.sum("e.f").alias("f"), F.sum("e.back").alias("back"), F.count("*").alias("terms"))
-    i, j = F.floor(F.col("at") / F.col("s")).cast("int"), (F.col("at") % F.col("s")).cast("int")
-    summed = summed.select("lang", "terms", F.explode(F.array(F.struct(i.alias("i"), j.alias("j"), "f"), F.struct(j.alias("i"), i.alias("j"), F.col("back").alias("f")))).alias("e")).select("lang", "terms", "e.*")
+    summed = _weights(wide.filter(F.size("n") > 1).select("lang", "n", "p")).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"), F.sum("terms").alias("terms"))
     one = groups.frame.select("lang", "sources", "totals", "kinds", F.posexplode("sources").alias("i", "source"))
     pairs = one.select("lang", "kinds", "totals", "i", "source", F.posexplode("sources").alias("j", "item")).filter("i <> j")
     zero = F.lit(0).cast("bigint")

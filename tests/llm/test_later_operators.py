@@ -163,6 +163,20 @@ def test_divergence_without_broadcasts_or_held_counts(spark, monkeypatch):
     assert audit_rows(docs(spark), least=1) == want
 
 
+def test_divergence_weighs_batches_of_terms(spark, monkeypatch):
+    """Pairs are weighed by batch, not term by term in higher-order functions; the same however few terms are taken at once, and exact up to 64 bits."""
+    df = spark.createDataFrame([(f"{'a' * (i % 7 + 1)} b {chr(99 + i % 9)} {chr(99 + i % 4)}", f"l{i % 2}", f"s{i % 5}") for i in range(90)], "text string, lang string, source string")
+    wide, groups = divergence.wide_terms(df)
+    pairs = divergence.pair_divergence(wide, groups)
+    assert "lambda" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, pairs.collect()))
+    monkeypatch.setattr(divergence, "CELLS", 1)
+    assert sorted(map(tuple, divergence.pair_divergence(wide, groups).collect())) == want and len(want) == 40
+    rows = spark.createDataFrame([("x", [1, 0], [1_000_000_001, 1])] * 9, "lang string, n array<bigint>, p array<bigint>").coalesce(1)
+    got = divergence._weights(rows).groupBy("i", "j").agg({"f": "sum", "terms": "sum"}).collect()
+    assert sorted((r["i"], r["j"], r["sum(f)"], r["sum(terms)"]) for r in got) == [(0, 1, 9 * 10**18, 9), (1, 0, 9 * (10**18 // (10**9 + 1)), 9)]
+
+
 def test_divergence_as_in_sql(spark, sf_dir):
     same_as_sql(spark, sf_dir, "op12_source_divergence", divergence)
 
