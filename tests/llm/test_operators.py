@@ -113,6 +113,24 @@ def test_suffix_dedup(docs, rows, empty, most):
     assert suffixdedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_keeps_an_anchor_together_beside_a_crowded_one(spark):
+    """Forty passages stand in two documents each, one in eight: the forty are compared whole though the one is dealt anew."""
+    rng = np.random.default_rng(7)
+    text = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passages = [text(450) for _ in range(40)]
+    common = text(450)
+    rows = [(i, text(100) + p + text(100)) for i, p in enumerate(passages * 2)] + [(100 + i, text(100) + common + text(100)) for i in range(8)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")  # as on large tables: many tasks on either side of a shuffle
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = suffixdedup.remove_repeats(docs, most_segments=6).mapInArrow(suffixdedup._kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        assert bag(got, *got.columns) == Counter(spans_brute(rows))
+    finally:
+        spark.conf.set(coalesce, before)
+
+
 def test_merge_gives_sorted_rotations():
     rng = np.random.default_rng(1)
     shards = [rng.integers(97, 99, 500).astype(np.uint8), rng.integers(97, 100, 300).astype(np.uint8)]
