@@ -138,7 +138,7 @@ def schema_faults(spark, sf_dir):
 @query("tree_snapshots", f"WITH {NODES}, d AS (SELECT DISTINCT * FROM nodes), k AS (SELECT tree_uid, parent_node_uid AS node_uid, string_agg(node_uid, '+' ORDER BY node_uid) AS kids, count(*) AS n FROM d WHERE parent_node_uid IS NOT NULL GROUP BY ALL) SELECT tree_uid, max(CASE WHEN parent_node_uid IS NULL THEN node_uid END) AS root, count(*) AS n_nodes, count(*) FILTER (n IS NULL) AS leaves, sha256(string_agg(node_uid || '<' || coalesce(parent_node_uid, '') || '>' || coalesce(kids, ''), ';' ORDER BY depth, node_uid)) AS shape FROM d LEFT JOIN k USING (tree_uid, node_uid) GROUP BY tree_uid")
 def tree_snapshots(spark, sf_dir):
     """Whole trees nested, with the links of each node."""
-    got = trees.snapshot(tree_nodes(spark, sf_dir).distinct(), ["score"])
+    got = trees.snapshot(tree_nodes(spark, sf_dir).repartition("tree_uid").distinct(), ["score"])
     shape = F.array_join(F.transform("nodes", lambda n: F.concat(n["node_uid"], F.lit("<"), F.coalesce(n["parent_node_uid"], F.lit("")), F.lit(">"), F.array_join(n["child_node_uids"], "+"))), ";")
     return got.select("tree_uid", F.col("root_node_uid").alias("root"), "n_nodes", F.size(F.filter("nodes", lambda n: n["is_leaf"])).cast("long").alias("leaves"), F.sha2(shape.cast("binary"), 256).alias("shape"))
 

@@ -109,3 +109,20 @@ def test_sampled_leaves_and_what_is_above_them(spark, sf_dir):
     from branchlight.plans import selection as plans
 
     assert "lineitem" not in plans.leaf_sample_prune(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_snapshot_is_one_shuffle_and_children_meet_their_parent_without_a_join(spark):
+    n = _odd(spark).unionByName(spark.createDataFrame([(None, "p", None, 0, 1.0), (None, "q", "p", 1, 1.0), ("w", None, "s", 1, 1.0), ("w", "s", None, 0, 1.0)], SCHEMA))
+    got = trees.snapshot(n, ["score"])
+    rows = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("== Final Plan ==") : plan.index("== Initial Plan ==")] if "== Final Plan ==" in plan else plan
+    assert "Join" not in plan and plan.count("hashpartitioning(") == 1
+    every = [tuple(r) for r in n.collect()]
+    kids = lambda t, u: sorted(r[1] for r in every if t is not None and u is not None and r[:1] == (t,) and r[2] == u and r[1] is not None)
+    for t in {r[0] for r in every}:
+        tree = next(r for r in rows if r["tree_uid"] == t)
+        mine = [(r[3], r[1], r[2], kids(t, r[1]), r[2] is None, not kids(t, r[1]), r[4]) for r in every if r[0] == t]
+        assert tree["n_nodes"] == len(mine) and sorted(map(repr, map(tuple, tree["nodes"]))) == sorted(map(repr, mine))
+        assert tree["root_node_uid"] == max((r[1] for r in mine if r[2] is None), default=None)
+    assert len(rows) == len({r[0] for r in every})
