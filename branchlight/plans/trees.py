@@ -160,10 +160,9 @@ SELECT leaf, node_uid, (row_number() OVER w - 1) * 10 AS start, row_number() OVE
 )
 def path_token_intervals(spark, sf_dir):
     """Credit of each edge of each root-to-leaf path over the tokens of that edge (ten each); the root has none."""
-    credit = _credit(spark, sf_dir).groupBy("tree_uid", "node_uid").agg(F.max("credit").alias("credit"), F.count("*").alias("edges"))
-    ends = trees.paths(tree_nodes(spark, sf_dir), beside=credit, along=("credit", "edges")).filter("leaf")
-    entry = lambda uid, times, x: F.struct(uid.alias("node_uid"), x["credit"].alias("credit"), (times * x["edges"]).alias("times"))
-    own = entry(F.col("node_uid"), F.lit(1).cast("long"), {"credit": F.col("credit"), "edges": F.col("edges")})
+    ends = trees.credited_paths(tree_nodes(spark, sf_dir))
+    entry = lambda uid, times, x: F.struct(uid.alias("node_uid"), x["credit"].alias("credit"), (times * x["rows"]).alias("times"))
+    own = entry(F.col("node_uid"), F.lit(1).cast("long"), {"credit": F.col("credit"), "rows": F.col("rows")})
     way = F.reverse(F.concat(F.array(own), F.zip_with("path", "along", lambda p, a: entry(p["uid"], p["times"], a))))
     # A uid in several rows counts as in a join of rows; the root has no edge.
     rows = F.flatten(F.transform(F.filter(way, lambda x: x["times"].isNotNull()), lambda x: F.array_repeat(x, (x["times"] * F.col("rows") * F.col("rows")).cast("int"))))

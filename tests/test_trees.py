@@ -126,3 +126,37 @@ def test_a_snapshot_is_one_shuffle_and_children_meet_their_parent_without_a_join
         assert tree["n_nodes"] == len(mine) and sorted(map(repr, map(tuple, tree["nodes"]))) == sorted(map(repr, mine))
         assert tree["root_node_uid"] == max((r[1] for r in mine if r[2] is None), default=None)
     assert len(rows) == len({r[0] for r in every})
+
+
+def test_nodes_are_shuffled_once_before_they_are_written_down(spark, monkeypatch):
+    """A parent without a row is no node, a tree that has no uid has no parents."""
+    kept, stored = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df: kept.append(df) or stored(df))
+    n = _odd(spark).unionByName(spark.createDataFrame([(None, "p", None, 0, 1.0), (None, "q", "p", 1, 1.0)], SCHEMA))
+    beside = spark.createDataFrame([("t", "a", 7), ("u", "gone", 8)], "tree_uid string, node_uid string, more int")
+    for more in (None, beside):
+        got = trees.known(n, {"n": F.count("*"), "s": F.sum(F.lit(1))}, more)
+        want = {("t", "r"): (None, 1, False), ("t", "a"): ("r", 2, False), ("t", "b"): ("r", 1, True), ("t", "x"): ("a", 2, True), ("t", "y"): ("a", 1, False), ("t", "z"): ("y", 1, True)}
+        want |= {("u", "m"): ("gone", 1, False), ("u", "n"): ("m", 1, True), ("u", "k"): ("gone", 1, True), ("v", "lone"): (None, 1, True), (None, "p"): (None, 1, True), (None, "q"): ("p", 1, True)}
+        rows = got.collect()
+        assert {(r["tree_uid"], r["node_uid"]): (r["parent_node_uid"], r["rows"], r["leaf"]) for r in rows} == want and len(rows) == len(want)
+        assert all(r["n"] == r["s"] == r["rows"] for r in rows) and (more is None or {r["node_uid"] for r in rows if r["more"] == 7} == {"a"})
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "Join" not in plan
+
+
+def test_credit_along_paths_reads_nodes_once(spark, monkeypatch):
+    from branchlight.plans import trees as plans
+
+    calls, known = [], trees.known
+    monkeypatch.setattr(trees, "known", lambda *a, **k: calls.append(a) or known(*a, **k))
+    monkeypatch.setattr(plans, "tree_nodes", lambda *_: _odd(spark))
+    got = plans.path_token_intervals(spark, "").collect()
+    assert len(calls) == 1
+    at = (F.round("credit", 4) + F.lit(0.0)).alias("credit")
+    credit = trees.sibling_credit(trees.edges(trees.node_values(_odd(spark)))).select("tree_uid", F.col("node_uid").alias("ancestor"), at)
+    want = trees.closure(_odd(spark)).join(trees.leaves(_odd(spark)).select("tree_uid", "node_uid"), ["tree_uid", "node_uid"]).join(credit, ["tree_uid", "ancestor"]).select("node_uid", "ancestor", "credit", "steps")
+    assert sorted((r["leaf"], r["node_uid"], r["credit"]) for r in got) == sorted(tuple(r)[:3] for r in want.collect())
+    for leaf in {r["leaf"] for r in got}:
+        mine = sorted((r["start"], r["stop"], r["node_uid"]) for r in got if r["leaf"] == leaf)
+        assert [r[:2] for r in mine] == [(10 * i, 10 * i + 10) for i in range(len(mine))] and mine[-1][2] == leaf
