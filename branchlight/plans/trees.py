@@ -135,9 +135,8 @@ SELECT a.parent_node_uid, a.node_uid AS worst, b.node_uid AS best, round(b.value
 WHERE a.lo = 1 AND b.hi = 1 AND a.n > 1 AND round(b.value, 9) - round(a.value, 9) >= CAST(0.25 AS DOUBLE)""",
 )
 def sibling_contrasts(spark, sf_dir):
-    nodes = tree_nodes(spark, sf_dir)
-    values = trees.node_values(nodes).withColumn("node_value", F.round("node_value", 9))
-    return trees.contrasts(nodes, values, 0.25).select("parent_node_uid", F.col("worst.node_uid").alias("worst"), F.col("best.node_uid").alias("best"), r6(F.col("best.value") - F.col("worst.value"), "gap"))
+    values = trees.node_values(tree_nodes(spark, sf_dir)).withColumn("node_value", F.round("node_value", 9))
+    return trees.value_contrasts(values, 0.25).select("parent_node_uid", F.col("worst.node_uid").alias("worst"), F.col("best.node_uid").alias("best"), r6(F.col("best.value") - F.col("worst.value"), "gap"))
 
 
 @query("tree_integrity", f"WITH {NODES} SELECT count(*) AS n_nodes, count(*) FILTER (node_uid = parent_node_uid) AS self_children, count(*) - count(DISTINCT (tree_uid, node_uid)) AS repeated, count(*) FILTER (parent_node_uid IS NULL) AS roots FROM nodes")

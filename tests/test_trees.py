@@ -160,3 +160,14 @@ def test_credit_along_paths_reads_nodes_once(spark, monkeypatch):
     for leaf in {r["leaf"] for r in got}:
         mine = sorted((r["start"], r["stop"], r["node_uid"]) for r in got if r["leaf"] == leaf)
         assert [r[:2] for r in mine] == [(10 * i, 10 * i + 10) for i in range(len(mine))] and mine[-1][2] == leaf
+
+
+def test_contrasts_take_parents_from_the_values(spark, sf_dir):
+    n = _odd(spark)
+    values = trees.node_values(n)
+    for gap in (0.0, 0.1, 0.3):
+        got, want = (sorted(map(tuple, df.select("tree_uid", "parent_node_uid", "worst", "best", "children").collect())) for df in (trees.value_contrasts(values, gap), trees.contrasts(n, values, gap)))
+        assert got == want and (got or gap)
+    from branchlight.plans import trees as plans
+
+    assert "lineitem" not in plans.sibling_contrasts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
